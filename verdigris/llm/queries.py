@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import bpe
+from verdigris.llm import bpe, media, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,5 +20,42 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    media_of = media.store_text(docs, keep=["doc_id", "n_bytes"])
+    read = media.read_payload(media.media_info(media_of))
+    first, last = F.element_at("info.keyframes", 1), F.element_at("info.keyframes", -1)
+    feature = F.format_string("%s %s %.6f s, %d samples, %d keyframes, first %d+%d, last %d+%d", "info.kind", "info.codec", "info.duration", "info.n_samples", F.size("info.keyframes"), first["offset"], first["length"], last["offset"], last["length"])
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+             ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 2.0::DOUBLE * source_size AS most, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, least(most, max(level) OVER () * weight) AS target FROM l),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS passes FROM t),
+p AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.passes, round(b.target)::BIGINT - b.passes * b.source_size AS rest,
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS earlier
+      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, (passes * size + least(size, greatest(0, rest - earlier)))::BIGINT AS taken FROM p
+"""
+
+QUERIES = {"op1_bpe": op1_bpe, "op5_media": op5_media, "op6_mixing": op6_mixing}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL}
