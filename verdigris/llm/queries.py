@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import bpe, media, mixing
+from verdigris.llm import bpe, language, media, mixing, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: Below this score a document is rejected.
+QUALITY_THRESHOLD = 0.3
+
+
+def quality_scores(documents: DataFrame, labels: DataFrame, learn_from: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Scores of ``documents`` by weights learnt from the labels of ``learn_from`` that aren't held out."""
+    weights = quality.fit(learn_from, labels.filter(~quality.held_out(F.col("doc_id"), 5, 0)))
+    return quality.score(documents, weights, keep=keep)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    scored = quality_scores(documents, _table(spark, sf_dir, "labels"), documents, keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(quality.held_out(F.col("doc_id"), 5, 0), F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     media_of = media.store_text(docs, keep=["doc_id", "n_bytes"])
@@ -57,5 +73,19 @@ p AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.passes, round(b.target
 SELECT doc_id, size, source_size, target, (passes * size + least(size, greatest(0, rest - earlier)))::BIGINT AS taken FROM p
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_media": op5_media, "op6_mixing": op6_mixing}
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, vocabulary = _table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    apart = F.coalesce(quality.held_out(F.col("doc_id"), 4, 2), F.lit(False))
+    model = language.fit(documents.filter(~apart), vocabulary)
+    found = language.predict(documents, model, vocabulary, keep=["doc_id"])
+    return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")), payloads=False)
+    number = lambda c: F.substring(c, len(warc.RECORD_URN) + 1, 40).cast("long")
+    return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "error")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op3_quality": op3_quality, "op5_media": op5_media, "op6_mixing": op6_mixing, "op7_language": op7_language, "op8_warc": op8_warc}
 ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL}
