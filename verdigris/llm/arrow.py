@@ -29,14 +29,14 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         start = stop
 
 
-def with_columns(df: DataFrame, source: str, fields: list[T.StructField], make: Callable[[pa.RecordBatch], list], keep: list[str] | None = None) -> DataFrame:
+def with_columns(df: DataFrame, source: str, fields: list[T.StructField], make: Callable[[pa.RecordBatch], list], keep: list[str] | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """``df`` (or its columns ``keep``) with ``fields``, which ``make`` computes from a slice bounded by the bytes of ``source``.
 
-    A column of ``df`` named like a new field is replaced.
+    ``also``: further columns that ``make`` reads. A column of ``df`` named like a new field is replaced.
     """
     names = [f.name for f in fields]
     stay = [f for f in df.schema.fields if f.name not in names and (keep is None or f.name in keep)]
-    wanted = list(dict.fromkeys([f.name for f in stay] + [source]))
+    wanted = list(dict.fromkeys([f.name for f in stay] + [source, *also]))
     schema = T.StructType([*stay, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
