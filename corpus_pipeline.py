@@ -1,8 +1,68 @@
-"""Placeholder of the pipeline's stages; filled in below as they are written."""
+"""A corpus pipeline of five stages, each written as Parquet and read again as the next one's documents."""
 
-STAGES = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verdigris.llm import bpe, mixing, neardup, substrings
+from verdigris.llm.queries import QUALITY_THRESHOLD, quality_scores
+from verdigris.llm.store import small, stored
+
+
+def _shaped(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like``, n_chars counted again."""
+    counted = df.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in like.columns else df
+    return counted.select(like.columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality classifier rejects; it learns from labelled documents of the input."""
+    scored = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), docs)
+    return scored.filter(F.col("score") >= QUALITY_THRESHOLD).select(docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group of near-duplicates; rows with a null id stay."""
+    groups = neardup.near_duplicates(docs.select("doc_id", "text"))
+    drop = stored(groups.filter("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct(), "pipeline-drop")
+    return docs.join(small(drop, 1_000_000), "doc_id", "left_anti").select(docs.columns)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes passages that start earlier in the corpus; a text that loses none stays to the letter."""
+    found = substrings.remove_repeats(docs)
+    return _shaped(found.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))), docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each source to its target: a row for every time that a document is taken, the copy in which a budget ends being cut there."""
+    return _shaped(mixing.copies(mixing.mix(docs)), docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text and the text that they decode to, as digests."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = bpe.encode(docs, ranks, pattern, keep=["doc_id", "lang", "source"])
+    back = bpe.decode(ids, ranks, pattern)
+    return back.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", near_dedup_stage),
+    ("substring dedup", substring_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("byte-level BPE encoding and decoding", encoding_stage),
+]
+
+#: The classifier has no SQL form; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -23,7 +23,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again._stored_at = path
+    return again
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df._stored_at
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
