@@ -98,12 +98,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 def copies(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     """The mix itself, from ``mix`` with texts: a row for each time that a document is taken; the copy in
-    which the budget ends keeps its first words, up to the character before the next."""
+    which the budget ends keeps its first words, joined by one space."""
     text, size, taken = F.col(text_col), F.col("size"), F.col("taken")
     whole = F.when(size > 0, F.floor(taken / size)).otherwise(0)
     part = F.when(size > 0, taken % size).otherwise(0)
     n = (whole + (part > 0).cast("long")).cast("int")
     each = mixed.filter(n > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), n)))
-    head = F.expr(f"regexp_extract(`{text_col}`, concat('^[\\\\x20\\\\x09-\\\\x0D]*+(?:[^\\\\x20\\\\x09-\\\\x0D]++[\\\\x20\\\\x09-\\\\x0D]*+){{', cast(taken % size - 1 as string), '}}[^\\\\x20\\\\x09-\\\\x0D]++'), 0)")
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.greatest(part, F.lit(1)).cast("int")), " ")
     cut = (F.col("_copy") > whole) & (part > 0)
     return each.withColumn(text_col, F.when(cut, head).otherwise(text)).drop("_copy")
