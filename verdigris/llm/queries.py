@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import bpe, language, media, mixing, neardup, quality, substrings, warc
+from verdigris.llm import bpe, language, media, mixing, mtree, neardup, quality, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,19 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(quality.held_out(F.col("doc_id"), 5, 0), F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return mtree.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+OP4_SQL = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e))
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 10
+"""
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     media_of = media.store_text(docs, keep=["doc_id", "n_bytes"])
@@ -96,5 +109,5 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_quality": op3_quality, "op5_media": op5_media, "op6_mixing": op6_mixing, "op7_language": op7_language, "op8_warc": op8_warc, "op9_substrings": op9_substrings, "op10_neardup": op10_neardup}
-ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL}
+QUERIES = {"op1_bpe": op1_bpe, "op3_quality": op3_quality, "op4_topk": op4_topk, "op5_media": op5_media, "op6_mixing": op6_mixing, "op7_language": op7_language, "op8_warc": op8_warc, "op9_substrings": op9_substrings, "op10_neardup": op10_neardup}
+ORACLE_SQL: dict[str, str] = {"op4_topk": OP4_SQL, "op6_mixing": OP6_SQL}
