@@ -1,4 +1,556 @@
 """Queries over the driver's tables, each with the SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verdigris.functions import stats
+from verdigris.functions import text as X
+from verdigris.functions import textmetrics as M
+from verdigris.operators import abtests, items, judges, quality, samples, scorers, tokens
+from verdigris.plans.adapters import LABELLED, MATRIX, PAIRS, RATERS, RUNS, labelled, matrix, pairs, raters, runs
+from verdigris.streaming import logs
+from verdigris.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+KEYS = ["conv_id", "turn"]
+LETTERS = "a-zA-Z"
+MARKS = ".,;:!?"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def register(make: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[make.__name__] = make
+        if sql is not None:
+            ORACLE_SQL[make.__name__] = sql
+        return make
+
+    return register
+
+
+def chrf_sql(source: str, keys: str, p: str, r: str, name: str = "f") -> str:
+    return f"""{name}g AS (SELECT {keys}, n, side, substr(t, i, n) AS gram FROM (SELECT {keys}, side, t, n, unnest(range(1, length(t) - n + 2)) AS i
+    FROM (SELECT {keys}, side, t, unnest(range(1, 7)) AS n FROM (SELECT {keys}, 0 AS side, {p} AS t FROM {source} UNION ALL SELECT {keys}, 1, {r} FROM {source})))),
+{name}c AS (SELECT {keys}, n, gram, count(*) FILTER (WHERE side = 0) AS a, count(*) FILTER (WHERE side = 1) AS b FROM {name}g GROUP BY ALL),
+{name}o AS (SELECT {keys}, n, sum(least(a, b)) AS common, sum(a) AS a, sum(b) AS b FROM {name}c GROUP BY ALL HAVING sum(a) > 0 AND sum(b) > 0),
+{name} AS (SELECT {keys}, avg(CASE WHEN common > 0 THEN 5.0 * (common / a) * (common / b) / (4.0 * (common / a) + common / b) ELSE 0 END) AS chrf FROM {name}o GROUP BY ALL)"""
+
+
+SQUEEZED = PAIRS + r""", squeezed AS (SELECT conv_id, turn, prompt_role, regexp_replace(coalesce(prediction, ''), '\s+', '', 'g') AS p, regexp_replace(coalesce(reference, ''), '\s+', '', 'g') AS r FROM pairs)"""
+
+
+def squeezed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir).select(*KEYS, "prompt_role", X.strip_text(F.col("prediction"), compose=False).alias("p"), X.strip_text(F.col("reference"), compose=False).alias("r"))
+
+
+CHRF = f"WITH {SQUEEZED}, {chrf_sql('squeezed', 'conv_id, turn', 'p', 'r')} "
+
+
+@query(CHRF + "SELECT conv_id, turn, round(coalesce(chrf, 0), 6) AS chrf FROM squeezed LEFT JOIN f USING (conv_id, turn)")
+def chrf_pairs(spark, sf_dir):
+    found = M.chrf_native(squeezed(spark, sf_dir), KEYS, "p", "r")
+    return found.withColumn("chrf", F.round("chrf", 6))
+
+
+@query(ORACLE_SQL["chrf_pairs"])
+def chrf_pairs_arrow(spark, sf_dir):
+    return pairs(spark, sf_dir).select(*KEYS, F.round(M.chrf(X.strip_text(F.col("prediction")), X.strip_text(F.col("reference"))), 6).alias("chrf"))
+
+
+@query(CHRF + "SELECT prompt_role, count(*) AS n, round(avg(coalesce(chrf, 0)), 6) AS chrf_mean FROM squeezed LEFT JOIN f USING (conv_id, turn) GROUP BY prompt_role")
+def chrf_by_role(spark, sf_dir):
+    """Flagship: n-gram F-score of assistant turns against the turn before, by that turn's role."""
+    scored = squeezed(spark, sf_dir).withColumn("chrf", M.chrf(F.col("p"), F.col("r")))
+    return scored.groupBy("prompt_role").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("chrf"), 6).alias("chrf_mean"))
+
+
+F1 = """CASE WHEN common > 0 THEN 2.0 * (common / a) * (common / b) / (common / a + common / b) ELSE 0 END"""
+
+
+@query(CHRF + f"SELECT conv_id, turn, round(coalesce({F1}, 0), 6) AS char_f1 FROM squeezed LEFT JOIN (SELECT * FROM fo WHERE n = 1) USING (conv_id, turn)")
+def char_f1_pairs(spark, sf_dir):
+    return squeezed(spark, sf_dir).select(*KEYS, F.round(M.char_f1(F.col("p"), F.col("r")), 6).alias("char_f1"))
+
+
+@query(r"""WITH t AS (SELECT item_id, regexp_replace(text, '\s+', '', 'g') AS r, replace(regexp_replace(text, '\s+', '', 'g'), ',', '') AS p FROM benchmark),
+places AS (SELECT item_id, list_distinct(list_transform(list_filter(range(1, length(p) + 1), lambda i: contains('.,;:!?', substr(p, i, 1))), lambda i: length(translate(substr(p, 1, i), '.,;:!?', '')) - 1)) AS a,
+  list_distinct(list_transform(list_filter(range(1, length(r) + 1), lambda i: contains('.,;:!?', substr(r, i, 1))), lambda i: length(translate(substr(r, 1, i), '.,;:!?', '')) - 1)) AS b FROM t),
+c AS (SELECT item_id, len(a) AS a, len(b) AS b, len(list_intersect(a, b)) AS common FROM places)
+SELECT item_id, round(CASE WHEN a = 0 AND b = 0 THEN 1.0 WHEN common = 0 THEN 0.0 ELSE 2.0 * (common / a) * (common / b) / (common / a + common / b) END, 6) AS punct_f1 FROM c""")
+def punct_f1(spark, sf_dir):
+    """Places of marks in texts that lost their commas against the texts."""
+    whole = X.squeeze(F.col("text"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.round(M.mark_f1(F.replace(whole, F.lit(","), F.lit("")), whole, MARKS), 6).alias("punct_f1"))
+
+
+GLOSS = f"""WITH {PAIRS}, bare AS (SELECT conv_id, turn, translate(regexp_replace(prediction, '\\s+', '', 'g'), '.,;:!?', '') AS p, translate(regexp_replace(reference, '\\s+', '', 'g'), '.,;:!?', '') AS r FROM pairs),
+{chrf_sql('bare', 'conv_id, turn', 'p', 'r')} """
+
+
+@query(GLOSS + f"SELECT conv_id, turn, round(coalesce(chrf, 0), 6) AS chrf, round(coalesce({F1}, 0), 6) AS char_f1 FROM bare LEFT JOIN f USING (conv_id, turn) LEFT JOIN (SELECT * FROM fo WHERE n = 1) USING (conv_id, turn)")
+def gloss_score(spark, sf_dir):
+    p, r = (X.without(X.squeeze(F.col(c)), MARKS) for c in ("prediction", "reference"))
+    return pairs(spark, sf_dir).select(*KEYS, F.round(M.chrf(p, r), 6).alias("chrf"), F.round(M.char_f1(p, r), 6).alias("char_f1"))
+
+
+@query("""SELECT doc_id, (contains(t, 'en') OR (lang = 'en' AND contains(t, 'the')) OR (lang = 'de' AND (contains(t, 'der') OR contains(t, 'und'))))::DOUBLE AS hit
+FROM (SELECT doc_id, lang, translate(text, '()[] ', '') AS t, CASE WHEN lang = 'fr' THEN '' ELSE lang END AS book FROM documents) WHERE lang <> 'fr' AND lang <> 'es'
+UNION ALL SELECT doc_id, contains(translate(text, '()[] ', ''), CASE WHEN lang = 'fr' THEN 'fr' ELSE 'es' END)::DOUBLE FROM documents WHERE lang IN ('fr', 'es')""".replace("contains(t, 'en')", "contains(t, lang)"))
+def source_hit(spark, sf_dir):
+    """A language's name as the book, with aliases."""
+    docs = table(spark, sf_dir, "documents")
+    hit = X.book_hit(X.without(F.col("text"), "()[] "), F.col("lang"), {"en": ["the"], "de": ["der", "und"]})
+    return docs.filter("lang IS NOT NULL").select("doc_id", hit.cast("double").alias("hit"))
+
+
+@query(r"""WITH """ + SQUEEZED + r""", e AS (SELECT conv_id, turn, p, regexp_extract(p, '["'']([a-zA-Z])["'']', 1) AS q, substr(regexp_replace(p, '[^a-zA-Z]', '', 'g'), 1, 1) AS first, substr(regexp_replace(r, '[^a-zA-Z]', '', 'g'), 1, 1) AS answer FROM squeezed),
+x AS (SELECT *, CASE WHEN q <> '' THEN q ELSE first END AS found FROM e)
+SELECT conv_id, turn, found, (found = answer AND found <> '')::DOUBLE AS exact_match, contains(p, answer)::DOUBLE AS in_pred FROM x""")
+def cloze_extract(spark, sf_dir):
+    found, answer = X.quoted_or_first(F.col("p"), LETTERS), F.substring(X.only(F.col("r"), LETTERS), 1, 1)
+    return squeezed(spark, sf_dir).select(*KEYS, found.alias("found"), ((found == answer) & (found != "")).cast("double").alias("exact_match"), F.col("p").contains(answer).cast("double").alias("in_pred"))
+
+
+COMPRESS = f"""WITH {PAIRS}, {chrf_sql('pairs', 'conv_id, turn', "coalesce(prediction, '')", "coalesce(reference, '')")},
+s AS (SELECT conv_id, turn, coalesce(chrf, 0) AS fidelity, length(regexp_replace(coalesce(prediction, ''), '[^a-zA-Z]', '', 'g')) / greatest(length(regexp_replace(coalesce(reference, ''), '[^a-zA-Z]', '', 'g')), 1) AS ratio FROM pairs LEFT JOIN f USING (conv_id, turn)),
+m AS (SELECT conv_id, turn, round(fidelity, 4) AS chrf, round(ratio, 4) AS ratio, round(greatest(0, 1 - ratio), 4) AS compression, round(fidelity * greatest(0, 1 - ratio), 4) AS efficiency FROM s) """
+
+
+@query(COMPRESS + "SELECT * FROM m")
+def compress_eff(spark, sf_dir):
+    """The compression scorer with the prompt as source and reference."""
+    found = scorers.Scorers(compose=False, letters=LETTERS).compress(F.col("prediction"), F.col("reference"), F.col("reference"), F.lit(None))
+    return pairs(spark, sf_dir).select(*KEYS, *[v.alias(k) for k, v in found.items()])
+
+
+SQUEEZE_ONLY = SQUEEZED.removeprefix(PAIRS + ",")
+
+
+@query(
+    COMPRESS
+    + f""", {SQUEEZE_ONLY}, {chrf_sql('squeezed', 'conv_id, turn', 'p', 'r', 'tr')},
+l AS (SELECT 'compress' AS task, unnest(['chrf', 'ratio', 'compression', 'efficiency']) AS metric, unnest([chrf, ratio, compression, efficiency]) AS score FROM m WHERE conv_id % 2 = 0
+  UNION ALL SELECT 'translate', 'chrf', coalesce(chrf, 0) FROM squeezed LEFT JOIN tr USING (conv_id, turn) WHERE conv_id % 2 = 1
+  UNION ALL SELECT 'translate', 'char_f1', coalesce({F1}, 0) FROM squeezed LEFT JOIN (SELECT * FROM tro WHERE n = 1) USING (conv_id, turn) WHERE conv_id % 2 = 1)
+SELECT task, metric, round(avg(score), 4) AS mean, count(score) AS n FROM l GROUP BY ALL"""
+)
+def task_summary(spark, sf_dir):
+    """Two tasks through the scorer registry: means by task and metric, every metric with its own number of items."""
+    rows = pairs(spark, sf_dir).select(F.when(F.col("conv_id") % 2 == 0, "compress").otherwise("translate").alias("task"), F.col("reference").alias("input"), "prediction", "reference", F.create_map().cast("map<string,string>").alias("metadata"))
+    return scorers.summary(scorers.Scorers(compose=False, letters=LETTERS).score(rows), ["task"])
+
+
+GUARD = "CASE WHEN count(*) < {n} OR var_pop(x) <= 0 OR var_pop(y) <= 0 THEN NULL ELSE covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) END"
+
+
+@query(f"SELECT flag, round({GUARD.format(n=3)}, 6) AS r FROM (SELECT l_returnflag AS flag, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y FROM lineitem) GROUP BY flag")
+def pearson_grouped(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.round(stats.pearson("l_quantity", "l_extendedprice"), 6).alias("r"))
+
+
+def ranks_sql(source: str, by: str, x: str, y: str) -> str:
+    rank = lambda v: f"rank() OVER (PARTITION BY {by} ORDER BY {v}) + (count(*) OVER (PARTITION BY {by}, {v}) - 1) / 2.0"
+    return f"SELECT {by}, {rank(x)} AS x, {rank(y)} AS y FROM {source} WHERE {x} IS NOT NULL AND {y} IS NOT NULL"
+
+
+@query(f"SELECT priority, count(*) AS n, round({GUARD.format(n=3)}, 6) AS rho FROM ({ranks_sql('(SELECT o_orderpriority AS priority, o_totalprice AS price, o_custkey AS customer FROM orders)', 'priority', 'price', 'customer')}) GROUP BY priority")
+def spearman_grouped(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), "o_totalprice", "o_custkey")
+    return stats.spearman(orders, "o_totalprice", "o_custkey", ["priority"]).withColumn("rho", F.round("rho", 6))
+
+
+@query(f"""WITH {RATERS}, o AS (SELECT event_type, a, b, count(*) AS n FROM raters WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL),
+ra AS (SELECT event_type, a, sum(n) AS n FROM o GROUP BY ALL), rb AS (SELECT event_type, b, sum(n) AS n FROM o GROUP BY ALL), t AS (SELECT event_type, sum(n) AS n FROM o GROUP BY ALL),
+seen AS (SELECT event_type, sum((a - b) * (a - b) / 25.0 * n) AS s FROM o GROUP BY ALL),
+chance AS (SELECT ra.event_type, sum((a - b) * (a - b) / 25.0 * ra.n * rb.n / t.n) AS s FROM ra JOIN rb USING (event_type) JOIN t USING (event_type) GROUP BY ALL)
+SELECT event_type, t.n::BIGINT AS n, round(1 - seen.s / nullif(chance.s, 0), 6) AS kappa FROM t JOIN seen USING (event_type) JOIN chance USING (event_type)""")
+def quadratic_kappa(spark, sf_dir):
+    return stats.kappa(raters(spark, sf_dir), "a", "b", ["event_type"]).withColumn("kappa", F.round("kappa", 6))
+
+
+@query(f"WITH {RATERS} SELECT event_type, a, b, count(*) AS n FROM raters GROUP BY ALL")
+def confusion_counts(spark, sf_dir):
+    return stats.confusion(raters(spark, sf_dir), "a", "b", ["event_type"])
+
+
+@query(f"""WITH {RATERS}, r AS (SELECT * FROM raters WHERE a IS NOT NULL AND b IS NOT NULL)
+SELECT event_type, count(*) AS n, round(1 - avg((a - b) * (a - b)) / nullif(avg(a * a) + avg(b * b) - 2 * avg(a) * avg(b), 0), 4) AS kappa_quad, round(avg((a = b)::INT), 4) AS strict_agree, round(avg((abs(a - b) <= 1)::INT), 4) AS lenient_agree, round(avg(a - b), 4) AS bias FROM r GROUP BY ALL""")
+def agreement_summary(spark, sf_dir):
+    return judges.agreement(raters(spark, sf_dir), ["event_type"])
+
+
+@query(f"""WITH {RATERS}, m AS (SELECT event_type, user_id % 20 AS model, avg(a) AS ma, avg(b) AS mb FROM raters WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL)
+SELECT event_type, count(*) AS n_models, round({GUARD.format(n=2)}, 6) AS spearman FROM ({ranks_sql('m', 'event_type', 'ma', 'mb')}) GROUP BY ALL""")
+def judge_model_spearman(spark, sf_dir):
+    rows = raters(spark, sf_dir).withColumn("model", F.col("user_id") % 20)
+    return judges.model_agreement(rows, ["event_type"]).withColumn("spearman", F.round("spearman", 6))
+
+
+@query(f"WITH {RATERS} SELECT event_id, event_type, a, b, a - b AS diff FROM raters WHERE abs(a - b) >= 3")
+def high_disagreement(spark, sf_dir):
+    return judges.high_disagreement(raters(spark, sf_dir)).select("event_id", "event_type", "a", "b", "diff")
+
+
+@query(f"""WITH {LABELLED}, k AS ({ranks_sql('labelled', 'lang', 'metric', 'judge')}),
+s AS (SELECT lang, count(*) AS n, round(coalesce({GUARD.format(n=2)}, 'NaN'::DOUBLE), 4) AS spearman FROM k GROUP BY ALL),
+p AS (SELECT lang, round(coalesce({GUARD.format(n=2)}, 'NaN'::DOUBLE), 4) AS pearson, round(avg(x), 4) AS metric_mean, round(avg(y / 5), 4) AS judge_mean_norm FROM (SELECT lang, metric::DOUBLE AS x, judge::DOUBLE AS y FROM labelled WHERE metric IS NOT NULL AND judge IS NOT NULL) GROUP BY ALL)
+SELECT * FROM s JOIN p USING (lang)""")
+def metric_judge_corr(spark, sf_dir):
+    return judges.metric_correlation(labelled(spark, sf_dir), ["lang"], "metric", "judge")
+
+
+@query(f"""WITH {LABELLED}, d AS (SELECT lang, doc_id, judge / 5 - metric AS divergence FROM labelled WHERE judge IS NOT NULL AND metric IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY divergence DESC, doc_id) AS u, row_number() OVER (PARTITION BY lang ORDER BY divergence, doc_id) AS o FROM d)
+SELECT lang, doc_id, round(divergence, 6) AS divergence, 'underrated' AS side FROM r WHERE u <= 10 UNION ALL SELECT lang, doc_id, round(divergence, 6), 'overrated' FROM r WHERE o <= 10""")
+def divergence_topk(spark, sf_dir):
+    return judges.divergence(labelled(spark, sf_dir), ["lang"], "doc_id", 10, "metric", "judge").withColumn("divergence", F.round("divergence", 6))
+
+
+STATS = f"""WITH {MATRIX}, r AS (SELECT *, (sum(score) OVER (PARTITION BY task, model) - score) / nullif(count(score) OVER (PARTITION BY task, model) - 1, 0) AS rest FROM matrix WHERE score IS NOT NULL),
+item_stats AS (SELECT task, id, count(score) AS n, round(avg(score), 4) AS difficulty, round(var_pop(score), 6) AS variance, round({GUARD.format(n=3).replace('(x)', '(score)').replace('(y)', '(rest)').replace('(x, y)', '(score, rest)')}, 4) AS discrimination FROM r GROUP BY ALL) """
+
+
+@query(STATS + "SELECT task, id, n, difficulty, variance FROM item_stats")
+def item_difficulty(spark, sf_dir):
+    return items.item_stats(matrix(spark, sf_dir)).select("task", "id", "n", "difficulty", "variance")
+
+
+@query(STATS + "SELECT task, id, discrimination FROM item_stats")
+def item_discrimination(spark, sf_dir):
+    return items.item_stats(matrix(spark, sf_dir)).select("task", "id", "discrimination")
+
+
+PROFILE = """count(*) AS n_items, round(avg(difficulty), 4) AS difficulty_mean, round(avg(discrimination), 4) AS discrimination_mean, count(*) FILTER (WHERE variance < 1e-4) AS dead,
+count(*) FILTER (WHERE variance < 1e-4 AND difficulty >= 0.95) AS ceiling, count(*) FILTER (WHERE variance < 1e-4 AND difficulty <= 0.05) AS floor,
+count(*) FILTER (WHERE discrimination < 0) AS negative_disc, count(*) FILTER (WHERE abs(discrimination) < 0.10) AS low_disc"""
+
+
+@query(STATS + f"SELECT task, {PROFILE} FROM item_stats GROUP BY task")
+def dead_items(spark, sf_dir):
+    return items.task_profile(items.item_stats(matrix(spark, sf_dir)), ["task"])
+
+
+@query(STATS + f"SELECT id <> 'Brand#11' AS unflagged, {PROFILE} FROM item_stats GROUP BY ALL")
+def bench_totals(spark, sf_dir):
+    """All items and those without a flag, side by side."""
+    return items.task_profile(items.item_stats(matrix(spark, sf_dir)).withColumn("unflagged", F.col("id") != "Brand#11"), ["unflagged"])
+
+
+@query(STATS + "SELECT task, id, discrimination FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY discrimination, id) AS k FROM item_stats WHERE discrimination < 0) WHERE k <= 8")
+def worst_negative(spark, sf_dir):
+    return items.worst_negative(items.item_stats(matrix(spark, sf_dir))).select("task", "id", "discrimination")
+
+
+@query(f"""WITH {MATRIX}, m AS (SELECT model, task, avg(score) AS mean FROM matrix GROUP BY ALL), p AS (SELECT a.task || '|' || b.task AS k, a.mean AS u, b.mean AS v FROM m a JOIN m b ON a.model = b.model AND a.task < b.task)
+SELECT split_part(k, '|', 1) AS task_a, split_part(k, '|', 2) AS task_b, count(*) AS n, round({GUARD.format(n=3)}, 4) AS rho FROM ({ranks_sql('p', 'k', 'u', 'v')}) GROUP BY k""")
+def task_redundancy(spark, sf_dir):
+    return items.task_redundancy(matrix(spark, sf_dir).groupBy("model", "task").agg(F.avg("score").alias("mean")))
+
+
+BOOT = f"""v AS (SELECT model, task, score, row_number() OVER (PARTITION BY model, task ORDER BY id) - 1 AS place, count(*) OVER (PARTITION BY model, task) AS n FROM matrix WHERE score IS NOT NULL),
+g AS (SELECT DISTINCT model, task, n FROM v), d AS (SELECT model, task, n, b, unnest(range(1, n + 1)) AS r FROM (SELECT *, unnest(range(1, 101)) AS b FROM g)),
+h AS (SELECT model, task, b, ('0x' || substr(md5('42|' || b || '|' || r), 1, 8))::BIGINT % n AS place FROM d),
+m AS (SELECT h.model, h.task, b, avg(score) AS m FROM h JOIN v ON h.model = v.model AND h.task = v.task AND h.place = v.place GROUP BY ALL)"""
+
+
+@query(f"""WITH {MATRIX}, {BOOT}, k AS (SELECT *, row_number() OVER (PARTITION BY model, task ORDER BY m) AS k FROM m),
+e AS (SELECT model, task, max(m) FILTER (WHERE k = 3) AS lo, max(m) FILTER (WHERE k = 97) AS hi FROM k GROUP BY ALL), p AS (SELECT model, task, count(score) AS n, round(avg(score), 4) AS mean FROM matrix GROUP BY ALL)
+SELECT model, task, n, mean, round(lo, 4) AS ci_lo, round(hi, 4) AS ci_hi, round((hi - lo) / 2, 4) AS half_width FROM p JOIN e USING (model, task)""")
+def bootstrap_ci(spark, sf_dir):
+    """100 resamples, to keep the check short; the operator's default is 2000."""
+    return items.bootstrap_ci(matrix(spark, sf_dir), ["model", "task"], iterations=100)
+
+
+@query(f"""WITH {MATRIX}, {BOOT}, j AS (SELECT model, b, avg(m) AS m FROM m GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY m) AS k FROM j),
+e AS (SELECT model, max(m) FILTER (WHERE k = 3) AS lo, max(m) FILTER (WHERE k = 97) AS hi FROM k GROUP BY ALL), p AS (SELECT model, round(avg(m), 4) AS mean, count(*) AS n_tasks FROM (SELECT model, task, avg(score) AS m FROM matrix GROUP BY ALL) GROUP BY ALL)
+SELECT model, mean, n_tasks, round(lo, 4) AS ci_lo, round(hi, 4) AS ci_hi, round((hi - lo) / 2, 4) AS half_width FROM p JOIN e USING (model)""")
+def bootstrap_avg_ci(spark, sf_dir):
+    return items.bootstrap_average(matrix(spark, sf_dir), iterations=100)
+
+
+BOARD = """means AS (SELECT model, task, round(avg(score), 4) AS mean FROM matrix GROUP BY ALL), a AS (SELECT model, round(avg(mean), 4) AS avg FROM means GROUP BY ALL), b AS (SELECT *, row_number() OVER (ORDER BY avg DESC, model) AS place FROM a)"""
+
+
+@query(f"WITH {MATRIX}, {BOARD} SELECT model, task, mean, avg, place::INTEGER AS place FROM means JOIN b USING (model)")
+def leaderboard(spark, sf_dir):
+    means = matrix(spark, sf_dir).groupBy("model", "task").agg(F.round(F.avg("score"), 4).alias("mean"))
+    return items.leaderboard(means).select("model", "task", "mean", "avg", "place")
+
+
+@query(f"""WITH {RATERS}, m AS (SELECT user_id % 20 AS model, event_type AS task, round(avg(a / 5), 4) AS judge_mean, count(a) AS n FROM raters GROUP BY ALL)
+SELECT model, task, judge_mean, n, n < 90 AS partial, coalesce(round(avg(CASE WHEN n >= 90 THEN judge_mean END) OVER (PARTITION BY model), 4), -1) AS judge_avg FROM m""")
+def judge_rescored(spark, sf_dir):
+    return items.judged_board(raters(spark, sf_dir).select((F.col("user_id") % 20).alias("model"), F.col("event_type").alias("task"), (F.col("a") / 5).alias("score")))
+
+
+@query(f"""WITH {LABELLED}, g AS (SELECT DISTINCT lang, t.tier FROM labelled, (VALUES (1), (2), (3)) t(tier)), s AS (SELECT lang, tier, count(*) AS n, round(avg(metric), 4) AS mean_difficulty FROM labelled GROUP BY ALL)
+SELECT g.lang, g.tier, coalesce(n, 0) AS n, mean_difficulty FROM g LEFT JOIN s ON g.lang = s.lang AND g.tier = s.tier""")
+def tier_difficulty(spark, sf_dir):
+    return items.tier_difficulty(labelled(spark, sf_dir), ["lang"], "tier", "metric")
+
+
+@query(f"""WITH {LABELLED}, a AS (SELECT lang, count(*) AS n, round({GUARD.format(n=4)}, 6) AS rho_canonicity FROM ({ranks_sql('labelled', 'lang', 'tier', 'metric')}) GROUP BY ALL),
+l AS (SELECT *, ln(1 + n_chars % 7) AS lg FROM labelled), b AS (SELECT lang, round({GUARD.format(n=4)}, 6) AS rho_shingle FROM ({ranks_sql('l', 'lang', 'lg', 'metric')}) GROUP BY ALL)
+SELECT * FROM a LEFT JOIN b USING (lang)""")
+def tier_spearman(spark, sf_dir):
+    rows = labelled(spark, sf_dir).withColumn("hits", F.col("n_chars") % 7)
+    return items.contamination(rows, ["lang"], "hits", "tier", "metric").withColumns({c: F.round(c, 6) for c in ("rho_canonicity", "rho_shingle")})
+
+
+SHINGLES = """s AS (SELECT item_id, CASE WHEN length(text) >= 24 THEN substr(text, (length(text) - 24) // 2 + 1, 24) ELSE text END AS shingle FROM benchmark)"""
+
+
+@query(f"""WITH {SHINGLES}, h AS (SELECT item_id, sum((length(text) - length(replace(text, shingle, ''))) // length(shingle)) AS hits FROM s JOIN documents ON contains(text, shingle) WHERE shingle <> '' GROUP BY ALL)
+SELECT item_id, coalesce(hits, 0)::BIGINT AS hits FROM s LEFT JOIN h USING (item_id)""")
+def shingle_hits(spark, sf_dir):
+    benchmark = table(spark, sf_dir, "benchmark").select("item_id", X.middle(F.col("text"), 24).alias("shingle"))
+    return items.shingle_hits(benchmark, table(spark, sf_dir, "documents"), "item_id", "shingle", "text")
+
+
+@query(f"WITH {SHINGLES} SELECT doc_id, count(*) AS n_items FROM s JOIN documents ON contains(text, shingle) WHERE shingle <> '' GROUP BY ALL")
+def contaminated_docs(spark, sf_dir):
+    benchmark = table(spark, sf_dir, "benchmark").select("item_id", X.middle(F.col("text"), 24).alias("shingle")).filter("shingle <> ''")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.join(F.broadcast(benchmark), F.col("text").contains(F.col("shingle"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"))
+
+
+@query(f"""WITH {MATRIX}, o AS (SELECT model, task, round(avg(score), 4) AS mean FROM matrix WHERE task <> 'R' OR model > 2 GROUP BY ALL), n AS (SELECT model, task, round(avg(CASE WHEN model % 2 = 0 THEN score ELSE score * 1.1 END), 4) AS mean FROM matrix WHERE task <> 'A' OR model > 1 GROUP BY ALL)
+SELECT model, task, 'discount' AS metric, o.mean AS old, n.mean AS new FROM o FULL JOIN n USING (model, task) WHERE o.mean IS DISTINCT FROM n.mean""")
+def rescore_diff(spark, sf_dir):
+    scores = matrix(spark, sf_dir)
+    mean = lambda df, c: df.groupBy("model", "task").agg(F.round(F.avg(c), 4).alias("mean")).withColumn("metric", F.lit("discount"))
+    old = mean(scores.filter("task <> 'R' OR model > 2"), F.col("score"))
+    new = mean(scores.filter("task <> 'A' OR model > 1"), F.when(F.col("model") % 2 == 0, F.col("score")).otherwise(F.col("score") * 1.1))
+    return scorers.summary_changes(old, new, ["model", "task"])
+
+
+@query("SELECT d.doc_id, quality AS judge_b, quality / 5 AS judge_b_norm FROM documents d LEFT JOIN labels USING (doc_id)")
+def judge_backfill(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels")
+    return judges.backfill(docs, labels.withColumnRenamed("quality", "judge"), "judge_b", ["doc_id"])
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
+def last_wins(spark, sf_dir):
+    return samples.last_wins(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events) WHERE k = 1")
+def first_wins(spark, sf_dir):
+    return samples.first_wins(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
+
+
+@query("SELECT event_id, user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events d WHERE d.event_type = 'purchase' AND d.user_id = e.user_id)")
+def resume_antijoin(spark, sf_dir):
+    """Work of users that the log has nothing of."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return logs.pending(events.select("event_id", "user_id"), events.filter("event_type = 'purchase'"), ["user_id"])
+
+
+DRAW = "md5('42|' || doc_id)"
+
+
+@query(f"SELECT doc_id FROM documents ORDER BY {DRAW}, doc_id LIMIT 50")
+def simple_sample(spark, sf_dir):
+    return samples.simple(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50)
+
+
+@query(f"SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {DRAW}, doc_id) AS k FROM documents) WHERE k <= 25")
+def stratified_sample(spark, sf_dir):
+    return samples.stratified(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 25)
+
+
+@query(f"SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {DRAW}, doc_id) AS k FROM documents) ORDER BY k, source LIMIT 70")
+def round_robin_sample(spark, sf_dir):
+    return samples.round_robin(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 70)
+
+
+@query(f"""WITH q(lang, want) AS (VALUES ('en', 20), ('fr', 15), ('xx', 10)), r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {DRAW}, doc_id) AS k FROM documents),
+a AS (SELECT doc_id, lang FROM r JOIN q USING (lang) WHERE k <= want), b AS (SELECT doc_id, lang FROM documents WHERE lang NOT IN (SELECT lang FROM q) ORDER BY {DRAW}, doc_id LIMIT (60 - (SELECT count(*) FROM a)))
+SELECT * FROM a UNION ALL SELECT * FROM b""")
+def quota_backfill(spark, sf_dir):
+    return samples.quotas(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", {"en": 20, "fr": 15, "xx": 10}, 60)
+
+
+@query("SELECT doc_id, lang FROM documents WHERE length(text) BETWEEN 100 AND 600 AND lang IN ('en', 'de')")
+def length_filters(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter(F.char_length("text").between(100, 600) & F.col("lang").isin("en", "de")).select("doc_id", "lang")
+
+
+@query("SELECT doc_id, round(c / n, 6) AS ratio FROM (SELECT doc_id, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS c, greatest(length(text), 1) AS n FROM documents) WHERE c / n BETWEEN 0.75 AND 0.8")
+def ratio_filters(spark, sf_dir):
+    ratio = F.char_length(X.only(F.col("text"), LETTERS)) / F.greatest(F.char_length("text"), F.lit(1))
+    return table(spark, sf_dir, "documents").select("doc_id", ratio.alias("r")).filter(F.col("r").between(0.75, 0.8)).select("doc_id", F.round("r", 6).alias("ratio"))
+
+
+@query(r"""WITH s AS (SELECT item_id, unnest(string_split(text, '.')) AS part FROM benchmark), c AS (SELECT item_id, regexp_replace(regexp_replace(part, '[(（].*?[)）]', '', 'g'), '\s+', '', 'g') AS sentence FROM s)
+SELECT item_id, sentence FROM c WHERE length(sentence) BETWEEN 8 AND 200""")
+def sentence_split(spark, sf_dir):
+    each = table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.sentences(F.col("text"), r"\.")).alias("sentence"))
+    return each.filter(F.char_length("sentence").between(8, 200))
+
+
+@query("""WITH b AS (SELECT item_id, text AS t FROM benchmark), p AS (SELECT item_id, t, list_filter(range(2, length(t)), lambda i: regexp_matches(substr(t, i, 1), '^[a-zA-Z]$') AND NOT contains('aeiou', substr(t, i, 1)) AND length(t) - length(replace(t, substr(t, i, 1), '')) = 1) AS places FROM b),
+m AS (SELECT item_id, t, CASE WHEN len(places) > 0 THEN places[len(places) // 2 + 1] END AS place FROM p)
+SELECT item_id, place::INTEGER AS place, substr(t, 1, place - 1) || '___' || substr(t, place + 1) AS masked FROM m""")
+def mask_position(spark, sf_dir):
+    place = X.mask_place(F.col("text"), LETTERS, "aeiou")
+    return table(spark, sf_dir, "benchmark").select("item_id", "text", place.alias("place")).select("item_id", "place", X.masked(F.col("text"), F.col("place")).alias("masked"))
+
+
+@query("SELECT page_id, nullif(trim(regexp_extract('《' || url || '》', '《([^《》·]+?)(?:[·、].*)?》', 1)), '') AS book FROM pages")
+def book_extract(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.quoted_book(F.concat(F.lit("《"), "url", F.lit("》"))).alias("book"))
+
+
+@query("SELECT p_partkey, trim(regexp_extract(replace(p_type, ' ', '/'), '^([^·/]*)', 1)) AS head FROM part")
+def source_split(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", X.source_head(F.replace("p_type", F.lit(" "), F.lit("/"))).alias("head"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN regexp_extract(text, '[0-5]', 0) <> '' THEN regexp_extract(text, '[0-5]', 0)::INTEGER END AS judge FROM conversations")
+def first_digit(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.first_digit(F.col("text")).alias("judge"))
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN h IN ('A', 'B', 'C', 'D') THEN h ELSE nullif(regexp_extract(upper(text), '\b([ABCD])\b', 1), '') END AS letter
+FROM (SELECT conv_id, turn, text, upper(substr(ltrim(trim(text), '`''"*# ' || chr(9) || chr(10)), 1, 1)) AS h FROM conversations)""")
+def mcq_parse(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.choice_letter(F.col("text")).alias("letter"))
+
+
+@query(r"""SELECT event_id, regexp_extract(props, '([0-9]+)', 1)::BIGINT AS k FROM events WHERE regexp_matches(props, '\{.*\}')""")
+def brace_json(spark, sf_dir):
+    reply = F.concat(F.lit("```json\nSure: "), "props", F.lit(" done\n```"))
+    return table(spark, sf_dir, "events").select("event_id", F.from_json(X.braces(reply), "k long")["k"].alias("k")).filter("k IS NOT NULL")
+
+
+@query("""WITH c AS (SELECT lang, unnest(['bytes', 'chars', 'words']) AS tokenizer, length(text) AS chars, unnest([strlen(text), length(text), len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))]) AS tokens FROM documents WHERE text IS NOT NULL)
+SELECT lang, tokenizer, count(tokens) AS n, round(avg(tokens), 4) AS tokens_mean, round(sum(chars) / nullif(sum(tokens), 0), 4) AS chars_per_token FROM c GROUP BY ALL""".replace("\\\\", "\\"))
+def token_density(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("lang", "text")
+    return tokens.density(tokens.token_counts(docs, ["lang"], ["text"]), ["lang", "tokenizer"])
+
+
+ACCURACY = f"""WITH {RUNS}, acc AS (SELECT model, version, count(*) AS n, count(*) FILTER (WHERE error IS NULL) AS n_ok, round(avg(is_correct::INT) FILTER (WHERE error IS NULL), 4) AS accuracy, round(avg(prompt_chars) FILTER (WHERE error IS NULL), 2) AS prompt_chars, round(avg(output_chars) FILTER (WHERE error IS NULL), 2) AS output_chars FROM runs GROUP BY ALL) """
+
+
+@query(ACCURACY + "SELECT * FROM acc")
+def prompt_versions(spark, sf_dir):
+    return abtests.version_accuracy(runs(spark, sf_dir), ["modern", "english", "classical"])
+
+
+@query(ACCURACY + """, b AS (SELECT * FROM acc WHERE version = 'modern'), d AS (SELECT o.version, 100 * (o.accuracy - b.accuracy) AS pp, 100 * (1 - o.prompt_chars / b.prompt_chars) AS saved FROM acc o JOIN b USING (model) WHERE o.version <> 'modern')
+SELECT version, count(pp) AS n_models, round(avg(pp), 4) AS delta_pp, round(avg(saved), 4) AS chars_saved_pct FROM d GROUP BY ALL""")
+def prompt_compression(spark, sf_dir):
+    acc = abtests.version_accuracy(runs(spark, sf_dir), ["modern", "english", "classical"])
+    return abtests.version_deltas(acc, "modern", ["english", "classical"])
+
+
+VERDICTS = """v AS (SELECT event_type AS model, CASE WHEN r = 'Tie' THEN 'tie' WHEN r IN ('A', 'B') THEN CASE WHEN (r = 'A') = (event_id % 2 = 0) THEN 'idiom' ELSE 'literal' END END AS winner
+FROM (SELECT event_type, event_id, ['A', 'B', 'Tie', 'bad'][(event_id // 7 % 4 + 1)::INTEGER] AS r FROM events))"""
+
+
+def _verdicts(spark, sf_dir):
+    raw = F.element_at(F.array(*map(F.lit, ("A", "B", "Tie", "bad"))), (F.floor(F.col("event_id") / 7) % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), abtests.verdict(raw, F.col("event_id") % 2 == 0).alias("winner"))
+
+
+@query(f"WITH {VERDICTS} SELECT model, winner, count(*) AS n FROM v GROUP BY ALL")
+def ab_verdict(spark, sf_dir):
+    return _verdicts(spark, sf_dir).groupBy("model", "winner").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {VERDICTS}, c AS (SELECT model, count(winner) AS n, count(*) FILTER (WHERE winner = 'idiom') AS wins, count(*) FILTER (WHERE winner = 'tie') AS ties, count(*) FILTER (WHERE winner = 'literal') AS losses FROM v GROUP BY ALL)
+SELECT *, round((wins + ties) / nullif(n, 0), 4) AS not_loss FROM c""")
+def ab_summary(spark, sf_dir):
+    return abtests.win_rates(_verdicts(spark, sf_dir), ["model"])
+
+
+@query(f"""WITH {RUNS}, p AS (SELECT model, question, max(prompt_chars) FILTER (WHERE version = 'modern') AS m, max(prompt_chars) FILTER (WHERE version = 'classical') AS c FROM runs GROUP BY ALL), r AS (SELECT model, m / c AS r FROM p WHERE m IS NOT NULL AND c IS NOT NULL)
+SELECT model, count(r) AS n, round(avg(r), 4) AS ratio_mean, round(median(r), 4) AS ratio_median, round((1 - 1 / avg(r)) * 100, 4) AS saved_pct FROM r GROUP BY ALL""")
+def ab_ratios(spark, sf_dir):
+    """Prompt lengths of two versions of a question, where both are there."""
+    both = abtests.paired(runs(spark, sf_dir), ["model", "question"], "version", "modern", "classical", ["prompt_chars"])
+    return abtests.pair_ratios(both, ["model"], "prompt_chars_modern", "prompt_chars_classical")
+
+
+@query("SELECT text_hash, n FROM (SELECT md5(text) AS text_hash, count(*) AS n FROM documents GROUP BY 1) WHERE n > 1")
+def dup_ids(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").groupBy(F.md5(F.col("text").cast("binary")).alias("text_hash")).agg(F.count(F.lit(1)).alias("n"))
+    return docs.filter("n > 1")
+
+
+DOC_RECORDS = """records AS (SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 3 = 0 THEN 'fill-in' WHEN doc_id % 3 = 1 THEN 'punctuate' ELSE 'translate' END AS task, substr(text, 1, 40) AS input, substr(text, 1, (doc_id % 41)::INTEGER) AS reference FROM documents)"""
+
+
+@query(f"""WITH {DOC_RECORDS}, m AS (SELECT *, translate(reference, '.,;:!?"()''-', '') AS bare, translate(input, '.,;:!?"()''-', '') AS bare_input FROM records)
+SELECT id, 'missing field' AS violation FROM m WHERE trim(input) = '' OR trim(reference) = '' UNION ALL SELECT id, 'reference is input' FROM m WHERE trim(input) = trim(reference)
+UNION ALL SELECT id, 'reference too short' FROM m WHERE task <> 'fill-in' AND length(trim(reference)) < 2 UNION ALL SELECT id, 'cloze answer is not one character' FROM m WHERE task = 'fill-in' AND length(trim(reference)) <> 1
+UNION ALL SELECT id, 'no mark in reference' FROM m WHERE task = 'punctuate' AND reference = bare UNION ALL SELECT id, 'mark in input' FROM m WHERE task = 'punctuate' AND input <> bare_input""")
+def dq_violations(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    task = F.when(F.col("doc_id") % 3 == 0, "fill-in").when(F.col("doc_id") % 3 == 1, "punctuate").otherwise("translate")
+    records = docs.select(F.col("doc_id").cast("string").alias("id"), task.alias("task"), F.substring("text", 1, 40).alias("input"), F.substring("text", F.lit(1), (F.col("doc_id") % 41).cast("int")).alias("reference"))
+    return quality.record_violations(records)
+
+
+@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' END AS issue FROM labels")
+def audit_flags(spark, sf_dir):
+    """The flags of labelled documents by id, in metadata and back."""
+    labels = table(spark, sf_dir, "labels")
+    bare = F.lit(None).cast("map<string,string>")
+    records = labels.select(F.col("doc_id"), F.when(F.col("toxic") == 1, "char-gloss").otherwise("none").alias("task"), F.lit(None).cast("string").alias("id"), F.lit(quality.CIRCULAR + "。").alias("reference"), bare.alias("metadata"))
+    issue = F.col("metadata")[quality.ISSUE]
+    return quality.audit_flags(records).select("doc_id", F.when(issue.startswith("circular gold"), "toxic").alias("issue"))
+
+
+@query(STATS + ", low AS (SELECT task, id, discrimination FROM item_stats WHERE coalesce(discrimination, 0) < 0.1) SELECT low.task, low.id, low.discrimination, count(*) AS n_predictions, round(max(coalesce(score, 0)), 6) AS best FROM low JOIN matrix ON low.task = matrix.task AND low.id = matrix.id GROUP BY ALL")
+def audit_dump(spark, sf_dir):
+    scores = matrix(spark, sf_dir)
+    records = scores.select("id").distinct().select("id", F.col("id").alias("input"), F.col("id").alias("reference"))
+    dump = quality.audit_dump(items.item_stats(scores), records, scores.withColumn("prediction", F.col("id")))
+    return dump.select("task", "id", "discrimination", F.size("predictions").cast("long").alias("n_predictions"), F.round(F.get("predictions", F.lit(0))["score"], 6).alias("best"))
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 5")
+def category_counts_topk(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "source").limit(5)
+
+
+@query(f"WITH {LABELLED}, r AS (SELECT lang, doc_id, metric, row_number() OVER (PARTITION BY lang ORDER BY metric, doc_id) AS k FROM labelled) SELECT lang, count(*) AS n, round(avg(metric), 6) AS hardest_mean FROM r WHERE k <= 15 GROUP BY ALL")
+def hardest_by_category(spark, sf_dir):
+    hard = samples.first_by(labelled(spark, sf_dir), ["lang"], [F.col("metric"), F.col("doc_id")], 15)
+    return hard.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("metric"), 6).alias("hardest_mean"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def nfkc_normalize(spark, sf_dir):
+    """Composition changes nothing in these texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.nfkc("text").alias("text"))
+
+
+@query("SELECT conv_id, turn, coalesce(role, '') || chr(10) || chr(10) || coalesce(text, '') AS prompt FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL")
+def prompt_projection(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").filter("role IS NOT NULL AND text IS NOT NULL").select("conv_id", "turn", X.prompt(F.col("role"), F.col("text")).alias("prompt"))
+
+
+@query(f"WITH {RATERS} SELECT event_type, round(avg(a), 6) AS mean, round(median(a), 6) AS median, round(min(a), 6) AS least, round(max(a), 6) AS most, count(a) AS n FROM raters GROUP BY ALL")
+def rating_profile(spark, sf_dir):
+    return raters(spark, sf_dir).groupBy("event_type").agg(F.round(F.avg("a"), 6).alias("mean"), F.round(F.median("a"), 6).alias("median"), F.min("a").cast("double").alias("least"), F.max("a").cast("double").alias("most"), F.count("a").alias("n"))
+
+
+@query("SELECT n_name AS model, r_name AS version, o_orderpriority AS task FROM nation, region, (SELECT DISTINCT o_orderpriority FROM orders) WHERE n_regionkey <> r_regionkey")
+def work_grid(spark, sf_dir):
+    """The product of three small lists less what doesn't apply: models, versions and tasks."""
+    models, versions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    tasks = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("task")).distinct()
+    grid = models.crossJoin(F.broadcast(versions)).crossJoin(F.broadcast(tasks)).filter("n_regionkey <> r_regionkey")
+    return grid.select(F.col("n_name").alias("model"), F.col("r_name").alias("version"), "task")
