@@ -11,7 +11,16 @@ from verdigris.functions import text as X
 from verdigris.functions import textmetrics as M
 
 Metrics = dict[str, Column]
-Scorer = Callable[[Column, Column, Column, Column], Metrics]
+
+
+class Metadata(dict):
+    """Columns of metadata keys; those that aren't prepared come from the map."""
+
+    def __missing__(self, key: str) -> Column:
+        return F.col("metadata")[key]
+
+
+Scorer = Callable[[Column, Column, Column, Metadata], Metrics]
 
 
 class Scorers:
@@ -22,33 +31,34 @@ class Scorers:
         self.registry: dict[str, Scorer] = {"translate": self.translate, "punctuate": self.punctuate, "char-gloss": self.gloss, "idiom-source": self.source, "fill-in": self.cloze, "compress": self.compress}
 
     def strip(self, c: Column) -> Column:
-        return X.strip_text(c, self.compose)
+        """``score`` has composed the texts before."""
+        return X.squeeze(c)
 
-    def translate(self, prediction: Column, reference: Column, given: Column, metadata: Column) -> Metrics:
+    def translate(self, prediction: Column, reference: Column, given: Column, metadata: Metadata) -> Metrics:
         p, r = self.strip(prediction), self.strip(reference)
         return {"chrf": self.chrf(p, r), "char_f1": M.char_f1(p, r)}
 
-    def punctuate(self, prediction: Column, reference: Column, given: Column, metadata: Column) -> Metrics:
+    def punctuate(self, prediction: Column, reference: Column, given: Column, metadata: Metadata) -> Metrics:
         """chrf is null where neither text has a mark."""
         p, r = self.strip(prediction), self.strip(reference)
         same = X.without(p, X.PUNCTUATION) == X.without(r, X.PUNCTUATION)
         marked = (F.size(M.mark_places(p)) > 0) | (F.size(M.mark_places(r)) > 0)
         return {"punct_f1": M.mark_f1(p, r), "char_preserved": same.cast("double"), "chrf": F.when(marked, self.chrf(p, r))}
 
-    def gloss(self, prediction: Column, reference: Column, given: Column, metadata: Column) -> Metrics:
+    def gloss(self, prediction: Column, reference: Column, given: Column, metadata: Metadata) -> Metrics:
         p, r = (X.without(self.strip(c), X.PUNCTUATION) for c in (prediction, reference))
         return {"chrf": self.chrf(p, r), "char_f1": M.char_f1(p, r)}
 
-    def source(self, prediction: Column, reference: Column, given: Column, metadata: Column) -> Metrics:
+    def source(self, prediction: Column, reference: Column, given: Column, metadata: Metadata) -> Metrics:
         p = self.strip(prediction)
         return {"book_em": X.book_hit(p, F.coalesce(metadata["book"], F.lit("")), self.aliases, self.table).cast("double"), "quote_chrf": self.chrf(p, self.strip(metadata["expected_quote"]))}
 
-    def cloze(self, prediction: Column, reference: Column, given: Column, metadata: Column) -> Metrics:
+    def cloze(self, prediction: Column, reference: Column, given: Column, metadata: Metadata) -> Metrics:
         p, answer = self.strip(prediction), self.strip(reference)
         found, wanted = X.convert(X.quoted_or_first(p, self.letters), self.table), X.convert(answer, self.table)
         return {"exact_match": ((found == wanted) & (found != "")).cast("double"), "in_pred": (p.contains(answer) | X.convert(p, self.table).contains(wanted)).cast("double")}
 
-    def compress(self, prediction: Column, reference: Column, given: Column, metadata: Column) -> Metrics:
+    def compress(self, prediction: Column, reference: Column, given: Column, metadata: Metadata) -> Metrics:
         """Texts as they are; each metric rounded to 4 places, efficiency from unrounded ones."""
         p, r, source = (F.coalesce(c, F.lit("")) for c in (prediction, reference, given))
         fidelity = self.chrf(p, r)
@@ -63,9 +73,16 @@ class Scorers:
         """
         parts = []
         for task, scorer in self.registry.items():
-            metrics = scorer(F.col("prediction"), F.col("reference"), F.col("input"), F.col("metadata"))
-            named = F.map_from_arrays(F.array(*map(F.lit, metrics)), F.array(*metrics.values()))
-            parts.append(df.filter(F.col("task") == task).withColumn("scores", F.map_filter(named, lambda _, v: v.isNotNull())))
+            rows = df.filter(F.col("task") == task)
+            texts = {"_p": F.col("prediction"), "_r": F.col("reference"), "_q": F.col("metadata")["expected_quote"]}
+            # texts are composed in one step of their own: a function from Python can't stand inside a lambda
+            raw = task == "compress" or not self.compose
+            rows = rows.withColumns({k: c if raw else X.nfkc(F.coalesce(c, F.lit(""))) for k, c in texts.items()})
+            metrics = scorer(F.col("_p"), F.col("_r"), F.col("input"), Metadata(expected_quote=F.col("_q")))
+            rows = rows.withColumns({f"_m_{k}": v for k, v in metrics.items()})
+            named = F.map_from_arrays(F.array(*map(F.lit, metrics)), F.array(*[F.col(f"_m_{k}") for k in metrics]))
+            rows = rows.withColumn("scores", F.map_filter(named, lambda _, v: v.isNotNull()))
+            parts.append(rows.drop(*texts, *[f"_m_{k}" for k in metrics]))
         parts.append(df.filter(F.coalesce(~F.col("task").isin(*self.registry), F.lit(True))).withColumn("scores", F.lit(None).cast("map<string,double>")))
         out = parts[0]
         for part in parts[1:]:
