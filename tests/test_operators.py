@@ -234,3 +234,16 @@ def test_published_token_density(spark):
     df = spark.createDataFrame([(r["classical"], r["modern"], r["english"]) for r in rows], "classical string, modern string, english string")
     sums = tokens.token_counts(df, [], ["classical", "modern", "english"]).filter("tokenizer = 'chars'").groupBy("variant").sum("tokens")
     assert {r.variant: r[1] for r in sums.collect()} == {"classical": 1640, "modern": 2375, "english": 12291}
+
+
+def test_small_functions(spark):
+    from verdigris.sources import endpoint
+
+    row = spark.createDataFrame([("literal", "a", "b", "q?")], "v string, a string, b string, q string")
+    assert row.select(X.version_prompt(F.col("v"), {"idiom": F.col("a"), "literal": F.col("b")}, F.col("q")).alias("p")).first().p == "b\n\nq?"
+    assert value(spark, X.is_correct(text("B."), text("B"))) is True and value(spark, X.is_correct(text("?"), text("B"))) is False
+    assert value(spark, X.choice_prompt(text("Q"), *map(text, "wxyz"))) == "Q\nA. w\nB. x\nC. y\nD. z"
+    assert [value(spark, items.recall_class(F.lit(r).cast("double"))) for r in (0.5, 0.1, -0.1, 0.2, None)] == ["recall-driven", "clean", "clean", "mixed", None]
+    assert [value(spark, abtests.decision(F.lit(s), F.lit(n))) for s, n in ((0.1, 0.9), (0.3, 0.8), (0.3, 0.5), (0.3, 0.2))] == ["no saving", "adopt", "trade-off", "reject"]
+    assert endpoint.headers(["A: b:c", "none", "X:y"]) == {"A": "b:c", "X": "y"}
+    assert value(spark, X.file_name(text("org/model"))) == "org_model"

@@ -179,6 +179,19 @@ def choice_prompt(question: Column, *options: Column) -> Column:
     return F.concat_ws("\n", question, *[F.concat(F.lit(f"{letter}. "), o) for letter, o in zip("ABCD", options, strict=True)])
 
 
+def version_prompt(version: Column, bodies: dict[str, Column], question: Column) -> Column:
+    """The body of a row's version, then the question."""
+    body = F.lit(None).cast("string")
+    for name, column in bodies.items():
+        body = F.when(version == name, column).otherwise(body)
+    return F.concat_ws("\n\n", body, question)
+
+
+def is_correct(raw: Column, answer: Column) -> Column:
+    """Whether a reply's letter is the answer; no letter is wrong."""
+    return F.coalesce(choice_letter(raw) == answer, F.lit(False))
+
+
 def filled(template: str, **values: Column) -> Column:
     """A rubric with its ``{name}`` places filled, missing values as empty."""
     out = F.lit(template)

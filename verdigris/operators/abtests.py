@@ -44,3 +44,8 @@ def pair_ratios(pairs: DataFrame, by: list[str], numerator: str, denominator: st
     ratio = F.col(numerator) / F.nullif(F.col(denominator).cast("double"), F.lit(0.0))
     out = pairs.withColumn("_r", ratio).filter("_r IS NOT NULL").groupBy(*by).agg(F.count("_r").alias("n"), F.avg("_r").alias("_m"), F.round(F.median("_r"), 4).alias("ratio_median"))
     return out.select(*by, "n", F.round("_m", 4).alias("ratio_mean"), "ratio_median", F.round((1 - 1 / F.nullif(F.col("_m"), F.lit(0.0))) * 100, 4).alias("saved_pct"))
+
+
+def decision(ratio_saving: Column, not_loss: Column, least_saving: float = 0.20) -> Column:
+    """Whether a shorter version pays: it must save enough and not lose more often than it holds."""
+    return F.when(ratio_saving < least_saving, "no saving").when(not_loss >= 0.7, "adopt").when(not_loss >= 0.5, "trade-off").otherwise("reject")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from verdigris.functions import text as X
 from verdigris.functions.stats import pearson, spearman
 from verdigris.operators.samples import first_by
+from verdigris.schemas import HEADLINE
 
 # The canon by how well it is known.
 TIER3 = ("论语", "孟子", "大学", "中庸", "诗经", "周易", "尚书", "礼记", "左传", "老子", "庄子", "孙子兵法", "史记")
@@ -27,6 +28,23 @@ def item_stats(scores: DataFrame) -> DataFrame:
     return with_rest.groupBy("task", "id").agg(F.count("score").alias("n"), F.round(F.avg("score"), 4).alias("difficulty"), F.round(F.var_pop("score"), 6).alias("variance"), F.round(pearson("score", "rest"), 4).alias("discrimination"))
 
 
+def headline_scores(rows: DataFrame, headline: dict[str, str] = HEADLINE) -> DataFrame:
+    """(model, task, id, score): each item's score by its task's headline metric, from a scores map; items without it are left out."""
+    metric = F.create_map(*[F.lit(x) for pair in headline.items() for x in pair])[F.col("task")]
+    return rows.select("model", "task", "id", F.try_element_at("scores", metric).cast("double").alias("score")).filter("score IS NOT NULL")
+
+
+def rewrites(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., n, rewritten): punctuated items whose text was changed."""
+    kept = F.try_element_at("scores", F.lit("char_preserved"))
+    return rows.filter(kept.isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(kept == 0).alias("rewritten"))
+
+
+def recall_class(rho: Column) -> Column:
+    """What a rank correlation of canonicity and difficulty says of a task."""
+    return F.when(rho >= 0.30, "recall-driven").when(F.abs(rho) < 0.15, "clean").when(rho.isNotNull(), "mixed")
+
+
 def dead(variance: Column) -> Column:
     return variance < 1e-4
 

@@ -554,3 +554,30 @@ def work_grid(spark, sf_dir):
     tasks = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("task")).distinct()
     grid = models.crossJoin(F.broadcast(versions)).crossJoin(F.broadcast(tasks)).filter("n_regionkey <> r_regionkey")
     return grid.select(F.col("n_name").alias("model"), F.col("r_name").alias("version"), "task")
+
+
+@query("SELECT event_type AS task, event_id, CASE WHEN event_type = 'purchase' THEN value END AS score FROM events WHERE event_type = 'purchase' AND value IS NOT NULL")
+def headline_lookup(spark, sf_dir):
+    """Scores maps of events by the metric that ranks their type; types without one are left out."""
+    rows = table(spark, sf_dir, "events").select(F.lit("m").alias("model"), F.col("event_type").alias("task"), F.col("event_id").alias("id"), F.create_map(F.lit("value"), "value", F.lit("other"), F.lit(1.0)).alias("scores"))
+    return items.headline_scores(rows, {"purchase": "value", "unseen": "other"}).select("task", F.col("id").alias("event_id"), "score")
+
+
+@query(f"""{GLOSS}SELECT prompt_role, count(*) AS n, count(*) FILTER (WHERE p <> r) AS rewritten FROM bare JOIN pairs USING (conv_id, turn) GROUP BY ALL""")
+def rewrite_counts(spark, sf_dir):
+    p, r = (X.without(X.squeeze(F.col(c)), MARKS) for c in ("prediction", "reference"))
+    rows = pairs(spark, sf_dir).select("prompt_role", F.create_map(F.lit("char_preserved"), (p == r).cast("double")).alias("scores"))
+    return items.rewrites(rows, ["prompt_role"])
+
+
+@query(f"""WITH {LABELLED}, a AS (SELECT lang, {GUARD.format(n=4)} AS rho FROM ({ranks_sql('labelled', 'lang', 'tier', 'metric')}) GROUP BY ALL)
+SELECT lang, CASE WHEN rho >= 0.30 THEN 'recall-driven' WHEN abs(rho) < 0.15 THEN 'clean' WHEN rho IS NOT NULL THEN 'mixed' END AS class FROM a""")
+def recall_classes(spark, sf_dir):
+    rho = stats.spearman(labelled(spark, sf_dir), "tier", "metric", ["lang"], least=4)
+    return rho.select("lang", items.recall_class(F.col("rho")).alias("class"))
+
+
+@query(f"SELECT conv_id, turn, coalesce(letter = ['A', 'B', 'C', 'D'][(conv_id % 4 + 1)::INTEGER], false) AS is_correct FROM ({ORACLE_SQL['mcq_parse']})")
+def mcq_correct(spark, sf_dir):
+    answer = F.element_at(F.array(*map(F.lit, "ABCD")), (F.col("conv_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.is_correct(F.col("text"), answer).alias("is_correct"))

@@ -21,6 +21,12 @@ class Settings:
     wait: float = 1.5  # seconds before try k + 1: k times this
 
 
+def headers(lines: list[str]) -> dict[str, str]:
+    """Extra headers from "Name: value" texts; those without a colon are left out."""
+    parts = (line.partition(":") for line in lines)
+    return {name.strip(): value.strip() for name, colon, value in parts if colon}
+
+
 def stub(prompt: str) -> dict:
     """A deterministic client for tests: answers with the prompt's last line."""
     return {"content": prompt.splitlines()[-1] if prompt else "", "prompt_tokens": len(prompt), "completion_tokens": len(prompt.splitlines()[-1]) if prompt else 0}
