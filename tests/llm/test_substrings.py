@@ -77,3 +77,15 @@ def test_edges(spark):
     got = sorted((r.doc_id or 0, r.n_words, r.n_removed, len(r.kept)) for r in out.collect())
     assert got == sorted([(1, 25, 0, len(line)), (1, 25, 0, len(line)), (2, 50, 50, 0), (0, 25, 0, len(line)), (4, 0, 0, 0), (5, 0, 0, 0), (6, 2, 0, 3), (7, 30000, 29999, 1)])
     assert substrings.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_ranges_of_shards_in_any_order(spark):
+    """A shard's shorter range must not cut an earlier shard's longer one."""
+    body = lambda *words: b"".join(w.to_bytes(4, "little") for w in words)
+    long = tuple(range(10))
+    rows = [(1, 0, 1, 0, body(*long)), (1, 0, 5, 100, body(*long)), (2, 0, 2, 0, body(7, 8, 9)), (2, 0, 5, 102, body(7, 8, 9))]
+    df = spark.createDataFrame(rows, "key long, salt long, id long, start int, body binary").coalesce(1).sortWithinPartitions("key", "salt", "id", "start")
+    covered = set()
+    for r in substrings._decided(df, 3).collect():
+        covered |= {(r.id, k) for k in range(r.begin, r.end)}
+    assert covered == {(5, k) for k in range(100, 110)}

@@ -125,7 +125,7 @@ def _decided(reference: DataFrame, window: int) -> DataFrame:
                 for k, old in enumerate(automaton.earlier(body, begin, window)):
                     if old:
                         if out and out[-1][0] == doc and out[-1][1] <= start + k <= out[-1][2]:
-                            out[-1] = (doc, out[-1][1], start + k + window)
+                            out[-1] = (doc, out[-1][1], max(out[-1][2], start + k + window))
                         else:
                             out.append((doc, start + k, start + k + window))
 
