@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +13,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
+#: Bytes and rows of an Arrow batch between Spark and Python; both sides hold some batches for every task, outside the heap.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
+def trim() -> None:
+    """Gives memory that a task freed back to the system: Python workers live on, and Arrow and the C library would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with a trim after a partition's last batch."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return wrapped
 
 
 def lengths(column: pa.Array) -> np.ndarray:
@@ -29,6 +50,14 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         start = stop
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with batches of BATCH_BYTES and BATCH_ROWS at most (session settings, for plans are run later) and a trim after each partition."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(trimmed(run), schema)
+
+
 def with_columns(df: DataFrame, source: str, fields: list[T.StructField], make: Callable[[pa.RecordBatch], list], keep: list[str] | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """``df`` (or its columns ``keep``) with ``fields``, which ``make`` computes from a slice bounded by the bytes of ``source``.
 
@@ -45,4 +74,4 @@ def with_columns(df: DataFrame, source: str, fields: list[T.StructField], make:
                 new = make(part)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in stay), *new], names=schema.names)
 
-    return df.select(*[f"`{c}`" for c in wanted]).mapInArrow(run, schema)
+    return mapped(df.select(*[f"`{c}`" for c in wanted]), run, schema)

@@ -25,7 +25,7 @@ NONE = np.int32(2**31 - 1)
 #: Pieces of more bytes go through a heap: a matrix would take time in the square of their length.
 LONGEST_ROW = 256
 #: Chunks that a Python worker remembers, and the longest that it does.
-REMEMBERED, LONGEST_REMEMBERED = 300_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 100_000, 64
 _UNEVEN = re.compile(r"\s\s|^\s|\s$")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
