@@ -11,13 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm.arrow import with_columns
+from verdigris.llm.arrow import mapped, with_columns
 from verdigris.llm.components import components
 from verdigris.llm.store import small, stored
 from verdigris.llm.words import mix, words
@@ -30,7 +29,7 @@ SPACING, RATE, LAST = 1.001, 20.0, 65535
 #: Log-likelihood by which a pair must be better explained by less similarity to be dropped: over 5 standard errors.
 UNLIKELY = 14.0
 #: Rows of a bucket compared in one task.
-CHUNK = 2048
+CHUNK, CHUNK_SHINGLES = 2048, 2_000_000
 _MULTIPLY = np.random.default_rng(85).integers(1, 2**62, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(86).integers(0, 2**63, REGISTERS, dtype=np.uint64)
 
@@ -106,19 +105,25 @@ def sketches(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     return with_columns(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)), text_col, fields, make, ["id"])
 
 
+def band_keys(registers: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """The bucket of ROWS registers, the last axis, in a band."""
+    key = np.zeros(registers.shape[:-1], np.uint64) + band.astype(np.uint64)
+    for k in range(ROWS):
+        key = mix(key * np.uint64(65537) + registers[..., k].astype(np.uint64))
+    return key.astype(np.int64)
+
+
 def _bands(reps: DataFrame) -> DataFrame:
     """(bucket, id) for each band of a representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            registers = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(ids), BANDS, ROWS).astype(np.uint64)
-            key = np.zeros((len(ids), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-            for k in range(ROWS):
-                key = mix(key * np.uint64(65537) + registers[:, :, k])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), pa.array(np.repeat(ids, BANDS))], names=["bucket", "id"])
+            registers = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(ids), BANDS, ROWS)
+            key = band_keys(registers, np.arange(BANDS))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(ids, BANDS))], names=["bucket", "id"])
 
-    return reps.select("id", "sketch").mapInArrow(run, "bucket long, id long")
+    return mapped(reps.select("id", "sketch"), run, "bucket long, id long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
@@ -140,16 +145,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
     return with_columns(both, "_ta", [T.StructField("_linked", T.BooleanType())], make, ["a", "b"], also=("_tb",)).filter("_linked").select("a", "b")
 
 
-def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (a, b) of different components that share a bucket, from (bucket, id, component, n_shingles, sketch).
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Comparison tasks from (bucket, id, component, n_shingles, ...): rows with (left, right, side), sorted by task.
 
     Of each bucket the largest component is dealt into chunks, each seen by one task; the other rows go
     to every chunk, and among themselves in pairs of chunks. No task sees more than two chunks, and
     pairs within a component are never made.
     """
-    per = stored(rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")), "near-per")
-    totals = per.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n_all")).filter("n_all > n_major")
-    totals = stored(totals.select("bucket", "major", F.ceil(F.col("n_major") / CHUNK).cast("int").alias("majors"), F.ceil((F.col("n_all") - F.col("n_major")) / CHUNK).cast("int").alias("minors")), "near-totals")
+    per = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    totals = per.groupBy("bucket").agg(F.max(F.struct("n", "component", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s")).filter("n > top.n")
+    chunks = lambda n, s: F.greatest(F.ceil(n / CHUNK), F.ceil(s / CHUNK_SHINGLES), F.lit(1)).cast("int")
+    totals = stored(totals.select("bucket", F.col("top.component").alias("major"), chunks(F.col("top.n"), F.col("top.s")).alias("majors"), chunks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("minors")), "near-totals")
     dealt = rows.join(totals, "bucket").withColumn("is_major", F.col("component") == F.col("major"))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("id"), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("minors"))).cast("int"))
     # a task is (left, right): right a chunk of the others, left one of the major (0...) or of the others (-1...)
@@ -158,35 +164,111 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
     as_right = F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda k: F.struct(k.alias("left"), own.alias("right"), F.lit(1).alias("side")))
     among = F.transform(others, lambda k: F.struct((-1 - F.least(own, k)).alias("left"), F.greatest(own, k).alias("right"), F.when(own <= k, 0).otherwise(1).alias("side")))
     tasks = dealt.withColumn("task", F.explode(F.when(F.col("is_major"), major_tasks).otherwise(F.concat(as_right, among))))
-    least = percent / 100
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, comp, n = pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["n_shingles"].to_numpy()
-        registers = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(len(ids), REGISTERS)
-        side, same = pdf["side"].to_numpy(), bool(pdf["left"].iloc[0] == -1 - pdf["right"].iloc[0])
-        left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        found = [np.zeros((0, 2), np.int64)]
-        for i in left:
-            j = right[right > i] if same else right
-            j = j[(comp[j] != comp[i]) & (percent * np.maximum(n[j], n[i]) <= 100 * np.minimum(n[j], n[i]))]
-            if not len(j):
-                continue
-            equal = registers[j] == registers[i]
-            # the pair is made in the first band that it shares only
-            bucket = pdf["bucket"].iloc[0]
-            first = equal.reshape(len(j), BANDS, ROWS).all(axis=2).argmax(axis=1)
-            key = np.array(first, np.uint64)
-            mine = registers[i].reshape(BANDS, ROWS).astype(np.uint64)[first]
-            for k in range(ROWS):
-                key = mix(key * np.uint64(65537) + mine[:, k])
-            more, fewer = (registers[i] > registers[j]).sum(axis=1), (registers[i] < registers[j]).sum(axis=1)
-            good = (key.astype(np.int64) == bucket) & ~unlikely(equal.sum(axis=1), more, fewer, np.full(len(j), n[i]), n[j], least)
-            found.append(np.stack([np.full(good.sum(), ids[i]), ids[j][good]], axis=1))
-        out = np.concatenate(found)
-        return pd.DataFrame({"a": out.max(axis=1), "b": out.min(axis=1)}) if len(out) else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-
-    rows = tasks.select("bucket", "task.left", "task.right", "task.side", "id", "component", "n_shingles", "sketch")
-    return rows.groupBy("bucket", "left", "right").applyInPandas(pairs, "a long, b long").distinct()
+    tasks = tasks.select("bucket", "task.left", "task.right", "task.side", "id", "component", "n_shingles", "sketch", *[c for c in ("text",) if c in rows.columns])
+    return tasks.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "side", "id")
+
+
+def _cross_links(rows: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links (a, b) that join components within a bucket, from (bucket, id, component, n_shingles, sketch) and (id, text).
+
+    Sketches alone tell first which rows have a likely partner in which bucket; only these get their
+    texts. Pairs are tested where their rows are: no pair leaves a task but the links.
+    """
+    needed = stored(_compared(_dealt(rows), percent, size, tested=False).distinct(), "near-needed")
+    return _compared(_dealt(rows.join(needed, ["bucket", "id"]).join(texts, "id")), percent, size, tested=True).distinct()
+
+
+def _likely(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, registers: np.ndarray, bucket: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the row pairs (i, j) are of two components, may reach the similarity and share no earlier band than their bucket's, and how many registers they share."""
+    good = (comp[i] != comp[j]) & (percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j]))
+    i, j = i[good], j[good]
+    equal = registers[i] == registers[j]
+    # a pair of 0.8 with fewer than a third of its registers equal is beyond any odds; the likelihood decides on the rest
+    good = equal.sum(axis=1) * 3 >= REGISTERS
+    i, j, equal = i[good], j[good], equal[good]
+    first = equal.reshape(len(i), BANDS, ROWS).all(axis=2).argmax(axis=1)
+    good = band_keys(registers[i].reshape(-1, BANDS, ROWS)[np.arange(len(i)), first], first) == bucket[i]
+    i, j, equal = i[good], j[good], equal[good]
+    more, fewer = (registers[i] > registers[j]).sum(axis=1), (registers[i] < registers[j]).sum(axis=1)
+    good = ~unlikely(equal.sum(axis=1), more, fewer, n[i], n[j], percent / 100)
+    return i[good], j[good], equal[good].sum(axis=1)
+
+
+def _joining(found: tuple[np.ndarray, np.ndarray, np.ndarray], comp: np.ndarray, texts: pa.Array, percent: int, size: int) -> list[tuple[int, int]]:
+    """Row pairs whose full sets are linked, best estimates first; a pair whose components are already joined here is passed over."""
+    i, j, equal = found
+    order = np.argsort(-equal, kind="stable")
+    used, where = np.unique(np.concatenate([i, j]), return_inverse=True)
+    hashes, bounds = shingles(texts.take(pa.array(used)), size)
+    sets = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (p := parent.get(c, c)) != c:
+            parent[c] = parent.get(p, p)
+            c = p
+        return c
+
+    out = []
+    for k in order.tolist():
+        x, y = root(int(comp[i[k]])), root(int(comp[j[k]]))
+        if x == y:
+            continue
+        a, b = sets[where[k]], sets[where[len(i) + k]]
+        both = np.sort(np.concatenate([a, b]))
+        common = int((both[1:] == both[:-1]).sum())
+        if 100 * common >= percent * (len(a) + len(b) - common):
+            parent[max(x, y)] = min(x, y)
+            out.append((int(i[k]), int(j[k])))
+    return out
+
+
+def _compared(rows: DataFrame, percent: int, size: int, tested: bool) -> DataFrame:
+    """Joining links (a, b) of sorted task rows, or untested the rows (bucket, id) of likely pairs. All tasks of a batch are compared together, in slices of bounded size."""
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        bucket, left, right, side, ids, comp, n = (table.column(k).to_numpy() for k in range(7))
+        registers = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint16).reshape(len(ids), REGISTERS)
+        new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
+        group = np.cumsum(new) - 1
+        ends = np.concatenate([np.flatnonzero(new)[1:], [len(ids)]])
+        rights = np.flatnonzero(new) + np.bincount(group, side == 0).astype(np.int64)
+        same = left == -1 - right
+        start = np.where(same, np.arange(len(ids)) + 1, rights[group])
+        count = np.where(side == 0, ends[group] - start, 0)
+        links: list[tuple[int, int]] = []
+        likely_rows = np.zeros(len(ids), bool)
+        total = np.cumsum(count)
+        at = 0
+        while at < len(ids):
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 500_000, side="right")))
+            i = np.repeat(np.arange(at, stop), count[at:stop])
+            j = np.arange(len(i)) + np.repeat(start[at:stop] - (np.cumsum(count[at:stop]) - count[at:stop]), count[at:stop])
+            likely = _likely(ids, comp, n, registers, bucket, i, j, percent)
+            if tested and len(likely[0]):
+                links += _joining(likely, comp, table.column(8).combine_chunks(), percent, size)
+            likely_rows[likely[0]] = likely_rows[likely[1]] = True
+            at = stop
+        if not tested:
+            return pa.RecordBatch.from_arrays([pa.array(bucket[likely_rows]), pa.array(ids[likely_rows])], names=["bucket", "id"])
+        a, b = (ids[[link[k] for link in links]] if links else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            # the last task of a batch may go on in the next one
+            # (at most two chunks), all others are compared now
+            keys = [batch.column(k).to_numpy() for k in range(3)]
+            last = int(np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))[-1]) + 1 if any((k != k[-1]).any() for k in keys) else 0
+            if last or (waiting and any(waiting[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in range(3))):
+                yield pairs(pa.Table.from_batches([*waiting, batch.slice(0, last)]).combine_chunks())
+                waiting = []
+            waiting.append(batch.slice(last))
+        if waiting:
+            yield pairs(pa.Table.from_batches(waiting).combine_chunks())
+
+    return mapped(rows, run, "a long, b long" if tested else "bucket long, id long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, size: int = 5) -> DataFrame:
@@ -219,8 +301,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = stored(bands.select("bucket", "id").join(first, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "near-named")
     mixed = stored(named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket"), "near-mixed")
     apart = named.join(mixed, "bucket").join(reps.select("id", "n_shingles", "sketch"), "id")
-    more = stored(_cross_pairs(apart, percent), "near-pairs")
-    links = links.union(confirmed(more, texts, percent, size))
+    links = links.union(stored(_cross_links(apart, texts, percent, size), "near-links"))
     final = components(links)
     member = light.join(classes, (light.set_a == classes.set_a) & (light.set_b == classes.set_b) & (light.n_shingles > 0), "left").select(light.id, light.n_shingles, F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
     out = member.join(final, F.col("class_id") == F.col("node"), "left").select("id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
