@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm.arrow import slices, with_columns
+from verdigris.llm.arrow import mapped, slices, with_columns
 from verdigris.llm.automaton import SuffixAutomaton
 from verdigris.llm.store import release, small, stored
 from verdigris.llm.words import Words, mix, words
 
 #: Words of an anchor.
 ANCHOR = 6
-#: Anchors of more occurrences are divided by a second run of each window.
+#: Anchors of more occurrences are divided by a second run of each window, and shards of more pieces into a shard for each window.
 HOT = 2000
 
 
@@ -57,7 +57,7 @@ def _anchors(df: DataFrame, window: int) -> DataFrame:
                 row, place, least = row[new], place[new], least[new]
                 yield pa.RecordBatch.from_arrays([pa.array(least.astype(np.int64)), pa.array(ids[row]), pa.array((place - found.bounds[row]).astype(np.int32))], names=["anchor", "id", "place"])
 
-    return df.mapInArrow(run, "anchor long, id long, place int")
+    return mapped(df, run, "anchor long, id long, place int")
 
 
 def _pieces(df: DataFrame, window: int) -> DataFrame:
@@ -103,13 +103,49 @@ def _pieces(df: DataFrame, window: int) -> DataFrame:
                 names = np.array([xxhash.xxh3_64_intdigest(b) for b in bodies], np.uint64).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(least[begin].astype(np.int64)), pa.array(names), pa.array(ids[row[begin]]), pa.array((start[begin] - found.bounds[row[begin]]).astype(np.int32)), pa.array(bodies, pa.binary())], names=["key", "piece", "id", "start", "body"])
 
-    return df.mapInArrow(run, "key long, piece long, id long, start int, body binary")
+    return mapped(df, run, "key long, piece long, id long, start int, body binary")
+
+
+def _windows(reference: DataFrame, window: int) -> DataFrame:
+    """(key, id, start, body) with every window of a piece as a piece of its own, keyed by its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "body"):
+                keys, ids, starts, bodies = [], [], [], []
+                for doc, start, body in zip(*(part.column(c).to_pylist() for c in ("id", "start", "body")), strict=True):
+                    for k in range(len(body) // 4 - window + 1):
+                        words_of = body[4 * k : 4 * (k + window)]
+                        keys.append(xxhash.xxh3_64_intdigest(words_of))
+                        ids.append(doc)
+                        starts.append(start + k)
+                        bodies.append(words_of)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).astype(np.int64)), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(bodies, pa.binary())], names=["key", "id", "start", "body"])
+
+    return mapped(reference.select("id", "start", "body"), run, "key long, id long, start int, body binary")
+
+
+def _divided(reference: DataFrame, window: int) -> DataFrame:
+    """(key, id, start, body) with no more than HOT different pieces to a shard: those of larger ones are
+    divided into windows, keyed by their words. A window that very many
+    pieces share is salted: every salt has its first occurrence and a share of the others.
+    """
+    flat = reference.select("key", "first.id", "first.start", "body")
+    crowded = stored(reference.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key"), "sub-crowded")
+    calm = flat.join(small(crowded, 1_000_000), "key", "left_anti").withColumn("salt", F.lit(0).cast("long"))
+    each = stored(_windows(flat.join(small(crowded, 1_000_000), "key", "left_semi"), window), "sub-windows")
+    first = each.groupBy("key").agg(F.min(F.struct("id", "start", "body")).alias("f"), F.count(F.lit(1)).alias("n"))
+    first = stored(first.filter("n > 1").select("key", "f", F.ceil(F.col("n") / HOT).cast("long").alias("salts")), "sub-first")
+    # every salt gets the first occurrence, and its share of the others
+    copies = first.select("key", "f.id", "f.start", "f.body", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    rest = each.join(first, "key").filter((F.col("id") != F.col("f.id")) | (F.col("start") != F.col("f.start"))).select("key", "id", "start", "body", F.pmod(F.xxhash64("id", "start"), F.col("salts")).alias("salt"))
+    return calm.unionByName(copies).unionByName(rest)
 
 
 def _decided(reference: DataFrame, window: int) -> DataFrame:
     """(id, begin, end): word ranges of first occurrences of pieces that other pieces, or their own words, hold earlier.
 
-    ``reference`` is (key, id, start, body), all rows of a key in one partition and in corpus order. A key is one shard with an automaton of its own.
+    ``reference`` is (key, salt, id, start, body), all rows of a key and salt in one partition and in corpus order. They are one shard with an automaton of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,17 +172,17 @@ def _decided(reference: DataFrame, window: int) -> DataFrame:
 
         current = None
         for batch in batches:
-            for key, doc, start, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if key != current:
+            for key, salt, doc, start, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (key, salt) != current:
                     decide()
-                    shard, current = [], key
+                    shard, current = [], (key, salt)
                 shard.append((doc, start, np.frombuffer(body, np.uint32).tolist()))
             if len(out) > 50_000:
                 yield batch_of()
         decide()
         yield batch_of()
 
-    return reference.select("key", "id", "start", "body").mapInArrow(run, "id long, begin int, end int")
+    return mapped(reference.select("key", "salt", "id", "start", "body"), run, "id long, begin int, end int")
 
 
 def _kept(df: DataFrame, text_col: str, ranges: bool) -> DataFrame:
@@ -190,7 +226,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pieces = stored(_pieces(numbered.join(ids, "id", "left_semi").join(hits, "id").select("id", "text", "hits"), window), "sub-pieces")
     # equal pieces are one; all but the first occurrence are covered as a whole
     reference = stored(pieces.groupBy("key", "piece").agg(F.min(F.struct("id", "start")).alias("first"), F.min("body").alias("body"), F.count(F.lit(1)).alias("n")), "sub-reference")
-    ordered = reference.select("key", "first.id", "first.start", "body").repartition("key").sortWithinPartitions("key", "id", "start")
+    ordered = _divided(reference, window).repartition("key", "salt").sortWithinPartitions("key", "salt", "id", "start")
     decided = _decided(ordered, window)
     often = stored(reference.filter("n > 1").select("key", "piece", "first"), "sub-often")
     later = pieces.select("key", "piece", "id", "start", (F.octet_length("body") / 4).cast("int").alias("size")).join(often, ["key", "piece"]).filter((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
