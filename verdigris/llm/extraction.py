@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdigris.llm.arrow import with_columns
+from verdigris.llm.store import least_hashed
 from verdigris.llm.words import mix, words
 
 #: Fixed values of HTML.
@@ -407,7 +408,7 @@ def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sampl
     """Trains on at most ``sample`` pages, those of least hash, whose semantic tags give labels, and on ``made`` pages
     of the generator. The bound keeps what reaches the driver small; sampled pages are parsed whole on
     the executors, and pages of over 400 blocks are left out of training."""
-    chosen = pages.filter(F.col(html_col).isNotNull()).select(F.col(html_col).alias("_html"), F.xxhash64(id_col).alias("_hash")).orderBy("_hash", F.xxhash64("_html")).limit(sample)
+    chosen = least_hashed(pages.filter(F.col(html_col).isNotNull()).select(F.col(html_col).alias("_html"), F.col(id_col).alias("_id")), ["_id", "_html"], sample).withColumn("_hash", F.xxhash64("_id"))
 
     def make(batch: pa.RecordBatch) -> list:
         encoder, vectors, labels = Encoder(), [], []

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdigris.llm.arrow import with_columns
+from verdigris.llm.store import least_hashed
 from verdigris.llm.words import BASE, BYTE, mix, powers, words
 
 #: Longest piece used and longest part of a word scored at once, in bytes; longer words are scored in parts.
@@ -184,7 +185,7 @@ def fit(docs: DataFrame, model_path: str, most_rows: int = 3000, id_col: str = "
     """Trains on at most ``most_rows`` rows with a language, those of least hash: a bound on the words
     that reach the driver; their texts are whole. Without any there is no language and all is UNKNOWN."""
     labelled = docs.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    chosen = labelled.orderBy(F.xxhash64("_id"), "_id", "_lang").limit(most_rows).select("_id").distinct()
+    chosen = least_hashed(labelled, ["_id", "_lang"], most_rows).select("_id").distinct()
     rows = docs.filter(F.col(lang_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col).eqNullSafe(F.col("_id"))).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
 
     def make(batch: pa.RecordBatch) -> list:

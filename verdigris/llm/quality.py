@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdigris.llm.arrow import with_columns
+from verdigris.llm.store import least_hashed
 from verdigris.llm.words import LOWER, mix, words
 
 BITS = 18
@@ -63,7 +64,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, id_col: str =
     That bound keeps the examples in the driver's memory; their texts are whole. Without labelled rows
     all weights are 0 (every score 0.5).
     """
-    chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id", "_label").limit(most_rows)
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
+    chosen = least_hashed(known, ["_id", "_label"], most_rows)
     pairs = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_label", "_text")
 
     def make(batch: pa.RecordBatch) -> list:

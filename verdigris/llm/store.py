@@ -39,3 +39,16 @@ def release(*tables: DataFrame) -> None:
 def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """A stored table with a broadcast hint if a count shows at most ``most_rows`` rows, else as it is."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def least_hashed(df: DataFrame, keys: list[str], most_rows: int) -> DataFrame:
+    """About ``most_rows`` rows of least hash of the first key, never more: a bounded sample that reruns repeat.
+
+    A count sets a threshold on the hash, so that no task holds or sends more than its share of
+    twice that number; without it every task would send its own ``most_rows``.
+    """
+    total = df.count()
+    hashed = F.xxhash64(keys[0])
+    if total > 2 * most_rows:
+        df = df.filter(hashed < int(-(2**63) + 2**64 * (2 * most_rows / total)))
+    return df.orderBy(hashed, *keys).limit(most_rows)

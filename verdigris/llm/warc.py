@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm.store import stored
+from verdigris.llm.arrow import mapped
+from verdigris.llm.store import least_hashed, stored
 
 #: Fixed values of the formats.
 DICTIONARY_FRAME, FRAME = 0x184D2A5D, 0xFD2FB528
@@ -155,8 +156,8 @@ def records(archive: bytes) -> Iterator[dict]:
 def train_dictionary(pages: DataFrame, id_col: str, payload_col: str, most_rows: int = 256, most_chars: int = 4096, size: int = 32 << 10) -> bytes:
     """A dictionary of at most ``size`` bytes from the starts of at most ``most_rows`` payloads, those of
     least hash; none if they are too few or too short. It changes the archives' size, not their records."""
-    heads = pages.filter(F.col(payload_col).isNotNull()).select(F.substring(payload_col, 1, most_chars).alias("_head"), F.xxhash64(id_col).alias("_hash"))
-    samples = [r._head.encode() for r in heads.orderBy("_hash", "_head").limit(most_rows).collect()]
+    heads = pages.filter(F.col(payload_col).isNotNull()).select(F.col(id_col).alias("_id"), F.substring(payload_col, 1, most_chars).alias("_head"))
+    samples = [r._head.encode() for r in least_hashed(heads, ["_id", "_head"], most_rows).collect()]
     samples += [record("response", RECORD_URN + str(i), "http://www.example.com/", b"") for i in range(8)] if samples else []
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
@@ -199,7 +200,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", uri_col: str = "ur
         if parts:
             yield archive()
 
-    return stored(typed.mapInArrow(run, "archive_id string, content binary"), "warc-archives")
+    return stored(mapped(typed, run, "archive_id string, content binary"), "warc-archives")
 
 
 def read_archives(archives: DataFrame, content_col: str = "content", payloads: bool = True) -> DataFrame:
@@ -224,4 +225,4 @@ def read_archives(archives: DataFrame, content_col: str = "content", payloads: b
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return archives.select(content_col).mapInArrow(run, RECORD)
+    return mapped(archives.select(content_col), run, RECORD)
