@@ -24,8 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near-duplicates; rows with a null id stay."""
-    groups = neardup.near_duplicates(docs.select("doc_id", "text"))
+    """Keeps the smallest id of each group of near-duplicates, of similarity 0.8 and more; rows with a null id stay."""
+    groups = neardup.near_duplicates(docs.select("doc_id", "text"), percent=80)
     drop = stored(groups.filter("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct(), "pipeline-drop")
     return docs.join(small(drop, 1_000_000), "doc_id", "left_anti").select(docs.columns)
 

@@ -42,6 +42,17 @@ def test_near_dedup(steps):
     assert Counter(steps[2].collect()) == Counter(r for r in rows if want[r.doc_id][1] == r.doc_id)
 
 
+def test_near_dedup_from_0_80(spark, steps):
+    """Pairs of 0.80 to 0.85 are near-duplicates too; one of 0.79 isn't."""
+    rows = steps[1].collect()
+    want = brute_groups([(r.doc_id, r.text) for r in rows], 80)
+    assert Counter(steps[2].collect()) == Counter(r for r in rows if want[r.doc_id][1] == r.doc_id)
+    whole = {c: [f"{c}{i}" for i in range(104)] for c in "uvw"}  # 100 shingles each; of their first n words, n - 4
+    texts = [whole["u"], whole["u"][:86], whole["v"], whole["v"][:84], whole["w"], whole["w"][:83]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()) == [0, 2, 4, 5]
+
+
 def test_substrings(steps):
     rows = steps[2].collect()
     want = brute_repeats([(r.doc_id, r.text) for r in rows])
