@@ -264,15 +264,14 @@ m AS (SELECT h.model, h.task, b, avg(score) AS m FROM h JOIN v ON h.model = v.mo
 e AS (SELECT model, task, max(m) FILTER (WHERE k = 3) AS lo, max(m) FILTER (WHERE k = 97) AS hi FROM k GROUP BY ALL), p AS (SELECT model, task, count(score) AS n, round(avg(score), 4) AS mean FROM matrix GROUP BY ALL)
 SELECT model, task, n, mean, round(lo, 4) AS ci_lo, round(hi, 4) AS ci_hi, round((hi - lo) / 2, 4) AS half_width FROM p JOIN e USING (model, task)""")
 def bootstrap_ci(spark, sf_dir):
-    """100 resamples, to keep the check short; the operator's default is 2000."""
-    return items.bootstrap_ci(matrix(spark, sf_dir), ["model", "task"], iterations=100)
+    return items.bootstrap_ci(matrix(spark, sf_dir), ["model", "task"])
 
 
 @query(f"""WITH {MATRIX}, {BOOT}, j AS (SELECT model, b, avg(m) AS m FROM m GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY m) AS k FROM j),
 e AS (SELECT model, max(m) FILTER (WHERE k = 3) AS lo, max(m) FILTER (WHERE k = 97) AS hi FROM k GROUP BY ALL), p AS (SELECT model, round(avg(m), 4) AS mean, count(*) AS n_tasks FROM (SELECT model, task, avg(score) AS m FROM matrix GROUP BY ALL) GROUP BY ALL)
 SELECT model, mean, n_tasks, round(lo, 4) AS ci_lo, round(hi, 4) AS ci_hi, round((hi - lo) / 2, 4) AS half_width FROM p JOIN e USING (model)""")
 def bootstrap_avg_ci(spark, sf_dir):
-    return items.bootstrap_average(matrix(spark, sf_dir), iterations=100)
+    return items.bootstrap_average(matrix(spark, sf_dir))
 
 
 BOARD = """means AS (SELECT model, task, round(avg(score), 4) AS mean FROM matrix GROUP BY ALL), a AS (SELECT model, round(avg(mean), 4) AS avg FROM means GROUP BY ALL), b AS (SELECT *, row_number() OVER (ORDER BY avg DESC, model) AS place FROM a)"""
