@@ -497,7 +497,7 @@ UNION ALL SELECT id, 'no mark in reference' FROM m WHERE task = 'punctuate' AND
 def dq_violations(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     task = F.when(F.col("doc_id") % 3 == 0, "fill-in").when(F.col("doc_id") % 3 == 1, "punctuate").otherwise("translate")
-    records = docs.select(F.col("doc_id").cast("string").alias("id"), task.alias("task"), F.substring("text", 1, 40).alias("input"), F.substring("text", F.lit(1), (F.col("doc_id") % 41).cast("int")).alias("reference"))
+    records = docs.select(F.col("doc_id").cast("string").alias("id"), task.alias("task"), F.col("text").alias("input"), X.without(F.col("text"), X.PUNCTUATION).alias("reference"))
     return quality.record_violations(records)
 
 
