@@ -24,12 +24,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near-duplicates, of similarity 0.8 and more; rows with a null id stay."""
+    """Keeps one row of each group of near-duplicates, of similarity 0.8 and more: that of the smallest id.
+
+    Where rows share an id or have none, all are compared by numbers of their own; one without an id gives
+    way to one with. Texts without words are near nothing, but rows that repeat an id and text are one.
+    """
+    if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("doc_id IS NULL OR n > 1").isEmpty():
+        return _numbered_near_dedup(docs)
     groups = neardup.near_duplicates(docs.select("doc_id", "text"), percent=80)
-    drop = stored(groups.filter("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct(), "pipeline-drop")
+    drop = stored(groups.filter("NOT kept").select("doc_id"), "pipeline-drop")
     return docs.join(small(drop, 1_000_000), "doc_id", "left_anti").select(docs.columns)
 
 
+def _numbered_near_dedup(docs: DataFrame) -> DataFrame:
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    groups = neardup.near_duplicates(rows.select("_row", "text"), id_col="_row", percent=80).select("_row", "component_id", (F.col("n_shingles") == 0).alias("_empty"))
+    named = groups.join(rows.select("_row", "doc_id", F.sha2("text", 256).alias("_sha")), "_row")
+    group = [F.when(~F.col("_empty"), F.col("component_id")).alias("_a"), F.when(F.col("_empty"), F.col("doc_id")).alias("_b"), F.when(F.col("_empty"), F.col("_sha")).alias("_c")]
+    first = stored(named.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_sha", "_row")).alias("first")).select("first._row"), "pipeline-first")
+    drop = stored(rows.select("_row").join(first, "_row", "left_anti"), "pipeline-drop")
+    return rows.join(small(drop, 1_000_000), "_row", "left_anti").select(docs.columns)
+
+
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that start earlier in the corpus; a text that loses none stays to the letter."""
     found = substrings.remove_repeats(docs)

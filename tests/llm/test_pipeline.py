@@ -53,6 +53,15 @@ def test_near_dedup_from_0_80(spark, steps):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()) == [0, 2, 4, 5]
 
 
+def test_near_dedup_of_shared_and_missing_ids(spark):
+    same, other, lone = "p q r s t u", "a b c d e f", "k l m n o p"
+    docs = [(3, same), (3, same), (4, same), (None, same), (None, same), (None, other), (None, other), (5, same), (5, lone), (7, None), (7, None), (7, ""), (8, ""), (None, ""), (None, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = Counter(map(tuple, corpus_pipeline.near_dedup_stage(spark, df, SF).collect()))
+    assert got == Counter([(3, same), (None, other), (5, lone), (7, None), (7, ""), (8, ""), (None, "")])
+    assert corpus_pipeline.near_dedup_stage(spark, df.limit(0), SF).count() == 0
+
+
 def test_substrings(steps):
     rows = steps[2].collect()
     want = brute_repeats([(r.doc_id, r.text) for r in rows])
