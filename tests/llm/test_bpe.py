@@ -3,11 +3,12 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from verdigris.llm import bpe, queries
+from verdigris.llm import bpe, queries, words
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SF = "/root/testdata/sf0.001"
@@ -34,18 +35,43 @@ def test_random_texts_as_tiktoken(both):
         assert ours.decode(raw) == text.encode()
 
 
-def test_long_pieces_agree_with_rows(both):
-    ours, _ = both
+def test_tiles_agree_with_rows(both):
+    ours, theirs = both
     rng = random.Random(6)
-    for _ in range(300):
+    for _ in range(200):
         piece = "".join(rng.choice("abcdethinger 0") for _ in range(rng.randint(2, 200))).encode()
         if piece not in ours.ranks:
-            assert ours.merge_long(piece).tolist() == ours.encode_pieces([piece])[0].tolist()
+            assert ours.merge_tiles(piece).tolist() == ours.encode_pieces([piece])[1].tolist()
+    for n in (257, 1024, 5000):
+        piece = "".join(rng.choice("abcdethinger") for _ in range(n))
+        assert ours.merge_tiles(piece.encode()).tolist() == theirs.encode_ordinary(piece)
+
+
+def test_pieces_are_the_matches_of_the_pattern(both):
+    ours, _ = both
+    rng = random.Random(9)
+    letters = list(" \n\t' ' '\x1c\x85\u00a0\u3000stmdrevlSTL1²٣!.漢é😀")
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    data, offsets = words.content(pa.array(texts))
+    a, b, bounds = ours.split(data, offsets)
+    for i, text in enumerate(texts):
+        got = [data[x:y].tobytes().decode() for x, y in zip(a[bounds[i] : bounds[i + 1]], b[bounds[i] : bounds[i + 1]], strict=True)]
+        assert got == ours.pattern.findall(text), repr(text)
+
+
+def test_another_pattern(both):
+    ours, _ = both
+    pattern = r"\d+|\w+| +|."
+    other, theirs = bpe.ByteBpe(ours.ranks, pattern), tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ours.ranks, special_tokens={})
+    texts = ["abc 12 é漢 x", "", None, "  two, three\tfour"]
+    for text, raw in zip(texts, other.encode(texts), strict=True):
+        assert ids(raw) == theirs.encode_ordinary(text or "")
 
 
 def test_cache_overflow(both, monkeypatch):
     ours, theirs = both
     monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    monkeypatch.setattr(ours, "remembered", bpe.Remembered())
     texts = [f"word{i} other{i * 7} " + "z" * 80 for i in range(50)]
     for a in range(0, 50, 7):
         for text, raw in zip(texts[a : a + 7], ours.encode(texts[a : a + 7]), strict=False):

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: An odd base, its inverse modulo 2**64, and 256 random values for the bytes.
+#: An odd base, and 256 random values for the bytes.
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 2**64)
 BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -37,6 +37,34 @@ def powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
+    """A hash of each range of bytes, by prefix sums."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * powers(base, len(data)), dtype=np.uint64)])
+    back = powers(pow(base, -1, 2**64), len(data) + 1)
+    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+
+
+def places(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1 ... for each of the ranges, one after another."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - count), count)
+
+
+def content(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a string or binary column, and where each row's start and the last one's end; null has none."""
+    column = pc.fill_null(column, "" if pa.types.is_string(column.type) else b"") if column.null_count else column
+    n = len(column)
+    offsets = np.frombuffer(column.buffers()[1], np.int32, n + 1, column.offset * 4).astype(np.int64) if n else np.zeros(1, np.int64)
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+def binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A binary column of such bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 @dataclass
 class Words:
     """Words of rows, in order: 64-bit hashes, byte ranges in ``data`` and the bounds of each row's words."""
@@ -67,12 +95,7 @@ def words(column: pa.Array, lower: bool = False, kinds: np.ndarray = KINDS, chan
     ``kinds``: another class for each byte; a word is a longest run of bytes of one class above 0.
     ``change``: is applied to all bytes first and keeps their number.
     """
-    column = column.cast(pa.string()) if not pa.types.is_string(column.type) else column
-    n = len(column)
-    offsets = np.frombuffer(column.buffers()[1], np.int32, n + 1, column.offset * 4).astype(np.int64) if n else np.zeros(1, np.int64)
-    raw = column.buffers()[2]
-    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0]
+    data, offsets = content(column.cast(pa.string()) if not pa.types.is_string(column.type) else column)
     if lower:
         data = LOWER[data]
     if change is not None:
@@ -83,13 +106,4 @@ def words(column: pa.Array, lower: bool = False, kinds: np.ndarray = KINDS, chan
     edge[offsets] = True
     starts = np.flatnonzero((kind > 0) & edge[:-1])
     ends = np.flatnonzero((kind > 0) & edge[1:]) + 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * powers(BASE, len(data)), dtype=np.uint64)])
-    back = powers(INVERSE, len(data) + 1)
-    hashes = mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
-    bounds = np.searchsorted(starts, offsets)
-    null = column.is_null().to_numpy(zero_copy_only=False) if column.null_count else None
-    if null is not None and (np.diff(offsets)[null] > 0).any():
-        good = ~np.repeat(null, np.diff(bounds))
-        counts = np.where(null, 0, np.diff(bounds))
-        starts, ends, hashes, bounds = starts[good], ends[good], hashes[good], np.concatenate([[0], np.cumsum(counts)])
-    return Words(hashes, starts, ends, bounds, data)
+    return Words(span_hashes(data, starts, ends), starts, ends, np.searchsorted(starts, offsets), data)
