@@ -1,4 +1,5 @@
 import itertools
+import re
 import zlib
 
 import numpy as np
@@ -88,6 +89,69 @@ def test_forward_as_all_segmentations():
         assert np.allclose(got, np.log(want))
 
 
+def log_forward(pieces, chance, word):
+    """Sums over segmentations of one word by plain recursion over its ends."""
+    known = {p: i for i, p in enumerate(pieces.pieces)}
+    raw, out = b" " + word, [np.zeros(chance.shape[1])]
+    for end in range(1, len(raw) + 1):
+        terms = [out[end - 1] + np.log(chance[len(known) + raw[end - 1]])]
+        terms += [out[a] + np.log(chance[known[raw[a:end]]]) for a in range(end - 2, -1, -1) if raw[a:end] in known]
+        out.append(np.logaddexp.reduce(terms))
+    return out[-1]
+
+
+def test_words_of_any_length_are_summed_whole(monkeypatch):
+    pieces = language.load(VOCABULARY)
+    assert pieces.longest > 16
+    long = max(pieces.pieces, key=len).decode()
+    words = ["internationalisierungsbemühungen" * 2, "a" * 3000, "漢字かな交じり文" * 20, long + "x", long * 3, "ab", "the"]
+    model = language.train(pieces, [("x", w.encode()[:1000], 2) for w in words[:5]] + [("y", b"the", 9), ("y", b"ab" * 40, 1)])
+    chance = np.exp(model.logs)
+    assert np.allclose(chance.sum(axis=0), 1)
+    raw = [w.encode() for w in words]
+    ends = np.cumsum([len(w) for w in raw])
+    want = [log_forward(pieces, chance, w) for w in raw]
+    for steps in (4096, 7):
+        monkeypatch.setattr(language, "STEPS", steps)
+        got = model.score(pieces, np.frombuffer(b"".join(raw), np.uint8), ends - [len(w) for w in raw], ends)
+        assert np.allclose(got, want, rtol=1e-9)
+
+
+def test_long_words_train_as_short_ones(monkeypatch):
+    pieces = language.load(VOCABULARY)
+    counts = [("x", w.encode(), n) for w, n in {"hello": 3, "été": 1, "other": 2}.items()] + [("y", b"haus", 2)]
+    one = language.train(pieces, counts)
+    monkeypatch.setattr(language, "SHORT", 0)
+    assert np.allclose(one.logs, language.train(pieces, counts).logs)
+
+
+def test_language_scores_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").cache()
+    model = language.fit(docs.filter(~quality.held_out(F.col("doc_id"), 4, 2)), VOCABULARY)
+    got = {r.doc_id: r for r in queries.op7_language(spark, SF).collect()}
+    pieces, chance, held = language.load(VOCABULARY), np.exp(model.logs), {}
+    apart = re.compile(rb"[A-Za-z\x80-\xff]+")
+    for d in docs.filter("doc_id % 5 = 0").collect():
+        total = np.zeros(len(model.languages))
+        for word in apart.findall(bytes(language.lower(np.frombuffer((d.text or "").encode(), np.uint8)))):
+            if word not in held:
+                held[word] = log_forward(pieces, chance, word)
+            total += held[word]
+        r = got[d.doc_id]
+        if not any(c.isalpha() for c in d.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            assert r.lang_pred == model.languages[total.argmax()] and abs(r.score - 1 / np.exp(total - total.max()).sum()) < 1e-6
+
+
+def test_language_learns_rare_languages(spark):
+    rows = [(i, "the cat sat on the mat", "en") for i in range(400)] + [(1000, "das Haus ist groß", "de"), (1001, "x" * 5000 + " das Haus", "de")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), VOCABULARY, most_rows=20)
+    assert model.languages == ["de", "en"]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), VOCABULARY, most_rows=20, most_bytes=0)
+    assert model.languages == []
+
+
 def test_em_raises_the_likelihood():
     pieces = language.load(VOCABULARY)
     counts = [("x", w.encode(), 1) for w in "the cat sat on the mat with another cat".split()]

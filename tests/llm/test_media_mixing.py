@@ -1,5 +1,6 @@
 import hashlib
 import struct
+import tracemalloc
 import zlib
 
 import pytest
@@ -33,6 +34,17 @@ def test_damaged_containers_give_errors():
     assert media.describe(None) is None
 
 
+def test_counts_are_held_against_the_length():
+    """A few bytes that claim very many samples cost no memory."""
+    for sizes in ((1, 300_000_000), (0xFFFFFFFF, 0xFFFFFFFF), (0, 300_000_000)):
+        table = media.box(b"stbl", media.full(b"stsc", struct.pack(">I3I", 1, 1, sizes[1], 1)), media.full(b"stsz", struct.pack(">2I", *sizes)), media.full(b"stco", struct.pack(">II", 1, 8)))
+        stored = media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.box(b"minf", table))))
+        tracemalloc.start()
+        assert media.describe(stored)["error"]
+        assert tracemalloc.get_traced_memory()[1] < 1 << 20
+        tracemalloc.stop()
+
+
 def test_variable_sizes_and_wide_offsets():
     # two chunks, out of order, sizes listed sample by sample, 64-bit offsets, no sync table
     body = b"CCCC" + b"AABBB"

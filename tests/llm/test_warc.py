@@ -35,6 +35,26 @@ def test_edges(spark):
     assert least.count() == 0
 
 
+def test_query_with_null_ids(spark, tmp_path):
+    rows = [(None, "a", "u"), (None, "a", None), (7, "a", "u"), (6, None, "u"), (None, None, None), (8, "b", "u")]
+    spark.createDataFrame(rows, "page_id long, html string, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.page_id, r.record_type, r.refers_to, r.error) for r in queries.op8_warc(spark, str(tmp_path)).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[2] or 0)
+    assert sorted(got, key=key) == sorted([(None, "revisit", 7, None), (None, "revisit", 7, None), (7, "response", None, None), (6, "response", None, None), (None, "revisit", 6, None), (8, "response", None, None)], key=key)
+
+
+def test_frames_are_bounded():
+    good, long = warc.record("response", "urn:x:1", "http://a/", b"hello"), warc.record("response", "urn:x:2", "http://a/", bytes(50 << 20))
+    archive = build(b"", [good, long, good])
+    assert len(archive) < 20_000
+    assert [f["error"] is None for f in warc.records(archive, 1 << 20)] == [True, False, True]
+    assert [f["error"] is None for f in warc.records(archive)] == [True, True, True]
+    unsized = zstandard.ZstdCompressor(write_content_size=False).compress(long)
+    assert [f["error"] is None for f in warc.records(unsized + build(b"", [good]), 1 << 20)] == [False, True]
+    bomb = warc.dictionary_frame(zstandard.compress(bytes(warc.LONGEST_DICTIONARY + 1)))
+    assert "dictionary" in next(warc.records(bomb + build(b"", [good])))["error"]
+
+
 def build(dictionary, raws):
     writer = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
     return warc.dictionary_frame(dictionary) + b"".join(writer.compress(r) for r in raws)

@@ -2,11 +2,14 @@
 
 Each language has a probability for every piece of a fixed public vocabulary and for every single
 byte. A word's probability is the sum over all its segmentations into pieces, by a forward
-algorithm over many words at once; EM sets the probabilities from the same sums.
+algorithm over many words at once; EM sets the probabilities from the same sums. Words of any length
+are summed whole: short ones as products, longer ones as logarithms.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -19,12 +22,14 @@ from pyspark.sql import types as T
 
 from verdigris.llm.arrow import with_columns
 from verdigris.llm.store import least_hashed
-from verdigris.llm.words import BASE, BYTE, mix, powers, words
+from verdigris.llm.words import BASE, BYTE, mix, places, powers, words
 
-#: Longest piece used and longest part of a word scored at once, in bytes; longer words are scored in parts.
-LONGEST_PIECE, LONGEST_PART = 16, 48
-#: Each byte's factor, so that products over a part neither vanish nor overflow.
+#: Bytes of a word, with its space, up to which products neither vanish nor overflow; beyond, sums are of logarithms.
+SHORT = 33
+#: Each byte's factor in products.
 LIFT = 32.0
+#: Bytes of words that are summed together, and steps whose pieces are found together.
+CELLS, STEPS = 400_000, 4096
 #: Letters; what else is ASCII separates words.
 KINDS = np.zeros(256, np.uint8)
 KINDS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = 1
@@ -47,9 +52,9 @@ class Pieces:
     def __init__(self, model_path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         found = {bytes(lower(np.frombuffer(model.id_to_piece(i).replace("▁", " ").encode(), np.uint8))) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-        self.pieces = sorted(p for p in found if 1 < len(p) <= LONGEST_PIECE and b" " not in p[1:])
-        self.size = len(self.pieces) + 256
-        self.power = powers(BASE, LONGEST_PART + 2)
+        self.pieces = sorted(p for p in found if len(p) > 1 and b" " not in p[1:])
+        self.size, self.longest = len(self.pieces) + 256, max(map(len, self.pieces))
+        self.power = powers(BASE, self.longest)
         keys = np.array([self.hash(np.frombuffer(p, np.uint8)) for p in self.pieces], np.uint64)
         self.bits = 20
         self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
@@ -76,21 +81,30 @@ class Pieces:
             todo, at = todo[more], at[more]
         return out
 
-    def lattice(self, text: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-        """Of a matrix of equally long words: for each start and length, the rows that have a piece there, and the pieces."""
+    def lattice(self, text: np.ndarray) -> Iterator[tuple[int, list[tuple[int, np.ndarray | None, np.ndarray]]]]:
+        """Of a matrix of words: for each end in turn the (start, rows, pieces) that end there; rows None: all.
+
+        Pieces are found for STEPS ends at once, so that a very long word needs little memory.
+        """
         n, width = text.shape
-        terms = BYTE[text] * self.power[:width]
-        sums = np.concatenate([np.zeros((n, 1), np.uint64), np.cumsum(terms, axis=1, dtype=np.uint64)], axis=1)
-        back = powers(pow(BASE, -1, 2**64), width + 1)
-        arcs = {}
-        for a in range(width):
-            for b in range(a + 2, min(width, a + LONGEST_PIECE) + 1):
-                piece = self.find(mix((sums[:, b] - sums[:, a]) * back[a]))
-                rows = np.flatnonzero(piece >= 0)
-                if len(rows):
-                    arcs[a, b] = rows, piece[rows]
-            arcs[a, a + 1] = np.arange(n), len(self.pieces) + text[:, a].astype(np.int64)
-        return arcs
+        back = powers(pow(BASE, -1, 2**64), STEPS + self.longest)
+        power = powers(BASE, STEPS + self.longest)
+        for low in range(0, width, STEPS):
+            high, base = min(width, low + STEPS), max(0, low + 1 - self.longest)
+            part = text[:, base:high].T
+            sums = np.concatenate([np.zeros((1, n), np.uint64), np.cumsum(BYTE[part] * power[: len(part), None], axis=0, dtype=np.uint64)])
+            ends: list[list] = [[] for _ in range(high - low)]
+            for size in range(2, min(self.longest, len(part)) + 1):
+                a = max(0, low + 1 - size - base)  # the first start whose end is beyond low
+                piece = self.find(mix(((sums[a + size :] - sums[a:-size]) * back[a : len(part) - size + 1, None]).ravel()))
+                hits = np.flatnonzero(piece >= 0)
+                start, rows, piece = hits // n, hits % n, piece[hits]
+                edges = np.flatnonzero(np.concatenate([[True], start[1:] != start[:-1], [True]])) if len(hits) else []
+                for i, j in itertools.pairwise(edges):
+                    k = a + int(start[i])
+                    ends[k + size - 1 - (low - base)].append((base + k, rows[i:j], piece[i:j]))
+            for end, arcs in enumerate(ends, low + 1):
+                yield end, [(end - 1, None, len(self.pieces) + text[:, end - 1].astype(np.int64)), *arcs]
 
 
 @lru_cache(maxsize=2)
@@ -99,49 +113,55 @@ def load(model_path: str) -> Pieces:
     return Pieces(model_path)
 
 
-def parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cuts words into parts of at most LONGEST_PART bytes: the word of each part, its start and its end."""
-    count = -(-(ends - starts) // LONGEST_PART)
-    word = np.repeat(np.arange(len(starts)), count)
-    nth = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
-    a = starts[word] + nth * LONGEST_PART
-    return word, a, np.minimum(a + LONGEST_PART, ends[word])
-
-
-def matrices(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = 20_000):
-    """Blocks of parts of like length, as (places, matrix of bytes with a space before each)."""
-    size = b - a
-    order = np.argsort(size, kind="stable")
-    edges = np.searchsorted(size[order], np.arange(1, LONGEST_PART + 2))
-    for n, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True), 1):
-        for k in range(i, j, most):
-            at = order[k : min(j, k + most)]
-            text = np.full((len(at), n + 1), 0x20, np.uint8)
-            text[:, 1:] = data[a[at][:, None] + np.arange(n)]
-            yield at, text
+def matrices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of words, as (places, matrix of bytes with a space before each, sizes with it): short words by
+    their length, longer ones of like length with zeros after their end."""
+    size = ends - starts + 1
+    group = np.where(size <= SHORT, size, SHORT + np.ceil(np.log2(size)).astype(np.int64))
+    order = np.argsort(group, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) > 0, [True]])) if len(order) else []
+    for i, j in itertools.pairwise(edges):
+        step = max(1, CELLS // int(size[order[i:j]].max()))
+        for k in range(i, j, step):
+            at = order[k : min(j, k + step)]
+            text = np.zeros((len(at), int(size[at].max())), np.uint8)
+            text[:, 0] = 0x20
+            text[:, 1:][np.arange(1, text.shape[1]) < size[at][:, None]] = data[places(starts[at], ends[at] - starts[at])]
+            yield at, text, size[at]
+
+
+def forward(arcs: Iterable, width: int, chance: Callable[[np.ndarray, np.ndarray | None], np.ndarray], shape: tuple[int, ...], logs: bool) -> np.ndarray:
+    """Sums over all segmentations up to each step: products, or logarithms. ``chance``: of pieces in rows."""
+    alpha = np.full((width + 1, *shape), -np.inf) if logs else np.zeros((width + 1, *shape))
+    alpha[0] = 0 if logs else 1
+    for end, found in arcs:
+        for start, rows, piece in found:
+            if rows is None:
+                alpha[end] = alpha[start] + chance(piece, rows) if logs else alpha[start] * chance(piece, rows)
+            elif logs:
+                alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[start, rows] + chance(piece, rows))
+            else:
+                alpha[end, rows] += alpha[start, rows] * chance(piece, rows)
+    return alpha
 
 
 @dataclass
 class Model:
     languages: list[str]
-    lifted: np.ndarray  # pieces x languages: probability times LIFT**bytes
+    logs: np.ndarray  # pieces x languages: logarithm of the probability
+    lifted: np.ndarray  # the same: probability times LIFT**bytes
 
     def score(self, pieces: Pieces, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log-probability of each word in each language."""
-        word, a, b = parts(data, starts, ends)
-        out = np.zeros((len(a), len(self.languages)))
-        for at, text in matrices(data, a, b):
-            width = text.shape[1]
-            alpha = [np.ones((len(at), len(self.languages))), *[np.zeros((len(at), len(self.languages))) for _ in range(width)]]
-            for (i, j), (rows, piece) in pieces.lattice(text).items():
-                if len(rows) == len(at):
-                    alpha[j] += alpha[i] * self.lifted[piece]
-                else:
-                    alpha[j][rows] += alpha[i][rows] * self.lifted[piece]
-            out[at] = np.log(alpha[width]) - width * np.log(LIFT)
-        total = np.zeros((len(starts), len(self.languages)))
-        np.add.at(total, word, out)
-        return total
+        out = np.zeros((len(starts), len(self.languages)))
+        for at, text, size in matrices(data, starts, ends):
+            n, width = text.shape
+            logs = width > SHORT
+            of = self.logs if logs else self.lifted
+            alpha = forward(pieces.lattice(text), width, lambda piece, _, of=of: of[piece], (n, len(self.languages)), logs)
+            whole = alpha[size, np.arange(n)]
+            out[at] = whole if logs else np.log(whole) - width * np.log(LIFT)
+        return out
 
 
 def lift(pieces: Pieces) -> np.ndarray:
@@ -156,37 +176,46 @@ def train(pieces: Pieces, counts: list[tuple[str, bytes, int]], rounds: int = 4,
     data = np.frombuffer(b"".join(w for _, w, _ in counts), np.uint8)
     ends = np.cumsum(np.array([len(w) for _, w, _ in counts], np.int64))
     starts = ends - np.array([len(w) for _, w, _ in counts], np.int64)
-    word, a, b = parts(data, starts, ends)
-    lang = np.array([number[x] for x, _, _ in counts])[word]
-    weight = np.array([n for _, _, n in counts], np.float64)[word]
-    blocks = [(at, text.shape[1], pieces.lattice(text)) for at, text in matrices(data, a, b)]
+    lang = np.array([number[x] for x, _, _ in counts], np.int64)
+    weight = np.array([n for _, _, n in counts], np.float64)
+    blocks = [(at, size, text.shape[1], list(pieces.lattice(text))) for at, text, size in matrices(data, starts, ends)]
     up = lift(pieces)
     chance = np.ones((pieces.size, len(languages))) / up[:, None] ** 0.5
     chance /= chance.sum(axis=0)
     for _ in range(rounds):
-        seen, lifted = np.full(chance.shape, smoothing), chance * up[:, None]
-        for at, width, arcs in blocks:
-            of = lang[at]
-            alpha = np.zeros((width + 1, len(at)))
-            beta = np.zeros((width + 1, len(at)))
-            alpha[0] = beta[width] = 1
-            for (i, j), (rows, piece) in arcs.items():
-                alpha[j][rows] += alpha[i][rows] * lifted[piece, of[rows]]
-            for (i, j), (rows, piece) in sorted(arcs.items(), key=lambda x: -x[0][0]):
-                beta[i][rows] += beta[j][rows] * lifted[piece, of[rows]]
-            for (i, j), (rows, piece) in arcs.items():
-                use = weight[at][rows] * alpha[i][rows] * beta[j][rows] * lifted[piece, of[rows]] / alpha[width][rows]
-                np.add.at(seen, (piece, of[rows]), use)
+        seen, lifted, log = np.full(chance.shape, smoothing), chance * up[:, None], np.log(chance)
+        for at, size, width, arcs in blocks:
+            of, n, logs = lang[at], len(at), width > SHORT
+            table = log if logs else lifted
+            of_piece = lambda piece, rows, table=table, of=of: table[piece, of if rows is None else of[rows]]
+            alpha = forward(arcs, width, of_piece, (n,), logs)
+            beta = np.full((width + 1, n), -np.inf) if logs else np.zeros((width + 1, n))
+            beta[size, np.arange(n)] = 0 if logs else 1
+            whole = alpha[size, np.arange(n)]
+            for end, found in reversed(arcs):
+                for start, rows, piece in found:
+                    r = slice(None) if rows is None else rows
+                    p = of_piece(piece, rows)
+                    if logs:
+                        beta[start, r] = np.logaddexp(beta[start, r], beta[end, r] + p)
+                        use = np.exp(alpha[start, r] + p + beta[end, r] - whole[r])
+                    else:
+                        beta[start, r] += beta[end, r] * p
+                        use = alpha[start, r] * p * beta[end, r] / whole[r]
+                    np.add.at(seen, (piece, of[r]), weight[at][r] * use)
         chance = seen / seen.sum(axis=0)
-    return Model(languages, chance * up[:, None])
+    return Model(languages, np.log(chance), chance * up[:, None])
 
 
-def fit(docs: DataFrame, model_path: str, most_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Trains on at most ``most_rows`` rows with a language, those of least hash: a bound on the words
-    that reach the driver; their texts are whole. Without any there is no language and all is UNKNOWN."""
-    labelled = docs.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    chosen = least_hashed(labelled, ["_id", "_lang"], most_rows).select("_id").distinct()
-    rows = docs.filter(F.col(lang_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col).eqNullSafe(F.col("_id"))).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+def fit(docs: DataFrame, model_path: str, most_rows: int = 800, most_bytes: int = 64 << 20, longest: int = 1024, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Trains on at most ``most_rows`` rows of each language, those of least hash, of ``most_bytes`` together,
+    and on their words of up to ``longest`` bytes: bounds on the words that reach the driver. Scores have
+    no such bounds. Rows without an id or a language aren't learned from, rows that repeat count each; without
+    any row there is no language and all is UNKNOWN."""
+    docs = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    labelled = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("_bytes"))
+    chosen = least_hashed(labelled, ["_id", "_lang", "_bytes"], most_rows, "_lang", "_bytes", most_bytes).select("_id").distinct()
+    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
 
     def make(batch: pa.RecordBatch) -> list:
         found = words(batch.column("_text"), kinds=KINDS, change=lower)
@@ -194,7 +223,7 @@ def fit(docs: DataFrame, model_path: str, most_rows: int = 3000, id_col: str = "
         return [pa.array([spans[a:b] for a, b in zip(found.bounds[:-1], found.bounds[1:], strict=True)], pa.list_(pa.binary()))]
 
     split = with_columns(rows, "_text", [T.StructField("_words", T.ArrayType(T.BinaryType()))], make, ["_lang"])
-    counts = split.select("_lang", F.explode("_words").alias("_word")).groupBy("_lang", "_word").count().collect()
+    counts = split.select("_lang", F.explode("_words").alias("_word")).filter(F.octet_length("_word") <= longest).groupBy("_lang", "_word").count().collect()
     return train(load(model_path), [(r["_lang"], bytes(r["_word"]), r["count"]) for r in counts])
 
 

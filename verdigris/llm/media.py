@@ -91,6 +91,8 @@ class Track:
                 raise MediaError("samples without chunks")
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         chunks, runs = t[b"stco"], t[b"stsc"]
+        if len(chunks) == 0 and count == 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(runs) == 0 or len(chunks) == 0 or runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any() or (runs[:, 1] < 0).any():
             raise MediaError("bad chunk runs")
         per = runs[np.searchsorted(runs[:, 0], np.arange(1, len(chunks) + 1), side="right") - 1, 1]
@@ -143,6 +145,8 @@ def _table(kind: bytes, data: memoryview, a: int, b: int) -> tuple[bytes, object
 
     if kind == b"stsz":
         fixed, count = struct.unpack_from(">II", data, a + 4)
+        if fixed * count > len(data):
+            raise MediaError(f"{count} samples of {fixed} bytes in {len(data)}")
         return kind, (count, np.full(count, fixed, np.int64) if fixed else numbers(a + 12, count))
     count = struct.unpack_from(">I", data, a + (8 if kind == b"stz2" else 4))[0]
     if kind == b"stz2":
@@ -231,12 +235,19 @@ def padded(text: str | None) -> bytes:
 
 
 def store_text(df: DataFrame, text_col: str = "text", media_col: str = "media", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``media_col``: the text's UTF-8 bytes, filled with spaces to a positive multiple of 192, in a container. Null counts as empty."""
+    """Adds ``media_col``: the text's UTF-8 bytes, filled with spaces to a positive multiple of 192, in a container.
+
+    Null counts as empty. Equal texts, repeated rows among them, have equal containers. Other columns stay; one of that name is replaced.
+    """
     return with_columns(df, text_col, [T.StructField(media_col, T.BinaryType())], lambda b: [pa.array([write(padded(x)) for x in b.column(text_col).to_pylist()], pa.binary())], keep)
 
 
 def media_info(df: DataFrame, media_col: str = "media", info_col: str = "info", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``info_col``, a struct with what the container says of its first track, or an error; null for null."""
+    """Adds ``info_col``, a struct with what the container says of its first track, or an error; null for null.
+
+    Rows are described one by one, so repeated rows get equal values. Counts in a table are held against the
+    container's length before anything is made of them.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(INFO)

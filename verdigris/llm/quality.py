@@ -7,9 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from verdigris.llm.arrow import with_columns
-from verdigris.llm.store import least_hashed
+from verdigris.llm.store import least_hashed, release, stored
 from verdigris.llm.words import LOWER, mix, words
 
 BITS = 18
@@ -58,11 +59,12 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts == part
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
-    """Trains on at most ``most_rows`` rows of ``labels``, those of least hash; null labels and ids don't count.
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, most_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
+    """Trains on at most ``most_rows`` rows of ``labels``, those of least hash, and of them on those whose vectors
+    have ``most_bytes`` together; null labels and ids don't count.
 
-    That bound keeps the examples in the driver's memory; their texts are whole. Without labelled rows
-    all weights are 0 (every score 0.5).
+    These bounds keep the examples in the driver's memory; their texts are whole. Rows that repeat an id
+    count each. Without labelled rows all weights are 0 (every score 0.5).
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     chosen = least_hashed(known, ["_id", "_label"], most_rows)
@@ -73,7 +75,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, id_col: str =
         cut = lambda x: [x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return [pa.array(cut(place), pa.binary()), pa.array(cut(value), pa.binary())]
 
-    rows = with_columns(pairs, "_text", [T.StructField("_place", T.BinaryType()), T.StructField("_value", T.BinaryType())], make, ["_id", "_label"]).orderBy(F.xxhash64("_id"), "_id", "_label", "_place").collect()
+    vectors = stored(with_columns(pairs, "_text", [T.StructField("_place", T.BinaryType()), T.StructField("_value", T.BinaryType())], make, ["_id", "_label"]), "quality-vectors")
+    order = [F.xxhash64("_id"), "_id", "_label", "_place"]
+    so_far = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of the sample's rows
+    rows = vectors.withColumn("_so_far", F.sum(F.octet_length("_place") + F.octet_length("_value")).over(so_far)).filter(F.col("_so_far") <= most_bytes).orderBy(*order).collect()
+    release(vectors)
     return train([(np.frombuffer(r._place, np.int32), np.frombuffer(r._value, np.float32), r._label) for r in rows])
 
 

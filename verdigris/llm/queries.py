@@ -102,7 +102,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")), payloads=False)
-    number = lambda c: F.substring(c, len(warc.RECORD_URN) + 1, 40).cast("long")
+    number = lambda c: F.substring(c, len(warc.RECORD_URN) + 1, 40).try_cast("long")  # noqa: E731  # a null id has no digits
     return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "error")
 
 

@@ -7,13 +7,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set (as in tests)."""
+    """The session's checkpoint folder. Only a session with a local master, which has one machine, gets a
+    temporary one where none is set; any other must name it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="verdigris-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="verdigris-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -41,14 +48,27 @@ def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
-def least_hashed(df: DataFrame, keys: list[str], most_rows: int) -> DataFrame:
+def least_hashed(df: DataFrame, keys: list[str], most_rows: int, by: str | None = None, size: str | None = None, most_size: int = 0) -> DataFrame:
     """About ``most_rows`` rows of least hash of the first key, never more: a bounded sample that reruns repeat.
 
     A count sets a threshold on the hash, so that no task holds or sends more than its share of
-    twice that number; without it every task would send its own ``most_rows``.
+    twice that number; without it every task would send its own ``most_rows``. ``by``: so many rows of
+    each value of that column. ``size``: of the chosen rows, in the order of the hash, only those stay with
+    which the sum of that column is at most ``most_size``.
     """
-    total = df.count()
     hashed = F.xxhash64(keys[0])
-    if total > 2 * most_rows:
-        df = df.filter(hashed < int(-(2**63) + 2**64 * (2 * most_rows / total)))
-    return df.orderBy(hashed, *keys).limit(most_rows)
+    if by is None:
+        total = df.count()
+        if total > 2 * most_rows:
+            df = df.filter(hashed < int(-(2**63) + 2**64 * (2 * most_rows / total)))
+        chosen = df.orderBy(hashed, *keys).limit(most_rows)
+    else:
+        totals = stored(df.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_total")), "sample-totals")
+        below = df.join(small(totals), F.col(by).eqNullSafe(F.col("_by"))).filter((F.col("_total") <= 2 * most_rows) | (hashed < -(2.0**63) + 2.0**64 * (2 * most_rows / F.col("_total"))))
+        nth = Window.partitionBy("_by").orderBy(hashed, *keys)
+        chosen = below.withColumn("_nth", F.row_number().over(nth)).filter(F.col("_nth") <= most_rows).drop("_by", "_total", "_nth")
+    if size is None:
+        return chosen
+    chosen = stored(chosen, "sample")
+    so_far = Window.orderBy(hashed, *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of the sample's few rows
+    return chosen.withColumn("_so_far", F.sum(size).over(so_far)).filter(F.col("_so_far") <= most_size).drop("_so_far")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import struct
 import urllib.parse
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 RECORD_URN = "urn:verdigris:page:"
 ARCHIVE_BYTES = 8 << 20
+#: Bytes of a dictionary and of a record beyond which a frame is taken for damaged; a value of a column holds no more than the latter.
+LONGEST_DICTIONARY, LONGEST_RECORD = 64 << 20, (1 << 31) - (1 << 20)
 
 RECORD = T.StructType(
     [
@@ -127,8 +130,23 @@ def parse(raw: bytes) -> dict:
     return out
 
 
-def records(archive: bytes) -> Iterator[dict]:
-    """The records of an archive; after a damaged frame or record comes a row with its error."""
+def unpacked(reader: zstandard.ZstdDecompressor, frame: memoryview | bytes, most: int) -> bytes:
+    """The content of a frame, decoded in steps so that no more than ``most`` bytes are ever held."""
+    size = zstandard.frame_content_size(bytes(frame[:18]))
+    if size > most:
+        raise WarcError(f"a frame of {size} bytes, {most} at most")
+    with reader.stream_reader(io.BytesIO(frame)) as stream:
+        parts, total = [], 0
+        while part := stream.read(1 << 20):
+            parts.append(part)
+            total += len(part)
+            if total > most:
+                raise WarcError(f"a frame of over {most} bytes")
+    return b"".join(parts)
+
+
+def records(archive: bytes, most: int = LONGEST_RECORD) -> Iterator[dict]:
+    """The records of an archive; after a damaged frame or record, or one of over ``most`` bytes, comes a row with its error."""
     data, at, dictionary = memoryview(archive), 0, b""
     if len(data) >= 8 and struct.unpack_from("<I", data)[0] == DICTIONARY_FRAME:
         at = 8 + struct.unpack_from("<I", data, 4)[0]
@@ -137,7 +155,11 @@ def records(archive: bytes) -> Iterator[dict]:
             yield {"error": "the dictionary is cut short"}
             return
         if dictionary[:4] == struct.pack("<I", FRAME):
-            dictionary = zstandard.ZstdDecompressor().decompress(dictionary, max_output_size=64 << 20)
+            try:
+                dictionary = unpacked(zstandard.ZstdDecompressor(), dictionary, LONGEST_DICTIONARY)
+            except (WarcError, zstandard.ZstdError) as e:
+                yield {"error": f"the dictionary: {e}"}
+                return
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
     while at < len(data):
         try:
@@ -146,8 +168,7 @@ def records(archive: bytes) -> Iterator[dict]:
             yield {"error": str(e)}
             return
         try:
-            raw = reader.decompressobj().decompress(data[at:end])
-            yield parse(raw)
+            yield parse(unpacked(reader, data[at:end], most))
         except (WarcError, zstandard.ZstdError) as e:
             yield {"error": str(e)}
         at = end
