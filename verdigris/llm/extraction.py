@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,57 +36,126 @@ TAG = re.compile(r"""<(/?)([a-zA-Z][^\s>/]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
 NAMES = re.compile(r"""(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 WORDY = re.compile(r"[a-z]+")
 
+#: What the semantic tags of a page say of its blocks.
+_MAIN = frozenset("article main".split())
+_ASIDE = frozenset("nav aside footer form head button select textarea".split())
+_NOISE = frozenset("ad ads advert advertisement promo promoted sponsor sponsored cookie cookies consent banner notice popup newsletter subscribe sidebar widget related share social comment comments reply replies menu breadcrumb breadcrumbs nav footer copyright disclaimer".split())
+#: What bare pages lack: names of elements, and tags that say what they hold.
+_BARE_NAMES = re.compile(r"""\s(?:class|id|role)=(?:"[^"]*"|[^\s>]+)""")
+_BARE_TAGS = re.compile(r"<(/?)(?:article|aside|footer|header|main|nav|section)(?=[\s>])")
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
+
 PATH_DIM, WORD_DIM, HIDDEN = 40, 12, 20
 WIDTH = PATH_DIM + WORD_DIM + 8
 SAMPLE_PAGES, MADE_PAGES = 300, 400
+#: Blocks of a page that are learned from: of a longer one, a run of so many.
+RUN = 400
 #: Steps of padding that one batch of pages may hold.
 BATCH_STEPS = 20_000
 
 
+class Node:
+    """An open element: what its tag and names say, and all that the path to it says, by way of its parent."""
+
+    __slots__ = ("main", "name", "noise", "parent", "tag", "vector")
+
+    def __init__(self, tag: str, name: str, parent: Node | None):
+        self.tag, self.name, self.parent = tag, name, parent
+        self.main = tag in _MAIN or (parent is not None and parent.main)
+        self.noise = tag in _ASIDE or not _NOISE.isdisjoint(name.split()[1:]) or (parent is not None and parent.noise)
+        self.vector: np.ndarray | None = None
+
+    def path(self) -> tuple[str, ...]:
+        found, node = [], self
+        while node is not None:
+            found.append(node.name)
+            node = node.parent
+        return tuple(reversed(found))
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    node: Node | None
     text: str
     linked: float  # share of characters inside links
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        return self.node.path() if self.node is not None else ()
+
+
+class Stack:
+    """Open elements, with the places of each tag and of the containers, so that no step looks through all of them."""
+
+    def __init__(self) -> None:
+        self.nodes: list[Node] = []
+        self.of_tag: dict[str, list[int]] = {}
+        self.containers: list[int] = []
+        self.links = self.silent = 0
+
+    def top(self) -> Node | None:
+        return self.nodes[-1] if self.nodes else None
+
+    def push(self, tag: str, name: str) -> None:
+        self.of_tag.setdefault(tag, []).append(len(self.nodes))
+        if tag in CONTAINERS:
+            self.containers.append(len(self.nodes))
+        self.nodes.append(Node(tag, name, self.top()))
+        self.links += tag == "a"
+        self.silent += tag in SILENT
+
+    def last(self, tags: Iterable[str]) -> int:
+        return max((self.of_tag[t][-1] for t in tags if self.of_tag.get(t)), default=-1)
+
+    def last_container(self) -> int:
+        return self.containers[-1] if self.containers else -1
+
+    def close(self, k: int) -> None:
+        while len(self.nodes) > k:
+            tag = self.nodes.pop().tag
+            self.of_tag[tag].pop()
+            if tag in CONTAINERS:
+                self.containers.pop()
+            self.links -= tag == "a"
+            self.silent -= tag in SILENT
+
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order: text between starts and ends of elements that aren't inline, and
-    line breaks. Character references are decoded and white space runs are one space."""
+    line breaks. Character references are decoded and white space runs are one space. Time and memory
+    are in proportion to the page, however deep its elements nest."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # tag, and what the path says of it
+    stack = Stack()
     text: list[str] = []
-    path: tuple[str, ...] | None = None
-    links = silent = 0
+    node: Node | None = None
+    placed = False
     linked = 0
     at, n = 0, len(page)
 
     def flush() -> None:
-        nonlocal path, linked
+        nonlocal placed, linked
         if text:
             whole = " ".join("".join(text).split())
             if whole:
-                out.append(Block(path or (), whole, min(1.0, linked / len(whole))))
+                out.append(Block(node if placed else None, whole, min(1.0, linked / len(whole))))
             text.clear()
-        path, linked = None, 0
+        placed, linked = False, 0
 
-    def close(k: int) -> None:
-        nonlocal links, silent
-        for tag, _ in stack[k:]:
-            links -= tag == "a"
-            silent -= tag in SILENT
-        del stack[k:]
+    def place() -> None:
+        nonlocal node, placed
+        if not placed:
+            node, placed = stack.top(), True
 
     while at < n:
         start = page.find("<", at)
         if start < 0:
             start = n
-        if start > at and not silent:
+        if start > at and not stack.silent:
             piece = html.unescape(page[at:start]) if "&" in page[at:start] else page[at:start]
-            if path is None and not piece.isspace():
-                path = tuple(name for _, name in stack)
+            if not placed and not piece.isspace():
+                place()
             text.append(piece)
-            if links:
+            if stack.links:
                 linked += len(piece)
         if start == n:
             break
@@ -103,50 +173,36 @@ def blocks(page: str) -> list[Block]:
                 end = page.find(">", start)
                 at = n if end < 0 else end + 1
             else:
-                if not silent:
+                if not stack.silent:
                     text.append("<")
-                    path = path if path is not None else tuple(name for _, name in stack)
+                    place()
                 at = start + 1
             continue
         closing, tag, attributes = found[1], found[2].lower(), found[3]
         at = found.end()
-        if tag not in INLINE and not silent:
+        if tag not in INLINE and not stack.silent:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if tag in INLINE and stack[k][0] in CONTAINERS:
-                    break
+            k = stack.last((tag,))
+            if k >= 0 and (tag not in INLINE or k > stack.last_container()):
+                stack.close(k)
             continue
         if tag in VOID:
             continue
-        if tag not in INLINE:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in CONTAINERS:
-                    break
+        if tag not in INLINE and (k := stack.last(("p",))) > stack.last_container():
+            stack.close(k)
         if tag in CLOSES:
             shut, until = CLOSES[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in shut:
-                    close(k)
-                    break
-                if stack[k][0] in until:
-                    break
+            if (k := stack.last(shut)) > stack.last(until):
+                stack.close(k)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            end = _RAW_END[tag].search(page, at)
             at = n if end is None else end.end()
             continue
         if attributes.endswith("/"):
             continue
         names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)).lower() if attributes else ""
-        stack.append((tag, " ".join([tag, *WORDY.findall(names)])))
-        links += tag == "a"
-        silent += tag in SILENT
+        stack.push(tag, " ".join([tag, *WORDY.findall(names)]))
     flush()
     return out
 
@@ -158,21 +214,31 @@ def _vectors(tokens: np.ndarray, dim: int) -> np.ndarray:
 
 
 class Encoder:
-    """Input vectors of blocks; paths are remembered."""
+    """Input vectors of blocks. A path's vector is the sum of its elements'; those of names are remembered."""
 
     def __init__(self) -> None:
-        self.known: dict[tuple[str, ...], np.ndarray] = {}
+        self.known: dict[str, np.ndarray] = {}
 
-    def path(self, path: tuple[str, ...]) -> np.ndarray:
-        if (found := self.known.get(path)) is None:
-            tokens = [t for name in path for t in name.split()]
-            hashes = words(pa.array([" ".join(tokens)])).hashes
-            found = _vectors(hashes, PATH_DIM).sum(axis=0) if len(hashes) else np.zeros(PATH_DIM, np.float32)
+    def name(self, name: str) -> np.ndarray:
+        if (found := self.known.get(name)) is None:
+            found = _vectors(words(pa.array([name])).hashes, PATH_DIM).sum(axis=0)
             if len(self.known) > 50_000:
                 self.known.clear()
-            self.known[path] = found
+            self.known[name] = found
         return found
 
+    def path(self, node: Node | None) -> np.ndarray:
+        if node is None:
+            return np.zeros(PATH_DIM, np.float32)
+        todo = []
+        while node is not None and node.vector is None:
+            todo.append(node)
+            node = node.parent
+        above = node.vector if node is not None else np.zeros(PATH_DIM, np.float32)
+        for node in reversed(todo):
+            above = node.vector = above + self.name(node.name)
+        return above
+
     def __call__(self, pages: list[list[Block]]) -> list[np.ndarray]:
         flat = [b for page in pages for b in page]
         if not flat:
@@ -191,7 +257,7 @@ class Encoder:
         nth = np.concatenate([np.arange(len(p)) for p in pages])
         of = np.repeat([len(p) for p in pages], [len(p) for p in pages])
         plain = np.stack([np.log1p(size) / 5, np.log1p(count) / 4, np.array([b.linked for b in flat]), ends, nth / of, 1 - nth / of, np.log1p(of) / 5, np.ones(len(flat))], axis=1)
-        whole = np.concatenate([np.stack([self.path(b.path) for b in flat]), sums / np.sqrt(count)[:, None], plain], axis=1).astype(np.float32)
+        whole = np.concatenate([np.stack([self.path(b.node) for b in flat]), sums / np.sqrt(count)[:, None], plain], axis=1).astype(np.float32)
         return np.split(whole, np.cumsum([len(p) for p in pages])[:-1])
 
 
@@ -295,7 +361,7 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def train(pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 15, size: int = 32, rate: float = 0.01, seed: int = 7) -> Labeller:
     """Adam over batches of pages (vectors, labels)."""
     model, rng = Labeller(seed), np.random.default_rng(seed)
-    pages = [p for p in pages if 0 < len(p[0]) <= 400]
+    pages = [p for p in pages if len(p[0])]
     first, second = ([np.zeros_like(w) for w in model.weights] for _ in range(2))
     step = 0
     for r in range(rounds):
@@ -321,26 +387,18 @@ def train(pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 15, size: in
     return model
 
 
-#: What the semantic tags of a page say of its blocks.
-_MAIN = frozenset("article main".split())
-_ASIDE = frozenset("nav aside footer form head button select textarea".split())
-_NOISE = frozenset("ad ads advert advertisement promo promoted sponsor sponsored cookie cookies consent banner notice popup newsletter subscribe sidebar widget related share social comment comments reply replies menu breadcrumb breadcrumbs nav footer copyright disclaimer".split())
-
-
 def marked(page: list[Block]) -> np.ndarray | None:
     """Labels of a page that marks its article by article or main, None of another."""
-    out, any_main = [], False
-    for b in page:
-        tags = [name.split() for name in b.path]
-        inside = [k for k, t in enumerate(tags) if t[0] in _MAIN]
-        any_main |= bool(inside)
-        out.append(bool(inside) and not any(t[0] in _ASIDE or set(t[1:]) & _NOISE for t in tags))
-    return np.array(out, np.float32) if any_main else None
+    nodes = [b.node for b in page if b.node is not None]
+    if not any(node.main for node in nodes):
+        return None
+    return np.array([b.node is not None and b.node.main and not b.node.noise for b in page], np.float32)
 
 
 def made_pages(count: int, seed: int = 11) -> list[tuple[list[Block], np.ndarray]]:
     """Pages of a seeded generator, parsed from HTML, with their labels: main text carries a mark in the
-    text that is taken off again before anything reads it."""
+    text that is taken off again before anything reads it. Some pages are bare, without any names of
+    elements, and some are long."""
     rng = random.Random(seed)
     pick = lambda *x: rng.choice(x)
     syllables = "an er on th in re st ti en ou le que au de la ge sch un ei ver os ci ue mo ra ta".split()
@@ -373,7 +431,7 @@ def made_pages(count: int, seed: int = 11) -> list[tuple[list[Block], np.ndarray
 
     def article() -> str:
         parts = [f"<h1>\x01{phrase(3, 12)}</h1>"] if rng.random() < 0.8 else []
-        for _ in range(rng.randrange(1, 14)):
+        for _ in range(rng.randrange(1, 14) if rng.random() < 0.97 else rng.randrange(100, 800)):
             kind = rng.random()
             if kind < 0.72:
                 parts.append(f"<p>{pick('', '', '<b>')}\x01{phrase(1, 120, '.')}{pick('', '', '', f' <a href=/x>{phrase(1, 4)}</a>')}{pick('</p>', '</p>', '</p>', '<br>')}")
@@ -398,31 +456,41 @@ def made_pages(count: int, seed: int = 11) -> list[tuple[list[Block], np.ndarray
         after = [noise() for _ in range(rng.randrange(0, 4))]
         after.append(f'<{pick("footer", "div class=footer", "div id=footer")}>&copy; {phrase(2, 12)} &middot; {phrase(2, 14, ".")}</footer></div>')
         page = f"<html><head><title>{phrase(3, 10)}</title><style>p{{}}</style></head><body>{''.join(before)}{opening}{article()}{end}{''.join(after)}{pick('</body></html>', '')}"
+        if rng.random() < 0.25:
+            page = _BARE_NAMES.sub("", _BARE_TAGS.sub(r"<\1div", page))
         found = blocks(page)
         labels = np.array(["\x01" in b.text for b in found], np.float32)
-        out.append(([Block(b.path, b.text.replace("\x01", "").strip() or "x", b.linked) for b in found], labels))
+        out.append(([Block(b.node, b.text.replace("\x01", "").strip() or "x", b.linked) for b in found], labels))
     return out
 
 
+def run_of(x: np.ndarray, y: np.ndarray, chance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a page's vectors and labels a run of at most RUN; its start is ``chance`` modulo the places there are."""
+    a = chance % (len(x) - RUN + 1) if len(x) > RUN else 0
+    return x[a : a + RUN], y[a : a + RUN]
+
+
 def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample: int = SAMPLE_PAGES, made: int = MADE_PAGES) -> Labeller:
     """Trains on at most ``sample`` pages, those of least hash, whose semantic tags give labels, and on ``made`` pages
     of the generator. The bound keeps what reaches the driver small; sampled pages are parsed whole on
-    the executors, and pages of over 400 blocks are left out of training."""
+    the executors, and of one of over RUN blocks a run of that many is learned from, whose place its hash picks.
+    Null pages don't count, repeated rows count each, and a null id is an id like another."""
     chosen = least_hashed(pages.filter(F.col(html_col).isNotNull()).select(F.col(html_col).alias("_html"), F.col(id_col).alias("_id")), ["_id", "_html"], sample).withColumn("_hash", F.xxhash64("_id"))
 
     def make(batch: pa.RecordBatch) -> list:
         encoder, vectors, labels = Encoder(), [], []
-        for page in batch.column("_html").to_pylist():
+        for page, chance in zip(batch.column("_html").to_pylist(), batch.column("_hash").to_pylist(), strict=True):
             found = blocks(page)
-            y = marked(found) if 0 < len(found) <= 400 else None
-            vectors.append(None if y is None else encoder([found])[0].tobytes())
+            y = marked(found)
+            x, y = run_of(encoder([found])[0], y, chance) if y is not None else (None, None)
+            vectors.append(None if x is None else x.tobytes())
             labels.append(None if y is None else y.tobytes())
         return [pa.array(vectors, pa.binary()), pa.array(labels, pa.binary())]
 
     rows = with_columns(chosen, "_html", [T.StructField("_x", T.BinaryType()), T.StructField("_y", T.BinaryType())], make, ["_hash"]).collect()
     real = [(np.frombuffer(r._x, np.float32).reshape(-1, WIDTH), np.frombuffer(r._y, np.float32)) for r in sorted(rows, key=lambda r: (r._hash, r._x or b"")) if r._x]
     encoder = Encoder()
-    return train(real + [(encoder([page])[0], y) for page, y in made_pages(made)])
+    return train(real + [run_of(encoder([page])[0], y, 7919 * k) for k, (page, y) in enumerate(made_pages(made))])
 
 
 def extract(df: DataFrame, model: Labeller, html_col: str = "html", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
