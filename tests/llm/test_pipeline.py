@@ -36,12 +36,6 @@ def test_quality(spark, steps):
     assert Counter(steps[1].collect()) == Counter(r for r in steps[0].collect() if scores[r.doc_id])
 
 
-def test_near_dedup(steps):
-    rows = steps[1].collect()
-    want = brute_groups([(r.doc_id, r.text) for r in rows])
-    assert Counter(steps[2].collect()) == Counter(r for r in rows if want[r.doc_id][1] == r.doc_id)
-
-
 def test_near_dedup_from_0_80(spark, steps):
     """Pairs of 0.80 to 0.85 are near-duplicates too; one of 0.79 isn't."""
     rows = steps[1].collect()
@@ -94,6 +88,47 @@ def test_encoding(steps):
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in steps[5].collect()) == Counter((r.doc_id, *want(r.text)) for r in steps[4].collect())
 
 
+CLASHING = ["score", "n_words", "n_removed", "kept", "size", "source_size", "target", "taken", "ids", "decoded", "_row", "_id", "id", "component_id"]
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and very long texts, repeated rows and columns named like the operators' own."""
+    passage = " ".join(f"w{k}" for k in range(40))
+    long = " ".join(f"v{k % 997}x{k}" for k in range(60_000))
+    texts = [(1, "plain words of a plain text", "en", "a"), (2, None, "en", "a"), (3, "", None, "b"), (4, f"one {passage} two", "en", "a"), (5, f"three {passage} four five", "fr", None), (6, long, "en", "b"), (6, long, "en", "b"), (None, "no id at all here", None, None), (None, None, None, None), (8, " \t\n", "en", "a"), (9, "漢字 " * 3000, "xx", "b")]
+    rows = [(i, t, lang, source, None if t is None else len(t), *[f"{c}-{k}" if k % 3 else None for c in CLASHING]) for k, (i, t, lang, source) in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)).repartition(3)
+
+
+def test_stages_keep_clashing_columns(spark):
+    docs = odd_documents(spark)
+    want = Counter(map(tuple, docs.collect()))
+    good = corpus_pipeline.quality_stage(spark, docs, SF)
+    assert good.columns == docs.columns and not Counter(map(tuple, good.collect())) - want
+    kept = Counter(map(tuple, corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()))
+    assert not kept - want and sorted(r[0] for r in (want - kept).elements()) == [5, 6]
+    cut = corpus_pipeline.substring_stage(spark, docs, SF)
+    assert cut.columns == docs.columns and cut.dtypes == docs.dtypes
+    for r in cut.collect():
+        if r.doc_id in (5, 9):
+            assert r.text == ("three four five" if r.doc_id == 5 else "漢字") and r.n_chars == len(r.text)
+        else:
+            assert want[tuple(r)] > 0
+    own = {r.doc_id: [tuple(r)[5:] for r in docs.collect() if r.doc_id == r.doc_id] for r in docs.collect()}
+    mixed = corpus_pipeline.mixing_stage(spark, docs, SF).collect()
+    assert mixed and {r.doc_id for r in mixed} <= {1, 4, 5, 6, None, 9}
+    assert all(tuple(r)[5:] in own[r.doc_id] and r.n_chars == len(r.text) for r in mixed)
+    encoded = corpus_pipeline.encoding_stage(spark, docs, SF).collect()
+    assert len(encoded) == docs.count() and sum(r.n_tokens == 0 for r in encoded) == 3
+
+
+def test_run_on_odd_documents(spark, tmp_path):
+    odd_documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert rows and all(r.n_tokens > 0 and len(r.ids_sha256) == 64 for r in rows)
+
+
 def test_run_and_empty_tables(spark, steps, tmp_path):
     for table in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")

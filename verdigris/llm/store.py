@@ -36,9 +36,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing will read any more."""
+    """Deletes stored tables that nothing will read any more; others among ``tables`` are left alone."""
     for df in tables:
-        spark, path = df.sparkSession, df._stored_at
+        spark, path = df.sparkSession, getattr(df, "_stored_at", None)
+        if path is None:
+            continue
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
