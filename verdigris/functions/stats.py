@@ -7,10 +7,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def average_rank(value: str | Column, by: list[str]) -> Column:
-    """Rank from 1 within a group; ties share the mean of their places."""
-    v = F.col(value) if isinstance(value, str) else value
-    return F.rank().over(Window.partitionBy(*by).orderBy(v)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, v)) - 1) / 2
+#: Ranges that a group's values are dealt into.
+RANGES = 64
+
+
+def same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys of the same names that takes nulls for equal; the keys of ``b`` go."""
+    renamed = b.select([F.col(c).alias(f"_b_{c}") if c in keys else F.col(c) for c in b.columns])
+    joined = a
+    on = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in keys]
+    joined = joined.join(renamed, on, how)
+    return joined.drop(*[f"_b_{c}" for c in keys])
+
+
+def average_ranks(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
+    """(by..., value, name) for every distinct number of a group: its rank from 1, ties sharing the mean of their places.
+
+    Values are counted before they are shuffled. Approximate quantiles of a group deal its values into ranges, in
+    order, so that a rank is the sum of the ranges before, a few rows a group, and of counts within its range:
+    no task sorts a whole group. The cuts may lie anywhere; ranks are exact.
+    """
+    counted = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = df.groupBy(*by).agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 1000).alias("_cuts"))
+    dealt = same(counted, cuts, by).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    sums = dealt.groupBy(*by, "_range").agg(F.sum("_n").alias("_sum"))
+    before = sums.select(*by, "_range", (F.sum("_sum").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_sum")).alias("_before"))
+    within = F.sum("_n").over(Window.partitionBy(*by, "_range").orderBy(value)) - F.col("_n")
+    return same(dealt, before, [*by, "_range"]).select(*by, value, (F.col("_before") + within + (F.col("_n") + 1) / 2).alias(name))
 
 
 def pearson(x: str, y: str, least: int = 3, nan: bool = False) -> Column:
@@ -26,7 +49,8 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str], least: int = 3, nan:
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     keys = by or ["_all"]
     pairs = pairs if by else pairs.withColumn("_all", F.lit(1))
-    ranked = pairs.select(*keys, average_rank(x, keys).alias("_x"), average_rank(y, keys).alias("_y"))
+    pairs = pairs.select(*keys, F.col(x).alias("_vx"), F.col(y).alias("_vy"))
+    ranked = same(same(pairs, average_ranks(pairs, "_vx", keys, "_x"), [*keys, "_vx"]), average_ranks(pairs, "_vy", keys, "_y"), [*keys, "_vy"])
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson("_x", "_y", least, nan).alias(name)).drop("_all")
 
 

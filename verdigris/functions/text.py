@@ -6,6 +6,7 @@ The character classes that are special to classical Chinese are parameters, so t
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +20,8 @@ SHINGLE_MARKS = "，。、；：！？「」『』《》（）()【】“”‘
 SENTENCE_MARKS = "，。：；、！？「」『』《》（）()【】 　“”‘’\n"
 LEADING_NOISE = "，。：；、！？「」『』《》（）()【】 　"
 FUNCTION_WORDS = "之乎者也而其以为与于焉夫且乃则若所是非有无可不"
+CLAUSE_MARKS = "，。、；：！？"
+BUILT_MARKS = ("从", "從", "凡", "《", "讀若", "读若", "聲", "声", "象")
 HAN = "一-鿿"
 HAN_WIDE = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2EBEF}"
 BOOK_ALIASES = {
@@ -35,6 +38,16 @@ BOOK_ALIASES = {
 }
 
 
+def let(body: Callable[..., Column], **values: Column) -> Column:
+    """``body`` of values that are computed once for a row, however often it names them.
+
+    The optimizer puts an expression in the place of each of its names, in lambdas too, where it is then computed for
+    every element; the variable of a lambda over an array of one value is not replaced.
+    """
+    held = F.array(F.struct(*[v.alias(k) for k, v in values.items()]))
+    return F.get(F.transform(held, lambda x: body(*[x[k] for k in values])), F.lit(0))
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Compatibility composition; no built-in function has it."""
@@ -154,10 +167,15 @@ def source_head(source: Column) -> Column:
 
 
 def definition_head(content: Column, table: dict[str, str] | None = None) -> Column:
-    """The first clause of a dictionary entry, before what says how a character is built."""
-    head = F.trim(F.regexp_extract(content, r"(?s)^(.*?)(?:[，。]?\s*(?:从|從|凡|《|讀若|读若|聲|声|象)|$)", 1))
-    head = F.regexp_replace(F.regexp_replace(head, r"[，。、；：！？\s]+$", ""), "也$", "")
-    return F.nullif(F.trim(convert(head, table), F.lit("，。、；：！？ ")), F.lit(""))
+    """The first clause of a dictionary entry, before what says how a character is built: without marks at either end and the particle that closes it."""
+    words = "|".join(BUILT_MARKS)
+    first = convert(F.regexp_extract(content, rf"(?s)^(.*?)(?:[，。]?\s*(?:{words})|$)", 1), table)
+    return F.nullif(F.regexp_replace(first, rf"^[{CLAUSE_MARKS}\s]+|[{CLAUSE_MARKS}\s]*也?[{CLAUSE_MARKS}\s]*$", ""), F.lit(""))
+
+
+def shingle(text: Column, size: int = 24, marks: str = SHINGLE_MARKS) -> Column:
+    """What a corpus is searched for: the middle run of a text without marks and white space."""
+    return middle(F.regexp_replace(without(text, marks), r"(?U)\s+", ""), size)
 
 
 def middle(text: Column, size: int) -> Column:

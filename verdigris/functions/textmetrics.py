@@ -8,16 +8,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.text import PUNCTUATION, grams, without
+from verdigris.functions.text import PUNCTUATION, grams, let, without
 
 
 def f_score(p: Column, r: Column, beta: float) -> Column:
     return F.when(p + r > 0, (1 + beta * beta) * p * r / F.nullif(beta * beta * p + r, F.lit(0.0))).otherwise(0.0)
 
 
-def _overlap(pdf_p: str, pdf_r: str, n: int) -> tuple[int, int, int]:
-    a, b = (Counter(s[i : i + n] for i in range(len(s) - n + 1)) for s in (pdf_p, pdf_r))
-    return sum((a & b).values()), max(len(pdf_p) - n + 1, 0), max(len(pdf_r) - n + 1, 0)
+def _overlap(prediction: str, reference: str, n: int) -> tuple[int, int, int]:
+    """Common n-grams, each as often as on the side that has fewer, and the n-grams of both sides."""
+    a, b = (Counter([s[i : i + n] for i in range(len(s) - n + 1)]) for s in (prediction, reference))
+    less, more = (a, b) if len(a) < len(b) else (b, a)
+    return sum([min(k, more[g]) for g, k in less.items() if g in more]), max(len(prediction) - n + 1, 0), max(len(reference) - n + 1, 0)
 
 
 def chrf_value(prediction: str, reference: str, beta: float = 2.0, longest: int = 6) -> float:
@@ -58,23 +60,34 @@ def chrf_native(df: DataFrame, keys: list[str], prediction: str, reference: str,
 
 def char_f1(prediction: Column, reference: Column) -> Column:
     """F1 of character bags, in one expression: distinct characters of the prediction and their counts on both sides."""
-    letters = F.array_distinct(grams(prediction, 1))
     count = lambda text, c: F.char_length(text) - F.char_length(F.replace(text, c))
-    common = F.aggregate(letters, F.lit(0), lambda acc, c: acc + F.least(count(prediction, c), count(reference, c)))
-    p = common / F.nullif(F.char_length(prediction), F.lit(0))
-    r = common / F.nullif(F.char_length(reference), F.lit(0))
-    return F.coalesce(f_score(p, r, 1.0), F.lit(0.0))
+
+    def scored(common: Column, p: Column, r: Column) -> Column:
+        return F.coalesce(f_score(common / F.nullif(p, F.lit(0)), common / F.nullif(r, F.lit(0)), 1.0), F.lit(0.0))
+
+    def bags(p: Column, r: Column) -> Column:
+        common = F.aggregate(F.array_distinct(grams(p, 1)), F.lit(0), lambda acc, c: acc + F.least(count(p, c), count(r, c)))
+        return let(scored, common=common, p=F.char_length(p), r=F.char_length(r))
+
+    return let(bags, p=prediction, r=reference)
 
 
 def mark_places(text: Column, marks: str = PUNCTUATION) -> Column:
     """Distinct places of marks: the number of other characters before, less one (-1 for a leading mark)."""
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1))), lambda i: (F.char_length(text) > 0) & (F.instr(F.lit(marks), F.substring(text, i, F.lit(1))) > 0))
-    return F.array_distinct(F.transform(at, lambda i: F.char_length(without(F.substring(text, F.lit(1), i), marks)) - 1))
+
+    def places(t: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.greatest(F.char_length(t), F.lit(1))), lambda i: (F.char_length(t) > 0) & (F.instr(F.lit(marks), F.substring(t, i, F.lit(1))) > 0))
+        return F.array_distinct(F.transform(at, lambda i: F.char_length(without(F.substring(t, F.lit(1), i), marks)) - 1))
+
+    return let(places, t=text)
 
 
 def mark_f1(prediction: Column, reference: Column, marks: str = PUNCTUATION) -> Column:
     """F1 of places of marks, whichever mark it is; 1 if neither text has any."""
-    a, b = mark_places(prediction, marks), mark_places(reference, marks)
-    common = F.size(F.array_intersect(a, b))
-    p, r = common / F.nullif(F.size(a), F.lit(0)), common / F.nullif(F.size(b), F.lit(0))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.coalesce(f_score(F.coalesce(p, F.lit(0.0)), F.coalesce(r, F.lit(0.0)), 1.0), F.lit(0.0)))
+
+    def scored(a: Column, b: Column) -> Column:
+        common = F.size(F.array_intersect(a, b))
+        p, r = common / F.nullif(F.size(a), F.lit(0)), common / F.nullif(F.size(b), F.lit(0))
+        return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.coalesce(f_score(F.coalesce(p, F.lit(0.0)), F.coalesce(r, F.lit(0.0)), 1.0), F.lit(0.0)))
+
+    return let(scored, a=mark_places(prediction, marks), b=mark_places(reference, marks))

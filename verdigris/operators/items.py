@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from verdigris.functions import text as X
 from verdigris.functions.stats import pearson, spearman
+from verdigris.operators.containment import occurrences
 from verdigris.operators.samples import first_by
 from verdigris.schemas import HEADLINE
 
@@ -77,27 +83,40 @@ def task_redundancy(means: DataFrame, least: int = 3) -> DataFrame:
     return out.withColumn("rho", F.round("rho", 4))
 
 
-def drawn_index(seed: int, iteration: str, place: str, n: str) -> Column:
-    """A whole number below n by hash of seed, iteration and place."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(iteration).cast("string"), F.col(place).cast("string")).cast("binary"))
-    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.col(n))
+#: Draws that are held at once.
+DRAWS = 4_000_000
+
+
+@lru_cache(maxsize=4)
+def draws(seed: int, first: int, last: int, places: int) -> np.ndarray:
+    """A 32-bit number for each iteration from first to last and each place from 1, by hash: the same for every group."""
+    digests = (hashlib.md5(f"{seed}|{b}|{r}".encode()).digest()[:4] for b in range(first, last) for r in range(1, places + 1))
+    return np.frombuffer(b"".join(digests), ">u4").reshape(last - first, places).astype(np.int64)
+
+
+def resampled(values: np.ndarray, iterations: int, seed: int) -> np.ndarray:
+    """The mean of each resample: of n values, n are drawn by ``draws`` modulo n."""
+    n = len(values)
+    if n == 1:
+        return np.full(iterations, values[0])
+    step = max(1, DRAWS // n)
+    places = 1 << (n - 1).bit_length() if n * iterations <= DRAWS // 2 else n  # groups of like size share their draws
+    return np.concatenate([values[draws(seed, a, min(a + step, iterations + 1), places)[:, :n] % n].mean(axis=1) for a in range(1, iterations + 1, step)])
 
 
 def bootstrap_means(scores: DataFrame, by: list[str], order: str, iterations: int, seed: int = 42) -> DataFrame:
     """(by..., b, m): the mean of a resample of each group's scores, for every iteration.
 
-    A group's scores travel as one sorted array of doubles (items of a task, some hundreds), and
-    each iteration sums hashed places of it, so resamples are never joined or shuffled row by row.
+    A group's scores are one sorted array of doubles, the items of a task; its resamples are gathered from it
+    in numpy, so nothing but the array is shuffled.
     """
     groups = scores.filter("score IS NOT NULL").groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("score").cast("double").alias("s")))), lambda x: x["s"]).alias("_values"))
-    each = groups.select(*by, "_values", F.size("_values").cast("long").alias("_n"), F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("b"))
 
-    def hashed(place: Column) -> Column:
-        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), place.cast("string")).cast("binary"))
-        return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.col("_n")).cast("int")
+    @F.pandas_udf("array<double>")
+    def means(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: resampled(np.asarray(v, np.float64), iterations, seed))
 
-    total = F.aggregate(F.sequence(F.lit(1), F.col("_n").cast("int")), F.lit(0.0), lambda acc, r: acc + F.get(F.col("_values"), hashed(r)))
-    return each.select(*by, "b", F.when(F.col("_n") == 1, F.get("_values", F.lit(0))).otherwise(total / F.col("_n")).alias("m"))
+    return groups.select(*by, F.posexplode(means("_values")).alias("b", "m"))
 
 
 def bounds(means: DataFrame, by: list[str], iterations: int, alpha: float = 0.05) -> DataFrame:
@@ -163,10 +182,13 @@ def contamination(rows: DataFrame, by: list[str], hits: str = "hits", tier: str
 
 
 def shingle_hits(items: DataFrame, corpus: DataFrame, key: str, shingle: str, text: str) -> DataFrame:
-    """(key, hits): occurrences, not overlapping, of each item's shingle in all corpus texts.
+    """(key, hits): occurrences, not overlapping, of each item's shingle in all corpus texts; 0 for an empty one."""
+    found = occurrences(corpus, items, shingle, text).groupBy("part").agg(F.sum("hits").alias("hits"))
+    return items.join(found, F.col(shingle) == F.col("part"), "left").select(key, F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
 
-    Items are a benchmark's (hundreds): they are broadcast, and the corpus is read once and never shuffled.
-    """
-    pairs = corpus.select(F.col(text).alias("_text")).join(F.broadcast(items.filter(F.col(shingle) != "").select(key, F.col(shingle).alias("_part"))), F.col("_text").contains(F.col("_part")))
-    found = pairs.groupBy(key).agg(F.sum(X.occurrences(F.col("_text"), F.col("_part"))).alias("hits"))
-    return items.select(key).join(found, key, "left").select(key, F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
+
+def containing(items: DataFrame, corpus: DataFrame, key: str, shingle: str, text: str) -> DataFrame:
+    """(key, n_items): texts that hold an item's shingle, with the number of items."""
+    found = occurrences(corpus, items, shingle, text, [key])
+    counts = items.groupBy(F.col(shingle).alias("part")).agg(F.count(F.lit(1)).alias("_n"))
+    return found.join(counts, "part").groupBy(key).agg(F.sum("_n").alias("n_items"))
