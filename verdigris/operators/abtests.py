@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.operators.samples import first_by
+from verdigris.tables import small
+
 
 def version_accuracy(rows: DataFrame, versions: list[str]) -> DataFrame:
     """(model, version, n, n_ok, accuracy, prompt_chars, output_chars) over rows without an error; accuracy over all rows that answered."""
@@ -49,3 +52,32 @@ def pair_ratios(pairs: DataFrame, by: list[str], numerator: str, denominator: st
 def decision(ratio_saving: Column, not_loss: Column, least_saving: float = 0.20) -> Column:
     """Whether a shorter version pays: it must save enough and not lose more often than it holds."""
     return F.when(ratio_saving < least_saving, "no saving").when(not_loss >= 0.7, "adopt").when(not_loss >= 0.5, "trade-off").otherwise("reject")
+
+
+def grid(*lists: DataFrame) -> DataFrame:
+    """Every combination of rows of some short lists, such as models, versions and questions: the work of an experiment.
+    All but the first are broadcast where a count shows that they are short."""
+    out = lists[0]
+    for other in lists[1:]:
+        out = out.crossJoin(small(other))
+    return out
+
+
+def with_lookup(rows: DataFrame, found: DataFrame, key: str, strict: bool = True) -> DataFrame:
+    """Rows with the columns of their scenario or question. ``strict``: a row whose key isn't there is an error, else it goes."""
+    if strict and not (lost := rows.join(found.select(key).distinct(), key, "left_anti")).isEmpty():
+        raise KeyError(f"{key}: {lost.first()[key]}")
+    return rows.join(small(found), key)
+
+
+def top_savings(pairs: DataFrame, by: list[str], key: str, long: str, short: str, n: int = 5) -> DataFrame:
+    """(by..., key, ratio): the n pairs whose long side is the most times its short one, equal ones by key."""
+    ratio = F.col(long) / F.nullif(F.col(short).cast("double"), F.lit(0.0))
+    return first_by(pairs.withColumn("ratio", ratio).filter("ratio IS NOT NULL"), by, [F.col("ratio").desc(), F.col(key)], n).select(*by, key, "ratio")
+
+
+def report(pairs: DataFrame, verdicts: DataFrame, by: list[str], long: str, short: str) -> DataFrame:
+    """(by..., n, ratio_mean, ratio_median, saved_pct, judged, wins, ties, losses, not_loss, decision): savings and outcomes side by side."""
+    ratios = pair_ratios(pairs, by, long, short)
+    won = win_rates(verdicts, by).withColumnRenamed("n", "judged")
+    return ratios.join(won, by, "left").withColumn("decision", decision(F.col("saved_pct") / 100, F.col("not_loss")))

@@ -83,6 +83,16 @@ def task_redundancy(means: DataFrame, least: int = 3) -> DataFrame:
     return out.withColumn("rho", F.round("rho", 4))
 
 
+def redundancy_matrix(means: DataFrame, least: int = 3, flagged: float = 0.8) -> DataFrame:
+    """(task_a, task_b, n, rho, redundant) for every pair of tasks that ``least`` models have, a task with itself too, from (model, task, mean)."""
+    present = means.groupBy("task").agg(F.count("mean").alias("n")).filter(F.col("n") >= least)
+    known = means.join(present.select("task"), "task", "left_semi")
+    pairs = task_redundancy(known, least).withColumn("rho", F.round("rho", 3))
+    alone = present.select(F.col("task").alias("task_a"), F.col("task").alias("task_b"), "n", F.lit(1.0).alias("rho"))
+    both = pairs.unionByName(alone)
+    return both.withColumn("redundant", F.coalesce((F.col("task_a") != F.col("task_b")) & (F.abs("rho") >= flagged), F.lit(False)))
+
+
 #: Draws that are held at once.
 DRAWS = 4_000_000
 
@@ -139,10 +149,11 @@ def bootstrap_average(scores: DataFrame, model: str = "model", task: str = "task
     return means.join(bounds(joint, [model], iterations, alpha), model)
 
 
-def leaderboard(means: DataFrame, intervals: DataFrame | None = None) -> DataFrame:
-    """(model, task, mean, half_width, avg, place): models by the mean over the tasks that they have, ties by name."""
-    average = means.groupBy("model").agg(F.round(F.avg("mean"), 4).alias("avg"))
-    ranked = average.withColumn("place", F.row_number().over(Window.orderBy(F.coalesce("avg", F.lit(0.0)).desc(), "model")))
+def leaderboard(means: DataFrame, intervals: DataFrame | None = None, ties: str = "model") -> DataFrame:
+    """(model, task, mean, half_width, avg, place): models by the mean over the tasks that they have; equal ones by the
+    column ``ties``, such as the file that a model's document was read from."""
+    average = means.groupBy("model").agg(F.round(F.avg("mean"), 4).alias("avg"), F.min(ties).alias("_tie"))
+    ranked = average.withColumn("place", F.row_number().over(Window.orderBy(F.coalesce("avg", F.lit(0.0)).desc(), "_tie"))).drop("_tie")
     out = means.join(ranked, "model")
     if intervals is None:
         return out.withColumn("half_width", F.lit(None).cast("double"))
@@ -192,3 +203,30 @@ def containing(items: DataFrame, corpus: DataFrame, key: str, shingle: str, text
     found = occurrences(corpus, items, shingle, text, [key])
     counts = items.groupBy(F.col(shingle).alias("part")).agg(F.count(F.lit(1)).alias("_n"))
     return found.join(counts, "part").groupBy(key).agg(F.sum("_n").alias("n_items"))
+
+
+def item_shingles(records: DataFrame, size: int, quoted: str = "idiom-source") -> DataFrame:
+    """(id, task, source, shingle): what a corpus is searched for, the middle of the reference without marks or, of ``quoted`` items, of the expected quote as it is."""
+    of = lambda key: F.nullif(F.col("metadata")[key], F.lit(""))
+    part = F.when(F.col("task") == quoted, X.middle(F.coalesce(F.col("metadata")["expected_quote"], F.lit("")), size)).otherwise(X.shingle(F.coalesce("reference", F.lit("")), size))
+    return records.select("id", "task", F.coalesce(of("source"), of("book")).alias("source"), part.alias("shingle"))
+
+
+def probe(records: DataFrame, difficulty: DataFrame, corpus: DataFrame, text: str, size: int = 10, left_out: tuple[str, ...] = ("char-gloss",), top: tuple[str, ...] = TIER3, second: tuple[str, ...] = TIER2) -> DataFrame:
+    """The contamination probe from records (id, task, reference, metadata), difficulties (task, id, difficulty) and a corpus of texts.
+
+    (task, n, rho_canonicity, rho_shingle, mean_1, n_1, mean_2, n_2, mean_3, n_3, gap, class): rank correlations of an item's
+    difficulty with its source's tier and with the corpus hits of its shingle, difficulty by tier, how much easier the top tier is, and
+    what the first correlation says; for each task and, with a null task, for all items together. Items
+    without a source and tasks in ``left_out`` take no part; items without a shingle only lack the second correlation.
+    """
+    marked = item_shingles(records.filter(~F.col("task").isin(*left_out)), size).withColumn("tier", tiers(F.col("source"), top, second)).filter("tier IS NOT NULL")
+    hits = shingle_hits(marked.select("task", "id", "shingle").withColumn("_key", F.struct("task", "id")), corpus, "_key", "shingle", text).select("_key.task", "_key.id", "hits")
+    rows = marked.join(hits, ["task", "id"]).join(difficulty.select("task", "id", "difficulty"), ["task", "id"]).withColumn("hits", F.when(F.col("shingle") != "", F.col("hits")))
+    each = rows.withColumn("_all", F.lit(False)).unionByName(rows.withColumn("_all", F.lit(True)).withColumn("task", F.lit(None).cast("string")))
+    group = F.coalesce("task", F.lit("")).alias("_task")  # ids of tasks aren't empty
+    keyed = each.select("*", group)
+    rho = contamination(keyed, ["_task"])
+    by_tier = keyed.groupBy("_task").agg(*[c for k in (1, 2, 3) for c in (F.round(F.avg(F.when(F.col("tier") == k, F.col("difficulty"))), 4).alias(f"mean_{k}"), F.count_if(F.col("tier") == k).alias(f"n_{k}"))])
+    out = rho.join(by_tier, "_task").withColumns({"gap": F.round(F.col("mean_3") - F.col("mean_1"), 4), "class": recall_class(F.col("rho_canonicity"))})
+    return out.select(F.nullif("_task", F.lit("")).alias("task"), "n", "rho_canonicity", "rho_shingle", *[f"{c}_{k}" for k in (1, 2, 3) for c in ("mean", "n")], "gap", "class")

@@ -11,9 +11,14 @@ from verdigris.operators.samples import first_by
 from verdigris.schemas import ITEMS_PER_TASK, TASKS
 
 ISSUE = "_audit_issue"
-# A gloss that only points at another one, and flags by id.
+# A gloss that only points at another one, messages of the checks, what is said of repaired glosses, and flags by id.
 CIRCULAR = "同本义"
 CIRCULAR_ISSUE = "circular gold: reference is the dictionary stub '同本义。' (a 本义 defined elsewhere), not a usable gloss — every model scores ≈0 regardless of answer"
+NOT_JSON, NO_TOP, NO_KEY, NO_TASKS = "not valid JSON", "top level is not an object", "missing top-level key '{}'", "missing top-level key 'tasks' or not an object"
+NO_TASK, ODD_TASK, NO_SUMMARY, NO_ITEMS, NO_OBJECT = "missing task", "unexpected task key", "summary missing or not an object", "items missing or not a list", "is not an object"
+TOO_MANY, TOO_FEW = "%d items, max allowed %d", "%d/%d items"
+CANDIDATE_FROM, NO_CHARACTER, NO_CANDIDATE = "说文解字「%s」: %s", "no target char", "char '%s' not in 说文 / no clean head"
+REVIEW, BY_HAND = "human/judge review + scoped rerun before adoption", "manual gloss from a modern Classical dictionary"
 EXPLICIT = {
     "idiom-source#52": "disputed source: idiom canonically from 尚书·周官 '论道经邦'; gold 隋书 is a later usage — multiple defensible answers",
     "fill-in#19": "ambiguous cloze: gold 降 (孟子 quoting 尚书); 佑 is an attested variant in transmitted 尚书 ('天佑下民')",
@@ -59,31 +64,31 @@ def document_violations(raw: DataFrame, tasks: tuple[str, ...] = TASKS, most: in
     doc = raw.select("file", F.try_parse_json("value").alias("v"))
     top = doc.select("file", F.when(F.col("v").isNull(), "?").otherwise(F.schema_of_variant("v")).alias("kind"), "v")
     is_object = F.col("kind").startswith("OBJECT")
-    bad = top.filter(~is_object).select("file", F.lit(None).cast("string").alias("task"), F.lit(None).cast("int").alias("item"), F.lit("error").alias("severity"), F.when(F.col("kind") == "?", "not valid JSON").otherwise("top level is not an object").alias("message"))
-    good = top.filter(is_object).select("file", "v", F.try_variant_get("v", "$.model", "string").alias("model"), F.try_variant_get("v", "$.tasks", "map<string,variant>").alias("tasks"))
+    bad = top.filter(~is_object).select("file", F.lit(None).cast("string").alias("task"), F.lit(None).cast("int").alias("item"), F.lit("error").alias("severity"), F.when(F.col("kind") == "?", NOT_JSON).otherwise(NO_TOP).alias("message"))
+    good = top.filter(is_object).select("file", "v", F.map_keys(F.try_variant_get("v", "$", "map<string,variant>")).alias("keys"), F.try_variant_get("v", "$.tasks", "map<string,variant>").alias("tasks"))
     none = lambda kind: F.lit(None).cast(kind)
     row = lambda task, item, severity, message: F.struct(task.alias("task"), item.alias("item"), F.lit(severity).alias("severity"), message.alias("message"))
     heads = F.array(
-        F.when(F.col("model").isNull(), row(none("string"), none("int"), "error", F.lit("missing top-level key 'model'"))),
-        F.when(F.col("tasks").isNull(), row(none("string"), none("int"), "error", F.lit("missing top-level key 'tasks' or not an object"))),
+        F.when(~F.array_contains("keys", "model"), row(none("string"), none("int"), "error", F.lit(NO_KEY.format("model")))),
+        F.when(F.col("tasks").isNull(), row(none("string"), none("int"), "error", F.lit(NO_TASKS))),
     )
     have = F.map_keys("tasks")
-    missing = F.transform(F.array_except(F.array(*map(F.lit, tasks)), have), lambda t: row(t, none("int"), "warn", F.lit("missing task")))
-    extra = F.transform(F.array_except(have, F.array(*map(F.lit, tasks))), lambda t: row(t, none("int"), "error", F.lit("unexpected task key")))
+    missing = F.transform(F.array_except(F.array(*map(F.lit, tasks)), have), lambda t: row(t, none("int"), "warn", F.lit(NO_TASK)))
+    extra = F.transform(F.array_except(have, F.array(*map(F.lit, tasks))), lambda t: row(t, none("int"), "error", F.lit(ODD_TASK)))
     top_level = good.select("file", F.explode(F.filter(F.concat(heads, F.coalesce(missing, F.array()), F.coalesce(extra, F.array())), lambda x: x.isNotNull())).alias("r")).select("file", "r.*")
     each = good.select("file", F.explode("tasks").alias("task", "t")).filter(F.col("task").isin(*tasks))
     each = each.select("file", "task", F.try_variant_get("t", "$.summary", "map<string,variant>").alias("summary"), F.try_variant_get("t", "$.items", "array<variant>").alias("items"))
     n = F.size("items")
     in_task = F.array(
-        F.when(F.col("summary").isNull(), row(F.col("task"), none("int"), "error", F.lit("summary missing or not an object"))),
-        F.when(F.col("items").isNull(), row(F.col("task"), none("int"), "error", F.lit("items missing or not a list"))),
-        F.when(F.col("items").isNotNull() & (n > most), row(F.col("task"), none("int"), "error", F.format_string("%d items, max allowed %d", n, F.lit(most)))),
-        F.when(F.col("items").isNotNull() & (n < most), row(F.col("task"), none("int"), "warn", F.format_string("%d/%d items", n, F.lit(most)))),
+        F.when(F.col("summary").isNull(), row(F.col("task"), none("int"), "error", F.lit(NO_SUMMARY))),
+        F.when(F.col("items").isNull(), row(F.col("task"), none("int"), "error", F.lit(NO_ITEMS))),
+        F.when(F.col("items").isNotNull() & (n > most), row(F.col("task"), none("int"), "error", F.format_string(TOO_MANY, n, F.lit(most)))),
+        F.when(F.col("items").isNotNull() & (n < most), row(F.col("task"), none("int"), "warn", F.format_string(TOO_FEW, n, F.lit(most)))),
     )
     per_task = each.select("file", F.explode(F.filter(in_task, lambda x: x.isNotNull())).alias("r")).select("file", "r.*")
     items = each.select("file", "task", F.posexplode(F.slice("items", 1, most)).alias("item", "i")).select("file", "task", "item", F.try_variant_get("i", "$", "map<string,variant>").alias("m"))
     wanted = F.array(*map(F.lit, ("id", "prediction", "scores")))
-    lacking = F.when(F.col("m").isNull(), F.array(F.lit("is not an object"))).otherwise(F.transform(F.array_except(wanted, F.map_keys("m")), lambda k: F.concat(F.lit("missing '"), k, F.lit("'"))))
+    lacking = F.when(F.col("m").isNull(), F.array(F.lit(NO_OBJECT))).otherwise(F.transform(F.array_except(wanted, F.map_keys("m")), lambda k: F.concat(F.lit("missing '"), k, F.lit("'"))))
     per_item = items.select("file", "task", "item", F.lit("error").alias("severity"), F.explode(lacking).alias("message"))
     return bad.unionByName(top_level).unionByName(per_task).unionByName(per_item)
 
@@ -110,6 +115,19 @@ def repaired_candidates(records: DataFrame, definitions: DataFrame, table: dict[
         F.when(good, F.col("_head")).otherwise(F.col("reference")).alias("reference"),
         F.map_filter("metadata", lambda k, _: k != ISSUE).alias("metadata"),
         F.when(good, "candidate").otherwise("blocked").alias("_status"),
-        F.when(good, F.format_string("说文解字「%s」: %s", char, F.left("content", F.lit(40)))).when(char == "", "no target char").otherwise(F.format_string("char '%s' not in 说文 / no clean head", char)).alias("_provenance"),
-        F.when(good, "human/judge review + scoped rerun before adoption").otherwise("manual gloss from a modern Classical dictionary").alias("_needs"),
+        F.when(good, F.format_string(CANDIDATE_FROM, char, F.left("content", F.lit(40)))).when(char == "", NO_CHARACTER).otherwise(F.format_string(NO_CANDIDATE, char)).alias("_provenance"),
+        F.when(good, REVIEW).otherwise(BY_HAND).alias("_needs"),
     )
+
+
+def quote_overlap(records: DataFrame, task: str = "idiom-source", quote: str = "expected_quote") -> DataFrame:
+    """(id, overlap): the share of an input's distinct characters that its expected quote has, 0 without a quote."""
+    given, wanted = (F.array_distinct(X.grams(c, 1)) for c in (F.col("input"), F.coalesce(F.col("metadata")[quote], F.lit(""))))
+    return records.filter(F.col("task") == task).select("id", (F.size(F.array_intersect(given, wanted)) / F.greatest(F.size(given), F.lit(1))).alias("overlap"))
+
+
+def source_balance(records: DataFrame, source: Column, most: float = 0.5) -> DataFrame:
+    """(task, source, n, share, dominant): how a task's records are spread over their sources; one with over ``most`` of them dominates."""
+    counted = records.groupBy("task", source.alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("task"))
+    return counted.withColumn("share", F.round(share, 4)).withColumn("dominant", share > most)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from verdigris.functions import text as X
+from verdigris.sources.endpoint import Client, Settings, predictions
 
 
 def drawn(seed: int, *keys: str) -> Column:
@@ -28,6 +31,24 @@ def first_wins(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return first_by(df, keys, [F.col(seq).asc()])
 
 
+def answered(df: DataFrame, answer: str, error: str | None = None, failed: str = "__ERR__") -> DataFrame:
+    """Rows with an answer: neither null nor empty, not marked as failed, and without an error."""
+    good = (F.coalesce(F.col(answer), F.lit("")) != "") & ~F.coalesce(F.col(answer), F.lit("")).startswith(failed)
+    return df.filter(good & F.col(error).isNull() if error is not None else good)
+
+
+def members(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys a table has."""
+    return df.join(table.select(*keys).distinct(), keys, "left_semi")
+
+
+def selected(items: DataFrame, tasks: list[str] | None = None, models: list | None = None, limit: int | None = None, order: str = "ord") -> DataFrame:
+    """What a run is asked for: some tasks, some models, and the first items of each; None takes all."""
+    for column, wanted in (("task", tasks), ("model", models)):
+        items = items if wanted is None else items.filter(F.col(column).isin(*wanted))
+    return items if limit is None else first_by(items, ["model", "task"], [F.col(order)], limit)
+
+
 def simple(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(drawn(seed, key), key).limit(n)
 
@@ -122,3 +143,11 @@ def build_idiom_source(idioms: DataFrame, books: list[str], n: int = 100, seed:
 def token_triples(pairs: DataFrame, n: int = 30, seed: int = 42) -> DataFrame:
     good = pairs.filter((F.col("task") == "m2c") & ~F.coalesce("_has_box", F.lit(False)) & F.char_length("output").between(40, 150) & F.char_length("input").between(60, 300))
     return simple(good, "input", n, seed).select(F.col("output").alias("classical"), F.col("input").alias("modern"), F.coalesce("source", F.lit("?")).alias("source"), F.coalesce("category", F.lit("?")).alias("category"))
+
+
+def with_english(triples: DataFrame, make_client: Callable[[], Client], template: str = "{modern}", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """Triples with their English side: one that is there stays, others are asked for."""
+    have = triples if "english" in triples.columns else triples.withColumn("english", F.lit(None).cast("string"))
+    lacking = have.filter(F.coalesce("english", F.lit("")) == "").drop("english").withColumn("_prompt", X.filled(template, modern=F.col("modern")))
+    asked = predictions(lacking, make_client, "_prompt", settings).withColumn("english", F.col("prediction")).select(have.columns)
+    return have.filter(F.coalesce("english", F.lit("")) != "").unionByName(asked)

@@ -109,3 +109,18 @@ def summary_changes(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
     keys = [*by, "metric"]
     joined = old.select(*keys, F.col("mean").alias("old")).join(new.select(*keys, F.col("mean").alias("new")), keys, "full_outer")
     return joined.filter(~F.col("old").eqNullSafe(F.col("new")))
+
+
+def rescored_documents(items: DataFrame, records: DataFrame, scorers: Scorers, old: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items scored again, their new summary (model, task, metric, mean) and its changes against ``old``, of the same columns.
+
+    Items without a record keep their scores and don't count. Metrics whose name ends in _n count items and
+    aren't scores: they are taken over from the old summary.
+    """
+    known = rescored(items, records, scorers)
+    others = items.join(records.select("id").distinct(), "id", "left_anti")
+    means = summary(known, ["model", "task"]).select("model", "task", "metric", "mean")
+    keys = ["model", "task", "metric"]
+    carried = old.select(*keys, "mean").filter(F.col("metric").endswith("_n")).join(means.select("model", "task").distinct(), ["model", "task"], "left_semi").join(means, keys, "left_anti")
+    new = means.unionByName(carried)
+    return known.select(items.columns).unionByName(others.select(items.columns)), new, summary_changes(old, new, ["model", "task"])

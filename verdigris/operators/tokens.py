@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 Counter = Callable[[Column], Column]
 
@@ -58,3 +59,12 @@ def variant_ratios(table: DataFrame, variants: list[str], base: str) -> DataFram
     """(tokenizer, variant_vs_base...): ratios of means, rounded to 3 places."""
     wide = table.groupBy("tokenizer").pivot("variant", variants).agg(F.first("tokens_mean"))
     return wide.select("tokenizer", *[F.round(F.col(v) / F.nullif(F.col(base), F.lit(0.0)), 3).alias(f"{v}_vs_{base}") for v in variants if v != base])
+
+
+def ranked(table: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+    """(by..., tokenizer, value, place, best, worst): tokenizers by a ratio, the least first, with the names at both ends; equal ones by name."""
+    groups = list(by)
+    order = F.struct(value, "tokenizer")
+    ends = table.groupBy(*groups).agg(F.min_by("tokenizer", order).alias("best"), F.max_by("tokenizer", order).alias("worst"))
+    placed = table.select(*groups, "tokenizer", value, F.row_number().over(Window.partitionBy(*groups).orderBy(value, "tokenizer")).alias("place"))
+    return placed.join(ends, groups) if groups else placed.crossJoin(F.broadcast(ends))  # one row

@@ -558,7 +558,7 @@ def work_grid(spark, sf_dir):
     """The product of three small lists less what doesn't apply: models, versions and tasks."""
     models, versions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     tasks = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("task")).distinct()
-    grid = models.crossJoin(F.broadcast(versions)).crossJoin(F.broadcast(tasks)).filter("n_regionkey <> r_regionkey")
+    grid = abtests.grid(models, versions, tasks).filter("n_regionkey <> r_regionkey")
     return grid.select(F.col("n_name").alias("model"), F.col("r_name").alias("version"), "task")
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import types as T
 
+# The fields of the benchmark's files, down to TRIPLE.
 TEXT, MAP = T.StringType(), T.MapType(T.StringType(), T.StringType())
 
 
