@@ -56,6 +56,48 @@ def test_quality_held_out_accuracy(spark):
     assert sum(g >= 0.3 for g in good) / len(good) > 0.95
 
 
+def plain_vector(text):
+    """Counts of words and of word pairs, a word and itself being one pair, by plain loops; square roots, of length 1."""
+    words = re.findall(r"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff\x20\x09-\x0d]+", (text or "").encode().lower().decode("latin-1"))
+    counts = {}
+    for w in [("word", w) for w in words] + [("again",) if a == b else ("pair", a, b) for a, b in itertools.pairwise(words)]:
+        counts[w] = counts.get(w, 0) + 1
+    length = sum(counts.values()) ** 0.5
+    return {w: n**0.5 / length for w, n in counts.items()}
+
+
+def test_quality_scores_by_brute_force(spark):
+    """Every score again from texts and labels, words unhashed: hashed places that two words share make small differences."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet").filter("quality IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.1
+    z, n = {}, {}
+
+    def weight(w):
+        if abs(z.get(w, 0)) <= l1:
+            return 0.0
+        return -(z[w] - (l1 if z[w] > 0 else -l1)) / ((beta + n[w] ** 0.5) / alpha + l2)
+
+    def chance(x):
+        return 1 / (1 + np.exp(-sum(weight(w) * v for w, v in x.items())))
+
+    learnt = [(plain_vector(docs[r.doc_id]) | {"bias": 1.0}, r.quality) for r in labels if zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in docs]
+    for _ in range(3):
+        for x, y in learnt:
+            g = chance(x) - y
+            held = {w: weight(w) for w in x}
+            for w, v in x.items():
+                d = g * v
+                z[w] = z.get(w, 0) + d - ((n.get(w, 0) + d * d) ** 0.5 - n.get(w, 0) ** 0.5) / alpha * held[w]
+                n[w] = n.get(w, 0) + d * d
+    rows = queries.op3_quality(spark, SF).collect()
+    want = {i: chance(plain_vector(t) | {"bias": 1.0}) for i, t in docs.items()}
+    gaps = np.array([abs(r.score - want[r.doc_id]) for r in rows])
+    print(f"largest {gaps.max():.4f}, mean {gaps.mean():.5f}, other side of the threshold {sum((want[r.doc_id] >= 0.3) != r.predicted for r in rows)}")
+    assert len(rows) == len(docs) and gaps.max() < 0.1 and gaps.mean() < 0.005
+    assert sum((want[r.doc_id] >= 0.3) != r.predicted for r in rows) <= 0.005 * len(rows)
+
+
 def test_quality_edges(spark):
     df = spark.createDataFrame([(1, None, "s"), (None, "", "s"), (2, "a b " * 30000, None), (2, "a b", "t"), (2, "a b", "t")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(2, 1), (None, 0), (3, None)], "doc_id long, quality int")

@@ -22,6 +22,37 @@ def test_container_round_trip(n):
     assert [stored[k["offset"] : k["offset"] + k["length"]] for k in info["keyframes"]] == [payload[i * 192 : i * 192 + 192] for i in range(0, n, media.PER_KEYFRAME)]
 
 
+def by_hand(payload):
+    """The container again, box by box in hexadecimal, by another way than the writer's."""
+    n, size = len(payload) // 192, len(payload)
+    chunks = (n + 63) // 64
+    u4 = lambda *x: b"".join(int(v).to_bytes(4, "big") for v in x)
+    wrap = lambda kind, body: u4(len(body) + 8) + kind.encode() + body
+    matrix = bytes.fromhex("00010000 00000000 00000000 00000000 00010000 00000000 00000000 00000000 40000000")
+    long = lambda v: int(v).to_bytes(8, "big")
+    head = wrap("ftyp", b"isom" + u4(512) + b"isomiso2")
+
+    def moov(first):
+        keys = range(1, n + 1, 32)
+        runs = [1, min(64, n), 1] + ([chunks, n - 64 * (chunks - 1), 1] if chunks > 1 and n % 64 else [])
+        stsd = wrap("stsd", u4(0, 1) + wrap("raw ", bytes.fromhex("000000000000 0001 0000 0000 00000000 0001 0008 0000 0000 1f400000")))
+        tables = [stsd, wrap("stts", u4(0, 1, n, 192)), wrap("stss", u4(0, len(keys), *keys)), wrap("stsc", u4(0, len(runs) // 3, *runs)), wrap("stsz", u4(0, 192, n)), wrap("stco", u4(0, chunks, *[first + 64 * 192 * k for k in range(chunks)]))]
+        minf = wrap("minf", wrap("smhd", bytes(8)) + wrap("dinf", wrap("dref", u4(0, 1) + wrap("url ", u4(1)))) + wrap("stbl", b"".join(tables)))
+        mdhd = wrap("mdhd", u4(0x01000000) + long(0) * 2 + u4(8000) + long(size) + bytes.fromhex("55c40000"))
+        mdia = wrap("mdia", mdhd + wrap("hdlr", bytes(8) + b"soun" + bytes(13)) + minf)
+        tkhd = wrap("tkhd", u4(0x01000003) + long(0) * 2 + u4(1, 0) + long(size) + bytes(8) + bytes.fromhex("0000 0000 0100 0000") + matrix + bytes(8))
+        mvhd = wrap("mvhd", u4(0x01000000) + long(0) * 2 + u4(8000) + long(size) + bytes.fromhex("00010000 0100 0000 0000000000000000") + matrix + bytes(24) + u4(2))
+        return wrap("moov", mvhd + wrap("trak", tkhd + mdia))
+
+    return head + moov(len(head) + len(moov(0)) + 8) + wrap("mdat", payload)
+
+
+@pytest.mark.parametrize("n", [1, 33, 64, 65, 200])
+def test_container_as_made_by_hand(n):
+    payload = bytes((i * 11 + n) % 251 for i in range(n * media.UNIT))
+    assert media.write(payload) == by_hand(payload)
+
+
 def test_keyframes_do_not_depend_on_payload():
     stored = media.write(b"x" * 192 * 100)
     assert media.describe(stored[: -192 * 100] + bytes(192 * 100)) == media.describe(stored)

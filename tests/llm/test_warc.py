@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import zstandard
 
+from tests.llm.util import assert_same
 from verdigris.llm import queries, warc
 
 SF = "/root/testdata/sf0.001"
@@ -22,6 +23,10 @@ def test_query_as_brute_force(spark):
         assert (r.record_type, r.refers_to, r.error) == (("response", None) if p.page_id == first else ("revisit", first)) + (None,)
 
 
+def test_query_as_sql(spark):
+    assert_same(queries.op8_warc(spark, SF), queries.ORACLE_SQL["op8_warc"], SF)
+
+
 def test_edges(spark):
     rows = [(1, None, "a"), (2, "", "b"), (3, "x" * 300000, "http://e/ü\r\nX: y"), (4, "dup", None), (5, "dup", "c"), (5, "dup", "c"), (None, "dup", "d"), (None, "alone", "e")]
     df = spark.createDataFrame(rows, "page_id long, html string, url string").repartition(3)
