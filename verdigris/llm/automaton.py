@@ -50,9 +50,9 @@ class SuffixAutomaton:
                 last = new
             self.added += 1
 
-    def earlier(self, sequence: Sequence[int], start: int, window: int) -> list[bool]:
-        """Streams a sequence for its matching statistics: for each run of ``window`` symbols, whether it ends
-        in the automaton before its own place; ``start`` is the number of the sequence's first symbol."""
+    def matches(self, sequence: Sequence[int], window: int) -> list[int]:
+        """Streams a sequence for its matching statistics: for each run of ``window`` symbols the number of the symbol at
+        which it ends for the first time, or -1 where the longest match is shorter."""
         following, link, length, first = self.next, self.link, self.length, self.first
         state, matched, out = 0, 0, []
         for i, symbol in enumerate(sequence):
@@ -62,9 +62,17 @@ class SuffixAutomaton:
             if symbol in following[state]:
                 state = following[state][symbol]
                 matched += 1
-            while length[link[state]] >= window:  # the state of the last ``window`` symbols
+            while state and length[link[state]] >= window:  # the state of the last ``window`` symbols
                 state = link[state]
                 matched = length[state]
             if i >= window - 1:
-                out.append(matched >= window and first[state] < start + i)
+                out.append(first[state] if matched >= window else -1)
         return out
+
+    def whole(self, sequence: Sequence[int]) -> int:
+        """The number of the symbol at which the whole sequence ends for the first time, or -1."""
+        state = 0
+        for symbol in sequence:
+            if (state := self.next[state].get(symbol, -1)) < 0:
+                return -1
+        return self.first[state]

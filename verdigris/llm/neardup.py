@@ -291,7 +291,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = stored(bands.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("last")).filter("center < last").select("bucket", "center"), "near-buckets")
     bands = stored(bands.join(shared, "bucket"), "near-bands")
     candidates = stored(bands.select("id").distinct(), "near-candidates")
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(small(candidates, 1_000_000), "id")
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(small(candidates), "id")
     texts = stored(texts.groupBy("id").agg(F.min("text").alias("text")), "near-texts")
     # round 1: everyone with the least centre among its buckets
     primary = bands.filter("id > center").groupBy(F.col("id").alias("a")).agg(F.min("center").alias("b"))

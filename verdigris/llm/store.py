@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -45,9 +46,20 @@ def release(*tables: DataFrame) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """A stored table with a broadcast hint if a count shows at most ``most_rows`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+#: Bytes up to which a table is broadcast.
+MOST_BYTES = 48 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored table with a broadcast hint if its rows, which are counted and measured, have MOST_BYTES at most, else as it
+    is: Spark then joins by sorting, and splits partitions of hot keys."""
+    plain = [f for f in df.schema.fields if not isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in plain):
+        return df
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f not in plain]
+    sizes = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{k}") for k, c in enumerate(texts)]).first()
+    total = sizes.n * (16 + 8 * len(df.columns)) + sum(s or 0 for s in sizes[1:])
+    return F.broadcast(df) if total <= MOST_BYTES else df
 
 
 def least_hashed(df: DataFrame, keys: list[str], most_rows: int, by: str | None = None, size: str | None = None, most_size: int = 0) -> DataFrame:

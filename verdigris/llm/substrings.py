@@ -1,13 +1,18 @@
 """Substring dedup: words in passages that start earlier in the corpus are removed.
 
-Suffix automata decide. Automata of the whole corpus would not fit an executor, so the reference
-is cut into shards by content: every window has an anchor, its least word run by hash, and equal
-windows have equal anchors. Only windows whose anchor occurs twice are candidates. All candidates of
-an anchor meet in one automaton, built in corpus order, and are streamed through it.
+Suffix automata of reference shards decide. Automata of the whole corpus would not fit an executor, so
+the reference is cut into shards by content, and a document visits only shards that can match it:
+every window has an anchor, its least word run by hash, equal windows have equal anchors, and
+only windows whose anchor occurs twice are candidates. The distinct candidates of an anchor are a shard's
+reference; its automaton goes to the tasks that hold the documents' pieces for it, which are streamed through for
+their matching statistics. Matches on one diagonal make maximal spans, and a span is removed when its
+words are those of the place that the automaton names.
 """
 
 from __future__ import annotations
 
+import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +29,8 @@ from verdigris.llm.words import Words, mix, words
 
 #: Words of an anchor.
 ANCHOR = 6
-#: Anchors of more occurrences are divided by a second run of each window, and shards of more pieces into a shard for each window.
+#: Anchors of more occurrences are divided by a second run of each window; shards of more distinct pieces are divided by
+#: their windows, into shards of about so many distinct ones; and a shard is streamed through in parts of about so many pieces.
 HOT = 2000
 
 
@@ -107,96 +113,183 @@ def _pieces(df: DataFrame, window: int) -> DataFrame:
 
 
 def _windows(reference: DataFrame, window: int) -> DataFrame:
-    """(key, id, start, body) with every window of a piece as a piece of its own, keyed by its words."""
+    """(key, piece, id, start, body) with every window of a piece as a piece of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "body"):
-                keys, ids, starts, bodies = [], [], [], []
-                for doc, start, body in zip(*(part.column(c).to_pylist() for c in ("id", "start", "body")), strict=True):
+                keys, names, ids, starts, bodies = [], [], [], [], []
+                for key, doc, start, body in zip(*(part.column(c).to_pylist() for c in ("key", "id", "start", "body")), strict=True):
                     for k in range(len(body) // 4 - window + 1):
                         words_of = body[4 * k : 4 * (k + window)]
-                        keys.append(xxhash.xxh3_64_intdigest(words_of))
+                        keys.append(key)
+                        names.append(xxhash.xxh3_64_intdigest(words_of))
                         ids.append(doc)
                         starts.append(start + k)
                         bodies.append(words_of)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).astype(np.int64)), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(bodies, pa.binary())], names=["key", "id", "start", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.array(names, np.uint64).astype(np.int64)), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(bodies, pa.binary())], names=["key", "piece", "id", "start", "body"])
 
-    return mapped(reference.select("id", "start", "body"), run, "key long, id long, start int, body binary")
+    return mapped(reference.select("key", "id", "start", "body"), run, "key long, piece long, id long, start int, body binary")
 
 
-def _divided(reference: DataFrame, window: int) -> DataFrame:
-    """(key, id, start, body) with no more than HOT different pieces to a shard: those of larger ones are
-    divided into windows, keyed by their words. A window that very many
-    pieces share is salted: every salt has its first occurrence and a share of the others.
+def _shards(reference: DataFrame, window: int) -> DataFrame:
+    """(key, part, salt, streamed, piece, copies, id, start, body): the rows of all shards, named by key and part; copies: 0 none, 2 over HOT.
+
+    Rows that aren't streamed are a shard's reference, distinct pieces where they occur first; they are streamed through the automaton
+    too. A key of over HOT distinct pieces is divided by windows: its distinct windows are dealt into
+    parts of about HOT, equal ones into the same, so every part has a reference of its own, and the other occurrences of these windows are
+    streamed, dealt over salts each of which gets that reference.
     """
-    flat = reference.select("key", "first.id", "first.start", "body")
-    crowded = stored(reference.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key"), "sub-crowded")
-    calm = flat.join(small(crowded, 1_000_000), "key", "left_anti").withColumn("salt", F.lit(0).cast("long"))
-    each = stored(_windows(flat.join(small(crowded, 1_000_000), "key", "left_semi"), window), "sub-windows")
-    first = each.groupBy("key").agg(F.min(F.struct("id", "start", "body")).alias("f"), F.count(F.lit(1)).alias("n"))
-    first = stored(first.filter("n > 1").select("key", "f", F.ceil(F.col("n") / HOT).cast("long").alias("salts")), "sub-first")
-    # every salt gets the first occurrence, and its share of the others
-    copies = first.select("key", "f.id", "f.start", "f.body", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    rest = each.join(first, "key").filter((F.col("id") != F.col("f.id")) | (F.col("start") != F.col("f.start"))).select("key", "id", "start", "body", F.pmod(F.xxhash64("id", "start"), F.col("salts")).alias("salt"))
-    return calm.unionByName(copies).unionByName(rest)
-
-
-def _decided(reference: DataFrame, window: int) -> DataFrame:
-    """(id, begin, end): word ranges of first occurrences of pieces that other pieces, or their own words, hold earlier.
-
-    ``reference`` is (key, salt, id, start, body), all rows of a key and salt in one partition and in corpus order. They are one shard with an automaton of its own.
+    flat = reference.select("key", "piece", "n", "first.id", "first.start", "body")
+    zero, copies = F.lit(0).cast("long"), F.when(F.col("n") > HOT, 2).when(F.col("n") > 1, 1).otherwise(0).alias("copies")
+    crowded = small(stored(reference.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key"), "sub-crowded"))
+    calm = flat.join(crowded, "key", "left_anti").select("key", zero.alias("part"), zero.alias("salt"), F.lit(False).alias("streamed"), "piece", copies, "id", "start", "body")
+    # copies of whole pieces have their answer from the undivided piece
+    whole = flat.join(crowded, "key", "left_semi").filter("n > 1").select("key", F.xxhash64("piece").alias("part"), zero.alias("salt"), F.lit(False).alias("streamed"), "piece", copies, "id", "start", "body")
+    each = stored(_windows(flat.join(crowded, "key", "left_semi"), window), "sub-windows")
+    firsts = stored(each.groupBy("key", "piece").agg(F.min(F.struct("id", "start", "body")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "sub-firsts")
+    parts = firsts.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("long").alias("parts"))
+    dealt = firsts.join(parts, "key").select("key", "piece", "f", "n", F.pmod("piece", F.col("parts")).alias("part"))
+    salts = dealt.groupBy("key", "part").agg(F.ceil(F.sum("n") / HOT).cast("long").alias("salts"))
+    dealt = stored(dealt.join(salts, ["key", "part"]), "sub-dealt")
+    windows = dealt.select("key", "part", F.explode(F.sequence(zero, F.col("salts") - 1)).alias("salt"), F.lit(False).alias("streamed"), "piece", F.lit(0).alias("copies"), "f.id", "f.start", "f.body")
+    names = small(dealt.select("key", "piece", "part", "salts", "f.id", "f.start").toDF("key", "piece", "part", "salts", "f_id", "f_start"))
+    others = each.join(names, ["key", "piece"]).filter((F.col("id") != F.col("f_id")) | (F.col("start") != F.col("f_start")))
+    others = others.select("key", "part", F.pmod(F.xxhash64("id", "start"), F.col("salts")).alias("salt"), F.lit(True).alias("streamed"), "piece", F.lit(0).alias("copies"), "id", "start", "body")
+    return calm.unionByName(whole).unionByName(windows).unionByName(others)
+
+
+def _decided(shards: DataFrame, window: int) -> DataFrame:
+    """What the automata say, from the rows of ``_shards``, those of a shard and salt together, its reference first and in corpus order.
+
+    (key, piece, id, begin, end, first_id, first_begin): with an id, words begin to end of that text are at the earlier place
+    too; without one, all words of the piece, which has copies (begin 2: over HOT of them), are first at that place.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard: list[tuple[int, int, list[int]]] = []
-        out: list[tuple[int, int, int]] = []
-
-        def decide() -> None:
-            automaton, begins = SuffixAutomaton(), []
-            for _, _, body in shard:
+        out: list[tuple] = []
+        automaton, begins, places = SuffixAutomaton(), [], []
+        reference: list[tuple[int, int, int, int, list[int]]] = []
+        key = None
+
+        def place(symbol: int) -> tuple[int, int]:
+            """Document and word of a symbol of the reference."""
+            row = bisect_right(begins, symbol) - 1
+            doc, start = places[row]
+            return doc, start + symbol - begins[row]
+
+        def answer(doc: int, start: int, found: list[int]) -> None:
+            """Runs of windows that are in the reference at an earlier place, on one diagonal. It is in corpus order, so the first place in the automaton is the earliest."""
+            open_run: list | None = None
+            for k, end in enumerate(found):
+                first_doc, first = place(end - window + 1) if end >= 0 else (doc, start + k)
+                if (first_doc, first) >= (doc, start + k):
+                    open_run = None
+                elif open_run is not None and open_run[5] == first_doc and open_run[6] - open_run[3] == first - start - k:
+                    open_run[4] = start + k + window
+                else:
+                    open_run = [None, None, doc, start + k, start + k + window, first_doc, first]
+                    out.append(open_run)
+
+        def build() -> None:
+            """The automaton of a shard's reference, which is then streamed through it."""
+            for _, _, doc, start, body in reference:
                 begins.append(automaton.added)
+                places.append((doc, start))
                 automaton.add(body)
-            for (doc, start, body), begin in zip(shard, begins, strict=True):
-                for k, old in enumerate(automaton.earlier(body, begin, window)):
-                    if old:
-                        if out and out[-1][0] == doc and out[-1][1] <= start + k <= out[-1][2]:
-                            out[-1] = (doc, out[-1][1], max(out[-1][2], start + k + window))
-                        else:
-                            out.append((doc, start + k, start + k + window))
+            for piece, copies, doc, start, body in reference:
+                answer(doc, start, automaton.matches(body, window))
+                if copies:
+                    first_doc, first = place(automaton.whole(body) - len(body) + 1)
+                    out.append([key[0], piece, None, copies, len(body), first_doc, first])
+            reference.clear()
 
         def batch_of() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            columns = list(zip(*out, strict=True)) or [()] * 7
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], names=["id", "begin", "end"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "piece", "id", "begin", "end", "first_id", "first_begin"])
 
-        current = None
         for batch in batches:
-            for key, salt, doc, start, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if (key, salt) != current:
-                    decide()
-                    shard, current = [], (key, salt)
-                shard.append((doc, start, np.frombuffer(body, np.uint32).tolist()))
+            columns = [batch.column(c).to_pylist() for c in ("key", "part", "salt", "streamed", "piece", "copies", "id", "start", "body")]
+            for *name, streamed, piece, copies, doc, start, body in zip(*columns, strict=True):
+                if name != key:
+                    build()
+                    automaton, begins, places, key = SuffixAutomaton(), [], [], name
+                symbols = np.frombuffer(body, np.uint32).tolist()
+                if not streamed:
+                    reference.append((piece, copies, doc, start, symbols))
+                    continue
+                build()
+                answer(doc, start, automaton.matches(symbols, window))
             if len(out) > 50_000:
                 yield batch_of()
-        decide()
+        build()
         yield batch_of()
 
-    return mapped(reference.select("key", "salt", "id", "start", "body"), run, "id long, begin int, end int")
+    return mapped(shards.select("key", "part", "salt", "streamed", "piece", "copies", "id", "start", "body"), run, "key long, piece long, id long, begin int, end int, first_id long, first_begin int")
+
+
+SPANS = "id long, begin int, end int, first_id long, first_begin int"
+
+
+def _spans(ranges: DataFrame) -> DataFrame:
+    """Maximal spans of each text from ranges (id, begin, end, first_id, first_begin): those on one diagonal that touch are one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[int]] = []
+            for doc, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                last = None
+                for r in sorted(found, key=lambda r: (r["first_id"], r["first_begin"] - r["begin"], r["begin"])):
+                    if last is not None and last[3] == r["first_id"] and last[4] - last[1] == r["first_begin"] - r["begin"] and r["begin"] <= last[2]:
+                        last[2] = max(last[2], r["end"])
+                    else:
+                        last = [doc, r["begin"], r["end"], r["first_id"], r["first_begin"]]
+                        out.append(last)
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["id", "begin", "end", "first_id", "first_begin"])
+
+    return mapped(ranges.groupBy("id").agg(F.collect_list(F.struct("begin", "end", "first_id", "first_begin")).alias("found")), run, SPANS)
+
+
+def _digest(words_of: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words_of)).digest()
+
+
+def _proofs(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """(first_id, first_begin, size, proof): digests of the words at every place that spans name, each place once."""
+    wanted = spans.groupBy("first_id", "first_begin", (F.col("end") - F.col("begin")).alias("size")).agg(F.count(F.lit(1)).alias("_n"))
+    by_text = stored(wanted.groupBy("first_id").agg(F.collect_list(F.struct("first_begin", "size")).alias("wanted")), "sub-wanted")
+    ids = small(by_text.select(F.col("first_id").alias("id")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows = []
+                for doc, text, wanted_of in zip(*(part.column(c).to_pylist() for c in ("first_id", "text", "wanted")), strict=True):
+                    split = text.encode().split()
+                    rows += [(doc, w["first_begin"], w["size"], _digest(split[w["first_begin"] : w["first_begin"] + w["size"]])) for w in wanted_of]
+                columns = list(zip(*rows, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["first_id", "first_begin", "size", "proof"])
+
+    held = texts.join(ids, "id", "left_semi").join(by_text, F.col("id") == F.col("first_id")).select("first_id", "text", "wanted")
+    return mapped(held, run, "first_id long, first_begin int, size int, proof binary").distinct()
 
 
-def _kept(df: DataFrame, text_col: str, ranges: bool) -> DataFrame:
-    """Adds n_words, n_removed and kept, the other words joined by one space."""
+def _kept(df: DataFrame, text_col: str, spans: bool) -> DataFrame:
+    """Adds n_words, n_removed and kept, the other words joined by one space. A span is removed if its words have the digest of its earlier place's."""
 
     def make(batch: pa.RecordBatch) -> list:
         count, removed, kept = [], [], []
-        spans = batch.column("_ranges").to_pylist() if ranges else [None] * batch.num_rows
-        for text, span in zip(batch.column(text_col).to_pylist(), spans, strict=True):
+        found = batch.column("_spans").to_pylist() if spans else [None] * batch.num_rows
+        for text, span in zip(batch.column(text_col).to_pylist(), found, strict=True):
             split = (text or "").encode().split()  # at the same six characters
             mask = np.zeros(len(split) + 1, np.int32)
             for r in span or ():
-                mask[r["begin"]] += 1
-                mask[min(r["end"], len(split))] -= 1
+                if r["end"] <= len(split) and _digest(split[r["begin"] : r["end"]]) == r["proof"]:
+                    mask[r["begin"]] += 1
+                    mask[r["end"]] -= 1
             gone = np.cumsum(mask[:-1]) > 0
             count.append(len(split))
             removed.append(int(gone.sum()))
@@ -204,8 +297,8 @@ def _kept(df: DataFrame, text_col: str, ranges: bool) -> DataFrame:
         return [pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
 
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
-    stay = [c for c in df.columns if c != "_ranges"]
-    return with_columns(df, text_col, fields, make, stay, also=("_ranges",) if ranges else ())
+    stay = [c for c in df.columns if c != "_spans"]
+    return with_columns(df, text_col, fields, make, stay, also=("_spans",) if spans else ())
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
@@ -213,30 +306,39 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sequence also starts earlier (in a smaller id, or in the same text before), joined by one space.
 
     Null texts have no words. Rows with a null id neither lose words nor take any. Rows that repeat an
-    id and text start at the same place, so neither is earlier; ids are taken to stand for one text. Other
-    columns stay; those named like a result are replaced.
+    id and text start at the same place, so neither is earlier; of other texts with one id, each loses only spans whose
+    words it has. Other columns stay; those named like a result are replaced.
     """
     numbered = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     anchors = stored(_anchors(numbered, window), "sub-anchors")
     repeated = stored(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", (F.col("n") > HOT).alias("hot")), "sub-repeated")
-    hits = anchors.join(small(repeated, 1_000_000), "anchor").groupBy("id").agg(F.collect_list(F.col("place") * 2 + F.col("hot").cast("int")).alias("hits"))
+    hits = anchors.join(small(repeated), "anchor").groupBy("id").agg(F.collect_list(F.col("place") * 2 + F.col("hot").cast("int")).alias("hits"))
     hits = stored(hits, "sub-hits")
     release(anchors, repeated)
-    ids = small(stored(hits.select("id"), "sub-ids"), 1_000_000)
+    ids = small(hits.select("id"))
     pieces = stored(_pieces(numbered.join(ids, "id", "left_semi").join(hits, "id").select("id", "text", "hits"), window), "sub-pieces")
-    # equal pieces are one; all but the first occurrence are covered as a whole
+    # equal pieces are one; what the automaton says of it holds for all
     reference = stored(pieces.groupBy("key", "piece").agg(F.min(F.struct("id", "start")).alias("first"), F.min("body").alias("body"), F.count(F.lit(1)).alias("n")), "sub-reference")
-    ordered = _divided(reference, window).repartition("key", "salt").sortWithinPartitions("key", "salt", "id", "start")
-    decided = _decided(ordered, window)
-    often = stored(reference.filter("n > 1").select("key", "piece", "first"), "sub-often")
-    later = pieces.select("key", "piece", "id", "start", (F.octet_length("body") / 4).cast("int").alias("size")).join(often, ["key", "piece"]).filter((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
-    ranges = decided.union(later.select("id", F.col("start").alias("begin"), (F.col("start") + F.col("size")).alias("end")))
-    ranges = stored(ranges.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("_ranges")), "sub-ranges")
-    release(pieces, reference, often, hits)
-    touched = small(stored(ranges.select(F.col("id").alias("_id")), "sub-touched"), 1_000_000)
+    order = ["key", "part", "salt"]
+    decided = stored(_decided(_shards(reference, window).repartition(*order).sortWithinPartitions(*order, "streamed", "id", "start"), window), "sub-decided")
+    answers = decided.filter("id IS NULL").select("key", "piece", "first_id", "first_begin", (F.col("begin") == 2).alias("often"))
+    places = pieces.select("key", "piece", "id", F.col("start").alias("begin"), (F.col("start") + F.octet_length("body") / 4).cast("int").alias("end"))
+    # pieces that very many texts share are joined where they are, if a count allows
+    often = answers.filter("often")
+    hot = places.join(small(often), ["key", "piece"])
+    rest = places.join(answers.filter("NOT often"), ["key", "piece"])
+    columns = ["id", "begin", "end", "first_id", "first_begin"]
+    later = hot.unionByName(rest).filter((F.col("first_id") < F.col("id")) | ((F.col("first_id") == F.col("id")) & (F.col("first_begin") < F.col("begin")))).select(columns)
+    spans = stored(_spans(decided.filter("id IS NOT NULL").select(columns).union(later)), "sub-spans")
+    release(pieces, reference, decided, hits)
+    proofs = stored(_proofs(numbered, spans), "sub-proofs")
+    proved = spans.withColumn("size", F.col("end") - F.col("begin")).join(small(proofs), ["first_id", "first_begin", "size"])
+    proved = stored(proved.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("begin", "end", "proof")).alias("_spans")), "sub-proved")
+    release(spans, proofs)
+    touched = small(proved.select("_id"))
     clean = [c for c in df.columns if c not in ("n_words", "n_removed", "kept")]
     base = df.select(*[F.col(f"`{c}`") for c in clean])
     key = F.col(f"`{id_col}`").cast("long")
     whole = _kept(base.join(touched, key == F.col("_id"), "left_anti"), text_col, False)
-    cut = base.join(touched, key == F.col("_id"), "left_semi").join(ranges.withColumnRenamed("id", "_id"), key == F.col("_id"))
-    return whole.union(_kept(cut.select(*[F.col(f"`{c}`") for c in clean], "_ranges"), text_col, True))
+    cut = base.join(touched, key == F.col("_id"), "left_semi").join(proved, key == F.col("_id"))
+    return whole.union(_kept(cut.select(*[F.col(f"`{c}`") for c in clean], "_spans"), text_col, True))
