@@ -49,7 +49,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         return _numbered_near_dedup(docs)
     groups = neardup.near_duplicates(docs.select("doc_id", "text"), percent=80)
     drop = stored(groups.filter("NOT kept").select("doc_id"), "pipeline-drop")
-    return docs.join(small(drop, 1_000_000), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small(drop), "doc_id", "left_anti").select(docs.columns)
 
 
 def _numbered_near_dedup(docs: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def _numbered_near_dedup(docs: DataFrame) -> DataFrame:
     group = [F.when(~F.col("_empty"), F.col("component_id")).alias("_a"), F.when(F.col("_empty"), F.col("doc_id")).alias("_b"), F.when(F.col("_empty"), F.col("_sha")).alias("_c")]
     first = stored(named.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_sha", "_row")).alias("first")).select("first._row"), "pipeline-first")
     drop = stored(rows.select("_row").join(first, "_row", "left_anti"), "pipeline-drop")
-    return _shaped(rows.join(small(drop, 1_000_000), "_row", "left_anti"), docs)
+    return _shaped(rows.join(small(drop), "_row", "left_anti"), docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
