@@ -106,6 +106,40 @@ def test_op6_as_sql(spark):
     assert_same(queries.op6_mixing(spark, SF), queries.ORACLE_SQL["op6_mixing"], SF)
 
 
+def test_op6_with_many_rounds(spark, monkeypatch):
+    """Ranges dealt again and again, and sources in several ranges, give the same."""
+    want = sorted(map(tuple, mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"), keep=["doc_id"]).collect()))
+    monkeypatch.setattr(mixing, "SORTED", 1)
+    got = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"), range_bits=2, keep=["doc_id"])
+    assert sorted(map(tuple, got.collect())) == want
+    rows = [(None, "a b c", "s")] * 50 + [(k, "d " * k, "s") for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df, range_bits=3).collect()
+    assert abs(sum(r.taken for r in out) - out[0].target) < 51 and all(r.taken <= 2 * r.size for r in out)
+
+
+def test_op6_targets_by_brute_force(spark):
+    """Uneven sources stop one after another; all may stop, and all may be empty."""
+    for sizes, share, cap in (([1, 10, 100, 1000, 10**4, 10**5, 5], 1.5, 2.0), ([3, 3], 3.0, 2.0), ([0, 0], 1.5, 2.0), ([7], 1.5, 2.0), (list(range(40)), 1.9, 2.0)):
+        names = [None if k == 2 else f"s{k:02d}" for k in range(len(sizes))]
+        df = spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, size long").repartition(3)
+        got = {r.source: r.target for r in mixing.targets(df, (3, 1, 2), share, cap).collect()}
+        order = sorted(names, key=lambda s: (s is None, s or ""))
+        size = dict(zip(names, sizes, strict=True))
+        weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+        left, free, want = share * sum(sizes), set(names), {}
+        while free:
+            level = left / sum(weight[s] for s in free)
+            full = {s for s in free if cap * size[s] <= level * weight[s]}
+            if not full:
+                want |= {s: level * weight[s] for s in free}
+                break
+            want |= {s: cap * size[s] for s in full}
+            left -= sum(cap * size[s] for s in full)
+            free -= full
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
+
+
 def test_op6_edges(spark):
     rows = [(1, "a b c", "x"), (1, "a b c", "x"), (2, None, "x"), (None, "d e", None), (3, "", "y"), (4, "p " * 500, "z"), (5, "q\tr\x0bs", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))

@@ -41,6 +41,48 @@ def test_bounds_hold_and_save_distances():
             away = np.sqrt(((tree.points[below(child)] - tree.points[page.rows[k]]) ** 2).sum(axis=1))
             assert away.max() <= page.radii[k] + 1e-6
     assert sorted(below(tree.root).tolist()) == list(range(len(tree.vectors)))
+    computed = []
+    points = tree.points
+
+    class Counted:
+        def __getitem__(self, rows):
+            computed.append(np.size(rows))
+            return points[rows]
+
+    tree.points = Counted()
+    for q in range(0, 4000, 400):
+        tree.search(vectors[q].astype(float), q, 10)
+    assert sum(computed) < 0.35 * 10 * 4000  # of all distances
+    without, computed[:] = sum(computed), []
+    for q in range(0, 4000, 400):
+        floor = brute(range(4000), vectors, vectors[q], q, 10)[-1][0]
+        assert tree.search(vectors[q].astype(float), q, 10, floor) == brute(range(4000), vectors, vectors[q], q, 10)
+    assert sum(computed) <= without
+
+
+def test_cells_pass_over_what_cannot_reach(spark, monkeypatch):
+    """Clustered vectors: the same rows as by brute force, and most shards unvisited."""
+    monkeypatch.setattr(mtree, "SHARD", 50)
+    monkeypatch.setattr(mtree, "BLOCK", 3)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 12)) * 3
+    of = rng.integers(0, 30, 1500)
+    of[:400] = 0
+    vectors = np.floor((centres[of] + rng.normal(size=(1500, 12)) * 0.05) * 1024) / 1024
+    vectors[:100] = vectors[0]
+    rows = [(int(i), v.tolist()) for i, v in enumerate(vectors)] + [(10_000 + k, [1.0, float(k)]) for k in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    visited, searched = [], mtree._searched
+    monkeypatch.setattr(mtree, "_searched", lambda trees, visits, k: (visited.append((trees.count(), visits.count())), searched(trees, visits, k))[1])
+    got = {}
+    for r in mtree.top_k(df, df.filter("vec_id % 50 = 0 or vec_id >= 10000")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    whole = np.floor(vectors * 1024)
+    for q in range(0, 1500, 50):
+        assert got[q] == brute(range(1500), whole, whole[q], q, 10)
+    assert [len(got[10_000 + k]) for k in range(5)] == [4] * 5
+    shards = visited[0][0]
+    assert sum(n for _, n in visited) < 0.6 * 35 * shards
 
 
 def test_query_as_sql(spark, monkeypatch):

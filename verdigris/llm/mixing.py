@@ -1,8 +1,8 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 Each document gets a hash-random key. Within a source, keys are dealt into ranges of equal width;
-sums of the ranges give distributed prefix sums, and only the range that holds the budget's end is
-sorted row by row. A source's plan is one row, so texts are never shuffled.
+sums of the ranges give distributed prefix sums. The range that holds the budget's end is dealt into
+ranges again until it has few rows, and only these are sorted. A source's plan is one row, so texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from verdigris.llm.store import small, stored
+from verdigris.llm.store import release, small, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 KEY_BITS = 60
+#: Rows of a source that one task sorts, and ranges that sources are ordered in.
+SORTED, PARTS = 100_000, 64
 
 
 def words(text: Column) -> Column:
@@ -29,50 +31,78 @@ def random_key(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
+def by_code_point(sources: DataFrame) -> DataFrame:
+    """Adds ``nth``, the place of a source from 0 by code point, null last: ranges of sources are numbered apart and moved by those before."""
+    dealt = stored(sources.repartitionByRange(PARTS, F.col("source").asc_nulls_last()).withColumn("_part", F.spark_partition_id()), "mix-sources")
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))  # a row for each range
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("source").asc_nulls_last())) - 1
+    return dealt.join(F.broadcast(before), "_part").withColumn("nth", within + F.col("_before")).drop("_part", "_before")
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
     """Adds ``target``, the words a source gives, to (source, size): one row for each source.
 
     Sources take ``weights`` by code point, null last. They share ``share`` times all sizes, a target
     stops at ``cap`` times its source's size, and the excess is dealt again by weight. That is a water
-    level: with sources in the order of cap per weight, the level is the greatest of (what the sources
-    before leave) / (weight of the others).
+    level: it rises as long as sources that stop leave something to the others. Each step is a sum over
+    all sources, and there are as many as times that further sources stop.
     """
-    every = Window.partitionBy()
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    by_room = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    weighed = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (order % len(weights)).cast("int") + 1)).withColumn("most", F.lit(float(cap)) * F.col("size"))
-    before = F.coalesce(F.sum("most").over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(by_room.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    level = weighed.withColumn("level", (F.lit(float(share)) * F.sum("size").over(every) - before) / rest)
-    return level.withColumn("target", F.least("most", F.max("level").over(every) * F.col("weight"))).drop("weight", "most", "level")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights)).cast("int") + 1)
+    weighed = stored(by_code_point(sources).withColumn("weight", weight).withColumn("most", F.lit(float(cap)) * F.col("size")), "mix-weights")
+    level, before = 0.0, -1.0
+    total = float(share) * (weighed.agg(F.sum("size")).first()[0] or 0)
+    while level is not None and level != before:
+        stops = F.col("most") <= F.lit(level) * F.col("weight")
+        sums = weighed.agg(F.sum(F.when(stops, F.col("most"))), F.sum(F.when(~stops, F.col("weight")))).first()
+        before, level = level, (total - (sums[0] or 0.0)) / sums[1] if sums[1] else None
+    target = F.col("most") if level is None else F.least("most", F.lit(level) * F.col("weight"))
+    return weighed.withColumn("target", target).drop("weight", "most", "nth")
+
+
+def _ends(sums: DataFrame, bits: int) -> DataFrame:
+    """(source, low, left, rows) of the range where a budget ends, of (source, low, left, range, words, rows): its first key, what is left of the budget there, and its rows."""
+    along = Window.partitionBy("source").orderBy("range")  # as many rows as there are ranges
+    prefix = sums.withColumn("before", F.sum("words").over(along) - F.col("words"))
+    held = prefix.filter((F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("words")))
+    return held.select("source", (F.col("low") + F.shiftleft("range", bits)).alias("low"), (F.col("left") - F.col("before")).alias("left"), "rows")
 
 
-def plan(light: DataFrame, weights: tuple[int, ...], share: float, cap: float, ranges: int) -> DataFrame:
+def _inside(light: DataFrame, ends: DataFrame, bits: int) -> DataFrame:
+    """Rows of ``light`` in the ranges of ``bits`` bits where budgets end, with low and left."""
+    same = F.col("d.source").eqNullSafe(F.col("e.source")) & (F.shiftright(F.col("d.key"), bits) == F.shiftright(F.col("e.low"), bits))
+    return light.alias("d").join(small(ends).alias("e"), same).select("d.source", "d.key", "d.doc_id", "d.size", "e.low", "e.left")
+
+
+def plan(light: DataFrame, weights: tuple[int, ...], share: float, cap: float, range_bits: int) -> DataFrame:
     """What each source gives, from (doc_id, source, size, key): one row for each source, with
     ``full`` whole passes and one more over keys below ``cut``; rows at (cut, cut_id) share what is left, ``cut_words`` each.
     """
-    width = (1 << KEY_BITS) // ranges
-    dealt = light.withColumn("range", F.floor(F.col("key") / F.lit(width)).cast("long"))
-    sums = stored(dealt.groupBy("source", "range").agg(F.sum("size").alias("words")), "mix-ranges")
+    counted = [F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")]
+    bits = KEY_BITS - range_bits
+    sums = stored(light.groupBy("source", F.shiftright("key", bits).alias("range")).agg(*counted), "mix-ranges")
     sources = sums.groupBy("source").agg(F.sum("words").alias("size"))
     budget = F.round("target").cast("long")
     goal = targets(sources, weights, share, cap).withColumns({"full": F.when(F.col("size") > 0, F.floor(budget / F.col("size"))).otherwise(0).cast("long")}).withColumn("rest", budget - F.col("full") * F.col("size"))
     goal = stored(goal, "mix-goal")
-    along = Window.partitionBy("source").orderBy("range")
-    prefix = sums.withColumn("before", F.sum("words").over(along) - F.col("words"))
-    ends = prefix.alias("p").join(small(goal).alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
-    ends = stored(ends.select("g.source", "range", (F.col("rest") - F.col("before")).alias("left")), "mix-ends")
-    inside = dealt.alias("d").join(small(ends).alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.range") == F.col("e.range"))).select("d.source", "d.key", "d.doc_id", "d.size", "e.left")
+    budgets = sums.alias("s").join(small(goal).alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.source", F.lit(0).cast("long").alias("low"), F.col("g.rest").alias("left"), "s.range", "s.words", "s.rows")
+    ends = stored(_ends(budgets, bits), "mix-ends")
+    while bits and (ends.agg(F.max("rows")).first()[0] or 0) > SORTED:
+        finer = max(0, bits - range_bits)
+        dealt = _inside(light, ends, bits).withColumn("range", F.shiftright("key", finer) - F.shiftright("low", finer))
+        ends, bits = stored(_ends(dealt.groupBy("source", "low", "left", "range").agg(*counted), finer), "mix-ends"), finer
     # equal (key, doc_id) are repeated rows: they count as one step and share it evenly
-    steps = inside.groupBy("source", "key", "doc_id", "left").agg(F.sum("size").alias("step"), F.count(F.lit(1)).alias("rows"))
+    steps = _inside(light, ends, bits).groupBy("source", "key", "doc_id", "left").agg(F.sum("size").alias("step"), F.count(F.lit(1)).alias("rows"))
     in_range = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_first())
     cut = steps.withColumn("before", F.sum("step").over(in_range) - F.col("step")).filter((F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("step")))
     cut = cut.select("source", F.col("key").alias("cut"), F.col("doc_id").alias("cut_id"), F.floor((F.col("left") - F.col("before")) / F.col("rows")).cast("long").alias("cut_words"))
     joined = goal.alias("g").join(cut.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left")
-    return stored(joined.select("g.*", "c.cut", "c.cut_id", "c.cut_words"), "mix-plan")
+    found = stored(joined.select("g.*", "c.cut", "c.cut_id", "c.cut_words"), "mix-plan")
+    release(sums, goal, ends)
+    return found
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix", ranges: int = 4096, keep: list[str] | None = None) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix", range_bits: int = 12, keep: list[str] | None = None) -> DataFrame:
     """Adds size, source_size, target and taken (the words that the mix takes of a document, repeats counted).
 
     Every source's words are taken to the word: all documents ``floor(target / size)`` times, then in
@@ -88,7 +118,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     wanted = [c for c in df.columns if c not in results and (keep is None or c in keep)]
     if keep is not None and set(keep) <= {id_col}:  # no need to read texts again
         sized = light.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), F.col("key").alias("_mix_key"), *([F.col("doc_id").alias(id_col)] if keep else []))
-    one = small(plan(light, weights, share, cap, ranges)).alias("p")
+    one = small(plan(light, weights, share, cap, range_bits)).alias("p")
     at_cut = (F.col("_mix_key") == F.col("p.cut")) & F.col("_mix_id").eqNullSafe(F.col("p.cut_id"))
     below = (F.col("_mix_key") < F.col("p.cut")) | ((F.col("_mix_key") == F.col("p.cut")) & F.when(F.col("_mix_id").isNull(), F.col("p.cut_id").isNotNull()).otherwise(F.col("p.cut_id").isNotNull() & (F.col("_mix_id") < F.col("p.cut_id"))))
     more = F.when(at_cut, F.least("p.cut_words", "_mix_size")).when(below, F.col("_mix_size")).otherwise(0)
