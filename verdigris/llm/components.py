@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.store import stored
+from verdigris.llm.store import release, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,10 +24,14 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = state
         both = edges.select("a", "b").union(edges.select("b", "a"))
-        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "stars-least")
+        least, old = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "stars-least"), edges
         edges = stored(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "stars")
-        least = stored(edges.groupBy("a").agg(F.min("b").alias("m")), "stars-least")
+        release(least, old)
+        least, old = stored(edges.groupBy("a").agg(F.min("b").alias("m")), "stars-least"), edges
         linked = edges.join(least, "a")
         edges = stored(linked.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
+        release(least, old)
     roots = edges.select(F.col("b").alias("node")).distinct()
-    return stored(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component"))), "components")
+    found = stored(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component"))), "components")
+    release(edges)
+    return found

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from verdigris.llm.arrow import mapped, with_columns
 from verdigris.llm.components import components
-from verdigris.llm.store import small, stored
+from verdigris.llm.store import release, small, stored
 from verdigris.llm.words import mix, words
 
 #: 20 bands of 3 registers miss a pair of similarity 0.85 once in 100 million, one of 0.8 once in 500,000.
@@ -145,17 +145,18 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
     return with_columns(both, "_ta", [T.StructField("_linked", T.BooleanType())], make, ["a", "b"], also=("_tb",)).filter("_linked").select("a", "b")
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, made: list[DataFrame]) -> DataFrame:
     """Comparison tasks from (bucket, id, component, n_shingles, ...): rows with (left, right, side), sorted by task.
 
     Of each bucket the largest component is dealt into chunks, each seen by one task; the other rows go
     to every chunk, and among themselves in pairs of chunks. No task sees more than two chunks, and
-    pairs within a component are never made.
+    pairs within a component are never made. ``made`` gets the stored table that the result reads.
     """
     per = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     totals = per.groupBy("bucket").agg(F.max(F.struct("n", "component", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s")).filter("n > top.n")
     chunks = lambda n, s: F.greatest(F.ceil(n / CHUNK), F.ceil(s / CHUNK_SHINGLES), F.lit(1)).cast("int")
     totals = stored(totals.select("bucket", F.col("top.component").alias("major"), chunks(F.col("top.n"), F.col("top.s")).alias("majors"), chunks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("minors")), "near-totals")
+    made.append(totals)
     dealt = rows.join(totals, "bucket").withColumn("is_major", F.col("component") == F.col("major"))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("id"), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("minors"))).cast("int"))
     # a task is (left, right): right a chunk of the others, left one of the major (0...) or of the others (-1...)
@@ -169,13 +170,16 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def _cross_links(rows: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """Links (a, b) that join components within a bucket, from (bucket, id, component, n_shingles, sketch) and (id, text).
+    """Stored links (a, b) that join components within a bucket, from (bucket, id, component, n_shingles, sketch) and (id, text).
 
     Sketches alone tell first which rows have a likely partner in which bucket; only these get their
     texts. Pairs are tested where their rows are: no pair leaves a task but the links.
     """
-    needed = stored(_compared(_dealt(rows), percent, size, tested=False).distinct(), "near-needed")
-    return _compared(_dealt(rows.join(needed, ["bucket", "id"]).join(texts, "id")), percent, size, tested=True).distinct()
+    made: list[DataFrame] = []
+    made.append(stored(_compared(_dealt(rows, made), percent, size, tested=False).distinct(), "near-needed"))
+    links = stored(_compared(_dealt(rows.join(made[-1], ["bucket", "id"]).join(texts, "id"), made), percent, size, tested=True).distinct(), "near-links")
+    release(*made)
+    return links
 
 
 def _likely(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, registers: np.ndarray, bucket: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -301,8 +305,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = stored(bands.select("bucket", "id").join(first, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "near-named")
     mixed = stored(named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket"), "near-mixed")
     apart = named.join(mixed, "bucket").join(reps.select("id", "n_shingles", "sketch"), "id")
-    links = links.union(stored(_cross_links(apart, texts, percent, size), "near-links"))
-    final = components(links)
+    crossing = _cross_links(apart, texts, percent, size)
+    final = components(links.union(crossing))
+    release(reps, shared, bands, candidates, texts, links, first, named, mixed, crossing)
     member = light.join(classes, (light.set_a == classes.set_a) & (light.set_b == classes.set_b) & (light.n_shingles > 0), "left").select(light.id, light.n_shingles, F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
     out = member.join(final, F.col("class_id") == F.col("node"), "left").select("id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "class_id", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import bpe, extraction, language, media, mixing, mtree, neardup, quality, substrings, warc
+from verdigris.llm.store import clean  # noqa: F401  for the driver contract
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

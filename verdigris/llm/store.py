@@ -33,17 +33,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again._stored_at = path
+    _made.append((spark, path))
     return again
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def clean() -> None:
+    """Deletes all that this driver has stored and not released: to be called when results, which read some of it, are written."""
+    while _made:
+        _delete(*_made.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing will read any more; others among ``tables`` are left alone."""
     for df in tables:
-        spark, path = df.sparkSession, getattr(df, "_stored_at", None)
-        if path is None:
-            continue
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        if (path := getattr(df, "_stored_at", None)) is not None:
+            _delete(df.sparkSession, path)
+            _made.remove((df.sparkSession, path))
 
 
 #: Bytes up to which a table is broadcast.
