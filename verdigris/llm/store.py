@@ -81,8 +81,10 @@ def least_hashed(df: DataFrame, keys: list[str], most_rows: int, by: str | None
     A count sets a threshold on the hash, so that no task holds or sends more than its share of
     twice that number; without it every task would send its own ``most_rows``. ``by``: so many rows of
     each value of that column. ``size``: of the chosen rows, in the order of the hash, only those stay with
-    which the sum of that column is at most ``most_size``.
+    which the sum of that column is at most ``most_size``; rows of over an eighth of it aren't chosen, so that one can't take the place of all.
     """
+    if size is not None:
+        df = df.filter(F.col(size) <= most_size // 8)
     hashed = F.xxhash64(keys[0])
     if by is None:
         total = df.count()

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from verdigris.llm.arrow import mapped, slices, with_columns
 from verdigris.llm.automaton import SuffixAutomaton
 from verdigris.llm.store import release, small, stored
-from verdigris.llm.words import Words, mix, words
+from verdigris.llm.words import BASE, Words, binary, mix, places, powers, words
 
 #: Words of an anchor.
 ANCHOR = 6
@@ -42,13 +42,21 @@ def _runs(found: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     count = np.maximum(np.diff(found.bounds) - window + 1, 0)
     row = np.repeat(np.arange(len(count)), count)
     start = np.arange(len(row)) + np.repeat(found.bounds[:-1] - (np.cumsum(count) - count), count)
-    least, place = by_word[start], start.copy()
-    for k in range(1, window - ANCHOR + 1):
-        other = by_word[start + k]
-        lower = other < least
-        least[lower] = other[lower]
-        place[lower] = start[lower] + k
-    return row, start, place, least, by_word
+    place = _least(by_word, window - ANCHOR + 1)[start]
+    return row, start, place, by_word[place], by_word
+
+
+def _least(values: np.ndarray, n: int, greatest: bool = False) -> np.ndarray:
+    """For each place that has n values from it on, the first place of the least (greatest) of them, by doubling; at later places it means nothing."""
+    place = np.arange(len(values))
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        first, second = place[:-step], place[step:]
+        better = values[second] > values[first] if greatest else values[second] < values[first]
+        place = np.concatenate([np.where(better, second, first), place[len(place) - step :]])
+        have += step
+    return place
 
 
 def _anchors(df: DataFrame, window: int) -> DataFrame:
@@ -92,22 +100,21 @@ def _pieces(df: DataFrame, window: int) -> DataFrame:
                 second = np.zeros(len(start), np.int64)
                 hot = np.flatnonzero(state[place] == 2)
                 if len(hot):
-                    top, where = by_word[start[hot]], start[hot].copy()
-                    for k in range(1, window - ANCHOR + 1):
-                        other = by_word[start[hot] + k]
-                        higher = other > top
-                        top[higher] = other[higher]
-                        where[higher] = start[hot][higher] + k
+                    where = _least(by_word, window - ANCHOR + 1, greatest=True)[start[hot]]
                     second[hot] = where + 1
-                    least[hot] = mix(least[hot] + mix(top))
+                    least[hot] = mix(least[hot] + mix(by_word[where]))
                 new = np.ones(len(start), bool)
                 new[1:] = (place[1:] != place[:-1]) | (second[1:] != second[:-1]) | (start[1:] != start[:-1] + 1)
                 begin = np.flatnonzero(new)
                 last = np.concatenate([begin[1:], [len(start)]])[: len(begin)] - 1
+                # a piece's name is a hash of its words' 64-bit hashes, its body 32 bits of each
+                size = start[last] + window - start[begin]
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(found.hashes * powers(BASE, len(found.hashes)), dtype=np.uint64)])
+                back = powers(pow(BASE, -1, 2**64), len(found.hashes) + 1)
+                names = mix((sums[start[begin] + size] - sums[start[begin]]) * back[start[begin]] + size.astype(np.uint64)).astype(np.int64)
                 symbols = (found.hashes >> np.uint64(32)).astype(np.uint32)
-                bodies = [symbols[a : b + window].tobytes() for a, b in zip(start[begin].tolist(), start[last].tolist(), strict=True)]
-                names = np.array([xxhash.xxh3_64_intdigest(b) for b in bodies], np.uint64).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(least[begin].astype(np.int64)), pa.array(names), pa.array(ids[row[begin]]), pa.array((start[begin] - found.bounds[row[begin]]).astype(np.int32)), pa.array(bodies, pa.binary())], names=["key", "piece", "id", "start", "body"])
+                bodies = binary(symbols[places(start[begin], size)].view(np.uint8), 4 * np.concatenate([[0], np.cumsum(size)]))
+                yield pa.RecordBatch.from_arrays([pa.array(least[begin].astype(np.int64)), pa.array(names), pa.array(ids[row[begin]]), pa.array((start[begin] - found.bounds[row[begin]]).astype(np.int32)), bodies], names=["key", "piece", "id", "start", "body"])
 
     return mapped(df, run, "key long, piece long, id long, start int, body binary")
 
@@ -168,14 +175,14 @@ def _decided(shards: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        automaton, begins, places = SuffixAutomaton(), [], []
+        automaton, begins, starts = SuffixAutomaton(), [], []
         reference: list[tuple[int, int, int, int, list[int]]] = []
         key = None
 
         def place(symbol: int) -> tuple[int, int]:
             """Document and word of a symbol of the reference."""
             row = bisect_right(begins, symbol) - 1
-            doc, start = places[row]
+            doc, start = starts[row]
             return doc, start + symbol - begins[row]
 
         def answer(doc: int, start: int, found: list[int]) -> None:
@@ -195,7 +202,7 @@ def _decided(shards: DataFrame, window: int) -> DataFrame:
             """The automaton of a shard's reference, which is then streamed through it."""
             for _, _, doc, start, body in reference:
                 begins.append(automaton.added)
-                places.append((doc, start))
+                starts.append((doc, start))
                 automaton.add(body)
             for piece, copies, doc, start, body in reference:
                 answer(doc, start, automaton.matches(body, window))
@@ -215,7 +222,7 @@ def _decided(shards: DataFrame, window: int) -> DataFrame:
             for *name, streamed, piece, copies, doc, start, body in zip(*columns, strict=True):
                 if name != key:
                     build()
-                    automaton, begins, places, key = SuffixAutomaton(), [], [], name
+                    automaton, begins, starts, key = SuffixAutomaton(), [], [], name
                 symbols = np.frombuffer(body, np.uint32).tolist()
                 if not streamed:
                     reference.append((piece, copies, doc, start, symbols))
@@ -238,17 +245,21 @@ def _spans(ranges: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[int]] = []
-            for doc, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                last = None
-                for r in sorted(found, key=lambda r: (r["first_id"], r["first_begin"] - r["begin"], r["begin"])):
-                    if last is not None and last[3] == r["first_id"] and last[4] - last[1] == r["first_begin"] - r["begin"] and r["begin"] <= last[2]:
-                        last[2] = max(last[2], r["end"])
-                    else:
-                        last = [doc, r["begin"], r["end"], r["first_id"], r["first_begin"]]
-                        out.append(last)
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["id", "begin", "end", "first_id", "first_begin"])
+            lists = batch.column(1)
+            rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            begin, end, first_id, first_begin = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
+            shift = first_begin.astype(np.int64) - begin
+            order = np.lexsort((begin, shift, first_id, rows))
+            rows, begin, end, first_id, shift = (x[order] for x in (rows, begin.astype(np.int64), end.astype(np.int64), first_id, shift))
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:] != rows[:-1]) | (first_id[1:] != first_id[:-1]) | (shift[1:] != shift[:-1])
+            # the furthest end so far on a diagonal: diagonals are moved apart
+            apart = np.cumsum(new) << 32
+            furthest = np.maximum.accumulate(end + apart) - apart
+            new[1:] |= begin[1:] > furthest[:-1]
+            at = np.flatnonzero(new)
+            ends = furthest[np.concatenate([at[1:], [len(rows)]]).astype(np.int64)[: len(at)] - 1]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[at])), pa.array(begin[at].astype(np.int32)), pa.array(ends.astype(np.int32)), pa.array(first_id[at]), pa.array((begin + shift)[at].astype(np.int32))], names=["id", "begin", "end", "first_id", "first_begin"])
 
     return mapped(ranges.groupBy("id").agg(F.collect_list(F.struct("begin", "end", "first_id", "first_begin")).alias("found")), run, SPANS)
 
@@ -285,15 +296,16 @@ def _kept(df: DataFrame, text_col: str, spans: bool) -> DataFrame:
         found = batch.column("_spans").to_pylist() if spans else [None] * batch.num_rows
         for text, span in zip(batch.column(text_col).to_pylist(), found, strict=True):
             split = (text or "").encode().split()  # at the same six characters
-            mask = np.zeros(len(split) + 1, np.int32)
-            for r in span or ():
-                if r["end"] <= len(split) and _digest(split[r["begin"] : r["end"]]) == r["proof"]:
-                    mask[r["begin"]] += 1
-                    mask[r["end"]] -= 1
-            gone = np.cumsum(mask[:-1]) > 0
+            proved = sorted((r["begin"], r["end"]) for r in span or () if r["end"] <= len(split) and _digest(split[r["begin"] : r["end"]]) == r["proof"])
+            left, at = [], 0
+            for begin, end in proved:
+                if begin > at:
+                    left += split[at:begin]
+                at = max(at, end)
+            left = left + split[at:] if proved else split
             count.append(len(split))
-            removed.append(int(gone.sum()))
-            kept.append(b" ".join([w for w, g in zip(split, gone.tolist(), strict=True) if not g] if removed[-1] else split).decode())
+            removed.append(len(split) - len(left))
+            kept.append(b" ".join(left).decode())
         return [pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
 
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
@@ -322,11 +334,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = ["key", "part", "salt"]
     decided = stored(_decided(_shards(reference, window).repartition(*order).sortWithinPartitions(*order, "streamed", "id", "start"), window), "sub-decided")
     answers = decided.filter("id IS NULL").select("key", "piece", "first_id", "first_begin", (F.col("begin") == 2).alias("often"))
-    places = pieces.select("key", "piece", "id", F.col("start").alias("begin"), (F.col("start") + F.octet_length("body") / 4).cast("int").alias("end"))
+    copies = pieces.select("key", "piece", "id", F.col("start").alias("begin"), (F.col("start") + F.octet_length("body") / 4).cast("int").alias("end"))
     # pieces that very many texts share are joined where they are, if a count allows
     often = answers.filter("often")
-    hot = places.join(small(often), ["key", "piece"])
-    rest = places.join(answers.filter("NOT often"), ["key", "piece"])
+    hot = copies.join(small(often), ["key", "piece"])
+    rest = copies.join(answers.filter("NOT often"), ["key", "piece"])
     columns = ["id", "begin", "end", "first_id", "first_begin"]
     later = hot.unionByName(rest).filter((F.col("first_id") < F.col("id")) | ((F.col("first_id") == F.col("id")) & (F.col("first_begin") < F.col("begin")))).select(columns)
     spans = stored(_spans(decided.filter("id IS NOT NULL").select(columns).union(later)), "sub-spans")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdigris.llm.arrow import mapped
-from verdigris.llm.store import least_hashed, stored
+from verdigris.llm.store import least_hashed, release, stored
 
 #: Fixed values of the formats.
 DICTIONARY_FRAME, FRAME = 0x184D2A5D, 0xFD2FB528
@@ -174,11 +174,11 @@ def records(archive: bytes, most: int = LONGEST_RECORD) -> Iterator[dict]:
         at = end
 
 
-def train_dictionary(pages: DataFrame, id_col: str, payload_col: str, most_rows: int = 256, most_chars: int = 4096, size: int = 32 << 10) -> bytes:
-    """A dictionary of at most ``size`` bytes from the starts of at most ``most_rows`` payloads, those of
-    least hash; none if they are too few or too short. It changes the archives' size, not their records."""
-    heads = pages.filter(F.col(payload_col).isNotNull()).select(F.col(id_col).alias("_id"), F.substring(payload_col, 1, most_chars).alias("_head"))
-    samples = [r._head.encode() for r in least_hashed(heads, ["_id", "_head"], most_rows).collect()]
+def train_dictionary(pages: DataFrame, id_col: str, payload_col: str, most_rows: int = 256, most_bytes: int = 4 << 20, size: int = 32 << 10) -> bytes:
+    """A dictionary of at most ``size`` bytes from at most ``most_rows`` whole payloads, those of least hash, of ``most_bytes``
+    together; none if they are too few or too short. It changes the archives' size, not their records."""
+    whole = pages.filter(F.col(payload_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(payload_col).alias("_payload"), F.octet_length(payload_col).cast("long").alias("_bytes"))
+    samples = [r._payload.encode() for r in least_hashed(whole, ["_id", "_payload"], most_rows, size="_bytes", most_size=most_bytes).orderBy(F.xxhash64("_id"), "_id", "_payload").collect()]
     samples += [record("response", RECORD_URN + str(i), "http://www.example.com/", b"") for i in range(8)] if samples else []
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
@@ -221,7 +221,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", uri_col: str = "ur
         if parts:
             yield archive()
 
-    return stored(mapped(typed, run, "archive_id string, content binary"), "warc-archives")
+    archives = stored(mapped(typed, run, "archive_id string, content binary"), "warc-archives")
+    release(repeated)
+    return archives
 
 
 def read_archives(archives: DataFrame, content_col: str = "content", payloads: bool = True) -> DataFrame:
