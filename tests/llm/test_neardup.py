@@ -104,6 +104,46 @@ def test_likelihood_keeps_links():
     assert neardup.unlikely(np.array([20]), np.array([20]), np.array([20]), n, n, 0.85)[0]
 
 
+def test_crowded_buckets_of_a_template(spark, monkeypatch):
+    """Rows that share a long template but are not alike, and some among them that are: by rare shingles, as by brute force."""
+    monkeypatch.setattr(neardup, "CHUNK", 8)
+    rng = random.Random(12)
+    template = [f"t{k}" for k in range(150)]
+    docs = []
+    for i in range(90):
+        own = [f"o{i}_{k}" for k in range(rng.choice([25, 40, 80]))]
+        docs.append((i, " ".join(template + own)))
+    for i in range(12):  # near copies of some of them, and copies of copies
+        words = docs[rng.randrange(len(docs))][1].split()
+        at = rng.randrange(len(words))
+        docs.append((1000 - i, " ".join(words[:at] + [f"n{i}"] + words[at + 1 :])))
+    used, by_rare = [], neardup._by_rare_shingles
+    monkeypatch.setattr(neardup, "_by_rare_shingles", lambda rows, *rest: (used.append(rows.count()), by_rare(rows, *rest))[1])
+    for percent in (80, 85, 95):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, percent=percent).collect()}
+        assert got == brute(docs, percent)
+    assert used
+
+
+def test_rare_shingles_miss_no_pair(spark):
+    """Any two sets of the similarity meet in a bucket."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    docs = [(i, " ".join(base[a : a + n])) for i, (a, n) in enumerate((rng.randrange(0, 12), rng.randrange(40, 49)) for _ in range(60))] + [(99, "a b")]
+    texts = spark.createDataFrame(docs, "id long, text string")
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in docs}
+    rows = spark.createDataFrame([(7, i, i, len(sets[i]), b"") for i, _ in docs], "bucket long, id long, component long, n_shingles long, sketch binary")
+    meet = {}
+    for r in neardup._by_rare_shingles(rows, texts, 80, 5).collect():
+        meet.setdefault(r.bucket, set()).add(r.id)
+    together = {(a, b) for found in meet.values() for a in found for b in found if a < b}
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and 100 * len(x & y) >= 80 * len(x | y):
+                assert (a, b) in together
+
+
 def test_components_as_brute_force(spark):
     rng = random.Random(9)
     links = [(i, i + 1) for i in range(0, 60)] + [(rng.randint(100, 400), rng.randint(100, 400)) for _ in range(200)] + [(500, k) for k in range(501, 560)]

@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from verdigris.llm.arrow import mapped, with_columns
+from verdigris.llm.arrow import mapped, slices, with_columns
 from verdigris.llm.components import components
 from verdigris.llm.store import release, small, stored
 from verdigris.llm.words import mix, words
@@ -169,30 +170,61 @@ def _dealt(rows: DataFrame, made: list[DataFrame]) -> DataFrame:
     return tasks.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "side", "id")
 
 
-def _cross_links(rows: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """Stored links (a, b) that join components within a bucket, from (bucket, id, component, n_shingles, sketch) and (id, text).
+def _crowded(rows: DataFrame) -> DataFrame:
+    """Stored (bucket): buckets with over CHUNK rows outside their largest component, which would be compared with each other."""
+    per = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    return stored(per.groupBy("bucket").agg((F.sum("n") - F.max("n")).alias("others")).filter(F.col("others") > CHUNK).select("bucket"), "near-crowded")
+
+
+def _by_rare_shingles(rows: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """Rows of crowded buckets (bucket, id, component, n_shingles, sketch), each in a bucket of its own for every rare shingle.
+
+    Rows that share a template fill a bucket without being alike. Two sets of the similarity share one of the
+    n - ceil(percent n / 100) + 1 rarest shingles of either, whatever the order of rarity, so only rows that share such a
+    shingle need be compared: none is missed. Shingles are counted over all rows of crowded buckets.
+    """
+    each = rows.dropDuplicates(["id"]).select("id", "component", "n_shingles", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, bounds = shingles(part.column("text"), size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("id").to_numpy(), np.diff(bounds))), pa.array(hashes.astype(np.int64))], names=["id", "shingle"])
+
+    found = mapped(texts.join(each.select("id"), "id").select("id", "text"), run, "id long, shingle long")
+    shared = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    order = Window.partitionBy("id").orderBy("_n", "shingle")  # as many rows as a text has shingles
+    ranked = found.join(shared, "shingle").withColumns({"_place": F.row_number().over(order), "_shared": F.count(F.lit(1)).over(Window.partitionBy("id"))})
+    prefix = F.col("n_shingles") - F.ceil(F.lit(percent) * F.col("n_shingles") / 100) + 1
+    rare = ranked.join(each, "id").filter(F.col("_place") + F.col("n_shingles") - F.col("_shared") <= prefix)  # shingles of one row alone are the rarest
+    return rare.select(F.xxhash64("shingle").alias("bucket"), "id", "component", "n_shingles", "sketch")
+
+
+def _cross_links(rows: DataFrame, texts: DataFrame, percent: int, size: int, banded: bool = True) -> DataFrame:
+    """Stored links (a, b) that join components within a bucket, from (bucket, id, component, n_shingles, sketch) and (id, text). ``banded``: the buckets are those of bands.
 
     Sketches alone tell first which rows have a likely partner in which bucket; only these get their
     texts. Pairs are tested where their rows are: no pair leaves a task but the links.
     """
     made: list[DataFrame] = []
-    made.append(stored(_compared(_dealt(rows, made), percent, size, tested=False).distinct(), "near-needed"))
-    links = stored(_compared(_dealt(rows.join(made[-1], ["bucket", "id"]).join(texts, "id"), made), percent, size, tested=True).distinct(), "near-links")
+    made.append(stored(_compared(_dealt(rows, made), percent, size, banded, tested=False).distinct(), "near-needed"))
+    links = stored(_compared(_dealt(rows.join(made[-1], ["bucket", "id"]).join(texts, "id"), made), percent, size, banded, tested=True).distinct(), "near-links")
     release(*made)
     return links
 
 
-def _likely(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, registers: np.ndarray, bucket: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which of the row pairs (i, j) are of two components, may reach the similarity and share no earlier band than their bucket's, and how many registers they share."""
+def _likely(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, registers: np.ndarray, bucket: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int, banded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the row pairs (i, j) are of two components, may reach the similarity and, in buckets of bands, share no earlier band than theirs, and how many registers they share."""
     good = (comp[i] != comp[j]) & (percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j]))
     i, j = i[good], j[good]
     equal = registers[i] == registers[j]
     # a pair of 0.8 with fewer than a third of its registers equal is beyond any odds; the likelihood decides on the rest
     good = equal.sum(axis=1) * 3 >= REGISTERS
     i, j, equal = i[good], j[good], equal[good]
-    first = equal.reshape(len(i), BANDS, ROWS).all(axis=2).argmax(axis=1)
-    good = band_keys(registers[i].reshape(-1, BANDS, ROWS)[np.arange(len(i)), first], first) == bucket[i]
-    i, j, equal = i[good], j[good], equal[good]
+    if banded:
+        first = equal.reshape(len(i), BANDS, ROWS).all(axis=2).argmax(axis=1)
+        good = band_keys(registers[i].reshape(-1, BANDS, ROWS)[np.arange(len(i)), first], first) == bucket[i]
+        i, j, equal = i[good], j[good], equal[good]
     more, fewer = (registers[i] > registers[j]).sum(axis=1), (registers[i] < registers[j]).sum(axis=1)
     good = ~unlikely(equal.sum(axis=1), more, fewer, n[i], n[j], percent / 100)
     return i[good], j[good], equal[good].sum(axis=1)
@@ -227,7 +259,7 @@ def _joining(found: tuple[np.ndarray, np.ndarray, np.ndarray], comp: np.ndarray,
     return out
 
 
-def _compared(rows: DataFrame, percent: int, size: int, tested: bool) -> DataFrame:
+def _compared(rows: DataFrame, percent: int, size: int, banded: bool, tested: bool) -> DataFrame:
     """Joining links (a, b) of sorted task rows, or untested the rows (bucket, id) of likely pairs. All tasks of a batch are compared together, in slices of bounded size."""
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
@@ -248,7 +280,7 @@ def _compared(rows: DataFrame, percent: int, size: int, tested: bool) -> DataFra
             stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 500_000, side="right")))
             i = np.repeat(np.arange(at, stop), count[at:stop])
             j = np.arange(len(i)) + np.repeat(start[at:stop] - (np.cumsum(count[at:stop]) - count[at:stop]), count[at:stop])
-            likely = _likely(ids, comp, n, registers, bucket, i, j, percent)
+            likely = _likely(ids, comp, n, registers, bucket, i, j, percent, banded)
             if tested and len(likely[0]):
                 links += _joining(likely, comp, table.column(8).combine_chunks(), percent, size)
             likely_rows[likely[0]] = likely_rows[likely[1]] = True
@@ -305,9 +337,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = stored(bands.select("bucket", "id").join(first, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "near-named")
     mixed = stored(named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket"), "near-mixed")
     apart = named.join(mixed, "bucket").join(reps.select("id", "n_shingles", "sketch"), "id")
-    crossing = _cross_links(apart, texts, percent, size)
-    final = components(links.union(crossing))
-    release(reps, shared, bands, candidates, texts, links, first, named, mixed, crossing)
+    crowded = _crowded(apart)
+    some = not crowded.isEmpty()
+    crossing = [_cross_links(apart.join(small(crowded), "bucket", "left_anti") if some else apart, texts, percent, size)]
+    if some:
+        rare = stored(_by_rare_shingles(apart.join(small(crowded), "bucket", "left_semi"), texts, percent, size), "near-rare")
+        crossing += [_cross_links(rare, texts, percent, size, banded=False), rare]
+    final = components(links.union(crossing[0]).union(crossing[1]) if some else links.union(crossing[0]))
+    release(reps, shared, bands, candidates, texts, links, first, named, mixed, crowded, *crossing)
     member = light.join(classes, (light.set_a == classes.set_a) & (light.set_b == classes.set_b) & (light.n_shingles > 0), "left").select(light.id, light.n_shingles, F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
     out = member.join(final, F.col("class_id") == F.col("node"), "left").select("id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "class_id", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
