@@ -151,3 +151,19 @@ def test_reports(spark):
     text = reports.ab_report(abtests.report(pairs, verdicts, ["model"], "a", "b"), abtests.top_savings(pairs, ["model"], "q", "a", "b"), "model")
     assert "| m | 2 | 2.500 | 2.500 | 60.000 | 1 | 1 | 0 | 1.000 | adopt |" in text and text.endswith("| m | 1 | 3.000 |\n| m | 2 | 2.000 |")
     assert reports.console(density.orderBy("tokenizer")).splitlines()[1].split() == ["bytes", "2", "18.0", "0.5"]
+
+
+def test_documents_of_a_run(spark):
+    from verdigris.operators.scorers import Scorers
+    from verdigris.plans import evaluation
+
+    rows = [("b", "translate", "i", "hello", "hello", None), ("a", "translate", "i", "bye", "bad", None), ("c", "unknown", "i", "x", "y", None)]
+    records = spark.createDataFrame(rows, "id string, task string, instruction string, input string, reference string, metadata map<string,string>").repartition(2)
+    done = evaluation.answered(records, lambda: endpoint.stub, Scorers(compose=False))
+    doc = evaluation.task_results(done, F.lit("m"), F.lit("u")).first()
+    task = doc.tasks["translate"]
+    assert (task.n, task.errors, [i.id for i in task["items"]], task.summary["chrf"] > 0.5) == (2, 0, ["a", "b"], True) and task.elapsed_sec >= 0
+    assert doc.tasks["unknown"].summary is None and doc.tasks["unknown"]["items"][0].scores is None
+    updated = sinks.updated_documents(spark.createDataFrame([], "model string, base_url string, started_at string, last_updated_at string, tasks map<string,struct<n:int>>"), evaluation.task_results(done, F.lit("m"), F.lit("u")).withColumn("tasks", F.transform_values("tasks", lambda k, v: F.struct(v["n"].alias("n")))), "then")
+    assert [(r.model, r.started_at, r.last_updated_at, r.tasks["translate"].n) for r in updated.collect()] == [("m", "then", None, 2)]
+    assert len(spark.range(1).select(evaluation.now().alias("v")).first().v) == 19

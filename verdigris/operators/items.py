@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from verdigris.functions import text as X
-from verdigris.functions.stats import pearson, spearman
+from verdigris.functions.stats import pearson, same, spearman
 from verdigris.operators.containment import occurrences
 from verdigris.operators.samples import first_by
 from verdigris.schemas import HEADLINE
@@ -25,12 +25,13 @@ TIER2 = ("汉书", "后汉书", "三国志", "资治通鉴", "韩非子", "荀
 def item_stats(scores: DataFrame) -> DataFrame:
     """(task, id, n, difficulty, variance, discrimination) from (model, task, id, score).
 
-    Discrimination correlates an item's score with the model's mean over the task's other items, by a
-    window sum less the item: one pass, where a loop would read every item for every item.
+    Discrimination correlates an item's score with the model's mean over the task's other items, by the
+    model's sum less the item, where a loop would read every item for every item. Sums are combined before they are shuffled.
     """
-    w = Window.partitionBy("task", "model")
-    rest = (F.sum("score").over(w) - F.col("score")) / F.nullif(F.count("score").over(w) - 1, F.lit(0))
-    with_rest = scores.filter("score IS NOT NULL").withColumn("rest", rest)
+    known = scores.filter("score IS NOT NULL")
+    sums = known.groupBy("task", "model").agg(F.sum("score").alias("_sum"), F.count("score").alias("_count"))
+    rest = (F.col("_sum") - F.col("score")) / F.nullif(F.col("_count") - 1, F.lit(0))
+    with_rest = same(known, sums, ["task", "model"]).withColumn("rest", rest)
     return with_rest.groupBy("task", "id").agg(F.count("score").alias("n"), F.round(F.avg("score"), 4).alias("difficulty"), F.round(F.var_pop("score"), 6).alias("variance"), F.round(pearson("score", "rest"), 4).alias("discrimination"))
 
 

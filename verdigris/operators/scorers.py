@@ -20,48 +20,45 @@ class Metadata(dict):
         return F.col("metadata")[key]
 
 
-Scorer = Callable[[Column, Column, Column, Metadata], Metrics]
+Chrf = Callable[[Column, Column], Column]
+Scorer = Callable[[Column, Column, Column, Metadata, Chrf], Metrics]
 
 
 class Scorers:
-    """``table``: one-to-one characters for traditional script; ``compose``: False skips NFKC, which needs Python."""
+    """``table``: one-to-one characters for traditional script; ``compose``: False skips NFKC, which needs Python.
 
-    def __init__(self, table: dict[str, str] | None = None, aliases: dict[str, list[str]] = X.BOOK_ALIASES, compose: bool = True, letters: str = X.HAN, chrf: Callable[[Column, Column], Column] = M.chrf):
+    A scorer takes texts that ``score`` has composed and stripped, those of tasks in ``raw`` as they are, and asks for at most one n-gram score.
+    """
+
+    def __init__(self, table: dict[str, str] | None = None, aliases: dict[str, list[str]] = X.BOOK_ALIASES, compose: bool = True, letters: str = X.HAN, chrf: Chrf = M.chrf):
         self.table, self.aliases, self.compose, self.letters, self.chrf = table, aliases, compose, letters, chrf
         self.registry: dict[str, Scorer] = {"translate": self.translate, "punctuate": self.punctuate, "char-gloss": self.gloss, "idiom-source": self.source, "fill-in": self.cloze, "compress": self.compress}
+        self.raw = {"compress"}
 
-    def strip(self, c: Column) -> Column:
-        """``score`` has composed the texts before."""
-        return X.squeeze(c)
+    def translate(self, p: Column, r: Column, given: Column, metadata: Metadata, chrf: Chrf) -> Metrics:
+        return {"chrf": chrf(p, r), "char_f1": M.char_f1(p, r)}
 
-    def translate(self, prediction: Column, reference: Column, given: Column, metadata: Metadata) -> Metrics:
-        p, r = self.strip(prediction), self.strip(reference)
-        return {"chrf": self.chrf(p, r), "char_f1": M.char_f1(p, r)}
-
-    def punctuate(self, prediction: Column, reference: Column, given: Column, metadata: Metadata) -> Metrics:
+    def punctuate(self, p: Column, r: Column, given: Column, metadata: Metadata, chrf: Chrf) -> Metrics:
         """chrf is null where neither text has a mark."""
-        p, r = self.strip(prediction), self.strip(reference)
-        same = X.without(p, X.PUNCTUATION) == X.without(r, X.PUNCTUATION)
-        marked = (F.size(M.mark_places(p)) > 0) | (F.size(M.mark_places(r)) > 0)
-        return {"punct_f1": M.mark_f1(p, r), "char_preserved": same.cast("double"), "chrf": F.when(marked, self.chrf(p, r))}
+        bare_p, bare_r = X.without(p, X.PUNCTUATION), X.without(r, X.PUNCTUATION)
+        marked = (p != bare_p) | (r != bare_r)
+        return {"punct_f1": M.mark_f1(p, r), "char_preserved": (bare_p == bare_r).cast("double"), "chrf": F.when(marked, chrf(p, r))}
 
-    def gloss(self, prediction: Column, reference: Column, given: Column, metadata: Metadata) -> Metrics:
-        p, r = (X.without(self.strip(c), X.PUNCTUATION) for c in (prediction, reference))
-        return {"chrf": self.chrf(p, r), "char_f1": M.char_f1(p, r)}
+    def gloss(self, p: Column, r: Column, given: Column, metadata: Metadata, chrf: Chrf) -> Metrics:
+        p, r = X.without(p, X.PUNCTUATION), X.without(r, X.PUNCTUATION)
+        return {"chrf": chrf(p, r), "char_f1": M.char_f1(p, r)}
 
-    def source(self, prediction: Column, reference: Column, given: Column, metadata: Metadata) -> Metrics:
-        p = self.strip(prediction)
-        return {"book_em": X.book_hit(p, F.coalesce(metadata["book"], F.lit("")), self.aliases, self.table).cast("double"), "quote_chrf": self.chrf(p, self.strip(metadata["expected_quote"]))}
+    def source(self, p: Column, r: Column, given: Column, metadata: Metadata, chrf: Chrf) -> Metrics:
+        return {"book_em": X.book_hit(p, F.coalesce(metadata["book"], F.lit("")), self.aliases, self.table).cast("double"), "quote_chrf": chrf(p, metadata["expected_quote"])}
 
-    def cloze(self, prediction: Column, reference: Column, given: Column, metadata: Metadata) -> Metrics:
-        p, answer = self.strip(prediction), self.strip(reference)
+    def cloze(self, p: Column, answer: Column, given: Column, metadata: Metadata, chrf: Chrf) -> Metrics:
         found, wanted = X.convert(X.quoted_or_first(p, self.letters), self.table), X.convert(answer, self.table)
         return {"exact_match": ((found == wanted) & (found != "")).cast("double"), "in_pred": (p.contains(answer) | X.convert(p, self.table).contains(wanted)).cast("double")}
 
-    def compress(self, prediction: Column, reference: Column, given: Column, metadata: Metadata) -> Metrics:
+    def compress(self, prediction: Column, reference: Column, given: Column, metadata: Metadata, chrf: Chrf) -> Metrics:
         """Texts as they are; each metric rounded to 4 places, efficiency from unrounded ones."""
         p, r, source = (F.coalesce(c, F.lit("")) for c in (prediction, reference, given))
-        fidelity = self.chrf(p, r)
+        fidelity = chrf(p, r)
         ratio = F.char_length(X.only(p, self.letters)) / F.greatest(F.char_length(X.only(source, self.letters)), F.lit(1))
         shorter = F.greatest(F.lit(0.0), 1 - ratio)
         return {"chrf": F.round(fidelity, 4), "ratio": F.round(ratio, 4), "compression": F.round(shorter, 4), "efficiency": F.round(fidelity * shorter, 4)}
@@ -69,25 +66,27 @@ class Scorers:
     def score(self, df: DataFrame) -> DataFrame:
         """``df`` (task, input, reference, prediction, metadata map, ...) with ``scores``, a map of metrics; null for unknown tasks.
 
-        Only the branch of a row's task is evaluated for it: rows of each task are a frame of their own.
+        All tasks in one pass: texts are composed and stripped once a row, and each row's two texts for the n-gram
+        score go to Python in one column each. Metrics stand in branches, so only those of a row's task are computed for it.
         """
-        parts = []
-        for task, scorer in self.registry.items():
-            rows = df.filter(F.col("task") == task)
-            texts = {"_p": F.col("prediction"), "_r": F.col("reference"), "_q": F.col("metadata")["expected_quote"]}
-            # texts are composed in one step of their own: a function from Python can't stand inside a lambda
-            raw = task == "compress" or not self.compose
-            rows = rows.withColumns({k: c if raw else X.nfkc(F.coalesce(c, F.lit(""))) for k, c in texts.items()})
-            metrics = scorer(F.col("_p"), F.col("_r"), F.col("input"), Metadata(expected_quote=F.col("_q")))
-            rows = rows.withColumns({f"_m_{k}": v for k, v in metrics.items()})
-            named = F.map_from_arrays(F.array(*map(F.lit, metrics)), F.array(*[F.col(f"_m_{k}") for k in metrics]))
-            rows = rows.withColumn("scores", F.map_filter(named, lambda _, v: v.isNotNull()))
-            parts.append(rows.drop(*texts, *[f"_m_{k}" for k in metrics]))
-        parts.append(df.filter(F.coalesce(~F.col("task").isin(*self.registry), F.lit(True))).withColumn("scores", F.lit(None).cast("map<string,double>")))
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
+        task = F.col("task")
+        raw = F.coalesce(task.isin(*self.raw), F.lit(False))
+
+        def prepared(c: Column) -> Column:
+            composed = X.nfkc(F.when(~raw, F.coalesce(c, F.lit("")))) if self.compose else c
+            return F.when(raw, c).otherwise(X.squeeze(composed))
+
+        asked: dict[str, tuple[Column, Column]] = {}
+
+        def ask(name: str) -> Chrf:
+            return lambda p, r: asked.update({name: (p, r)}) or F.col("_chrf")
+
+        rows = df.withColumns({"_p": prepared(F.col("prediction")), "_r": prepared(F.col("reference")), "_q": prepared(F.col("metadata")["expected_quote"])})
+        metrics = {t: scorer(F.col("_p"), F.col("_r"), F.col("input"), Metadata(expected_quote=F.col("_q")), ask(t)) for t, scorer in self.registry.items()}
+        sides = [F.coalesce(*[F.when(task == t, pair[k]) for t, pair in asked.items()]) if asked else F.lit(None).cast("string") for k in (0, 1)]
+        rows = rows.withColumns({"_cp": sides[0], "_cr": sides[1]}).withColumn("_chrf", self.chrf(F.col("_cp"), F.col("_cr")))
+        maps = [F.when(task == t, F.map_filter(F.map_from_arrays(F.array(*map(F.lit, m)), F.array(*[v.cast("double") for v in m.values()])), lambda _, v: v.isNotNull())) for t, m in metrics.items()]
+        return rows.withColumn("scores", F.coalesce(*maps)).drop("_p", "_r", "_q", "_cp", "_cr", "_chrf")
 
 
 def summary(scored: DataFrame, by: list[str]) -> DataFrame:

@@ -133,7 +133,7 @@ m AS (SELECT conv_id, turn, round(fidelity, 4) AS chrf, round(ratio, 4) AS ratio
 @query(COMPRESS + "SELECT * FROM m")
 def compress_eff(spark, sf_dir):
     """The compression scorer with the prompt as source and reference."""
-    found = scorers.Scorers(compose=False, letters=LETTERS).compress(F.col("prediction"), F.col("reference"), F.col("reference"), F.lit(None))
+    found = scorers.Scorers(compose=False, letters=LETTERS).compress(F.col("prediction"), F.col("reference"), F.col("reference"), scorers.Metadata(), M.chrf)
     return pairs(spark, sf_dir).select(*KEYS, *[v.alias(k) for k, v in found.items()])
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import text as X
 from verdigris.operators import abtests, items, judges, quality, samples, scorers, tokens
+from verdigris.plans import evaluation
 from verdigris.plans.adapters import MATRIX, RATERS, RUNS, matrix, raters, runs
-from verdigris.plans.catalogue import GUARD, ORACLE_SQL, VERDICTS, _verdicts, query, ranks_sql
+from verdigris.plans.catalogue import F1, GUARD, ORACLE_SQL, VERDICTS, _verdicts, chrf_sql, query, ranks_sql
 from verdigris.schemas import RECORD, RESULT
 from verdigris.sources import endpoint, readers, sinks
 from verdigris.tables import scratch, table
@@ -253,3 +254,26 @@ def seed_lines(spark, sf_dir):
     lines = F.explode(F.array(F.lit("# note"), line, F.lit(""), line))
     nation.select(lines.alias("value")).coalesce(1).write.text(path)
     return readers.seeds(spark, path)
+
+
+@query(rf"""WITH t AS (SELECT item_id, regexp_replace(text, '\s+', '', 'g') AS p, regexp_replace(replace(text, 'e', 'a'), '\s+', '', 'g') AS r FROM benchmark WHERE item_id % 10 <> 3
+  UNION ALL SELECT item_id, '', regexp_replace(replace(text, 'e', 'a'), '\s+', '', 'g') FROM benchmark WHERE item_id % 10 = 3),
+{chrf_sql('t', 'item_id', 'p', 'r')}, s AS (SELECT coalesce(chrf, 0) AS chrf, coalesce({F1}, 0) AS f1 FROM t LEFT JOIN f USING (item_id) LEFT JOIN (SELECT * FROM fo WHERE n = 1) USING (item_id)),
+n AS (SELECT count(*)::INTEGER AS n, count(*) FILTER (WHERE item_id % 10 = 3)::INTEGER AS errors FROM benchmark)
+SELECT 'stub' AS model, 'translate' AS task, n.n, errors, 'chrf' AS metric, (SELECT round(avg(chrf), 4) FROM s) AS mean FROM n UNION ALL SELECT 'stub', 'translate', n.n, errors, 'char_f1', (SELECT round(avg(f1), 4) FROM s) FROM n""")
+def evaluation_run(spark, sf_dir):
+    """A run of the deterministic client, which fails on some prompts, from records to a document's summary."""
+    text = F.replace("text", F.lit("\n"), F.lit(" "))
+    given = F.when(F.col("item_id") % 10 == 3, F.concat(F.lit("FAIL "), text)).otherwise(text)
+    bare = F.lit(None).cast("map<string,string>")
+    records = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.lit("translate").alias("task"), F.lit("Repeat:").alias("instruction"), given.alias("input"), F.replace("text", F.lit("e"), F.lit("a")).alias("reference"), bare.alias("metadata"))
+
+    def client(prompt: str) -> dict:
+        if "FAIL" in prompt:
+            raise ConnectionError("no answer")
+        return endpoint.stub(prompt)
+
+    rows = evaluation.answered(records, lambda: client, scorers.Scorers(compose=False), endpoint.Settings(wait=0.0))
+    docs = evaluation.task_results(rows, F.lit("stub"), F.lit("http://localhost"))
+    each = docs.select("model", F.explode("tasks").alias("task", "t"))
+    return each.select("model", "task", "t.n", "t.errors", F.explode("t.summary").alias("metric", "mean"))

@@ -33,29 +33,29 @@ def stub(prompt: str) -> dict:
 
 
 def predictions(df: DataFrame, make_client: Callable[[], Client], prompt_col: str = "prompt", settings: Settings = Settings(), accept: Callable[[str], bool] | None = None) -> DataFrame:  # noqa: B008
-    """Adds prediction ("" after the last failure, as a missing content), error, prompt_tokens, completion_tokens and latency_s.
+    """Adds prediction ("" after the last failure, as a missing content), error, prompt_tokens, completion_tokens, asked_at (Unix time) and latency_s.
 
     ``make_client`` runs once in each task and takes its endpoint and key from the executor's environment. Rows keep their keys, so the order of answers plays no part.
     ``accept``: a reply that it refuses is asked for again like a failed call; the last one stays, with an error.
     """
-    added = T.StructType([T.StructField("prediction", T.StringType()), T.StructField("error", T.StringType()), T.StructField("prompt_tokens", T.LongType()), T.StructField("completion_tokens", T.LongType()), T.StructField("latency_s", T.DoubleType())])
+    added = T.StructType([T.StructField("prediction", T.StringType()), T.StructField("error", T.StringType()), T.StructField("prompt_tokens", T.LongType()), T.StructField("completion_tokens", T.LongType()), T.StructField("asked_at", T.DoubleType()), T.StructField("latency_s", T.DoubleType())])
     names = [f.name for f in added]
     base = df.drop(*names)
 
     def ask(client: Client, prompt: str) -> tuple:
-        began, error, last = time.monotonic(), None, ""
+        asked, began, error, last = time.time(), time.monotonic(), None, ""
         for k in range(settings.retries):
             try:
                 found = client(prompt)
                 reply = found.get("content") or ""
                 if accept is None or accept(reply):
-                    return reply, None, found.get("prompt_tokens"), found.get("completion_tokens"), time.monotonic() - began
+                    return reply, None, found.get("prompt_tokens"), found.get("completion_tokens"), asked, time.monotonic() - began
                 last, error = reply, "reply refused"
             except Exception as e:  # noqa: BLE001  any failure counts as an unanswered prompt
                 error = f"{type(e).__name__}: {e}"
                 if k + 1 < settings.retries:
                     time.sleep(settings.wait * (k + 1))
-        return last, error, None, None, time.monotonic() - began
+        return last, error, None, None, asked, time.monotonic() - began
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
