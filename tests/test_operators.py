@@ -35,8 +35,11 @@ def test_strip(spark):
 
 
 def test_char_f1(spark):
-    assert abs(value(spark, M.char_f1(text("aab"), text("abb"))) - 2 / 3) < 1e-9
-    assert value(spark, M.char_f1(text(""), text("a"))) == 0.0
+    for f1 in (M.char_f1, M.char_f1_native):
+        assert abs(value(spark, f1(text("aab"), text("abb"))) - 2 / 3) < 1e-9
+        assert value(spark, f1(text(""), text("a"))) == 0.0
+    both = M.pair_scores(text("aab"), text("abb"))
+    assert abs(value(spark, both["char_f1"]) - 2 / 3) < 1e-9 and value(spark, both["chrf"]) > 0
 
 
 def test_marks(spark):

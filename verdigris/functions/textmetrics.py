@@ -7,6 +7,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verdigris.functions.text import PUNCTUATION, grams, let, without
 
@@ -58,7 +59,26 @@ def chrf_native(df: DataFrame, keys: list[str], prediction: str, reference: str,
     return df.select(*keys).join(scored, keys, "left").select(*keys, F.coalesce("_score", F.lit(0.0)).alias(name))
 
 
-def char_f1(prediction: Column, reference: Column) -> Column:
+def bag_f1(prediction: str, reference: str) -> float:
+    """F1 of character bags."""
+    common, a, b = _overlap(prediction, reference, 1)
+    return 2 * common / (a + b) if common else 0.0
+
+
+@F.pandas_udf(T.DoubleType())
+def char_f1(prediction: pd.Series, reference: pd.Series) -> pd.Series:
+    """Arrow form: each text is counted once, where the native form looks for every distinct character in both."""
+    return pd.Series([bag_f1(a or "", b or "") for a, b in zip(prediction, reference, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.StructType([T.StructField("chrf", T.DoubleType()), T.StructField("char_f1", T.DoubleType())]))
+def pair_scores(prediction: pd.Series, reference: pd.Series) -> pd.DataFrame:
+    """Both scores of a pair in one transfer; null where either text is."""
+    rows = [(None, None) if a is None or b is None else (chrf_value(a, b), bag_f1(a, b)) for a, b in zip(prediction, reference, strict=True)]
+    return pd.DataFrame(rows, columns=["chrf", "char_f1"], dtype="float64")
+
+
+def char_f1_native(prediction: Column, reference: Column) -> Column:
     """F1 of character bags, in one expression: distinct characters of the prediction and their counts on both sides."""
     count = lambda text, c: F.char_length(text) - F.char_length(F.replace(text, c))
 

@@ -20,45 +20,48 @@ class Metadata(dict):
         return F.col("metadata")[key]
 
 
-Chrf = Callable[[Column, Column], Column]
-Scorer = Callable[[Column, Column, Column, Metadata, Chrf], Metrics]
+#: From two texts to a struct of chrf and char_f1.
+Pair = Callable[[Column, Column], Column]
+Scorer = Callable[[Column, Column, Column, Metadata, Pair], Metrics]
 
 
 class Scorers:
     """``table``: one-to-one characters for traditional script; ``compose``: False skips NFKC, which needs Python.
 
-    A scorer takes texts that ``score`` has composed and stripped, those of tasks in ``raw`` as they are, and asks for at most one n-gram score.
+    A scorer takes texts that ``score`` has composed and stripped, those of tasks in ``raw`` as they are, and asks for the scores of at most one pair.
     """
 
-    def __init__(self, table: dict[str, str] | None = None, aliases: dict[str, list[str]] = X.BOOK_ALIASES, compose: bool = True, letters: str = X.HAN, chrf: Chrf = M.chrf):
-        self.table, self.aliases, self.compose, self.letters, self.chrf = table, aliases, compose, letters, chrf
+    def __init__(self, table: dict[str, str] | None = None, aliases: dict[str, list[str]] = X.BOOK_ALIASES, compose: bool = True, letters: str = X.HAN, pair: Pair = M.pair_scores):
+        self.table, self.aliases, self.compose, self.letters, self.pair = table, aliases, compose, letters, pair
         self.registry: dict[str, Scorer] = {"translate": self.translate, "punctuate": self.punctuate, "char-gloss": self.gloss, "idiom-source": self.source, "fill-in": self.cloze, "compress": self.compress}
         self.raw = {"compress"}
 
-    def translate(self, p: Column, r: Column, given: Column, metadata: Metadata, chrf: Chrf) -> Metrics:
-        return {"chrf": chrf(p, r), "char_f1": M.char_f1(p, r)}
+    def translate(self, p: Column, r: Column, given: Column, metadata: Metadata, pair: Pair) -> Metrics:
+        found = pair(p, r)
+        return {"chrf": found["chrf"], "char_f1": found["char_f1"]}
 
-    def punctuate(self, p: Column, r: Column, given: Column, metadata: Metadata, chrf: Chrf) -> Metrics:
+    def punctuate(self, p: Column, r: Column, given: Column, metadata: Metadata, pair: Pair) -> Metrics:
         """chrf is null where neither text has a mark."""
         bare_p, bare_r = X.without(p, X.PUNCTUATION), X.without(r, X.PUNCTUATION)
         marked = (p != bare_p) | (r != bare_r)
-        return {"punct_f1": M.mark_f1(p, r), "char_preserved": (bare_p == bare_r).cast("double"), "chrf": F.when(marked, chrf(p, r))}
+        return {"punct_f1": M.mark_f1(p, r), "char_preserved": (bare_p == bare_r).cast("double"), "chrf": F.when(marked, pair(p, r)["chrf"])}
 
-    def gloss(self, p: Column, r: Column, given: Column, metadata: Metadata, chrf: Chrf) -> Metrics:
+    def gloss(self, p: Column, r: Column, given: Column, metadata: Metadata, pair: Pair) -> Metrics:
         p, r = X.without(p, X.PUNCTUATION), X.without(r, X.PUNCTUATION)
-        return {"chrf": chrf(p, r), "char_f1": M.char_f1(p, r)}
+        found = pair(p, r)
+        return {"chrf": found["chrf"], "char_f1": found["char_f1"]}
 
-    def source(self, p: Column, r: Column, given: Column, metadata: Metadata, chrf: Chrf) -> Metrics:
-        return {"book_em": X.book_hit(p, F.coalesce(metadata["book"], F.lit("")), self.aliases, self.table).cast("double"), "quote_chrf": chrf(p, metadata["expected_quote"])}
+    def source(self, p: Column, r: Column, given: Column, metadata: Metadata, pair: Pair) -> Metrics:
+        return {"book_em": X.book_hit(p, F.coalesce(metadata["book"], F.lit("")), self.aliases, self.table).cast("double"), "quote_chrf": pair(p, metadata["expected_quote"])["chrf"]}
 
-    def cloze(self, p: Column, answer: Column, given: Column, metadata: Metadata, chrf: Chrf) -> Metrics:
+    def cloze(self, p: Column, answer: Column, given: Column, metadata: Metadata, pair: Pair) -> Metrics:
         found, wanted = X.convert(X.quoted_or_first(p, self.letters), self.table), X.convert(answer, self.table)
         return {"exact_match": ((found == wanted) & (found != "")).cast("double"), "in_pred": (p.contains(answer) | X.convert(p, self.table).contains(wanted)).cast("double")}
 
-    def compress(self, prediction: Column, reference: Column, given: Column, metadata: Metadata, chrf: Chrf) -> Metrics:
+    def compress(self, prediction: Column, reference: Column, given: Column, metadata: Metadata, pair: Pair) -> Metrics:
         """Texts as they are; each metric rounded to 4 places, efficiency from unrounded ones."""
         p, r, source = (F.coalesce(c, F.lit("")) for c in (prediction, reference, given))
-        fidelity = chrf(p, r)
+        fidelity = pair(p, r)["chrf"]
         ratio = F.char_length(X.only(p, self.letters)) / F.greatest(F.char_length(X.only(source, self.letters)), F.lit(1))
         shorter = F.greatest(F.lit(0.0), 1 - ratio)
         return {"chrf": F.round(fidelity, 4), "ratio": F.round(ratio, 4), "compression": F.round(shorter, 4), "efficiency": F.round(fidelity * shorter, 4)}
@@ -66,8 +69,8 @@ class Scorers:
     def score(self, df: DataFrame) -> DataFrame:
         """``df`` (task, input, reference, prediction, metadata map, ...) with ``scores``, a map of metrics; null for unknown tasks.
 
-        All tasks in one pass: texts are composed and stripped once a row, and each row's two texts for the n-gram
-        score go to Python in one column each. Metrics stand in branches, so only those of a row's task are computed for it.
+        All tasks in one pass: texts are composed and stripped once a row, and each row's two texts to be compared
+        go to Python in one column each. Metrics stand in branches, so only those of a row's task are computed for it.
         """
         task = F.col("task")
         raw = F.coalesce(task.isin(*self.raw), F.lit(False))
@@ -78,15 +81,15 @@ class Scorers:
 
         asked: dict[str, tuple[Column, Column]] = {}
 
-        def ask(name: str) -> Chrf:
-            return lambda p, r: asked.update({name: (p, r)}) or F.col("_chrf")
+        def ask(name: str) -> Pair:
+            return lambda p, r: asked.update({name: (p, r)}) or F.col("_pair")
 
         rows = df.withColumns({"_p": prepared(F.col("prediction")), "_r": prepared(F.col("reference")), "_q": prepared(F.col("metadata")["expected_quote"])})
         metrics = {t: scorer(F.col("_p"), F.col("_r"), F.col("input"), Metadata(expected_quote=F.col("_q")), ask(t)) for t, scorer in self.registry.items()}
-        sides = [F.coalesce(*[F.when(task == t, pair[k]) for t, pair in asked.items()]) if asked else F.lit(None).cast("string") for k in (0, 1)]
-        rows = rows.withColumns({"_cp": sides[0], "_cr": sides[1]}).withColumn("_chrf", self.chrf(F.col("_cp"), F.col("_cr")))
+        texts = [F.coalesce(*[F.when(task == t, sides[k]) for t, sides in asked.items()]) if asked else F.lit(None).cast("string") for k in (0, 1)]
+        rows = rows.withColumns({"_a": texts[0], "_b": texts[1]}).withColumn("_pair", self.pair(F.col("_a"), F.col("_b")))
         maps = [F.when(task == t, F.map_filter(F.map_from_arrays(F.array(*map(F.lit, m)), F.array(*[v.cast("double") for v in m.values()])), lambda _, v: v.isNotNull())) for t, m in metrics.items()]
-        return rows.withColumn("scores", F.coalesce(*maps)).drop("_p", "_r", "_q", "_cp", "_cr", "_chrf")
+        return rows.withColumn("scores", F.coalesce(*maps)).drop("_p", "_r", "_q", "_a", "_b", "_pair")
 
 
 def summary(scored: DataFrame, by: list[str]) -> DataFrame:

@@ -82,6 +82,11 @@ F1 = """CASE WHEN common > 0 THEN 2.0 * (common / a) * (common / b) / (common /
 
 
 @query(CHRF + f"SELECT conv_id, turn, round(coalesce({F1}, 0), 6) AS char_f1 FROM squeezed LEFT JOIN (SELECT * FROM fo WHERE n = 1) USING (conv_id, turn)")
+def char_f1_pairs_native(spark, sf_dir):
+    return squeezed(spark, sf_dir).select(*KEYS, F.round(M.char_f1_native(F.col("p"), F.col("r")), 6).alias("char_f1"))
+
+
+@query(ORACLE_SQL["char_f1_pairs_native"])
 def char_f1_pairs(spark, sf_dir):
     return squeezed(spark, sf_dir).select(*KEYS, F.round(M.char_f1(F.col("p"), F.col("r")), 6).alias("char_f1"))
 
@@ -104,7 +109,8 @@ GLOSS = f"""WITH {PAIRS}, bare AS (SELECT conv_id, turn, translate(regexp_replac
 @query(GLOSS + f"SELECT conv_id, turn, round(coalesce(chrf, 0), 6) AS chrf, round(coalesce({F1}, 0), 6) AS char_f1 FROM bare LEFT JOIN f USING (conv_id, turn) LEFT JOIN (SELECT * FROM fo WHERE n = 1) USING (conv_id, turn)")
 def gloss_score(spark, sf_dir):
     p, r = (X.without(X.squeeze(F.col(c)), MARKS) for c in ("prediction", "reference"))
-    return pairs(spark, sf_dir).select(*KEYS, F.round(M.chrf(p, r), 6).alias("chrf"), F.round(M.char_f1(p, r), 6).alias("char_f1"))
+    both = M.pair_scores(p, r)
+    return pairs(spark, sf_dir).select(*KEYS, F.round(both["chrf"], 6).alias("chrf"), F.round(both["char_f1"], 6).alias("char_f1"))
 
 
 @query("""SELECT doc_id, (contains(t, 'en') OR (lang = 'en' AND contains(t, 'the')) OR (lang = 'de' AND (contains(t, 'der') OR contains(t, 'und'))))::DOUBLE AS hit
@@ -133,7 +139,7 @@ m AS (SELECT conv_id, turn, round(fidelity, 4) AS chrf, round(ratio, 4) AS ratio
 @query(COMPRESS + "SELECT * FROM m")
 def compress_eff(spark, sf_dir):
     """The compression scorer with the prompt as source and reference."""
-    found = scorers.Scorers(compose=False, letters=LETTERS).compress(F.col("prediction"), F.col("reference"), F.col("reference"), scorers.Metadata(), M.chrf)
+    found = scorers.Scorers(compose=False, letters=LETTERS).compress(F.col("prediction"), F.col("reference"), F.col("reference"), scorers.Metadata(), M.pair_scores)
     return pairs(spark, sf_dir).select(*KEYS, *[v.alias(k) for k, v in found.items()])
 
 
