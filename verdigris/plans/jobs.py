@@ -13,15 +13,16 @@ from verdigris.schemas import RECORD, RESULT
 from verdigris.sources import endpoint, readers, sinks
 from verdigris.tables import scratch, table
 
-#: Sentences of the benchmark and of documents as instruct pairs: the text, and the text without vowels.
-SENTENCES = r"""parts AS (SELECT doc_id, lang, source, unnest(string_split(text, '.')) AS part FROM documents),
-pairs AS (SELECT DISTINCT trim(part, ' ' || chr(10)) AS input, translate(trim(part, ' ' || chr(10)), 'aeiou', '') AS output, lang AS category, source FROM parts)"""
+#: Sentences of documents as instruct pairs, each once: the text, and the text without vowels.
+SENTENCES = r"""parts AS (SELECT lang, source, trim(unnest(string_split(text, '.')), ' ' || chr(10)) AS input FROM documents),
+pairs AS (SELECT input, translate(input, 'aeiou', '') AS output, lang AS category, source FROM (SELECT *, row_number() OVER (PARTITION BY input ORDER BY source, lang) AS k FROM parts) WHERE k = 1)"""
 
 
 def sentence_pairs(spark, sf_dir, task="c2m"):
     parts = table(spark, sf_dir, "documents").select("lang", "source", F.explode(F.split("text", r"\.")).alias("part"))
     clean = F.trim("part", F.lit(" \n"))
-    return parts.select(F.lit(task).alias("task"), clean.alias("input"), F.translate(clean, "aeiou", "").alias("output"), F.col("lang").alias("category"), "source", F.lit(False).alias("_has_box")).distinct()
+    each = parts.select(F.lit(task).alias("task"), clean.alias("input"), F.translate(clean, "aeiou", "").alias("output"), F.col("lang").alias("category"), "source", F.lit(False).alias("_has_box"))
+    return samples.first_by(each, ["input"], [F.col("source"), F.col("category")])
 
 
 def drawn_sql(seed: int, key: str) -> str:
@@ -195,7 +196,7 @@ def source_balance(spark, sf_dir):
     return quality.source_balance(table(spark, sf_dir, "documents").select(F.col("lang").alias("task"), "source"), F.col("source"), most=0.06)
 
 
-@query(f"""WITH {SENTENCES}, g AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {drawn_sql(42, 'input')}, input) AS k FROM (SELECT DISTINCT ON (input, category) * FROM pairs WHERE length(input) BETWEEN 10 AND 60 AND category IN ('en', 'de') AND source = 'src3'))
+@query(f"""WITH {SENTENCES}, g AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {drawn_sql(42, 'input')}, input) AS k FROM pairs WHERE length(input) BETWEEN 10 AND 60 AND category IN ('en', 'de') AND source = 'src3')
 SELECT 'translate#' || row_number() OVER (ORDER BY {drawn_sql(43, 'input')}, input) AS id, input, output AS reference, category FROM g WHERE k <= 25""")
 def translate_records(spark, sf_dir):
     """The builder of translation records on sentences of one source."""
@@ -203,6 +204,53 @@ def translate_records(spark, sf_dir):
     return made.select("id", "input", "reference", F.col("metadata")["category"].alias("category"))
 
 
+@query(f"""WITH {SENTENCES}, g AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {drawn_sql(42, 'input')}, input) AS k FROM (SELECT input, output, coalesce(source, '') AS source FROM pairs WHERE length(input) BETWEEN 30 AND 200)),
+p AS (SELECT * FROM g WHERE k <= 100 ORDER BY k, source LIMIT 100), r AS (SELECT 'punctuate#' || row_number() OVER (ORDER BY {drawn_sql(43, 'input')}, input) AS id, trim(input) AS input, trim(ltrim(output, '{X.LEADING_NOISE}')) AS reference, source FROM p)
+SELECT * FROM r WHERE input <> '' AND reference <> ''""")
+def punctuate_records(spark, sf_dir):
+    """The builder of punctuation records, sources in turn."""
+    made = samples.build_punctuate(sentence_pairs(spark, sf_dir))
+    return made.select("id", "input", "reference", F.col("metadata")["source"].alias("source"))
+
+
+@query(f"""WITH {SENTENCES} SELECT output AS classical, input AS modern, coalesce(source, '?') AS source, coalesce(category, '?') AS category FROM pairs WHERE length(output) BETWEEN 40 AND 150 AND length(input) BETWEEN 60 AND 300 ORDER BY {drawn_sql(42, 'input')}, input LIMIT 30""")
+def token_triples(spark, sf_dir):
+    return samples.token_triples(sentence_pairs(spark, sf_dir, "m2c"))
+
+
+@query(f"""WITH w AS (SELECT n_name AS word, 'R' || n_regionkey AS book, n_name || ' lies in region ' || n_regionkey AS quote FROM nation WHERE n_regionkey < 3 AND length(n_name) BETWEEN 3 AND 10)
+SELECT 'idiom-source#' || row_number() OVER (ORDER BY {drawn_sql(43, 'word')}, word) AS id, word AS input, '出自《' || book || '》：「' || quote || '」' AS reference, book FROM w""")
+def idiom_records(spark, sf_dir):
+    """The builder of source records on nations, whose regions are the books."""
+    book = F.concat(F.lit("《R"), "n_regionkey", F.lit("·x》"))
+    quote = F.concat("n_name", F.lit(" lies in region "), "n_regionkey")
+    idioms = table(spark, sf_dir, "nation").select(F.col("n_name").alias("word"), F.lit("e").alias("explanation"), F.struct(quote.alias("text"), book.alias("book")).alias("source"))
+    made = samples.build_idiom_source(idioms, ["R0", "R1", "R2"])
+    return made.select("id", "input", "reference", F.col("metadata")["book"].alias("book"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'candidate' ELSE 'blocked' END AS status, CASE WHEN toxic = 1 THEN 'n' || doc_id ELSE '同本义。' END AS reference FROM labels")
+def gloss_candidates(spark, sf_dir):
+    """Repaired candidates of flagged glosses: those whose character a dictionary has with a clean head."""
+    labels = table(spark, sf_dir, "labels")
+    char = F.concat(F.lit("c"), "doc_id")
+    metadata = F.map_from_arrays(F.array(F.lit("char"), F.lit(quality.ISSUE)), F.array(char, F.lit(quality.CIRCULAR_ISSUE)))
+    records = labels.select(F.col("doc_id").alias("id"), F.lit("char-gloss").alias("task"), F.lit("").alias("instruction"), F.lit("x").alias("input"), F.lit("同本义。").alias("reference"), metadata.alias("metadata"))
+    entries = labels.filter("toxic = 1").select(char.alias("char"), F.concat(F.lit("n"), "doc_id", F.lit("也。从木，「x」聲。")).alias("content"), F.lit(1).alias("seq"))
+    entries = entries.unionByName(labels.select(char.alias("char"), F.lit("a much longer head than any gloss").alias("content"), F.lit(2).alias("seq")))
+    made = quality.repaired_candidates(records, entries)
+    return made.select("id", F.col("_status").alias("status"), "reference")
+
+
+@query("SELECT page_id::VARCHAR AS file, CASE WHEN page_id % 4 = 0 THEN 'not valid JSON' WHEN page_id % 4 = 1 THEN 'top level is not an object' ELSE 'missing top-level key ' || chr(39) || 'model' || chr(39) END AS message FROM pages WHERE page_id % 4 <> 3")
+def document_checks(spark, sf_dir):
+    """Errors of result documents: no JSON, a list, no model; a null model is one."""
+    i = F.col("page_id")
+    value = F.when(i % 4 == 0, "{broken").when(i % 4 == 1, "[1]").when(i % 4 == 2, '{"tasks": {}}').otherwise('{"model": null, "tasks": {}}')
+    found = quality.document_violations(table(spark, sf_dir, "pages").select(i.cast("string").alias("file"), value.alias("value")))
+    return found.filter("severity = 'error'").select("file", "message")
+
+
 @query("SELECT k, count(*) AS n FROM (SELECT regexp_extract(props, '([0-9]+)', 1)::BIGINT AS k FROM events) GROUP BY k")
 def concat_json(spark, sf_dir):
     """Events' properties written one after another on long lines, and read back as concatenated objects."""
