@@ -123,3 +123,17 @@ def test_edges(spark, model):
     got = [r.text for r in out.orderBy("page_id").collect()]
     assert got[:3] == ["", "", ""] and got[3] == got[4] and got[3].count("word") == 9000
     assert extraction.extract(df.limit(0), extraction.fit(df.limit(0), made=20)).count() == 0
+
+
+def test_any_page_is_read(spark, model):
+    """Junk of all kinds: no crash, and text in page order."""
+    rng = random.Random(8)
+    parts = ["<", ">", "<p>", "</p>", "<div class='a b' id=x>", "</div>", "<li>", "<td>", "<a href='>'>", "</a>", "<br/>", "<!-- x", "-->", "<script>", "</script>", "&amp;", "&#x41;", "&bogus;", "text ", "\u00a0", "<b", '"', "'", "<p ", "</", "<svg>", "</svg>", "<!doctype html>", "\x00"]
+    pages = ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(2000)]
+    encoder = extraction.Encoder()
+    for page in pages:
+        found = extraction.blocks(page)
+        assert all(b.text and b.text == " ".join(b.text.split()) and 0 <= b.linked <= 1 for b in found)
+        assert len(encoder([found])[0]) == len(found)
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(pages[:200])], "page_id long, html string")
+    assert extraction.extract(df, model).filter("text IS NULL").count() == 0

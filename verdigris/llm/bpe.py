@@ -381,7 +381,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     """Adds ``ids_col``: the ids of ``text_col`` as binary, little-endian unsigned 32-bit.
 
     Null and empty texts have no ids (an empty binary, never null). Other columns stay; one named
-    ``ids_col`` is replaced. ``ranks_path`` must be readable on every executor ("spark-file:NAME"
+    ``ids_col`` is replaced. Every row stands for itself: repeated rows have equal ids, very long texts are encoded whole, and
+    an empty table gives no rows. ``ranks_path`` must be readable on every executor ("spark-file:NAME"
     for a file given to SparkContext.addFile).
     """
 
@@ -392,7 +393,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``bytes_col``: the bytes that ``ids_col`` stands for; null ids: no bytes."""
+    """Adds ``bytes_col``: the bytes that ``ids_col`` stands for; null ids: no bytes. Other columns stay; one of that name is replaced."""
 
     def make(batch: pa.RecordBatch) -> list:
         return [_load(ranks_path, pattern).decode_column(batch.column(ids_col))]

@@ -495,7 +495,8 @@ def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sampl
 
 def extract(df: DataFrame, model: Labeller, html_col: str = "html", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds ``text_col``: the blocks of main text in page order, one a line; empty for null, empty and
-    textless pages. Blocks are whole. Other columns stay; one of that name is replaced."""
+    textless pages. Blocks are whole, and pages of any length and depth are read whole. Every row stands for itself: repeated rows have
+    equal texts, ids play no part, and an empty table gives no rows. Other columns stay; one of that name is replaced."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make(batch: pa.RecordBatch) -> list:

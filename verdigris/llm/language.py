@@ -230,7 +230,9 @@ def fit(docs: DataFrame, model_path: str, most_rows: int = 800, most_bytes: int
 def predict(df: DataFrame, model: Model, model_path: str, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
     """Adds ``lang_col`` and ``score_col``, the likeliest language of the whole text and its share of the
     likelihood under equal priors. Texts that are null or have no letter, and all texts where the model
-    knows no language, are UNKNOWN with score 0. Ties go to the language first by code point."""
+    knows no language, are UNKNOWN with score 0. Ties go to the language first by code point. Every row stands for itself: repeated
+    rows agree, ids play no part, very long texts and words are summed whole, and an empty table gives no rows. Other columns
+    stay; those named like a result are replaced."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make(batch: pa.RecordBatch) -> list:

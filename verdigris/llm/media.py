@@ -255,7 +255,8 @@ def media_info(df: DataFrame, media_col: str = "media", info_col: str = "info",
 
 
 def read_payload(df: DataFrame, media_col: str = "media", payload_col: str = "payload", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``payload_col``: the bytes of all samples of the first track; null for null and for what can't be read."""
+    """Adds ``payload_col``: the bytes of all samples of the first track; null for null and for what can't be read. Repeated rows
+    have equal payloads, and an empty table gives no rows."""
 
     def one(media: bytes | None) -> bytes | None:
         try:

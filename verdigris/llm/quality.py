@@ -85,7 +85,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, most_bytes: i
 
 def score(df: DataFrame, weights: np.ndarray, text_col: str = "text", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
     """Adds ``score_col``, the probability of label 1 of the whole text. Null and empty texts have the
-    bias's score. Other columns stay; one of that name is replaced."""
+    bias's score. Every row stands for itself: repeated rows have equal scores, ids play no part, very long texts are read
+    whole, and an empty table gives no rows. Other columns stay; one of that name is replaced."""
     shared = df.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def make(batch: pa.RecordBatch) -> list:
