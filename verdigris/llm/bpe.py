@@ -10,7 +10,7 @@ its own, cut into tiles.
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ EMPTY = np.uint64(2**64 - 1)
 #: Pieces of more bytes are a matrix of their own, of tiles with so many columns.
 TILE = 256
 #: Pieces that a Python worker remembers, and the longest that it does, in bytes.
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
 SECOND_BASE = 0xD6E8FEB86659FD93
 #: Fixed value: the pattern whose matches are found by character classes; others are left to the regex library.
 BY_CLASS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -186,7 +186,11 @@ class ByteBpe:
         self.pairs = HashTable(2 * len(left))
         self.pairs.put((left << 32 | right).astype(np.uint64), merged.astype(np.int32))
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.remembered = Remembered()
+
+    @cached_property
+    def remembered(self) -> Remembered:
+        """Only encoding has need of it."""
+        return Remembered()
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merged id of each pair, which is its rank, or NONE; ids below 0 are padding."""

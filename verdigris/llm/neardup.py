@@ -31,6 +31,8 @@ SPACING, RATE, LAST = 1.001, 20.0, 65535
 UNLIKELY = 14.0
 #: Rows of a bucket compared in one task.
 CHUNK, CHUNK_SHINGLES = 2048, 2_000_000
+#: Pairs whose registers are held at once.
+PAIRS = 150_000
 _MULTIPLY = np.random.default_rng(85).integers(1, 2**62, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(86).integers(0, 2**63, REGISTERS, dtype=np.uint64)
 
@@ -277,7 +279,7 @@ def _compared(rows: DataFrame, percent: int, size: int, banded: bool, tested: bo
         total = np.cumsum(count)
         at = 0
         while at < len(ids):
-            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 500_000, side="right")))
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, side="right")))
             i = np.repeat(np.arange(at, stop), count[at:stop])
             j = np.arange(len(i)) + np.repeat(start[at:stop] - (np.cumsum(count[at:stop]) - count[at:stop]), count[at:stop])
             likely = _likely(ids, comp, n, registers, bucket, i, j, percent, banded)
