@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm.arrow import with_columns
+from verdigris.llm.arrow import trim, with_columns
 from verdigris.llm.store import least_hashed
 from verdigris.llm.words import BASE, BYTE, mix, places, powers, words
 
@@ -224,7 +224,10 @@ def fit(docs: DataFrame, model_path: str, most_rows: int = 800, most_bytes: int
 
     split = with_columns(rows, "_text", [T.StructField("_words", T.ArrayType(T.BinaryType()))], make, ["_lang"])
     counts = split.select("_lang", F.explode("_words").alias("_word")).filter(F.octet_length("_word") <= longest).groupBy("_lang", "_word").count().collect()
-    return train(load(model_path), [(r["_lang"], bytes(r["_word"]), r["count"]) for r in counts])
+    found = train(load(model_path), [(r["_lang"], bytes(r["_word"]), r["count"]) for r in counts])
+    del counts
+    trim()
+    return found
 
 
 def predict(df: DataFrame, model: Model, model_path: str, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:

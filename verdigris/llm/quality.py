@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from verdigris.llm.arrow import with_columns
+from verdigris.llm.arrow import trim, with_columns
 from verdigris.llm.store import least_hashed, release, stored
 from verdigris.llm.words import LOWER, mix, words
 
@@ -80,7 +80,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, most_bytes: i
     so_far = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of the sample's rows
     rows = vectors.withColumn("_so_far", F.sum(F.octet_length("_place") + F.octet_length("_value")).over(so_far)).filter(F.col("_so_far") <= most_bytes).orderBy(*order).collect()
     release(vectors)
-    return train([(np.frombuffer(r._place, np.int32), np.frombuffer(r._value, np.float32), r._label) for r in rows])
+    found = train([(np.frombuffer(r._place, np.int32), np.frombuffer(r._value, np.float32), r._label) for r in rows])
+    del rows
+    trim()
+    return found
 
 
 def score(df: DataFrame, weights: np.ndarray, text_col: str = "text", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
