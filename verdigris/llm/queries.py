@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import bpe, extraction, language, media, mixing, mtree, neardup, quality, substrings, warc
+from verdigris.llm import bpe, extraction, filters, language, media, mixing, mtree, neardup, quality, substrings, warc
 from verdigris.llm.store import clean  # noqa: F401  for the driver contract
 
 
@@ -149,5 +149,25 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_extraction": op2_extraction, "op3_quality": op3_quality, "op4_topk": op4_topk, "op5_media": op5_media, "op6_mixing": op6_mixing, "op7_language": op7_language, "op8_warc": op8_warc, "op9_substrings": op9_substrings, "op10_neardup": op10_neardup}
-ORACLE_SQL: dict[str, str] = {"op4_topk": OP4_SQL, "op6_mixing": OP6_SQL, "op8_warc": OP8_SQL, "op9_substrings": OP9_SQL, "op10_neardup": OP10_SQL}
+def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+      100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, good, toxic, fails, count(*) AS n FROM m GROUP BY ALL),
+f AS (SELECT unnest(range(1, 6)) AS k),
+o AS (SELECT [a.k, b.k, x.k, y.k, z.k] AS ks FROM f a, f b, f x, f y, f z WHERE len(list_distinct([a.k, b.k, x.k, y.k, z.k])) = 5),
+s AS (SELECT ks, array_to_string(list_transform(ks, lambda k: substr('ABCDE', k, 1)), '') AS filter_order, unnest(range(1, 6))::INTEGER AS step FROM o),
+e AS (SELECT part, filter_order, step, ks[step] AS k, n, good, toxic, fails[ks[step]] AS now, len(list_filter(ks[1:step - 1], lambda k: fails[k])) > 0 AS earlier, len(list_filter(fails, lambda x: x)) AS failed FROM c, s),
+r AS (SELECT part, filter_order, step, k, sum(n) FILTER (WHERE NOT now AND NOT earlier) AS kept, sum(n) FILTER (WHERE now AND NOT earlier) AS removed, sum(n) FILTER (WHERE now AND earlier) AS redundant,
+      sum(n) FILTER (WHERE now AND failed = 1) AS unique_fails, sum(n) FILTER (WHERE now AND NOT earlier AND good) AS good_lost, sum(n) FILTER (WHERE now AND NOT earlier AND toxic) AS toxic_lost FROM e GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, k), 0)::BIGINT AS shapley FROM r
+"""
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_extraction": op2_extraction, "op3_quality": op3_quality, "op4_topk": op4_topk, "op5_media": op5_media, "op6_mixing": op6_mixing, "op7_language": op7_language, "op8_warc": op8_warc, "op9_substrings": op9_substrings, "op10_neardup": op10_neardup, "op12_filters": op12_filters}
+ORACLE_SQL: dict[str, str] = {"op4_topk": OP4_SQL, "op6_mixing": OP6_SQL, "op8_warc": OP8_SQL, "op9_substrings": OP9_SQL, "op10_neardup": OP10_SQL, "op12_filters": OP12_SQL}
