@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import bpe, extraction, filters, language, media, mixing, mtree, neardup, quality, substrings, warc
+from verdigris.llm import bpe, conversations, extraction, filters, language, media, mixing, mtree, neardup, quality, substrings, warc
 from verdigris.llm.store import clean  # noqa: F401  for the driver contract
 
 
@@ -169,5 +169,55 @@ SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(rem
   coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, k), 0)::BIGINT AS shapley FROM r
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_extraction": op2_extraction, "op3_quality": op3_quality, "op4_topk": op4_topk, "op5_media": op5_media, "op6_mixing": op6_mixing, "op7_language": op7_language, "op8_warc": op8_warc, "op9_substrings": op9_substrings, "op10_neardup": op10_neardup, "op12_filters": op12_filters}
-ORACLE_SQL: dict[str, str] = {"op4_topk": OP4_SQL, "op6_mixing": OP6_SQL, "op8_warc": OP8_SQL, "op9_substrings": OP9_SQL, "op10_neardup": OP10_SQL, "op12_filters": OP12_SQL}
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repair(conversations.damaged(rows), ids=rows)
+
+
+def _plus(state: str, cost: str, letters: str) -> str:
+    """A carried string, its cost in nine digits before the audit letters, after an edit."""
+    return f"(lpad((substr({state}, 1, 9)::INTEGER + {cost})::VARCHAR, 9, '0') || substr({state}, 10) || '{letters}')"
+
+
+def _closed(z: str, s: str, u: str, a: str) -> str:
+    """A layer of the four states closed by inserted messages."""
+    return f"""{z} AS z, {s} AS s, least({u}, {_plus(z, '2', 'I')}, {_plus(s, '2', 'I')}, {_plus(a, '2', 'I')}) AS u, least({a}, {_plus(u, '2', 'I')}, {_plus(z, '4', 'II')}, {_plus(s, '4', 'II')}) AS a"""
+
+
+_BEFORE_U, _KEEP, _GIVE = "least(z, s, a)", "CASE WHEN NOT gone AND initial = '{}' THEN {} END", "CASE WHEN NOT gone THEN {} END"
+
+
+def _layer() -> str:
+    """A turn's four states before inserts."""
+    z = _plus("z", "3", "D")
+    s = f"least({_plus('s', '3', 'D')}, {_KEEP.format('s', _plus('z', 'cut', 'K'))})"
+    u = f"least({_plus('u', '3', 'D')}, {_KEEP.format('u', _plus(_BEFORE_U, 'cut', 'K'))}, {_GIVE.format(_plus(_BEFORE_U, '2 + cut', 'R'))})"
+    a = f"least({_plus('a', '3', 'D')}, {_KEEP.format('a', _plus('u', 'cut', 'K'))}, {_GIVE.format(_plus('u', '2 + cut', 'R'))})"
+    return f"{z} AS z, {s} AS s, {u} AS u, {a} AS a"
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE hex AS (SELECT unnest(range(256)) AS c), crc_table AS (SELECT list(v ORDER BY c) AS t FROM (SELECT c, list_reduce(list_prepend(c, range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM hex)),
+n AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT n.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT)), lambda x, b: xor(x >> 8, t[xor(x & 255, b) + 1])), 4294967295) % 20 AS kind FROM n, crc_table),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, substr(role, 1, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS last FROM o),
+f AS (SELECT *, bare = '' AS blank, bare <> '' AND again AS dup, bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS trunc, last IS NOT NULL AND last || initial NOT IN ('su', 'ua', 'au') AS ill FROM p),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate, count(*) FILTER (WHERE trunc) AS truncated, count(*) FILTER (WHERE ill) AS illegal, count(*) AS rows FROM f GROUP BY conv_id),
+e AS MATERIALIZED (SELECT conv_id, i, initial, blank OR dup AS gone, trunc::INTEGER AS cut FROM f),
+v AS (SELECT conv_id, 0::BIGINT AS i, '000000000' AS z, NULL::VARCHAR AS s, '000000002I' AS u, '000000004II' AS a FROM counts
+  UNION ALL SELECT conv_id, i, {_closed('z', 's', 'u', 'a')} FROM (SELECT conv_id, i, {_layer()} FROM (SELECT v.conv_id, e.i, z, s, u, a, initial, gone, cut FROM v JOIN e ON e.conv_id IS NOT DISTINCT FROM v.conv_id AND e.i = v.i + 1))),
+best AS (SELECT v.conv_id, least(z, a) AS b FROM v JOIN counts c ON v.conv_id IS NOT DISTINCT FROM c.conv_id AND v.i = c.rows),
+audits AS (SELECT conv_id, substr(b, 1, 9)::BIGINT AS cost, substr(b, 10) AS audit FROM best),
+letters AS (SELECT conv_id, k, substr(audit, k, 1) AS c, k - length(replace(substr(audit, 1, k), 'I', '')) AS inserted, k - length(replace(substr(audit, 1, k), 'D', '')) AS deleted FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS k FROM audits)),
+said AS (SELECT l.conv_id, k, k - deleted AS place, c, f.initial, f.role, f.text FROM letters l LEFT JOIN f ON c <> 'I' AND f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = k - inserted WHERE c <> 'D'),
+moved AS (SELECT *, max(CASE WHEN place = 1 AND c = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS system FROM said),
+lines AS (SELECT conv_id, string_agg(CASE WHEN c = 'K' THEN role WHEN (place - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY k) AS body FROM moved GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM ids LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_extraction": op2_extraction, "op3_quality": op3_quality, "op4_topk": op4_topk, "op5_media": op5_media, "op6_mixing": op6_mixing, "op7_language": op7_language, "op8_warc": op8_warc, "op9_substrings": op9_substrings, "op10_neardup": op10_neardup, "op12_filters": op12_filters, "op13_conversations": op13_conversations}
+ORACLE_SQL: dict[str, str] = {"op4_topk": OP4_SQL, "op6_mixing": OP6_SQL, "op8_warc": OP8_SQL, "op9_substrings": OP9_SQL, "op10_neardup": OP10_SQL, "op12_filters": OP12_SQL, "op13_conversations": OP13_SQL}
