@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import bpe, conversations, extraction, filters, language, media, mixing, mtree, neardup, quality, substrings, warc
+from verdigris.llm import bpe, conversations, extraction, filters, language, media, mixing, mtree, neardup, outliers, quality, substrings, warc
 from verdigris.llm.store import clean  # noqa: F401  for the driver contract
 
 
@@ -149,6 +149,59 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = outliers.judge(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.withColumn("distance", F.round("distance", 6))
+
+
+_MOMENTS = "count(*) AS n, " + ", ".join([f"sum(x{i}) AS s{i}" for i in range(5)] + [f"sum(x{i} * x{j}) AS s{i}{j}" for i in range(5) for j in range(i + 1)])
+_AGAIN = "sum(n) AS n, " + ", ".join([f"sum(s{i}) AS s{i}" for i in range(5)] + [f"sum(s{i}{j}) AS s{i}{j}" for i in range(5) for j in range(i + 1)])
+_SQUARES = [(512 * x) ** 2 for x in (0.5, 0.05, 0.04, 0.7, 0.12)]
+
+
+def _cholesky() -> str:
+    out = [f"s{i} / n AS m{i}" for i in range(5)]
+    for i in range(5):
+        for j in range(i + 1):
+            rest = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            entry = f"s{i}{j} / n - m{i} * m{j}"
+            out.append(f"sqrt(greatest({entry}, 0) + {_SQUARES[i]!r}::DOUBLE{rest}) AS l{i}{i}" if i == j else f"({entry}{rest}) / l{j}{j} AS l{i}{j}")
+    return ", ".join(out)
+
+
+_FORWARD = ", ".join(f"(x{i} - m{i}" + "".join(f" - l{i}{k} * y{k}" for k in range(i)) + f") / l{i}{i} AS y{i}" for i in range(5)) + ", sqrt(" + " + ".join(f"y{i} * y{i}" for i in range(5)) + ") AS d"
+_STEPS = ",\n".join(
+    f"""h{t} AS MATERIALIZED (SELECT gid, start, least(floor(32 * d), 4095) AS rng, {_MOMENTS} FROM (SELECT gid, start, x0, x1, x2, x3, x4, {_FORWARD} FROM x JOIN e{t - 1} USING (gid)) GROUP BY ALL),
+p{t} AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY gid, start ORDER BY rng) AS up_to, sum(n) OVER (PARTITION BY gid, start) AS total FROM h{t}),
+e{t} AS MATERIALIZED (SELECT gid, start, {_cholesky()} FROM (SELECT gid, start, {_AGAIN} FROM p{t} WHERE up_to - n < 0.75 * total GROUP BY ALL))"""
+    for t in range(1, 7)
+)
+
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS r FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+cov AS (SELECT r, count(DISTINCT p) AS again FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM win) WHERE c > 1) GROUP BY r),
+l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+c AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(again, 0)::BIGINT AS n_repeat_words, r FROM d JOIN l USING (r) LEFT JOIN cov USING (r)),
+b AS MATERIALIZED (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
+g AS (SELECT lang, source, count(*) AS n FROM b WHERE NOT base_failed GROUP BY ALL),
+q AS (SELECT *, sum(CASE WHEN n < 100 THEN n END) OVER (PARTITION BY lang) AS rest FROM g),
+o AS (SELECT coalesce(sum(n) FILTER (WHERE n < 100 AND rest < 100), 0) AS last FROM q),
+k AS (SELECT lang, source, CASE WHEN n >= 100 THEN '1|' || coalesce('=' || lang, '') || '|' || coalesce('=' || source, '') WHEN rest >= 100 THEN '2|' || coalesce('=' || lang, '') WHEN last >= 100 THEN '3' END AS gid FROM q, o),
+v AS MATERIALIZED (SELECT b.*, CASE WHEN NOT base_failed THEN gid END AS gid, CASE WHEN NOT base_failed THEN floor(512 * ln(n_words::DOUBLE) + 0.5)::BIGINT END AS x0, CASE WHEN NOT base_failed THEN floor(512 * ln((word_chars + 250) / (n_words + 50)) + 0.5)::BIGINT END AS x1,
+  floor(512 * sqrt(n_symbols / (word_chars + 250)) + 0.5)::BIGINT AS x2, floor(512 * ln((n_dup_lines + 1)::DOUBLE) + 0.5)::BIGINT AS x3, floor(512 * sqrt(n_repeat_words / (n_words + 50)) + 0.5)::BIGINT AS x4
+  FROM b LEFT JOIN k ON b.lang IS NOT DISTINCT FROM k.lang AND b.source IS NOT DISTINCT FROM k.source),
+x AS MATERIALIZED (SELECT gid, x0, x1, x2, x3, x4 FROM v WHERE gid IS NOT NULL),
+{", ".join(f"r{i} AS (SELECT gid, min(x{i}) FILTER (WHERE 4 * r >= n) AS q1, min(x{i}) FILTER (WHERE 4 * r >= 2 * n) AS m{i}, min(x{i}) FILTER (WHERE 4 * r >= 3 * n) AS q3, sqrt(((q3 - q1) / 1.349::DOUBLE) * ((q3 - q1) / 1.349::DOUBLE) + {_SQUARES[i]!r}::DOUBLE) AS l{i}{i} FROM (SELECT gid, x{i}, row_number() OVER (PARTITION BY gid ORDER BY x{i}) AS r, count(*) OVER (PARTITION BY gid) AS n FROM x) GROUP BY gid)" for i in range(5))},
+e0 AS MATERIALIZED (SELECT gid, 0 AS start, {", ".join(f"m{i}::DOUBLE AS m{i}" for i in range(5))}, {", ".join(f"l{i}{i}" if i == j else f"0::DOUBLE AS l{i}{j}" for i in range(5) for j in range(i + 1))} FROM r0 JOIN r1 USING (gid) JOIN r2 USING (gid) JOIN r3 USING (gid) JOIN r4 USING (gid)
+  UNION ALL SELECT gid, 1, {_cholesky()} FROM (SELECT gid, {_MOMENTS} FROM x GROUP BY gid)),
+{_STEPS},
+best AS (SELECT * FROM e6 QUALIFY row_number() OVER (PARTITION BY gid ORDER BY l00 * l11 * l22 * l33 * l44, start) = 1),
+far AS (SELECT v.r, {_FORWARD} FROM v JOIN best USING (gid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(d * sqrt(0.7058::DOUBLE), 6) AS distance, NOT base_failed AND coalesce(d * sqrt(0.7058::DOUBLE) <= 4.5, true) AS kept FROM v LEFT JOIN far USING (r)
+"""
+
+
 def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -219,5 +272,5 @@ SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS bla
 FROM ids LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM ids.conv_id
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_extraction": op2_extraction, "op3_quality": op3_quality, "op4_topk": op4_topk, "op5_media": op5_media, "op6_mixing": op6_mixing, "op7_language": op7_language, "op8_warc": op8_warc, "op9_substrings": op9_substrings, "op10_neardup": op10_neardup, "op12_filters": op12_filters, "op13_conversations": op13_conversations}
-ORACLE_SQL: dict[str, str] = {"op4_topk": OP4_SQL, "op6_mixing": OP6_SQL, "op8_warc": OP8_SQL, "op9_substrings": OP9_SQL, "op10_neardup": OP10_SQL, "op12_filters": OP12_SQL, "op13_conversations": OP13_SQL}
+QUERIES = {"op1_bpe": op1_bpe, "op2_extraction": op2_extraction, "op3_quality": op3_quality, "op4_topk": op4_topk, "op5_media": op5_media, "op6_mixing": op6_mixing, "op7_language": op7_language, "op8_warc": op8_warc, "op9_substrings": op9_substrings, "op10_neardup": op10_neardup, "op11_outliers": op11_outliers, "op12_filters": op12_filters, "op13_conversations": op13_conversations}
+ORACLE_SQL: dict[str, str] = {"op4_topk": OP4_SQL, "op6_mixing": OP6_SQL, "op8_warc": OP8_SQL, "op9_substrings": OP9_SQL, "op10_neardup": OP10_SQL, "op11_outliers": OP11_SQL, "op12_filters": OP12_SQL, "op13_conversations": OP13_SQL}
