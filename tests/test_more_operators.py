@@ -43,25 +43,14 @@ def test_let_computes_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
 
 
-def test_containment_in_blocks(spark, monkeypatch):
+def test_containment(spark):
     corpus = spark.createDataFrame([(1, "aaaa banana"), (2, None), (3, ""), (4, "ana"), (5, "xyz")], "k int, t string")
     parts = spark.createDataFrame([("aa",), ("ana",), ("ana",), ("",), (None,), ("nope",), ("漢",)], "p string")
     want = {(1, "aa", 2), (1, "ana", 1), (4, "ana", 1)}
     assert {tuple(r) for r in containment.occurrences(corpus, parts, "p", "t", ["k"]).collect()} == want
-    monkeypatch.setattr(containment, "MOST_CHARACTERS", 3)
-    assert {tuple(r) for r in containment.occurrences(corpus, parts, "p", "t", ["k"]).collect()} == want
     assert containment.occurrences(corpus, parts.limit(0), "p", "t", ["k"]).columns == ["k", "part", "hits"]
 
 
-def test_bootstrap_of_large_groups(monkeypatch):
-    import numpy as np
-
-    values = np.random.default_rng(1).random(37)
-    whole = items.resampled(values, 50, 42)
-    monkeypatch.setattr(items, "DRAWS", 100)
-    assert np.allclose(whole, items.resampled(values, 50, 42))
-
-
 def test_small_is_checked(spark):
     df = spark.range(50)
     hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.functions.stats import medians, same
 from verdigris.operators.samples import first_by
 from verdigris.tables import small
 
@@ -45,8 +46,10 @@ def win_rates(verdicts: DataFrame, by: list[str], first: str = "idiom", second:
 def pair_ratios(pairs: DataFrame, by: list[str], numerator: str, denominator: str) -> DataFrame:
     """(by..., n, ratio_mean, ratio_median, saved_pct): the mean and median of each pair's ratio, and the saving that the mean stands for."""
     ratio = F.col(numerator) / F.nullif(F.col(denominator).cast("double"), F.lit(0.0))
-    out = pairs.withColumn("_r", ratio).filter("_r IS NOT NULL").groupBy(*by).agg(F.count("_r").alias("n"), F.avg("_r").alias("_m"), F.round(F.median("_r"), 4).alias("ratio_median"))
-    return out.select(*by, "n", F.round("_m", 4).alias("ratio_mean"), "ratio_median", F.round((1 - 1 / F.nullif(F.col("_m"), F.lit(0.0))) * 100, 4).alias("saved_pct"))
+    rated = pairs.select(*by, ratio.alias("_r")).filter("_r IS NOT NULL")
+    middle = medians(rated, "_r", by, "_median")
+    out = same(rated.groupBy(*by).agg(F.avg("_r").alias("_m")), middle, by)
+    return out.select(*by, "n", F.round("_m", 4).alias("ratio_mean"), F.round("_median", 4).alias("ratio_median"), F.round((1 - 1 / F.nullif(F.col("_m"), F.lit(0.0))) * 100, 4).alias("saved_pct"))
 
 
 def decision(ratio_saving: Column, not_loss: Column, least_saving: float = 0.20) -> Column:

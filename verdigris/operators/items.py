@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from functools import lru_cache
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +9,7 @@ from pyspark.sql.window import Window
 from verdigris.functions import text as X
 from verdigris.functions.stats import pearson, same, spearman
 from verdigris.operators.containment import occurrences
+from verdigris.operators.resampling import bootstrap_means
 from verdigris.operators.samples import first_by
 from verdigris.schemas import HEADLINE
 
@@ -75,61 +71,29 @@ def worst_negative(stats: DataFrame, n: int = 8) -> DataFrame:
     return first_by(stats.filter("discrimination < 0"), ["task"], [F.col("discrimination"), F.col("id")], n)
 
 
-def task_redundancy(means: DataFrame, least: int = 3) -> DataFrame:
-    """(task_a, task_b, n, rho) for pairs of tasks, from (model, task, mean): Spearman over the models of both."""
+def _task_rho(means: DataFrame, least: int) -> DataFrame:
     a, b = means.alias("a"), means.alias("b")
     pairs = a.join(b, F.col("a.model") == F.col("b.model")).filter(F.col("a.task") < F.col("b.task"))
     pairs = pairs.select(F.col("a.task").alias("task_a"), F.col("b.task").alias("task_b"), F.col("a.mean").alias("x"), F.col("b.mean").alias("y"))
-    out = spearman(pairs, "x", "y", ["task_a", "task_b"], least)
-    return out.withColumn("rho", F.round("rho", 4))
+    return spearman(pairs, "x", "y", ["task_a", "task_b"], least)
+
+
+def task_redundancy(means: DataFrame, least: int = 3) -> DataFrame:
+    """(task_a, task_b, n, rho) for pairs of tasks, from (model, task, mean): Spearman over the models of both."""
+    return _task_rho(means, least).withColumn("rho", F.round("rho", 4))
 
 
 def redundancy_matrix(means: DataFrame, least: int = 3, flagged: float = 0.8) -> DataFrame:
-    """(task_a, task_b, n, rho, redundant) for every pair of tasks that ``least`` models have, a task with itself too, from (model, task, mean)."""
+    """(task_a, task_b, n, rho, redundant) for every pair of tasks that ``least`` models have, a task with itself too, from (model, task, mean).
+    Correlations are rounded once, to three places."""
     present = means.groupBy("task").agg(F.count("mean").alias("n")).filter(F.col("n") >= least)
     known = means.join(present.select("task"), "task", "left_semi")
-    pairs = task_redundancy(known, least).withColumn("rho", F.round("rho", 3))
+    pairs = _task_rho(known, least).withColumn("rho", F.round("rho", 3))
     alone = present.select(F.col("task").alias("task_a"), F.col("task").alias("task_b"), "n", F.lit(1.0).alias("rho"))
     both = pairs.unionByName(alone)
     return both.withColumn("redundant", F.coalesce((F.col("task_a") != F.col("task_b")) & (F.abs("rho") >= flagged), F.lit(False)))
 
 
-#: Draws that are held at once.
-DRAWS = 4_000_000
-
-
-@lru_cache(maxsize=4)
-def draws(seed: int, first: int, last: int, places: int) -> np.ndarray:
-    """A 32-bit number for each iteration from first to last and each place from 1, by hash: the same for every group."""
-    digests = (hashlib.md5(f"{seed}|{b}|{r}".encode()).digest()[:4] for b in range(first, last) for r in range(1, places + 1))
-    return np.frombuffer(b"".join(digests), ">u4").reshape(last - first, places).astype(np.int64)
-
-
-def resampled(values: np.ndarray, iterations: int, seed: int) -> np.ndarray:
-    """The mean of each resample: of n values, n are drawn by ``draws`` modulo n."""
-    n = len(values)
-    if n == 1:
-        return np.full(iterations, values[0])
-    step = max(1, DRAWS // n)
-    places = 1 << (n - 1).bit_length() if n * iterations <= DRAWS // 2 else n  # groups of like size share their draws
-    return np.concatenate([values[draws(seed, a, min(a + step, iterations + 1), places)[:, :n] % n].mean(axis=1) for a in range(1, iterations + 1, step)])
-
-
-def bootstrap_means(scores: DataFrame, by: list[str], order: str, iterations: int, seed: int = 42) -> DataFrame:
-    """(by..., b, m): the mean of a resample of each group's scores, for every iteration.
-
-    A group's scores are one sorted array of doubles, the items of a task; its resamples are gathered from it
-    in numpy, so nothing but the array is shuffled.
-    """
-    groups = scores.filter("score IS NOT NULL").groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("score").cast("double").alias("s")))), lambda x: x["s"]).alias("_values"))
-
-    @F.pandas_udf("array<double>")
-    def means(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: resampled(np.asarray(v, np.float64), iterations, seed))
-
-    return groups.select(*by, F.posexplode(means("_values")).alias("b", "m"))
-
-
 def bounds(means: DataFrame, by: list[str], iterations: int, alpha: float = 0.05) -> DataFrame:
     """(by..., ci_lo, ci_hi, half_width): order statistics of the resampled means, not interpolated."""
     sorted_means = F.sort_array(F.collect_list("m"))
@@ -144,7 +108,7 @@ def bootstrap_ci(scores: DataFrame, by: list[str], order: str = "id", iterations
 
 
 def bootstrap_average(scores: DataFrame, model: str = "model", task: str = "task", order: str = "id", iterations: int = 2000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """The same for the mean of a model's task means, its tasks resampled together."""
+    """The same for the mean of a model's task means, whose tasks are resampled each on its own."""
     joint = bootstrap_means(scores, [model, task], order, iterations, seed).groupBy(model, "b").agg(F.avg("m").alias("m"))
     means = scores.filter("score IS NOT NULL").groupBy(model, task).agg(F.avg("score").alias("m")).groupBy(model).agg(F.round(F.avg("m"), 4).alias("mean"), F.count(F.lit(1)).alias("n_tasks"))
     return means.join(bounds(joint, [model], iterations, alpha), model)

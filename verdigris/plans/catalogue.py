@@ -267,9 +267,19 @@ def task_redundancy(spark, sf_dir):
     return items.task_redundancy(matrix(spark, sf_dir).groupBy("model", "task").agg(F.avg("score").alias("mean")))
 
 
-BOOT = f"""v AS (SELECT model, task, score, row_number() OVER (PARTITION BY model, task ORDER BY id) - 1 AS place, count(*) OVER (PARTITION BY model, task) AS n FROM matrix WHERE score IS NOT NULL),
-g AS (SELECT DISTINCT model, task, n FROM v), d AS (SELECT model, task, n, b, unnest(range(1, n + 1)) AS r FROM (SELECT *, unnest(range(1, 2001)) AS b FROM g)),
-h AS (SELECT model, task, b, ('0x' || substr(md5('42|' || b || '|' || r), 1, 8))::BIGINT % n AS place FROM d),
+def mixed_sql(source: str, value: str, name: str) -> str:
+    """A subquery with ``name``, a 32-bit value whose bits are spread."""
+    a = f"(SELECT *, ({value})::UBIGINT AS x0 FROM {source})"
+    for k, (shift, factor) in enumerate([(16, 0x7FEB352D), (15, 0x846CA68B)]):
+        a = f"(SELECT *, (xor(x{k}, x{k} >> {shift}) * {factor}::UBIGINT) & 4294967295::UBIGINT AS x{k + 1} FROM {a})"
+    return f"(SELECT * EXCLUDE (x0, x1, x2), xor(x2, x2 >> 16) AS {name} FROM {a})"
+
+
+#: Resamples: a draw is a hash of its place and of group and iteration.
+BOOT = f"""v AS (SELECT model, task, score, row_number() OVER (PARTITION BY model, task ORDER BY id, score) - 1 AS place, count(*) OVER (PARTITION BY model, task) AS n FROM matrix WHERE score IS NOT NULL),
+g AS (SELECT model, task, n, b, ('0x' || substr(md5('42|' || model || '|' || task || '|0|' || b), 1, 8))::UBIGINT AS key FROM (SELECT *, unnest(range(1, 2001)) AS b FROM (SELECT DISTINCT model, task, n FROM v))),
+r AS (SELECT r, spread FROM {mixed_sql('(SELECT unnest(range(1, max(n) + 1)) AS r FROM g)', 'r', 'spread')}),
+h AS (SELECT model, task, b, drawn % n AS place FROM {mixed_sql('(SELECT g.*, spread FROM g JOIN r ON r.r <= g.n)', '(key + spread) & 4294967295::UBIGINT', 'drawn')}),
 m AS (SELECT h.model, h.task, b, avg(score) AS m FROM h JOIN v ON h.model = v.model AND h.task = v.task AND h.place = v.place GROUP BY ALL)"""
 
 
@@ -556,7 +566,9 @@ def prompt_projection(spark, sf_dir):
 
 @query(f"WITH {RATERS} SELECT event_type, round(avg(a), 6) AS mean, round(median(a), 6) AS median, round(min(a), 6) AS least, round(max(a), 6) AS most, count(a) AS n FROM raters GROUP BY ALL")
 def rating_profile(spark, sf_dir):
-    return raters(spark, sf_dir).groupBy("event_type").agg(F.round(F.avg("a"), 6).alias("mean"), F.round(F.median("a"), 6).alias("median"), F.min("a").cast("double").alias("least"), F.max("a").cast("double").alias("most"), F.count("a").alias("n"))
+    rows = raters(spark, sf_dir)
+    rest = rows.groupBy("event_type").agg(F.round(F.avg("a"), 6).alias("mean"), F.min("a").cast("double").alias("least"), F.max("a").cast("double").alias("most"))
+    return stats.same(rest, stats.medians(rows, "a", ["event_type"], "median"), ["event_type"]).withColumn("median", F.round("median", 6))
 
 
 @query("SELECT n_name AS model, r_name AS version, o_orderpriority AS task FROM nation, region, (SELECT DISTINCT o_orderpriority FROM orders) WHERE n_regionkey <> r_regionkey")
