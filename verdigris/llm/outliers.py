@@ -89,9 +89,9 @@ def groups(rows: DataFrame, least: int) -> DataFrame:
     rest = pairs.filter(~own).groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("rest"))
     joined = pairs.join(rest, F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
     pooled = F.col("rest") >= least
-    last = rest.filter(F.col("rest") < least).agg(F.coalesce(F.sum("rest"), F.lit(0)).alias("last"))
-    name = F.when(own, F.to_json(F.struct(F.lit(1), "lang", "source"))).when(pooled, F.to_json(F.struct(F.lit(2), "lang"))).when(F.col("last") >= least, "3")
-    return joined.join(F.broadcast(last)).select("lang", "source", name.alias("gid"))  # one row
+    last = rest.filter(F.col("rest") < least).agg(F.sum("rest")).first()[0] or 0
+    name = F.when(own, F.to_json(F.struct(F.lit(1), "lang", "source"))).when(pooled, F.to_json(F.struct(F.lit(2), "lang"))).when(F.lit(last >= least), "3")
+    return joined.select("lang", "source", name.alias("gid"))
 
 
 SUMS = ["n", *[f"s{i}" for i in range(P)], *[f"s{i}{j}" for i, j in PAIRS]]
