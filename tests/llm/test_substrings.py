@@ -84,7 +84,7 @@ SHARDS = "key long, part long, salt long, streamed boolean, piece long, copies i
 
 def test_what_automata_say(spark):
     """A shard's shorter range doesn't cut an earlier shard's longer one; streamed pieces are no reference; a whole piece may be first inside another."""
-    body = lambda *words: b"".join(w.to_bytes(4, "little") for w in words)
+    body = lambda *words: b"".join(w.to_bytes(8, "little") for w in words)
     long = tuple(range(10))
     rows = [(1, 0, 0, False, 11, 0, 1, 0, body(*long)), (1, 0, 0, False, 12, 1, 5, 100, body(*long[3:8])), (1, 0, 0, True, 13, 0, 0, 7, body(*long)), (1, 0, 0, True, 13, 0, 6, 0, body(50, *long[2:6], 51)), (2, 0, 0, False, 21, 0, 2, 0, body(7, 8, 9)), (2, 0, 0, False, 22, 2, 5, 102, body(60, 7, 8, 9))]
     df = spark.createDataFrame(rows, SHARDS).coalesce(1).sortWithinPartitions("key", "part", "salt", "streamed", "id", "start")
@@ -107,6 +107,16 @@ def test_spans_without_equal_words_stay(spark):
     assert [(r.n_removed, r.kept) for r in substrings._kept(df, "text", True).collect()] == [(2, "x y")]
 
 
+@pytest.mark.parametrize("copies", [1, 4])
+def test_words_that_share_half_a_hash(spark, copies):
+    """These two words have 32 bits of their hashes in common. What surrounds them is a repeat, they are not; and a second place that has the same word is found behind the first that hasn't."""
+    before, after = (" ".join(f"{c}{k}" for k in range(25)) for c in "ab")
+    docs = [(1, f"{before} w266449 {after}")] + [(2 + k, f"{before} w324832 {after}") for k in range(copies)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+    assert got[2] == (51, 50, "w324832") and all(got[3 + k][1] == 51 for k in range(copies - 1))
+
+
 def test_one_id_with_two_texts(spark):
     line = " ".join(f"w{k}" for k in range(30))
     rows = [(1, line), (2, f"a b c {line}"), (2, f"{line} and more")]

@@ -212,10 +212,10 @@ def fit(docs: DataFrame, model_path: str, most_rows: int = 800, most_bytes: int
     and on their words of up to ``longest`` bytes: bounds on the words that reach the driver. Scores have
     no such bounds. Rows without an id or a language aren't learned from, rows that repeat count each; without
     any row there is no language and all is UNKNOWN."""
-    docs = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    labelled = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("_bytes"))
+    docs = docs.select(F.col(f"`{id_col}`").alias("_doc"), F.col(f"`{lang_col}`").alias("_lang"), F.col(f"`{text_col}`").alias("_text")).filter("_lang IS NOT NULL AND _doc IS NOT NULL")
+    labelled = docs.select(F.col("_doc").alias("_id"), "_lang", F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long").alias("_bytes"))
     chosen = least_hashed(labelled, ["_id", "_lang", "_bytes"], most_rows, "_lang", "_bytes", most_bytes).select("_id").distinct()
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    rows = docs.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_lang", "_text")
 
     def make(batch: pa.RecordBatch) -> list:
         found = words(batch.column("_text"), kinds=KINDS, change=lower)

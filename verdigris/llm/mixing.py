@@ -111,29 +111,32 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     are a source of their own; columns named like a result are replaced; an empty table gives no rows.
     """
     results = ["size", "source_size", "target", "taken"]
-    sized = df.select("*", F.col(id_col).alias("_mix_id"), F.col(source_col).alias("_mix_source"), words(F.col(text_col)).alias("_mix_size"), random_key(F.col(id_col), seed).alias("_mix_key"))
+    own = {c: f"own_{k}" for k, c in enumerate(df.columns)}  # no name of a column is in the way
+    of = lambda c: F.col(f"`{c}`")
+    sized = df.select(*[of(c).alias(name) for c, name in own.items()], of(id_col).alias("_mix_id"), of(source_col).alias("_mix_source"), words(of(text_col)).alias("_mix_size"), random_key(of(id_col), seed).alias("_mix_key"))
     if not isinstance(df.schema[id_col].dataType, T.LongType):
         sized = sized.withColumn("_mix_id", F.col("_mix_id").cast("string"))
     light = stored(sized.select(F.col("_mix_id").alias("doc_id"), F.col("_mix_source").alias("source"), F.col("_mix_size").alias("size"), F.col("_mix_key").alias("key")), "mix-light")
     wanted = [c for c in df.columns if c not in results and (keep is None or c in keep)]
     if keep is not None and set(keep) <= {id_col}:  # no need to read texts again
-        sized = light.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), F.col("key").alias("_mix_key"), *([F.col("doc_id").alias(id_col)] if keep else []))
+        sized = light.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), F.col("key").alias("_mix_key"), *([F.col("doc_id").cast(df.schema[id_col].dataType).alias(own[id_col])] if keep else []))
     one = small(plan(light, weights, share, cap, range_bits)).alias("p")
     at_cut = (F.col("_mix_key") == F.col("p.cut")) & F.col("_mix_id").eqNullSafe(F.col("p.cut_id"))
     below = (F.col("_mix_key") < F.col("p.cut")) | ((F.col("_mix_key") == F.col("p.cut")) & F.when(F.col("_mix_id").isNull(), F.col("p.cut_id").isNotNull()).otherwise(F.col("p.cut_id").isNotNull() & (F.col("_mix_id") < F.col("p.cut_id"))))
     more = F.when(at_cut, F.least("p.cut_words", "_mix_size")).when(below, F.col("_mix_size")).otherwise(0)
     out = sized.alias("d").join(one, F.col("_mix_source").eqNullSafe(F.col("p.source")))
-    return out.select(*[F.col(f"d.`{c}`") for c in wanted], F.col("_mix_size").alias("size"), F.col("p.size").alias("source_size"), F.col("p.target").alias("target"), (F.col("p.full") * F.col("_mix_size") + more).cast("long").alias("taken"))
+    return out.select(*[F.col(f"d.{own[c]}").alias(c) for c in wanted], F.col("_mix_size").alias("size"), F.col("p.size").alias("source_size"), F.col("p.target").alias("target"), (F.col("p.full") * F.col("_mix_size") + more).cast("long").alias("taken"))
 
 
 def copies(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     """The mix itself, from ``mix`` with texts: a row for each time that a document is taken; the copy in
     which the budget ends keeps its first words, joined by one space."""
-    text, size, taken = F.col(text_col), F.col("size"), F.col("taken")
+    size, taken = F.col("size"), F.col("taken")
     whole = F.when(size > 0, F.floor(taken / size)).otherwise(0)
     part = F.when(size > 0, taken % size).otherwise(0)
     n = (whole + (part > 0).cast("long")).cast("int")
-    each = mixed.filter(n > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), n)))
-    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.greatest(part, F.lit(1)).cast("int")), " ")
-    cut = (F.col("_copy") > whole) & (part > 0)
-    return each.withColumn(text_col, F.when(cut, head).otherwise(text)).drop("_copy")
+    each = mixed.filter(n > 0).select(F.struct(*[F.col(f"`{c}`") for c in mixed.columns]).alias("row"), F.explode(F.sequence(F.lit(1), n)).alias("copy"), whole.alias("whole"), part.alias("part"))
+    row, part = F.col("row").getField, F.col("part")
+    head = F.array_join(F.slice(F.regexp_extract_all(row(text_col), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.greatest(part, F.lit(1)).cast("int")), " ")
+    cut = (F.col("copy") > F.col("whole")) & (part > 0)
+    return each.select(*[(F.when(cut, head).otherwise(row(c)) if c == text_col else row(c)).alias(c) for c in mixed.columns])

@@ -27,8 +27,9 @@ from verdigris.llm.automaton import SuffixAutomaton
 from verdigris.llm.store import release, small, stored
 from verdigris.llm.words import BASE, Words, binary, mix, places, powers, words
 
-#: Words of an anchor.
-ANCHOR = 6
+#: Words of an anchor, and bytes of a word's hash, which is what an automaton sees of it. With 64 bits a match of other words
+#: is not to be expected in any corpus: of 10**12 pairs of windows that differ in one word, one in 10**7 corpora would have it.
+ANCHOR, SYMBOL = 6, 8
 #: Anchors of more occurrences are divided by a second run of each window; shards of more distinct pieces are divided by
 #: their windows, into shards of about so many distinct ones; and a shard is streamed through in parts of about so many pieces.
 HOT = 2000
@@ -77,7 +78,7 @@ def _anchors(df: DataFrame, window: int) -> DataFrame:
 def _pieces(df: DataFrame, window: int) -> DataFrame:
     """(key, piece, id, start, body) from texts with their repeated anchors (hits: place * 2 + hot).
 
-    A piece is a longest run of windows of one anchor: its words as 32-bit hashes, so that each
+    A piece is a longest run of windows of one anchor: its words as 64-bit hashes, so that each
     of its windows is a candidate and no other piece has it. A hot anchor's windows are divided by their greatest
     word run too; equal windows have that in common as well.
     """
@@ -107,13 +108,12 @@ def _pieces(df: DataFrame, window: int) -> DataFrame:
                 new[1:] = (place[1:] != place[:-1]) | (second[1:] != second[:-1]) | (start[1:] != start[:-1] + 1)
                 begin = np.flatnonzero(new)
                 last = np.concatenate([begin[1:], [len(start)]])[: len(begin)] - 1
-                # a piece's name is a hash of its words' 64-bit hashes, its body 32 bits of each
+                # a piece's name is a hash of its words' hashes, its body all of them
                 size = start[last] + window - start[begin]
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(found.hashes * powers(BASE, len(found.hashes)), dtype=np.uint64)])
                 back = powers(pow(BASE, -1, 2**64), len(found.hashes) + 1)
                 names = mix((sums[start[begin] + size] - sums[start[begin]]) * back[start[begin]] + size.astype(np.uint64)).astype(np.int64)
-                symbols = (found.hashes >> np.uint64(32)).astype(np.uint32)
-                bodies = binary(symbols[places(start[begin], size)].view(np.uint8), 4 * np.concatenate([[0], np.cumsum(size)]))
+                bodies = binary(found.hashes[places(start[begin], size)].view(np.uint8), SYMBOL * np.concatenate([[0], np.cumsum(size)]))
                 yield pa.RecordBatch.from_arrays([pa.array(least[begin].astype(np.int64)), pa.array(names), pa.array(ids[row[begin]]), pa.array((start[begin] - found.bounds[row[begin]]).astype(np.int32)), bodies], names=["key", "piece", "id", "start", "body"])
 
     return mapped(df, run, "key long, piece long, id long, start int, body binary")
@@ -127,8 +127,8 @@ def _windows(reference: DataFrame, window: int) -> DataFrame:
             for part in slices(batch, "body"):
                 keys, names, ids, starts, bodies = [], [], [], [], []
                 for key, doc, start, body in zip(*(part.column(c).to_pylist() for c in ("key", "id", "start", "body")), strict=True):
-                    for k in range(len(body) // 4 - window + 1):
-                        words_of = body[4 * k : 4 * (k + window)]
+                    for k in range(len(body) // SYMBOL - window + 1):
+                        words_of = body[SYMBOL * k : SYMBOL * (k + window)]
                         keys.append(key)
                         names.append(xxhash.xxh3_64_intdigest(words_of))
                         ids.append(doc)
@@ -223,7 +223,7 @@ def _decided(shards: DataFrame, window: int) -> DataFrame:
                 if name != key:
                     build()
                     automaton, begins, starts, key = SuffixAutomaton(), [], [], name
-                symbols = np.frombuffer(body, np.uint32).tolist()
+                symbols = np.frombuffer(body, np.uint64).tolist()
                 if not streamed:
                     reference.append((piece, copies, doc, start, symbols))
                     continue
@@ -334,7 +334,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = ["key", "part", "salt"]
     decided = stored(_decided(_shards(reference, window).repartition(*order).sortWithinPartitions(*order, "streamed", "id", "start"), window), "sub-decided")
     answers = decided.filter("id IS NULL").select("key", "piece", "first_id", "first_begin", (F.col("begin") == 2).alias("often"))
-    copies = pieces.select("key", "piece", "id", F.col("start").alias("begin"), (F.col("start") + F.octet_length("body") / 4).cast("int").alias("end"))
+    copies = pieces.select("key", "piece", "id", F.col("start").alias("begin"), (F.col("start") + F.octet_length("body") / SYMBOL).cast("int").alias("end"))
     # pieces that very many texts share are joined where they are, if a count allows
     often = answers.filter("often")
     hot = copies.join(small(often), ["key", "piece"])
@@ -349,8 +349,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     release(spans, proofs)
     touched = small(proved.select("_id"))
     clean = [c for c in df.columns if c not in ("n_words", "n_removed", "kept")]
-    base = df.select(*[F.col(f"`{c}`") for c in clean])
-    key = F.col(f"`{id_col}`").cast("long")
-    whole = _kept(base.join(touched, key == F.col("_id"), "left_anti"), text_col, False)
+    own = {c: f"own_{k}" for k, c in enumerate(clean)}  # no name of a column is in the way
+    base = df.select(*[F.col(f"`{c}`").alias(name) for c, name in own.items()])
+    key = F.col(own[id_col]).cast("long")
+    whole = _kept(base.join(touched, key == F.col("_id"), "left_anti"), own[text_col], False)
     cut = base.join(touched, key == F.col("_id"), "left_semi").join(proved, key == F.col("_id"))
-    return whole.union(_kept(cut.select(*[F.col(f"`{c}`") for c in clean], "_spans"), text_col, True))
+    both = whole.union(_kept(cut.select(*own.values(), "_spans"), own[text_col], True))
+    return both.select(*[F.col(name).alias(c) for c, name in own.items()], "n_words", "n_removed", "kept")
