@@ -81,9 +81,19 @@ class Track:
     timescale: int = 0
     duration: int = 0
     tables: dict = field(default_factory=dict)
+    number: int = 0
+    #: Duration, size and flags of a fragment's samples that don't say.
+    defaults: tuple[int, int, int] = (0, 0, 0)
+    #: Offsets, sizes and sync marks of each run of a fragment.
+    runs: list = field(default_factory=list)
 
     def samples(self, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Byte offsets and sizes of all samples; ``end`` is the container's length."""
+        """Byte offsets and sizes of all samples, those of fragments last; ``end`` is the container's length."""
+        offsets, sizes = self._whole(end)
+        return (np.concatenate([offsets, *(r[0] for r in self.runs)]), np.concatenate([sizes, *(r[1] for r in self.runs)])) if self.runs else (offsets, sizes)
+
+    def _whole(self, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the movie's own tables."""
         t = self.tables
         count, sizes = t.get(b"stsz", (0, np.zeros(0, np.int64)))
         if b"stco" not in t or b"stsc" not in t:
@@ -111,11 +121,66 @@ class Track:
         """Places of the sync samples, all where no table is."""
         count = self.tables.get(b"stsz", (0, None))[0]
         keys = self.tables.get(b"stss")
-        if keys is None:
-            return np.arange(count)
-        if len(keys) and (keys.min() < 1 or keys.max() > count):
+        if keys is not None and len(keys) and (keys.min() < 1 or keys.max() > count):
             raise MediaError("a keyframe is no sample")
-        return keys - 1
+        found = [np.arange(count) if keys is None else keys - 1]
+        for offsets, _, sync in self.runs:
+            found.append(count + np.flatnonzero(sync))
+            count += len(offsets)
+        return np.concatenate(found)
+
+
+#: Bits of a fragment's header and of its runs, and of a sample's flags: it depends on others.
+BASE_OFFSET, DESCRIPTION, DURATION, SIZE, FLAGS = 0x1, 0x2, 0x8, 0x10, 0x20
+RUN_OFFSET, RUN_FIRST, RUN_FIELDS, FROM_MOOF, NO_SYNC = 0x1, 0x4, (0x100, 0x200, 0x400, 0x800), 0x20000, 0x10000
+
+
+class Fragment:
+    """The state of a movie fragment's box: where it begins, where its data has been read to, and the track that runs belong to."""
+
+    def __init__(self, start: int) -> None:
+        self.start = self.end = start
+        self.track: Track | None = None
+
+    def head(self, data: memoryview, a: int, tracks: list[Track]) -> None:
+        flags, number = struct.unpack_from(">II", data, a)
+        flags &= 0xFFFFFF
+        at = a + 8
+        if (track := next((t for t in tracks if t.number == number), None)) is None:
+            raise MediaError(f"a fragment of track {number}, which isn't there")
+        base = self.start if flags & FROM_MOOF or self.track is None else self.end
+        if flags & BASE_OFFSET:
+            base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+        at += 4 * bool(flags & DESCRIPTION)
+        values = list(track.defaults)
+        for k, bit in enumerate((DURATION, SIZE, FLAGS)):
+            if flags & bit:
+                values[k], at = struct.unpack_from(">I", data, at)[0], at + 4
+        self.track, self.base, self.end, self.defaults = track, base, base, values
+
+    def run(self, data: memoryview, a: int, b: int) -> None:
+        if self.track is None:
+            raise MediaError("a run before its fragment's header")
+        flags, count = struct.unpack_from(">II", data, a)
+        at = a + 8
+        if flags & RUN_OFFSET:
+            self.end, at = self.base + struct.unpack_from(">i", data, at)[0], at + 4
+        first = None
+        if flags & RUN_FIRST:
+            first, at = struct.unpack_from(">I", data, at)[0], at + 4
+        fields = [bit for bit in RUN_FIELDS if flags & bit]
+        if count > len(data) or at + 4 * count * len(fields) > b:
+            raise MediaError("a run is cut short")
+        table = np.frombuffer(data, ">u4", count * len(fields), at).astype(np.int64).reshape(count, len(fields))
+        duration, sizes, marks = (table[:, fields.index(bit)] if bit in fields else np.full(count, default, np.int64) for bit, default in zip(RUN_FIELDS[:3], self.defaults, strict=True))
+        if first is not None and count and RUN_FIELDS[2] not in fields:
+            marks[0] = first
+        ends = self.end + np.cumsum(sizes)
+        if count and (self.end < 0 or ends[-1] > len(data)):
+            raise MediaError("a sample ends beyond the container")
+        self.track.runs.append((ends - sizes, sizes, marks & NO_SYNC == 0))
+        self.track.duration += int(duration.sum())
+        self.end = int(ends[-1]) if count else self.end
 
 
 def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
@@ -165,15 +230,30 @@ def _table(kind: bytes, data: memoryview, a: int, b: int) -> tuple[bytes, object
 def read(media: bytes) -> list[Track]:
     """The tracks of a container."""
     data, tracks = memoryview(media), []
+    defaults: dict[int, tuple[int, int, int]] = {}
 
-    def walk(start: int, end: int, depth: int) -> None:
+    def walk(start: int, end: int, depth: int, fragment: Fragment | None = None) -> None:
         if depth > 16:
             raise MediaError("boxes nest too deeply")
+        at = start
         for kind, a, b in boxes(data, start, end):
+            at, begin = b, at
             if kind == b"trak":
                 tracks.append(Track())
             if kind in NESTED:
-                walk(a, b, depth + 1)
+                walk(a, b, depth + 1, Fragment(begin) if kind == b"moof" else fragment)
+                if kind == b"moov":
+                    for track in tracks:
+                        track.defaults = defaults.get(track.number, track.defaults)
+            elif kind == b"trex":
+                number, _, *values = struct.unpack_from(">5I", data, a + 4)
+                defaults[number] = tuple(values)
+            elif kind == b"tfhd" and fragment is not None:
+                fragment.head(data, a, tracks)
+            elif kind == b"trun" and fragment is not None:
+                fragment.run(data, a, b)
+            elif kind == b"tkhd" and tracks:
+                tracks[-1].number = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0]
             elif kind == b"mdhd" and tracks:
                 wide = data[a] == 1
                 tracks[-1].timescale, tracks[-1].duration = struct.unpack_from(">IQ" if wide else ">II", data, a + (20 if wide else 12))
@@ -207,7 +287,7 @@ INFO = T.StructType(
 
 
 def describe(media: bytes | None) -> dict | None:
-    """Codec, duration in seconds, samples and keyframe byte ranges of the first track; ``error`` for a container that can't be read, None for null."""
+    """Codec, duration in seconds, samples and keyframe byte ranges of the first track, its fragments included; ``error`` for a container that can't be read, None for null."""
     if media is None:
         return None
     try:
