@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,30 +17,78 @@ def f_score(p: Column, r: Column, beta: float) -> Column:
     return F.when(p + r > 0, (1 + beta * beta) * p * r / F.nullif(beta * beta * p + r, F.lit(0.0))).otherwise(0.0)
 
 
-def _overlap(prediction: str, reference: str, n: int) -> tuple[int, int, int]:
-    """Common n-grams, each as often as on the side that has fewer, and the n-grams of both sides."""
-    a, b = (Counter([s[i : i + n] for i in range(len(s) - n + 1)]) for s in (prediction, reference))
-    less, more = (a, b) if len(a) < len(b) else (b, a)
-    return sum([min(k, more[g]) for g, k in less.items() if g in more]), max(len(prediction) - n + 1, 0), max(len(reference) - n + 1, 0)
+#: Rows and code points of a block, and the factor of n-grams' hashes.
+ROWS, POINTS, FACTOR = 256, 1 << 20, np.uint64(0x9E3779B97F4A7C15)
 
 
-def chrf_value(prediction: str, reference: str, beta: float = 2.0, longest: int = 6) -> float:
+def _blocks(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of at most ROWS rows and POINTS code points, one row at least."""
+    ends, start = np.cumsum(lengths), 0
+    while start < len(lengths):
+        base = ends[start - 1] if start else 0
+        stop = min(start + ROWS, max(start + 1, int(np.searchsorted(ends, base + POINTS, side="right"))))
+        yield start, stop
+        start = stop
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def overlaps(predictions: list[str], references: list[str], longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(longest x rows, 2 x rows): for each order the common n-grams, each as often as on the side that has fewer, and the lengths of both sides.
+
+    A block's n-grams of both sides are one array of numbers: row, 55 bits of hash (all of the n-gram for pairs of characters and
+    less) and side. Sorted, equal n-grams of a row lie together, and the lesser of their two counts is what they have in common.
+    """
+    n = len(predictions)
+    sizes = np.array([[len(x) for x in predictions], [len(x) for x in references]], np.int64).reshape(2, n)
+    common = np.zeros((longest, n), np.int64)
+    for start, stop in _blocks(sizes.sum(axis=0)):
+        points = np.frombuffer("".join([*predictions[start:stop], *references[start:stop]]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        of = sizes[:, start:stop].ravel()
+        side_row = np.repeat(np.arange(2 * (stop - start), dtype=np.uint64), of)
+        left = np.repeat(np.cumsum(of), of) - np.arange(len(points))  # code points from here to the text's end
+        side, row = side_row // np.uint64(stop - start), side_row % np.uint64(stop - start)
+        name = (row << np.uint64(56)) | side
+        h = np.zeros(len(points), np.uint64)
+        for k in range(longest):
+            h = (h[: len(points) - k] << np.uint64(21) if k < 2 else h[: len(points) - k] * FACTOR) + points[k:]
+            inside = left[: len(h)] > k
+            gram = h[inside] if k < 2 else _spread(h[inside]) >> np.uint64(9)
+            keys = np.sort(name[: len(h)][inside] | (gram << np.uint64(1)))
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            count, kinds = np.diff(np.append(first, len(keys))), keys[first]
+            both = np.flatnonzero((kinds[1:] >> np.uint64(1)) == (kinds[:-1] >> np.uint64(1)))
+            common[k, start:stop] = np.bincount((kinds[both] >> np.uint64(56)).astype(np.int64), np.minimum(count[both], count[both + 1]), stop - start)
+    return common, sizes
+
+
+def chrf_values(common: np.ndarray, sizes: np.ndarray, beta: float = 2.0) -> np.ndarray:
     """Mean over orders of the F-score of clipped n-gram overlap; orders that either side lacks don't count."""
-    scores = []
-    for n in range(1, longest + 1):
-        common, a, b = _overlap(prediction, reference, n)
-        if a and b:
-            p, r = common / a, common / b
-            scores.append((1 + beta * beta) * p * r / (beta * beta * p + r) if p + r else 0.0)
-    return sum(scores) / len(scores) if scores else 0.0
+    total, orders = np.zeros(common.shape[1]), np.zeros(common.shape[1], np.int64)
+    for k, shared in enumerate(common):
+        a, b = np.maximum(sizes - k, 0)
+        there = (a > 0) & (b > 0)
+        p, r = shared / np.maximum(a, 1), shared / np.maximum(b, 1)
+        total += np.where(there & (shared > 0), (1 + beta * beta) * p * r / np.where(shared > 0, beta * beta * p + r, 1), 0.0)
+        orders += there
+    return total / np.maximum(orders, 1)
+
+
+def bag_f1s(common: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """F1 of character bags."""
+    return 2 * common[0] / np.maximum(sizes.sum(axis=0), 1)
 
 
 def chrf(prediction: Column, reference: Column, beta: float = 2.0, longest: int = 6) -> Column:
-    """Arrow form: no shuffle, one pass over the rows."""
+    """Arrow form: no shuffle, one pass over the rows, a batch's n-grams in numpy."""
 
     @F.pandas_udf("double")
     def run(p: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([chrf_value(a or "", b or "", beta, longest) for a, b in zip(p, r, strict=True)], dtype="float64")
+        return pd.Series(chrf_values(*overlaps(p.fillna("").tolist(), r.fillna("").tolist(), longest), beta), dtype="float64")
 
     return run(prediction, reference)
 
@@ -59,23 +108,18 @@ def chrf_native(df: DataFrame, keys: list[str], prediction: str, reference: str,
     return df.select(*keys).join(scored, keys, "left").select(*keys, F.coalesce("_score", F.lit(0.0)).alias(name))
 
 
-def bag_f1(prediction: str, reference: str) -> float:
-    """F1 of character bags."""
-    common, a, b = _overlap(prediction, reference, 1)
-    return 2 * common / (a + b) if common else 0.0
-
-
 @F.pandas_udf(T.DoubleType())
 def char_f1(prediction: pd.Series, reference: pd.Series) -> pd.Series:
     """Arrow form: each text is counted once, where the native form looks for every distinct character in both."""
-    return pd.Series([bag_f1(a or "", b or "") for a, b in zip(prediction, reference, strict=True)], dtype="float64")
+    return pd.Series(bag_f1s(*overlaps(prediction.fillna("").tolist(), reference.fillna("").tolist(), 1)), dtype="float64")
 
 
 @F.pandas_udf(T.StructType([T.StructField("chrf", T.DoubleType()), T.StructField("char_f1", T.DoubleType())]))
 def pair_scores(prediction: pd.Series, reference: pd.Series) -> pd.DataFrame:
     """Both scores of a pair in one transfer; null where either text is."""
-    rows = [(None, None) if a is None or b is None else (chrf_value(a, b), bag_f1(a, b)) for a, b in zip(prediction, reference, strict=True)]
-    return pd.DataFrame(rows, columns=["chrf", "char_f1"], dtype="float64")
+    found = overlaps(prediction.fillna("").tolist(), reference.fillna("").tolist(), 6)
+    there = (prediction.notna() & reference.notna()).to_numpy()
+    return pd.DataFrame({"chrf": np.where(there, chrf_values(*found), np.nan), "char_f1": np.where(there, bag_f1s(*found), np.nan)})
 
 
 def char_f1_native(prediction: Column, reference: Column) -> Column:

@@ -14,7 +14,7 @@ ISSUE = "_audit_issue"
 # A gloss that only points at another one, messages of the checks, what is said of repaired glosses, and flags by id.
 CIRCULAR = "同本义"
 CIRCULAR_ISSUE = "circular gold: reference is the dictionary stub '同本义。' (a 本义 defined elsewhere), not a usable gloss — every model scores ≈0 regardless of answer"
-NOT_JSON, NO_TOP, NO_KEY, NO_TASKS = "not valid JSON", "top level is not an object", "missing top-level key '{}'", "missing top-level key 'tasks' or not an object"
+NOT_JSON, NO_TOP, NO_KEY, NO_TASKS = "not valid JSON", "top level is not an object", "missing top-level key '{}'", "'tasks' is not an object"
 NO_TASK, ODD_TASK, NO_SUMMARY, NO_ITEMS, NO_OBJECT = "missing task", "unexpected task key", "summary missing or not an object", "items missing or not a list", "is not an object"
 TOO_MANY, TOO_FEW = "%d items, max allowed %d", "%d/%d items"
 CANDIDATE_FROM, NO_CHARACTER, NO_CANDIDATE = "说文解字「%s」: %s", "no target char", "char '%s' not in 说文 / no clean head"
@@ -41,7 +41,7 @@ def unflagged(records: DataFrame) -> DataFrame:
 
 
 def record_violations(records: DataFrame) -> DataFrame:
-    """(id, violation): duplicate ids, missing fields, a reference that is the input, too short references, cloze answers of another length than one."""
+    """(id, violation), a row for each record: duplicate ids, missing fields, a reference that is the input, too short references, cloze answers of another length than one."""
     checks: dict[str, Column] = {
         "missing field": F.col("id").isNull() | F.col("task").isNull() | F.col("input").isNull() | F.col("reference").isNull() | (F.trim("input") == "") | (F.trim("reference") == ""),
         "reference is input": F.trim("input") == F.trim("reference"),
@@ -49,48 +49,68 @@ def record_violations(records: DataFrame) -> DataFrame:
         "cloze answer is not one character": (F.col("task") == "fill-in") & (F.char_length(F.trim("reference")) != 1),
         "no mark in reference": (F.col("task") == "punctuate") & (F.col("reference") == X.without(F.col("reference"), X.PUNCTUATION)),
         "mark in input": (F.col("task") == "punctuate") & (F.col("input") != X.without(F.col("input"), X.PUNCTUATION)),
-        "duplicate id": F.col("_n") > 1,
     }
-    counted = records.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("id")))
     found = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in checks.items()]), lambda x: x.isNotNull())
-    return counted.select("id", F.explode(found).alias("violation"))
+    plain = records.select("id", F.explode(found).alias("violation"))
+    # ids alone are counted, texts stay where they are; an id that repeats becomes as many rows
+    repeated = records.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    again = repeated.select("id", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("id", F.lit("duplicate id").alias("violation"))
+    return plain.unionByName(again)
+
+
+def _object(of: Column, path: str = "$") -> Column:
+    """The members of a JSON object as a map; null for anything else, JSON's null among it."""
+    return F.try_variant_get(of, path, "map<string,variant>")
 
 
 def document_violations(raw: DataFrame, tasks: tuple[str, ...] = TASKS, most: int = ITEMS_PER_TASK) -> DataFrame:
     """(file, task, item, severity, message) for result documents, from (file, value: the whole text).
 
-    Presence is checked in the JSON text itself, so wrong types can't be lost in a schema.
+    One rule at a time, from the outside in: what is no JSON or no object has one message; without ``tasks`` every task is missing, a
+    warning each; ``tasks``, a task or an item that is no object has one message and nothing in it is looked at, nor are items
+    beyond the first ``most``. Presence is checked in the JSON text itself, so wrong types can't be lost in a schema. An empty message table is a good document.
     """
-    doc = raw.select("file", F.try_parse_json("value").alias("v"))
-    top = doc.select("file", F.when(F.col("v").isNull(), "?").otherwise(F.schema_of_variant("v")).alias("kind"), "v")
-    is_object = F.col("kind").startswith("OBJECT")
-    bad = top.filter(~is_object).select("file", F.lit(None).cast("string").alias("task"), F.lit(None).cast("int").alias("item"), F.lit("error").alias("severity"), F.when(F.col("kind") == "?", NOT_JSON).otherwise(NO_TOP).alias("message"))
-    good = top.filter(is_object).select("file", "v", F.map_keys(F.try_variant_get("v", "$", "map<string,variant>")).alias("keys"), F.try_variant_get("v", "$.tasks", "map<string,variant>").alias("tasks"))
     none = lambda kind: F.lit(None).cast(kind)
-    row = lambda task, item, severity, message: F.struct(task.alias("task"), item.alias("item"), F.lit(severity).alias("severity"), message.alias("message"))
-    heads = F.array(
-        F.when(~F.array_contains("keys", "model"), row(none("string"), none("int"), "error", F.lit(NO_KEY.format("model")))),
-        F.when(F.col("tasks").isNull(), row(none("string"), none("int"), "error", F.lit(NO_TASKS))),
-    )
+    row = lambda message, task=None, item=None, severity="error": F.struct((none("string") if task is None else task).alias("task"), (none("int") if item is None else item).alias("item"), F.lit(severity).alias("severity"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
+    told = lambda rows: F.filter(rows, lambda x: x.isNotNull())
+    known = F.array(*map(F.lit, sorted(tasks)))
+
+    parsed = raw.select("file", F.try_parse_json("value").alias("v"))
+    top = parsed.select("file", F.col("v").isNotNull().alias("json"), _object(F.col("v")).alias("top"))
+    keys = F.map_keys("top")
+    of = F.try_element_at("top", F.lit("tasks"))
+    # without the key there are no tasks; with another kind of value they are null
+    whole = top.select("file", "json", "top", F.when(F.array_contains(keys, "tasks"), _object(of)).when(F.col("top").isNotNull(), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))).alias("tasks"))
     have = F.map_keys("tasks")
-    missing = F.transform(F.array_except(F.array(*map(F.lit, tasks)), have), lambda t: row(t, none("int"), "warn", F.lit(NO_TASK)))
-    extra = F.transform(F.array_except(have, F.array(*map(F.lit, tasks))), lambda t: row(t, none("int"), "error", F.lit(ODD_TASK)))
-    top_level = good.select("file", F.explode(F.filter(F.concat(heads, F.coalesce(missing, F.array()), F.coalesce(extra, F.array())), lambda x: x.isNotNull())).alias("r")).select("file", "r.*")
-    each = good.select("file", F.explode("tasks").alias("task", "t")).filter(F.col("task").isin(*tasks))
-    each = each.select("file", "task", F.try_variant_get("t", "$.summary", "map<string,variant>").alias("summary"), F.try_variant_get("t", "$.items", "array<variant>").alias("items"))
+    heads = F.concat(
+        F.array(
+            F.when(~F.array_contains(keys, "model"), row(NO_KEY.format("model"))),
+            F.when(~F.array_contains(keys, "tasks"), row(NO_KEY.format("tasks"))),
+            F.when(F.col("tasks").isNull(), row(NO_TASKS)),
+        ),
+        F.coalesce(F.transform(F.array_except(known, have), lambda t: row(NO_TASK, t, severity="warn")), F.array()),
+        F.coalesce(F.transform(F.array_except(have, known), lambda t: row(ODD_TASK, t)), F.array()),
+    )
+    of_document = F.when(~F.col("json"), F.array(row(NOT_JSON))).when(F.col("top").isNull(), F.array(row(NO_TOP))).otherwise(told(heads))
+    documents = whole.select("file", F.inline(of_document))
+
+    each = whole.select("file", F.explode("tasks").alias("task", "t")).filter(F.col("task").isin(*tasks)).select("file", "task", _object(F.col("t")).alias("members"))
+    parts = each.select("file", "task", "members", _object(F.try_element_at("members", F.lit("summary"))).alias("summary"), F.try_variant_get(F.try_element_at("members", F.lit("items")), "$", "array<variant>").alias("items"))
     n = F.size("items")
     in_task = F.array(
-        F.when(F.col("summary").isNull(), row(F.col("task"), none("int"), "error", F.lit(NO_SUMMARY))),
-        F.when(F.col("items").isNull(), row(F.col("task"), none("int"), "error", F.lit(NO_ITEMS))),
-        F.when(F.col("items").isNotNull() & (n > most), row(F.col("task"), none("int"), "error", F.format_string(TOO_MANY, n, F.lit(most)))),
-        F.when(F.col("items").isNotNull() & (n < most), row(F.col("task"), none("int"), "warn", F.format_string(TOO_FEW, n, F.lit(most)))),
+        F.when(F.col("summary").isNull(), row(NO_SUMMARY, F.col("task"))),
+        F.when(F.col("items").isNull(), row(NO_ITEMS, F.col("task"))),
+        F.when(F.col("items").isNotNull() & (n > most), row(F.format_string(TOO_MANY, n, F.lit(most)), F.col("task"))),
+        F.when(F.col("items").isNotNull() & (n < most), row(F.format_string(TOO_FEW, n, F.lit(most)), F.col("task"), severity="warn")),
     )
-    per_task = each.select("file", F.explode(F.filter(in_task, lambda x: x.isNotNull())).alias("r")).select("file", "r.*")
-    items = each.select("file", "task", F.posexplode(F.slice("items", 1, most)).alias("item", "i")).select("file", "task", "item", F.try_variant_get("i", "$", "map<string,variant>").alias("m"))
+    of_task = F.when(F.col("members").isNull(), F.array(row(NO_OBJECT, F.col("task")))).otherwise(told(in_task))
+    per_task = parts.select("file", F.inline(of_task))
+
+    items = parts.select("file", "task", F.posexplode(F.slice("items", 1, most)).alias("item", "i")).select("file", "task", "item", _object(F.col("i")).alias("m"))
     wanted = F.array(*map(F.lit, ("id", "prediction", "scores")))
     lacking = F.when(F.col("m").isNull(), F.array(F.lit(NO_OBJECT))).otherwise(F.transform(F.array_except(wanted, F.map_keys("m")), lambda k: F.concat(F.lit("missing '"), k, F.lit("'"))))
     per_item = items.select("file", "task", "item", F.lit("error").alias("severity"), F.explode(lacking).alias("message"))
-    return bad.unionByName(top_level).unionByName(per_task).unionByName(per_item)
+    return documents.unionByName(per_task).unionByName(per_item)
 
 
 def audit_dump(stats: DataFrame, records: DataFrame, predictions: DataFrame, most: float = 0.10) -> DataFrame:

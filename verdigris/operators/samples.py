@@ -18,9 +18,12 @@ def drawn(seed: int, *keys: str) -> Column:
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
-    """The first n rows of each key."""
+    """The first n rows of each key, with all columns of the table, whatever their names."""
+    place = "_n"
+    while place in df.columns:
+        place += "_"
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+    return df.withColumn(place, F.row_number().over(w)).filter(F.col(place) <= n).drop(place)
 
 
 def last_wins(df: DataFrame, keys: list[str], seq: str) -> DataFrame:

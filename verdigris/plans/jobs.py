@@ -9,7 +9,7 @@ from verdigris.operators import abtests, items, judges, quality, samples, scorer
 from verdigris.plans import evaluation
 from verdigris.plans.adapters import MATRIX, RATERS, RUNS, matrix, raters, runs
 from verdigris.plans.catalogue import F1, GUARD, ORACLE_SQL, VERDICTS, _verdicts, chrf_sql, query, ranks_sql
-from verdigris.schemas import RECORD, RESULT
+from verdigris.schemas import HEADLINE, RECORD, RESULT
 from verdigris.sources import endpoint, readers, sinks
 from verdigris.tables import scratch, table
 
@@ -242,13 +242,34 @@ def gloss_candidates(spark, sf_dir):
     return made.select("id", F.col("_status").alias("status"), "reference")
 
 
-@query("SELECT page_id::VARCHAR AS file, CASE WHEN page_id % 4 = 0 THEN 'not valid JSON' WHEN page_id % 4 = 1 THEN 'top level is not an object' ELSE 'missing top-level key ' || chr(39) || 'model' || chr(39) END AS message FROM pages WHERE page_id % 4 <> 3")
+#: Result documents with a fault of each kind, and what is said of them beside missing tasks: (task, item, severity, message).
+FAULTY = [
+    ("{broken", [(None, None, "error", "not valid JSON")]),
+    ("[1]", [(None, None, "error", "top level is not an object")]),
+    ('{"tasks": {}}', [(None, None, "error", "missing top-level key 'model'")]),
+    ('{"model": null, "tasks": {}}', []),
+    ('{"model": 1}', [(None, None, "error", "missing top-level key 'tasks'")]),
+    ('{"model": 1, "tasks": [{}]}', [(None, None, "error", "'tasks' is not an object")]),
+    ('{"model": 1, "tasks": {"translate": 3, "odd": {"items": 4}}}', [("translate", None, "error", "is not an object"), ("odd", None, "error", "unexpected task key")]),
+    (
+        '{"model": 1, "tasks": {"compress": {"summary": [], "items": [{"id": 1, "scores": {}}, 4]}, "fill-in": {"items": null, "summary": {}}}}',
+        [("compress", None, "error", "summary missing or not an object"), ("compress", None, "warn", "2/100 items"), ("compress", 0, "error", "missing 'prediction'"), ("compress", 1, "error", "is not an object"), ("fill-in", None, "error", "items missing or not a list")],
+    ),
+]
+
+
+def _faulty_sql() -> str:
+    text = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    rows = [f"({k}, {text(task)}, {'NULL' if item is None else item}, '{severity}', {text(message)})" for k, (_, said) in enumerate(FAULTY) for task, item, severity, message in said]
+    rows += [f"({k}, '{task}', NULL, 'warn', 'missing task')" for k in (2, 3, 4, 6, 7) for task in HEADLINE if f'"{task}"' not in FAULTY[k][0]]
+    return "SELECT page_id::VARCHAR AS file, f.task, f.item::INTEGER AS item, f.severity, f.message FROM pages JOIN (VALUES " + ", ".join(rows) + ") f(k, task, item, severity, message) ON page_id % 8 = f.k"
+
+
+@query(_faulty_sql())
 def document_checks(spark, sf_dir):
-    """Errors of result documents: no JSON, a list, no model; a null model is one."""
-    i = F.col("page_id")
-    value = F.when(i % 4 == 0, "{broken").when(i % 4 == 1, "[1]").when(i % 4 == 2, '{"tasks": {}}').otherwise('{"model": null, "tasks": {}}')
-    found = quality.document_violations(table(spark, sf_dir, "pages").select(i.cast("string").alias("file"), value.alias("value")))
-    return found.filter("severity = 'error'").select("file", "message")
+    """Result documents, each with one of the faults."""
+    value = F.element_at(F.array(*[F.lit(text) for text, _ in FAULTY]), (F.col("page_id") % 8 + 1).cast("int"))
+    return quality.document_violations(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file"), value.alias("value")))
 
 
 @query("SELECT k, count(*) AS n FROM (SELECT regexp_extract(props, '([0-9]+)', 1)::BIGINT AS k FROM events) GROUP BY k")
