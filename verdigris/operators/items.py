@@ -31,6 +31,41 @@ def item_stats(scores: DataFrame) -> DataFrame:
     return with_rest.groupBy("task", "id").agg(F.count("score").alias("n"), F.round(F.avg("score"), 4).alias("difficulty"), F.round(F.var_pop("score"), 6).alias("variance"), F.round(pearson("score", "rest"), 4).alias("discrimination"))
 
 
+MOMENTS = ("n", "s", "ss", "r", "rr", "sr")
+
+
+def item_moments(scores: DataFrame) -> DataFrame:
+    """(task, id, n, s, ss, r, rr, sr) from (model, task, id, score): sums over models of an item's score s, of the model's mean r over
+    the task's other items, and of their squares and products. An item that is alone in its task has no r. A model's part depends on its own
+    rows only, so states of different models add up; a whole model and task belong into one state."""
+    known = scores.filter("score IS NOT NULL").select("model", "task", "id", F.col("score").cast("double").alias("_s"))
+    sums = known.groupBy("task", "model").agg(F.sum("_s").alias("_sum"), F.count("_s").alias("_count"))
+    rest = (F.col("_sum") - F.col("_s")) / F.nullif(F.col("_count") - 1, F.lit(0))
+    each = same(known, sums, ["task", "model"]).withColumn("_r", rest)
+    total = lambda c, name: F.sum(c).alias(name)
+    s, r = F.col("_s"), F.col("_r")
+    return each.groupBy("task", "id").agg(F.count(F.lit(1)).alias("n"), total(s, "s"), total(s * s, "ss"), total(r, "r"), total(r * r, "rr"), total(s * r, "sr"))
+
+
+def merged_moments(state: DataFrame, more: DataFrame, sign: int = 1) -> DataFrame:
+    """A state with further models' moments, or (sign -1) without those of models whose results are withdrawn: the cost is that of the
+    items, whatever number of models they stand for. Items that no model is left for go."""
+    signed = more.select("task", "id", *[(sign * F.col(c)).alias(c) for c in MOMENTS])
+    both = state.select("task", "id", *MOMENTS).unionByName(signed).groupBy("task", "id").agg(*[F.sum(c).alias(c) for c in MOMENTS])
+    return both.filter("n > 0")
+
+
+def moment_stats(state: DataFrame) -> DataFrame:
+    """``item_stats`` of a state."""
+    n = F.col("n")
+    spread = lambda x, xx: F.greatest(F.col(xx) / n - F.col(x) / n * (F.col(x) / n), F.lit(0.0))
+    noise = lambda x: F.lit(1e-12) * F.greatest(F.col(x) / n, F.lit(1.0))  # noqa: E731  what is left of equal numbers
+    vs, vr = spread("s", "ss"), spread("r", "rr")
+    together = F.col("sr") / n - F.col("s") / n * (F.col("r") / n)
+    told = (n >= 3) & (vs > noise("ss")) & (vr > noise("rr"))
+    return state.select("task", "id", "n", F.round(F.col("s") / n, 4).alias("difficulty"), F.round(vs, 6).alias("variance"), F.when(told, F.round(together / F.sqrt(vs * vr), 4)).alias("discrimination"))
+
+
 def headline_scores(rows: DataFrame, headline: dict[str, str] = HEADLINE) -> DataFrame:
     """(model, task, id, score): each item's score by its task's headline metric, from a scores map; items without it are left out."""
     metric = F.create_map(*[F.lit(x) for pair in headline.items() for x in pair])[F.col("task")]

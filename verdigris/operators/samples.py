@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from verdigris.functions import text as X
 from verdigris.sources.endpoint import Client, Settings, predictions
+from verdigris.tables import small
 
 
 def drawn(seed: int, *keys: str) -> Column:
@@ -17,11 +18,16 @@ def drawn(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).cast("binary"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of the table has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key, with all columns of the table, whatever their names."""
-    place = "_n"
-    while place in df.columns:
-        place += "_"
+    place = unused(df, "_n")
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(place, F.row_number().over(w)).filter(F.col(place) <= n).drop(place)
 
@@ -58,26 +64,53 @@ def simple(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows of each stratum, all of smaller ones."""
-    return first_by(df, [stratum], [drawn(seed, key), F.col(key)], n)
+    return least_drawn(df, stratum, key, F.lit(n), n, seed)
+
+
+#: Rows of a stratum up to which Spark keeps the first ones of each partition before it shuffles.
+FEW = 1000
+
+
+def least_drawn(df: DataFrame, stratum: str, key: str, n: Column, most: int, seed: int = 42, place: str | None = None) -> DataFrame:
+    """The first ``n`` rows of each stratum in its seeded shuffle, ``most`` at most; with their place under that name, if one is given.
+
+    No stratum is sorted whole. For few rows Spark's own limit of windows keeps the first ones of every partition, which merge. For more, a
+    count of each stratum gives the hash below which its first rows lie, with room to spare, and only those go on; where chance
+    leaves fewer than are wanted, a stratum has its limit lifted.
+    """
+    if most > FEW:
+        hashed, size, near, lift, of = (unused(df, c) for c in ("_hash", "_size", "_near", "_lift", "_of"))
+        room = most + 6 * int(most**0.5) + 20
+        placed = df.withColumn(hashed, F.conv(F.substring(drawn(seed, key), 1, 12), 16, 10).cast("long"))
+        sizes = placed.groupBy(F.col(stratum).alias(of)).agg(F.count(F.lit(1)).alias(size))
+        marked = placed.join(small(sizes), F.col(stratum).eqNullSafe(F.col(of))).drop(of).withColumn(near, F.col(hashed) < F.lit(float(room)) / F.col(size) * F.lit(float(16**12)))
+        short = marked.groupBy(F.col(stratum).alias(of)).agg(F.count_if(near).alias("left"), F.max(size).alias("whole")).filter(F.col("left") < F.least(F.lit(most), F.col("whole"))).select(of, F.lit(True).alias(lift))
+        lifted = marked.join(small(short), F.col(stratum).eqNullSafe(F.col(of)), "left")
+        df = lifted.filter(F.col(near) | F.coalesce(lift, F.lit(False))).select(df.columns)
+    at = unused(df, "_n") if place is None else place
+    w = Window.partitionBy(stratum).orderBy(drawn(seed, key), key)
+    found = df.withColumn(at, F.row_number().over(w)).filter(F.col(at) <= most).filter(F.col(at) <= n)
+    return found.drop(at) if place is None else found
 
 
 def quotas(df: DataFrame, stratum: str, key: str, wanted: dict[str, int], total: int, seed: int = 42) -> DataFrame:
     """Each stratum's quota, all of smaller ones; what lacks of ``total`` comes from strata without a quota."""
-    n = F.coalesce(F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])[F.col(stratum)], F.lit(0)) if wanted else F.lit(0)
-    w = Window.partitionBy(stratum).orderBy(drawn(seed, key), key)
     named = F.coalesce(F.col(stratum).isin(*wanted), F.lit(False))
-    ranked = df.withColumn("_n", F.row_number().over(w)).withColumn("_extra", ~named)
-    picked = ranked.filter(~F.col("_extra") & (F.col("_n") <= n))
-    extra = ranked.filter("_extra").orderBy(drawn(seed, key), key).limit(total)
-    both = picked.unionByName(extra)
+    extra = unused(df, "_extra")
+    rows = df.withColumn(extra, ~named)
+    filling = rows.filter(extra).orderBy(drawn(seed, key), key).limit(total)
+    if not wanted:
+        return filling.drop(extra)
+    n = F.coalesce(F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])[F.col(stratum)], F.lit(0))
+    picked = least_drawn(rows.filter(~F.col(extra)), stratum, key, n, max(wanted.values()), seed)
     # at most quotas + total rows reach this order
-    return both.orderBy("_extra", drawn(seed, key), key).limit(total).drop("_n", "_extra")
+    return picked.unionByName(filling).orderBy(extra, drawn(seed, key), key).limit(total).drop(extra)
 
 
 def round_robin(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """One row of each stratum in turn, until there are n."""
-    w = Window.partitionBy(stratum).orderBy(drawn(seed, key), key)
-    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).orderBy("_n", stratum).limit(n).drop("_n")
+    place = unused(df, "_n")
+    return least_drawn(df, stratum, key, F.lit(n), n, seed, place).orderBy(place, stratum).limit(n).drop(place)
 
 
 def numbered(df: DataFrame, task: str, order: list[Column]) -> DataFrame:

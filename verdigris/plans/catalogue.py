@@ -240,6 +240,16 @@ def item_discrimination(spark, sf_dir):
     return items.item_stats(matrix(spark, sf_dir)).select("task", "id", "discrimination")
 
 
+@query(STATS + "SELECT task, id, n, difficulty, variance, discrimination FROM item_stats")
+def item_stats_merged(spark, sf_dir):
+    """Items' statistics of models that come one part after another: stored sums of the first are added to those of the next."""
+    scores = matrix(spark, sf_dir)
+    state = items.item_moments(scores.filter("model % 3 = 0"))
+    for part in (1, 2):
+        state = items.merged_moments(state, items.item_moments(scores.filter(f"model % 3 = {part}")))
+    return items.moment_stats(state)
+
+
 PROFILE = """count(*) AS n_items, round(avg(difficulty), 4) AS difficulty_mean, round(avg(discrimination), 4) AS discrimination_mean, count(*) FILTER (WHERE variance < 1e-4) AS dead,
 count(*) FILTER (WHERE variance < 1e-4 AND difficulty >= 0.95) AS ceiling, count(*) FILTER (WHERE variance < 1e-4 AND difficulty <= 0.05) AS floor,
 count(*) FILTER (WHERE discrimination < 0) AS negative_disc, count(*) FILTER (WHERE abs(discrimination) < 0.10) AS low_disc"""
