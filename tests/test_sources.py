@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from verdigris import schemas
 from verdigris.plans import reports
-from verdigris.sources import endpoint, readers, sinks
+from verdigris.sources import concatenated, endpoint, readers, sinks
 from verdigris.streaming import logs
 
 
@@ -47,7 +47,7 @@ def test_result_documents(spark, tmp_path):
 
 def test_concatenated_and_array_json(spark, tmp_path):
     path = write(tmp_path / "c.json", '{"char": "山", "content": "a{"}\n,{"char": "水", "content": "b"}, junk {bad} {"char": "x"}{')
-    assert [(r.char, r.content) for r in readers.concatenated_json(spark, path, schemas.DEFINITION).collect()] == [("山", "a{"), ("水", "b"), ("x", None)]
+    assert [(r.char, r.content) for r in concatenated.concatenated_json(spark, path, schemas.DEFINITION).collect()] == [("山", "a{"), ("水", "b"), ("x", None)]
     array = write(tmp_path / "d.json", '[{"char": "山", "content": "a"}, {"char": "水"}]')
     assert readers.json_array(spark, array, schemas.DEFINITION).count() == 2
 

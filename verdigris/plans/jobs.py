@@ -10,7 +10,7 @@ from verdigris.plans import evaluation
 from verdigris.plans.adapters import MATRIX, RATERS, RUNS, matrix, raters, runs
 from verdigris.plans.catalogue import F1, GUARD, ORACLE_SQL, VERDICTS, _verdicts, chrf_sql, query, ranks_sql
 from verdigris.schemas import HEADLINE, RECORD, RESULT
-from verdigris.sources import endpoint, readers, sinks
+from verdigris.sources import concatenated, endpoint, readers, sinks
 from verdigris.tables import scratch, table
 
 #: Sentences of documents as instruct pairs, each once: the text, and the text without vowels.
@@ -278,7 +278,7 @@ def concat_json(spark, sf_dir):
     path = scratch(spark, "concat")
     props = table(spark, sf_dir, "events").select("event_id", "props").groupBy(F.floor(F.col("event_id") / 500).alias("g"))
     props.agg(F.concat_ws(" and ", F.lit("junk {"), F.collect_list("props")).alias("value")).select("value").write.text(path)
-    return readers.concatenated_json(spark, path, "k long").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    return concatenated.concatenated_json(spark, path, "k long").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id, translate(text, 'éèêç', 'eeec') AS converted, contains(translate(text, 'éèêç', 'eeec'), 'treve') AS hit FROM documents")

@@ -32,23 +32,23 @@ def stub(prompt: str) -> dict:
     return {"content": prompt.splitlines()[-1] if prompt else "", "prompt_tokens": len(prompt), "completion_tokens": len(prompt.splitlines()[-1]) if prompt else 0}
 
 
-def predictions(df: DataFrame, make_client: Callable[[], Client], prompt_col: str = "prompt", settings: Settings = Settings(), accept: Callable[[str], bool] | None = None) -> DataFrame:  # noqa: B008
+def predictions(df: DataFrame, make_client: Callable[[], Client], prompt_col: str = "prompt", settings: Settings = Settings(), accept: Callable[..., bool] | None = None, context: str | None = None) -> DataFrame:  # noqa: B008
     """Adds prediction ("" after the last failure, as a missing content), error, prompt_tokens, completion_tokens, asked_at (Unix time) and latency_s.
 
     ``make_client`` runs once in each task and takes its endpoint and key from the executor's environment. Rows keep their keys, so the order of answers plays no part.
-    ``accept``: a reply that it refuses is asked for again like a failed call; the last one stays, with an error.
+    ``accept``: a reply that it refuses is asked for again like a failed call; the last one stays, with an error. ``context``: a column whose value it gets too.
     """
     added = T.StructType([T.StructField("prediction", T.StringType()), T.StructField("error", T.StringType()), T.StructField("prompt_tokens", T.LongType()), T.StructField("completion_tokens", T.LongType()), T.StructField("asked_at", T.DoubleType()), T.StructField("latency_s", T.DoubleType())])
     names = [f.name for f in added]
     base = df.drop(*names)
 
-    def ask(client: Client, prompt: str) -> tuple:
+    def ask(client: Client, prompt: str, *more: str) -> tuple:
         asked, began, error, last = time.time(), time.monotonic(), None, ""
         for k in range(settings.retries):
             try:
                 found = client(prompt)
                 reply = found.get("content") or ""
-                if accept is None or accept(reply):
+                if accept is None or accept(reply, *more):
                     return reply, None, found.get("prompt_tokens"), found.get("completion_tokens"), asked, time.monotonic() - began
                 last, error = reply, "reply refused"
             except Exception as e:  # noqa: BLE001  any failure counts as an unanswered prompt
@@ -61,7 +61,8 @@ def predictions(df: DataFrame, make_client: Callable[[], Client], prompt_col: st
         client = make_client()
         with ThreadPoolExecutor(settings.concurrency) as pool:
             for batch in batches:
-                answers = list(pool.map(lambda p: ask(client, p or ""), batch[prompt_col]))
+                told = [batch[context].fillna("")] if context is not None else []
+                answers = list(pool.map(lambda p, *more: ask(client, p or "", *more), batch[prompt_col], *told))
                 extra = pd.DataFrame(answers, columns=names, index=batch.index).astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
                 yield pd.concat([batch, extra], axis=1)
 

@@ -1,11 +1,7 @@
-"""Readers: JSON lines, nested result documents, concatenated JSON, seeds, question sets."""
+"""Readers: JSON lines, nested result documents, seeds, question sets."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,27 +41,6 @@ def item_scores(docs: DataFrame) -> DataFrame:
     return items(docs).select("model", "task", "id", F.explode("scores").alias("metric", "score"))
 
 
-def concatenated_json(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """Objects one after another in a file, whatever stands between them. A file is one task's work, for the format has no splits."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = json.JSONDecoder()
-        for batch in batches:
-            found = []
-            for text in batch["value"]:
-                at = 0
-                while (at := text.find("{", at)) >= 0:
-                    try:
-                        value, at = decoder.raw_decode(text, at)
-                        found.append(json.dumps(value, ensure_ascii=False))
-                    except ValueError:
-                        at += 1
-            yield pd.DataFrame({"value": found}, dtype="object")
-
-    whole = spark.read.option("wholetext", True).text(path)
-    return whole.mapInPandas(run, "value string").select(F.from_json("value", schema).alias("v")).select("v.*")
-
-
 def json_array(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
