@@ -8,7 +8,7 @@ from verdigris.functions import text as X
 from verdigris.operators import abtests, items, judges, quality, samples, scorers, tokens
 from verdigris.plans import evaluation
 from verdigris.plans.adapters import MATRIX, RATERS, RUNS, matrix, raters, runs
-from verdigris.plans.catalogue import F1, GUARD, ORACLE_SQL, VERDICTS, _verdicts, chrf_sql, query, ranks_sql
+from verdigris.plans.catalogue import BOARD, BOOT, F1, GUARD, ORACLE_SQL, VERDICTS, _verdicts, chrf_sql, query, ranks_sql
 from verdigris.schemas import HEADLINE, RECORD, RESULT
 from verdigris.sources import concatenated, endpoint, readers, sinks
 from verdigris.tables import scratch, table
@@ -113,6 +113,59 @@ def judge_stub(spark, sf_dir):
 MEANS = f"WITH {MATRIX}, m AS (SELECT model, task, avg(score) AS mean FROM matrix GROUP BY ALL)"
 
 
+@query(f"WITH {MATRIX}, {BOARD}, {BOOT}, k AS (SELECT model, task, m, row_number() OVER (PARTITION BY model, task ORDER BY m) AS k FROM m), e AS (SELECT model, task, round((max(m) FILTER (WHERE k = 1950) - max(m) FILTER (WHERE k = 51)) / 2, 4) AS half_width FROM k GROUP BY ALL) SELECT model, task, mean, half_width, avg, place::INTEGER AS place FROM means JOIN b USING (model) LEFT JOIN e USING (model, task)")
+def leaderboard_intervals(spark, sf_dir):
+    """The board with the half-width of each mean's interval."""
+    scores = matrix(spark, sf_dir)
+    means = scores.groupBy("model", "task").agg(F.round(F.avg("score"), 4).alias("mean"))
+    return items.leaderboard(means, items.bootstrap_ci(scores, ["model", "task"])).select("model", "task", "mean", "half_width", "avg", "place")
+
+
+@query("SELECT lang, source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang, source")
+def remembered_lengths(spark, sf_dir):
+    """Sums that a memo keeps: a first run makes some of them, a second one the others."""
+    docs = table(spark, sf_dir, "documents")
+    path = scratch(spark, "memo")
+    make = lambda work: docs.join(work, ["lang", "source"]).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
+    work = docs.select("lang", "source").distinct()
+    sinks.remembered(work.filter("lang = 'en'"), path, ["lang", "source"], make)
+    return sinks.remembered(work, path, ["lang", "source"], make)
+
+
+#: Latin letters as Han characters, none of them a function word, for builders that look for these.
+LATIN, CJK = "abcdefghijklmnopqrstuvwxyz", "山水火木金土日月星云雨风雷电石田禾米竹花草鸟鱼马牛羊"
+HAN_TEXT = f"translate(text, '{LATIN}.', '{CJK}。')"
+
+
+def han_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.translate("text", LATIN + ".", CJK + "。").alias("content"))
+
+
+@query(rf"""WITH p AS (SELECT unnest(string_split({HAN_TEXT}, '。')) AS s FROM documents WHERE source IN ('src1', 'src2', 'src3')),
+c AS (SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(s, '【.*?】', '', 'g'), '[(（].*?[)）]', '', 'g'), '\s+', '', 'g') AS t FROM p), h AS (SELECT t FROM c WHERE length(regexp_replace(t, '[^{CJK}]', '', 'g')) BETWEEN 8 AND 25),
+l AS (SELECT t, list_filter(range(2, length(t)), lambda i: contains('{CJK}', substr(t, i, 1)) AND length(t) - length(replace(t, substr(t, i, 1), '')) = 1) AS places FROM h),
+m AS (SELECT t, places[len(places) // 2 + 1] AS place FROM l WHERE len(places) > 0), s AS (SELECT * FROM m ORDER BY {drawn_sql(42, 't')}, t LIMIT 100)
+SELECT 'fill-in#' || row_number() OVER (ORDER BY {drawn_sql(43, 't')}, t) AS id, substr(t, 1, place - 1) || '___' || substr(t, place + 1) AS input, substr(t, place, 1) AS reference, t AS context FROM s""")
+def cloze_records(spark, sf_dir):
+    """The builder of cloze records on whole documents of some sources."""
+    made = samples.build_cloze(han_texts(spark, sf_dir), ["src1", "src2", "src3"])
+    return made.select("id", "input", "reference", F.col("metadata")["context"].alias("context"))
+
+
+@query(rf"""WITH t AS (SELECT {HAN_TEXT} AS input, lang AS category FROM documents), d AS (SELECT input, translate(input, '山水火木金土日月', '') AS output, min(category) AS category FROM t GROUP BY input),
+n AS (SELECT *, length(regexp_replace(input, '[^{CJK}]', '', 'g')) AS m, length(regexp_replace(output, '[^{CJK}]', '', 'g')) AS c FROM d), g AS (SELECT * FROM n WHERE m BETWEEN 100 AND 300 AND c BETWEEN 30 AND m AND c / greatest(m, 1) BETWEEN 0.30 AND 0.75),
+q(category, want) AS (VALUES ('en', 25), ('de', 35)), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {drawn_sql(42, 'input')}, input) AS k FROM g),
+a AS (SELECT r.* FROM r JOIN q USING (category) WHERE k <= want), b AS (SELECT * FROM r WHERE category NOT IN (SELECT category FROM q) ORDER BY {drawn_sql(42, 'input')}, input LIMIT (100 - (SELECT count(*) FROM a))),
+u AS (SELECT input, output, category, m, c FROM a UNION ALL SELECT input, output, category, m, c FROM b)
+SELECT 'compress#' || row_number() OVER (ORDER BY {drawn_sql(43, 'input')}, input) AS id, input, output AS reference, category, round(c / m, 4) AS ref_ratio FROM u""")
+def compress_records(spark, sf_dir):
+    """The builder of compression records on whole documents, each text once, without eight of its letters as the short form."""
+    texts = han_texts(spark, sf_dir).groupBy("content").agg(F.min("lang").alias("category"))
+    pairs = texts.select(F.lit("m2c").alias("task"), F.col("content").alias("input"), F.translate("content", "山水火木金土日月", "").alias("output"), "category", F.lit("s").alias("source"), F.lit(False).alias("_has_box"))
+    made = samples.build_compress(pairs, {"en": 25, "de": 35})
+    return made.select("id", "input", "reference", F.col("metadata")["category"].alias("category"), F.col("metadata")["ref_ratio"].cast("double").alias("ref_ratio"))
+
+
 @query(f"""{MEANS}, p AS (SELECT a.task || '|' || b.task AS k, a.mean AS u, b.mean AS v FROM m a JOIN m b ON a.model = b.model AND a.task < b.task),
 r AS (SELECT split_part(k, '|', 1) AS task_a, split_part(k, '|', 2) AS task_b, count(*) AS n, round({GUARD.format(n=3)}, 3) AS rho FROM ({ranks_sql('p', 'k', 'u', 'v')}) GROUP BY k)
 SELECT *, coalesce(abs(rho) >= 0.1, false) AS redundant FROM r UNION ALL SELECT task, task, count(*), 1.0, false FROM m GROUP BY task""")
