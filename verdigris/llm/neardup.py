@@ -22,7 +22,7 @@ from verdigris.llm.components import components
 from verdigris.llm.store import release, small, stored
 from verdigris.llm.words import mix, words
 
-#: 20 bands of 3 registers miss a pair of similarity 0.85 once in 100 million, one of 0.8 once in 500,000.
+#: 20 bands of 3 registers miss a pair of similarity 0.85 once in 100 million, one of 0.8 once in 1.7 million.
 BANDS, ROWS = 20, 3
 REGISTERS = BANDS * ROWS
 #: Base, rate and largest value of the registers.
