@@ -237,10 +237,12 @@ def judge_backfill_summary(spark, sf_dir):
     return judges.backfill_summary(docs, labels.withColumnRenamed("quality", "judge"), "judge_b", ["task"], ["doc_id"])
 
 
-@query("SELECT doc_id AS id, round(len(list_intersect(list_distinct(string_split(lang, '')), list_distinct(string_split(coalesce(source, ''), '')))) / greatest(len(list_distinct(string_split(lang, ''))), 1), 6) AS overlap FROM documents WHERE lang IS NOT NULL")
+@query("""WITH q AS (SELECT doc_id AS id, list_distinct(string_split(coalesce(text, ''), '')) AS a, list_distinct(string_split(coalesce(substr(text, 1, length(text) // 3), ''), '')) AS b FROM documents)
+SELECT id, round(len(list_intersect(list_filter(a, lambda x: x <> ''), b)) / greatest(len(list_filter(a, lambda x: x <> '')), 1), 6) AS overlap FROM q""")
 def quote_overlap(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("lang IS NOT NULL")
-    records = docs.select(F.col("doc_id").alias("id"), F.lit("idiom-source").alias("task"), F.col("lang").alias("input"), F.create_map(F.lit("expected_quote"), F.col("source")).alias("metadata"))
+    """Whole texts against quotes of them, their first thirds."""
+    third = F.substring("text", F.lit(1), F.floor(F.char_length("text") / 3).cast("int"))
+    records = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("idiom-source").alias("task"), F.col("text").alias("input"), F.create_map(F.lit("expected_quote"), third).alias("metadata"))
     return quality.quote_overlap(records).withColumn("overlap", F.round("overlap", 6))
 
 
@@ -249,11 +251,11 @@ def source_balance(spark, sf_dir):
     return quality.source_balance(table(spark, sf_dir, "documents").select(F.col("lang").alias("task"), "source"), F.col("source"), most=0.06)
 
 
-@query(f"""WITH {SENTENCES}, g AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {drawn_sql(42, 'input')}, input) AS k FROM pairs WHERE length(input) BETWEEN 10 AND 60 AND category IN ('en', 'de') AND source = 'src3')
+@query(f"""WITH {SENTENCES}, g AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {drawn_sql(42, 'input')}, input) AS k FROM pairs WHERE length(input) BETWEEN 10 AND 60 AND category IN ('en', 'de'))
 SELECT 'translate#' || row_number() OVER (ORDER BY {drawn_sql(43, 'input')}, input) AS id, input, output AS reference, category FROM g WHERE k <= 25""")
 def translate_records(spark, sf_dir):
-    """The builder of translation records on sentences of one source."""
-    made = samples.build_translate(sentence_pairs(spark, sf_dir).filter("source = 'src3'"), ("en", "de"), 25)
+    """The builder of translation records on the sentences of all documents."""
+    made = samples.build_translate(sentence_pairs(spark, sf_dir), ("en", "de"), 25)
     return made.select("id", "input", "reference", F.col("metadata")["category"].alias("category"))
 
 
@@ -374,7 +376,7 @@ def seed_lines(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
     line = F.when(F.col("n_nationkey") % 2 == 0, F.concat_ws(" | ", "n_name", F.concat(F.lit("of "), "n_regionkey"))).otherwise(F.col("n_name"))
     lines = F.explode(F.array(F.lit("# note"), line, F.lit(""), line))
-    nation.select(lines.alias("value")).coalesce(1).write.text(path)
+    nation.select(lines.alias("value")).write.text(path)
     return readers.seeds(spark, path)
 
 
