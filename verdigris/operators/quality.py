@@ -142,7 +142,7 @@ def repaired_candidates(records: DataFrame, definitions: DataFrame, table: dict[
 
 def quote_overlap(records: DataFrame, task: str = "idiom-source", quote: str = "expected_quote") -> DataFrame:
     """(id, overlap): the share of an input's distinct characters that its expected quote has, 0 without a quote."""
-    given, wanted = (F.array_distinct(X.grams(c, 1)) for c in (F.col("input"), F.coalesce(F.col("metadata")[quote], F.lit(""))))
+    given, wanted = (F.array_distinct(F.array_remove(F.split(c, ""), "")) for c in (F.col("input"), F.coalesce(F.col("metadata")[quote], F.lit(""))))
     return records.filter(F.col("task") == task).select("id", (F.size(F.array_intersect(given, wanted)) / F.greatest(F.size(given), F.lit(1))).alias("overlap"))
 
 
