@@ -89,17 +89,17 @@ def grams(text: Column, n: int | Column) -> Column:
     return F.transform(starts, lambda i: F.substring(text, i, size))
 
 
-def book_name(text: Column, table: dict[str, str] | None = None) -> Column:
-    return without(convert(text, table), BOOK_MARKS)
+def book_name(text: Column, table: dict[str, str] | None = None, marks: str = BOOK_MARKS) -> Column:
+    return without(convert(text, table), marks)
 
 
-def book_hit(prediction: Column, book: Column, aliases: dict[str, list[str]] = BOOK_ALIASES, table: dict[str, str] | None = None) -> Column:
-    """Whether a book's name or an alias of it is in the prediction; an empty name always is."""
-    p = book_name(prediction, table)
-    hit = p.contains(book_name(book, table))
+def book_hit(prediction: Column, book: Column, aliases: dict[str, list[str]] = BOOK_ALIASES, table: dict[str, str] | None = None, marks: str = BOOK_MARKS) -> Column:
+    """Whether a book's name or an alias of it is in the prediction, all without ``marks``; an empty name always is."""
+    p = book_name(prediction, table, marks)
+    hit = p.contains(book_name(book, table, marks))
     for name, others in aliases.items():
         for other in others:
-            hit = hit | ((book == name) & p.contains(book_name(F.lit(other), table)))
+            hit = hit | ((book == name) & p.contains(book_name(F.lit(other), table, marks)))
     return hit
 
 
