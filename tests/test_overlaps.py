@@ -40,3 +40,27 @@ def test_nulls(spark):
     df = spark.createDataFrame([(1, "ab", "ab"), (2, None, "ab"), (3, "ab", None), (4, None, None), (5, "", "")], "k int, p string, r string")
     got = {r.k: tuple(r)[1:] for r in df.select("k", M.chrf(F.col("p"), F.col("r")), M.char_f1("p", "r"), M.pair_scores("p", "r")["chrf"], M.pair_scores("p", "r")["char_f1"]).collect()}
     assert got == {1: (1.0, 1.0, 1.0, 1.0), 2: (0.0, 0.0, None, None), 3: (0.0, 0.0, None, None), 4: (0.0, 0.0, None, None), 5: (0.0, 0.0, 0.0, 0.0)}
+
+
+@pytest.mark.parametrize("longest", [1, 4, 6, 7])
+def test_native_as_counters(spark, longest):
+    p, r = made(3, 120) + ["aaaa" * 50, "x", "\0\0a", "\U0010ffff" * 7, None, "ab"], made(4, 120) + ["aaa" * 90, "x", "\0a\0", "\U0010ffff" * 9, "ab", None]
+    df = spark.createDataFrame([(k, *texts) for k, texts in enumerate(zip(p, r, strict=True))], "k int, p string, r string")
+    got = {x.k: x.chrf for x in M.chrf_native(df, ["k"], "p", "r", longest=longest).collect()}
+    assert len(got) == len(p)
+    for k, (a, b) in enumerate(zip(p, r, strict=True)):
+        assert abs(got[k] - by_counting(a or "", b or "", longest)[1]) < 1e-12
+
+
+def test_native_counts_repeated_keys_together(spark):
+    df = spark.createDataFrame([(1, "abca", "ab"), (1, "b", "abc"), (2, "ab", "ab")], "k int, p string, r string")
+    got = sorted((x.k, round(x.chrf, 9)) for x in M.chrf_native(df, ["k"], "p", "r", longest=2).collect())
+    score = sum(5 * a * b / (4 * a + b) for a, b in ((1, 1), (2 / 3, 2 / 3))) / 2
+    assert got == [(1, round(score, 9))] * 2 + [(2, 1.0)]
+
+
+def test_native_exchanges_texts_only(spark):
+    """No n-gram is a row."""
+    df = spark.createDataFrame([(1, "ab", "ab")], "k int, p string, r string")
+    plan = M.chrf_native(df, ["k"], "p", "r")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan

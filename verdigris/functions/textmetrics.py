@@ -93,19 +93,72 @@ def chrf(prediction: Column, reference: Column, beta: float = 2.0, longest: int
     return run(prediction, reference)
 
 
+#: Code points of a word, the bits of each (its number plus one), and those of the last. A text's end is 0.
+WORD, BITS, LAST = 3, 21, (1 << 21) - 1
+
+
+def _points(texts: Column, words: int) -> Column:
+    """Code points of all texts, behind each text the zeros that its last character's words need."""
+
+    def points(text: Column) -> Column:
+        return F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long") + 1))
+
+    return F.flatten(F.transform(texts, lambda t: F.concat(points(t), F.array_repeat(F.lit(0).cast("long"), WORD * words))))
+
+
+def _words(points: Column) -> Column:
+    """The word that begins at each place."""
+    return F.transform(F.sequence(F.lit(0), F.size(points) - WORD), lambda i: F.shiftleft(points[i], 2 * BITS) + F.shiftleft(points[i + 1], BITS) + points[i + 2])
+
+
+def _entries(points: Column, word: Column, words: int, side: int) -> Column:
+    """For each character the words from it on, and its side."""
+    places = F.filter(F.sequence(F.lit(0), F.size(points) - WORD * words), lambda i: points[i] != 0)
+    return F.transform(places, lambda i: F.struct(*[word[i + WORD * k].alias(f"w{k}") for k in range(words)], F.lit(side).alias("side")))
+
+
+def _shared(x: Column, y: Column, words: int) -> Column:
+    """With how many equal characters two entries begin, none behind a text's end."""
+    pairs = [(x[f"w{k}"], y[f"w{k}"]) for k in range(words)]
+    filled = [F.when(a.bitwiseAND(LAST) != 0, 3).when(a.bitwiseAND(LAST << BITS) != 0, 2).when(a != 0, 1).otherwise(0) for a, _ in pairs]
+    shared = sum(filled[1:], filled[0])  # equal to the ends of both texts, or in all words
+    for k, (a, b) in reversed(list(enumerate(pairs))):
+        differ = a.bitwiseXOR(b)
+        shared = F.when(a != b, F.when(F.shiftright(differ, 2 * BITS) != 0, WORD * k).when(F.shiftright(differ, BITS) != 0, WORD * k + 1).otherwise(WORD * k + 2)).otherwise(shared)
+    return shared
+
+
+def _common(steps: Column, n: int) -> Column:
+    """Common n-grams: all entries but those that one side has more among equal ones, halved. A text's last n - 1 entries are unlike any other."""
+    held = lambda rest, more: F.struct(rest.alias("rest"), more.alias("more"))
+    side = lambda step: F.when(step > 0, 1).otherwise(-1)
+    with_step = lambda h, step: F.when(F.abs(step) > n, held(h["rest"], h["more"] + side(step))).otherwise(held(h["rest"] + F.abs(h["more"]), side(step)))
+    rest = F.aggregate(steps, held(F.lit(0), F.lit(0)), with_step, lambda h: h["rest"] + F.abs(h["more"]))
+    return F.shiftright(F.size(steps) - rest, 1)
+
+
 def chrf_native(df: DataFrame, keys: list[str], prediction: str, reference: str, beta: float = 2.0, longest: int = 6, name: str = "chrf") -> DataFrame:
-    """(keys..., name), inside the JVM: n-grams are counted by text and joined in one aggregation.
+    """(keys..., name), inside the JVM: the places of a key's texts are sorted once by the characters from each on.
 
-    ``keys`` must be unique. All n-grams of a key go through the exchange, summed on the map side first.
+    Equal n-grams of all orders then lie together, and what an entry has in common with the one before tells where they begin.
+    Only texts go through an exchange. ``keys`` should be unique: the n-grams of a repeated key's texts count together, in one row.
     """
-    both = df.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.coalesce(prediction, F.lit("")).alias("text")), F.struct(F.lit(1).alias("side"), F.coalesce(reference, F.lit("")).alias("text")))).alias("s"))
-    orders = both.select(*keys, "s.side", "s.text", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n"))
-    each = orders.select(*keys, "n", "side", F.explode(grams(F.col("text"), F.col("n"))).alias("gram"))
-    counts = each.groupBy(*keys, "n", "gram").agg(F.count(F.when(F.col("side") == 0, 1)).alias("a"), F.count(F.when(F.col("side") == 1, 1)).alias("b"))
-    by_order = counts.groupBy(*keys, "n").agg(F.sum(F.least("a", "b")).alias("common"), F.sum("a").alias("a"), F.sum("b").alias("b")).filter("a > 0 AND b > 0")
-    f = f_score(F.col("common") / F.col("a"), F.col("common") / F.col("b"), beta)
-    scored = by_order.groupBy(*keys).agg(F.avg(f).alias("_score"))
-    return df.select(*keys).join(scored, keys, "left").select(*keys, F.coalesce("_score", F.lit(0.0)).alias(name))
+    words = -(-longest // WORD)
+    sides, orders = {"_p": prediction, "_r": reference}, range(1, longest + 1)
+    texts = df.groupBy(*keys).agg(*[F.collect_list(F.coalesce(c, F.lit(""))).alias(s) for s, c in sides.items()])
+    # Each array that later expressions name several times is a column of its own, so that it is computed once.
+    points = texts.select("*", *[_points(F.col(s), words).alias(f"{s}_points") for s in sides])
+    placed = points.select("*", *[_words(F.col(f"{s}_points")).alias(f"{s}_words") for s in sides])
+    entries = [_entries(F.col(f"{s}_points"), F.col(f"{s}_words"), words, side) for s, side in zip(sides, (1, -1), strict=True)]
+    ordered = placed.select(*keys, *sides, F.sort_array(F.concat(*entries)).alias("_s"))
+    step = lambda x, i: F.when(i == 0, 1).otherwise(_shared(x, F.col("_s")[i - 1], words) + 1) * x["side"]
+    steps = ordered.select(*keys, *sides, F.transform("_s", step).alias("_steps"))
+    size = lambda s, n: F.aggregate(s, F.lit(0).cast("long"), lambda held, t: held + F.greatest(F.char_length(t) - (n - 1), F.lit(0)))
+    counts = steps.select(*keys, "_p", F.array(*[F.struct(_common(F.col("_steps"), n).alias("common"), *[size(s, n).alias(s) for s in sides]) for n in orders]).alias("_n"))
+    f = F.transform(F.filter("_n", lambda x: (x["_p"] > 0) & (x["_r"] > 0)), lambda x: f_score(x["common"] / x["_p"], x["common"] / x["_r"], beta))
+    mean = F.aggregate(f, F.lit(0.0), lambda held, x: held + x) / F.nullif(F.size(f), F.lit(0))
+    scored = counts.select(*keys, "_p", F.coalesce(mean, F.lit(0.0)).alias(name))
+    return scored.select(*keys, name, F.explode("_p")).select(*keys, name)
 
 
 @F.pandas_udf(T.DoubleType())
